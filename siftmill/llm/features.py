@@ -6,7 +6,9 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from math import log1p
+from itertools import islice
+from math import log1p, sqrt
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LETTERS, _UPPER, _DIGITS, _SPACES = re.compile(r"[^\W\d_]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]"), re.compile(r"\d+"), re.compile(r"(.)\1+")
+_LETTERS, _DIGITS, _AGAIN = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(.)\1+")
 
 
 def slot(feature: str, dims: int) -> int:
@@ -24,45 +26,52 @@ def slot(feature: str, dims: int) -> int:
 
 def word_features(text: str, dims: int, cache: dict) -> dict[int, float]:
     """One for each distinct word of the whole text: lower case, without punctuation around it."""
-    return dict.fromkeys({_cached(cache, word, lambda w: slot(w.strip(".,;:!?¡¿\"'()[]{}<>*#&%$|/\\-_"), dims)) for word in set(text.lower().split())}, 1.0)
+    out, known = {}, cache.get
+    for word in set(text.lower().split()):
+        k = known(word)
+        if k is None:
+            k = _remember(cache, word, slot(word.strip(".,;:!?¡¿\"'()[]{}<>*#&%$|/\\-_"), dims))
+        out[k] = 1.0
+    return out
 
 
 def shape(word: str) -> str:
     """A word's form: runs of letters, digits and repeated signs count once."""
     found = _DIGITS.sub("0", _LETTERS.sub(lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "Aa" if m[0][0].isupper() else "a", word))
-    return _SPACES.sub(r"\1", found)
+    return _AGAIN.sub(r"\1", found)
 
 
 def form_features(text: str, dims: int, cache: dict) -> dict[int, float]:
-    """Shares of word shapes in the whole text and how much of it repeats; they don't depend on a
+    """Roots of the shares of word shapes in the whole text, and how much of it repeats; they don't depend on a
     text's language or length. A text without words has one feature of its own."""
     words = text.split()
     if not words:
         return {slot("no words", dims): 1.0}
     out: dict[int, float] = {}
     counts = Counter(words)
+    known = cache.get
     for word, n in counts.items():
-        k = _cached(cache, word, lambda w: slot("shape " + shape(w), dims))
-        out[k] = out.get(k, 0.0) + n / len(words)
+        k = known(word)
+        if k is None:
+            k = _remember(cache, word, slot("shape " + shape(word), dims))
+        out[k] = out.get(k, 0) + n
+    out = {k: sqrt(n / len(words)) for k, n in out.items()}  # so that rare shapes count too
     lines = [x for x in text.split("\n") if x.strip()]
-    again = sum(a == b for a, b in zip(words, words[1:])) / len(words)
-    ends = sum(n for w, n in counts.items() if w[-1] in ".!?") / len(words)
+    again = sum(map(eq, words, islice(words, 1, None))) / len(words)
     for name, value in (
         ("bias", 1.0), ("word again", again), ("line again", 1 - len(set(lines)) / len(lines)), ("distinct words", len(counts) / len(words)),
-        ("sentence ends", ends), ("most frequent", counts.most_common(1)[0][1] / len(words)), ("word length", sum(map(len, words)) / len(words) / 10), ("length", log1p(len(words)) / 10),
+        ("most frequent", counts.most_common(1)[0][1] / len(words)), ("word length", sum(map(len, words)) / len(words) / 10), ("length", log1p(len(words)) / 10),
     ):
         k = slot("form " + name, dims)
         out[k] = out.get(k, 0.0) + value
     return out
 
 
-def _cached(cache: dict, key: str, made: Callable[[str], int]) -> int:
-    found = cache.get(key)
-    if found is None:
-        if len(cache) >= 200_000:
-            cache.clear()
-        found = cache[key] = made(key)
-    return found
+def _remember(cache: dict, word: str, k: int) -> int:
+    if len(cache) >= 200_000:
+        cache.clear()
+    cache[word] = k
+    return k
 
 
 class Rows:
