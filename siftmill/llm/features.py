@@ -37,8 +37,13 @@ def word_features(text: str, dims: int, cache: dict) -> dict[int, float]:
 
 def shape(word: str) -> str:
     """A word's form: runs of letters, digits and repeated signs count once."""
-    found = _DIGITS.sub("0", _LETTERS.sub(lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "Aa" if m[0][0].isupper() else "a", word))
-    return _AGAIN.sub(r"\1", found)
+    if word.isalpha():
+        return _case(word)
+    return _AGAIN.sub(r"\1", _DIGITS.sub("0", _LETTERS.sub(lambda m: _case(m[0]), word)))
+
+
+def _case(letters: str) -> str:
+    return "A" if len(letters) > 1 and letters.isupper() else "Aa" if letters[0].isupper() else "a"
 
 
 def form_features(text: str, dims: int, cache: dict) -> dict[int, float]:
@@ -79,15 +84,21 @@ class Rows:
 
     def __init__(self, rows: Iterable[dict[int, float]]):
         rows = list(rows)
-        self.sizes = np.array([len(r) for r in rows], "int64")
-        self.at = np.fromiter((k for r in rows for k in r), "int64", self.sizes.sum())
-        self.values = np.fromiter((v for r in rows for v in r.values()), "float64", self.sizes.sum())
-        self.row = np.repeat(np.arange(len(rows)), self.sizes)
+        sizes = np.array([len(r) for r in rows], "int64")
+        self.at = np.fromiter((k for r in rows for k in r), "int64", sizes.sum())
+        self.values = np.fromiter((v for r in rows for v in r.values()), "float64", sizes.sum())
+        self.row = np.repeat(np.arange(len(rows)), sizes)
         self.n = len(rows)
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.values * weights[self.at], self.n)
 
+    def only(self, slots: np.ndarray) -> "Rows":
+        """The rows without the places where `slots` is False."""
+        out, kept = object.__new__(Rows), slots[self.at]
+        out.at, out.values, out.row, out.n = self.at[kept], self.values[kept], self.row[kept], self.n
+        return out
+
     def back(self, each: np.ndarray, dims: int) -> np.ndarray:
         """The sum of the rows, each times its number."""
         return np.bincount(self.at, self.values * each[self.row], dims)
