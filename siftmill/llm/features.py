@@ -126,7 +126,7 @@ def labelled_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str
     table = rows.select("_id", "_text", "_label").mapInArrow(run, f"id {kind}, label int, at array<int>, value array<float>").toArrow()
     ids = table["id"].to_pylist()
     order = sorted(range(table.num_rows), key=lambda i: ids[i])
-    table = table.take(order)
+    table = table.take(pa.array(order, pa.int64()))
     return [dict(zip(a, v)) for a, v in zip(table["at"].to_pylist(), table["value"].to_pylist())], np.array(table["label"].to_pylist(), "int64")
 
 
