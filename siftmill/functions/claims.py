@@ -15,13 +15,12 @@ def claims(text: Column) -> Column:
     both = F.arrays_zip(F.regexp_extract_all(text, F.lit(CLAIM), 1).alias("n"), F.regexp_extract_all(text, F.lit(CLAIM), 2).alias("s"))
 
     def claim(x: Column) -> Column:
-        suffix = F.replace(F.upper(F.coalesce(x[_names[1]], F.lit(""))), F.lit("%"), F.lit(""))
+        suffix = F.replace(F.upper(F.coalesce(x["s"], F.lit(""))), F.lit("%"), F.lit(""))
         scale = F.lit(1.0)
         for name, times in SCALES.items():
             scale = F.when(suffix == name, F.lit(times)).otherwise(scale)
-        return F.struct((F.replace(x[_names[0]], F.lit(","), F.lit("")).cast("double") * scale).alias("value"), suffix.alias("suffix"))
+        return F.struct((F.replace(x["n"], F.lit(","), F.lit("")).cast("double") * scale).alias("value"), suffix.alias("suffix"))
 
-    _names = ("0", "1")
     return F.transform(both, claim)
 
 
