@@ -54,17 +54,17 @@ def verified_claims(found: DataFrame, facts: DataFrame) -> DataFrame:
     band = lambda x: F.floor(x / 0.002).cast("long")
     log_band = lambda x: F.floor(F.log(F.abs(x)) / 0.05).cast("long")
     sign = lambda x: F.signum(x).cast("int")
+    zeros = f.where("fact = 0").select(F.lit("z").alias("k"), F.lit(0).alias("s"), F.lit(0).cast("long").alias("b"), "fact")
     exact = f.where(F.abs("fact") < 1e15).select(F.lit("e").alias("k"), F.lit(0).alias("s"), band(F.col("fact")).alias("b"), "fact")
     scaled = f.where("fact != 0").select(F.lit("r").alias("k"), sign(F.col("fact")).alias("s"), log_band(F.col("fact")).alias("b"), "fact")
     rows = found.withColumn("_row", F.struct(*found.columns))
     near = lambda b: F.array(*(b + i for i in (-1, 0, 1)))
     plain = rows.where("suffix = '' AND abs(value) < 1e15").select("_row", "value", F.lit("e").alias("k"), F.lit(0).alias("s"), F.explode(near(band(F.col("value")))).alias("b"))
     large = rows.where("suffix != '' AND value != 0").select("_row", "value", F.lit("r").alias("k"), sign(F.col("value")).alias("s"), F.explode(near(log_band(F.col("value")))).alias("b"))
+    none = rows.where("suffix != '' AND value = 0").select("_row", "value", F.lit("z").alias("k"), F.lit(0).alias("s"), F.lit(0).cast("long").alias("b"))
     same = F.when(F.col("k") == "e", F.abs(F.col("value") - F.col("fact")) <= 1e-3).otherwise(F.abs(F.col("value") - F.col("fact")) <= 0.02 * F.abs("fact"))
-    good = plain.union(large).join(exact.union(scaled), ["k", "s", "b"]).where(same).select("_row").distinct().withColumn("_good", F.lit(True))
-    joined = rows.join(good, "_row", "left")
-    zero = (F.col("suffix") != "") & (F.col("value") == 0) & F.lit(False)
-    return joined.select(*found.columns, (F.coalesce("_good", F.lit(False)) | zero).alias("verified"))
+    good = plain.union(large).union(none).join(exact.union(scaled).union(zeros), ["k", "s", "b"]).where(same).select("_row").distinct().withColumn("_good", F.lit(True))
+    return rows.join(good, "_row", "left").select(*found.columns, F.coalesce("_good", F.lit(False)).alias("verified"))
 
 
 def sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
