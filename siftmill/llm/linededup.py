@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftmill.llm.shared import stored
+from siftmill.llm.shared import bloom_split, bloom_table, stored
 
 KEY = ["doc", "version"]
 
@@ -111,10 +111,14 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     text. Rows that repeat wholly are one document and both stay. Other columns stay as they are.
     """
     gone = stored(repeated_lines(df, id_col, text_col, words))
-    drop = gone.groupBy(*KEY).agg(F.sort_array(F.collect_list("pos")).alias("_gone"))
+    drop = stored(gone.groupBy(*KEY).agg(F.sort_array(F.collect_list("pos")).alias("_gone")))
     text = F.col(text_col).cast("string")
-    rows = df.withColumns({"_doc": F.col(id_col), "_version": F.xxhash64(text), "_split": F.split(text, "\n")})
-    rows = rows.join(drop.toDF("_doc", "_version", "_gone"), ["_doc", "_version"], "left")
+    rows = df.withColumns({"_doc": F.col(id_col), "_version": F.xxhash64(text)}).withColumn("_item", F.xxhash64("_doc", "_version"))
+    # Only documents that may lose lines are shuffled to meet them.
+    bloom = stored(bloom_table(drop.select(F.xxhash64(*KEY).alias("item")), "item"))
+    may, never = bloom_split(rows, "_item", bloom)
+    may = may.join(drop.toDF("_doc", "_version", "_gone").hint("merge"), ["_doc", "_version"], "left").select(*rows.columns, "_gone")
+    rows = never.withColumn("_gone", F.lit(None).cast("array<int>")).union(may).withColumn("_split", F.split(text, "\n"))
     # The slices between deleted lines: work in proportion to the lines.
     ends = F.concat(F.col("_gone"), F.array(F.size("_split")))
     starts = F.concat(F.array(F.lit(0)), F.transform("_gone", lambda x: x + 1))

@@ -101,10 +101,25 @@ def bloom_table(items: DataFrame, item: str, blocks: int = BLOOM_BLOCKS) -> Data
     return bits.groupBy("block").agg(*(F.bit_or(f"bit{i}").alias(f"word{i}") for i in range(4)))
 
 
-def bloom_pass(df: DataFrame, item: str, bloom: DataFrame, blocks: int = BLOOM_BLOCKS) -> DataFrame:
-    """The rows of df whose hash `item` may be listed, with all of df's columns. Joins the filter's
-    bounded table by broadcast, so df isn't shuffled."""
+def bloom_split(df: DataFrame, item: str, bloom: DataFrame, blocks: int = BLOOM_BLOCKS) -> tuple[DataFrame, DataFrame]:
+    """df's rows whose hash `item` may be listed, and those whose hash isn't for sure. Joins the
+    filter's bounded table by broadcast, so df isn't shuffled."""
     bits = df.select("*", *(c.alias(f"_bloom_{n}") for c, n in zip(_bloom_bits(F.col(item), blocks), ("block", *"0123"))))
     own = bloom.select(F.col("block").alias("_bloom_block"), *(F.col(f"word{i}").alias(f"_bloom_word{i}") for i in range(4)))
     held = [F.col(f"_bloom_word{i}").bitwiseAND(F.col(f"_bloom_{i}")) != 0 for i in range(4)]
-    return bits.join(F.broadcast(own), "_bloom_block").where(held[0] & held[1] & held[2] & held[3]).select(*df.columns)
+    listed = held[0] & held[1] & held[2] & held[3]
+    never = bits.join(F.broadcast(own), "_bloom_block", "left").where(~F.coalesce(listed, F.lit(False)))
+    return bits.join(F.broadcast(own), "_bloom_block").where(listed).select(*df.columns), never.select(*df.columns)
+
+
+def bloom_pass(df: DataFrame, item: str, bloom: DataFrame, blocks: int = BLOOM_BLOCKS) -> DataFrame:
+    """The rows of df whose hash `item` may be listed."""
+    return bloom_split(df, item, bloom, blocks)[0]
+
+
+def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key isn't in gone (key), which is stored or cut; null keys stay. Only rows
+    whose key may be in gone are shuffled, whatever the sizes."""
+    bloom = stored(bloom_table(gone.select(F.xxhash64(key).alias("item")), "item"))
+    may, never = bloom_split(df.withColumn("_item", F.xxhash64(key)), "_item", bloom)
+    return never.union(may.join(gone.select(key).hint("merge"), key, "left_anti").select(*may.columns)).drop("_item")
