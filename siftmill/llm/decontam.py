@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.shared import bloom_pass, bloom_table, checked_broadcast, stored
+from siftmill.llm.shared import bloom_pass, bloom_table, checked_broadcast, stored, without
 
 #: Tokens that a mask spans, and the positions modulo 3 that each mask ignores.
 SPAN, IGNORED = 12, (1, 2, 0)
@@ -64,7 +64,10 @@ def overlaps(
     lines = stored(hits.distinct().groupBy("_doc", "_version").agg(F.collect_list(F.struct("_item", "_size", "_shift")).alias("_lines")))
 
     # Each line's part of the document: at the item's place, cut where the document begins or ends.
-    texts = docs.join(checked_broadcast(lines, 20_000), ["_doc", "_version"]).select("_doc", "_lines", tokens(F.col("_text")).alias("_words"))
+    # Of the documents, only those that may have hits are shuffled to meet them.
+    at = bloom_table(lines.select(F.xxhash64("_doc", "_version").alias("item")), "item")
+    may = bloom_pass(docs.withColumn("_hash", F.xxhash64("_doc", "_version")), "_hash", stored(at))
+    texts = may.join(lines.hint("merge"), ["_doc", "_version"]).select("_doc", "_lines", tokens(F.col("_text")).alias("_words"))
     part = lambda x: F.slice("_words", F.greatest(x["_shift"], F.lit(0)) + 1, x["_size"] + F.least(x["_shift"], F.lit(0)))
     each = texts.select("_doc", F.explode(F.transform("_lines", lambda x: F.struct(x["_item"].alias("_item"), x["_shift"].alias("_shift"), part(x).alias("_part")))).alias("_l"))
     both = each.select("_doc", "_l.*").distinct().join(items, "_item")
@@ -91,4 +94,4 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
     """The rows of df without an overlap; rows with a null id or text stay."""
     gone = stored(overlaps(df, benchmark, id_col, **more).select(id_col).distinct())
-    return df.join(checked_broadcast(gone), id_col, "left_anti")
+    return without(df, gone, id_col)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftmill.llm.shared import checked_broadcast, connected_components, cut, stored
+from siftmill.llm.shared import checked_broadcast, connected_components, cut, stored, without
 
 #: Shingles hashed and counted at a time, so that a very long text needs little memory.
 BLOCK = 1 << 16
@@ -133,4 +133,4 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     repeat this id stay too). Rows with a null id stay. All columns stay as they are."""
     found = near_duplicates(df, id_col, text_col, words, seed)
     gone = stored(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
-    return df.join(checked_broadcast(gone), id_col, "left_anti")
+    return without(df, gone, id_col)
