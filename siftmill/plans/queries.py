@@ -473,10 +473,25 @@ def doc_map_reduce_gate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", D.needs_map_reduce(F.col("text")).alias("map_reduce"))
 
 
-@query()
+@query(_SECTIONS + r"""
+, pp AS (SELECT doc_id, section, heading, generate_subscripts(b, 1) AS p, trim(unnest(b), ' ' || chr(9) || chr(10)) AS para FROM (SELECT doc_id, section, heading, string_split_regex(text, '\n\s*\n') AS b FROM x)),
+pw AS (SELECT *, regexp_extract_all(para, '\S+') AS listed FROM pp WHERE para != ''),
+ps AS (SELECT doc_id, section, heading, p, unnest(CASE WHEN len(listed) <= 1000 THEN [0] ELSE range(0, len(listed), 800) END) AS s0, para, listed FROM pw),
+pf AS (SELECT doc_id, heading, '## ' || heading || chr(10) || CASE WHEN len(listed) <= 1000 THEN para ELSE array_to_string(listed[s0 + 1:s0 + 800], ' ') END AS text, row_number() OVER (PARTITION BY doc_id ORDER BY section, p, s0) AS k FROM ps),
+fr AS (SELECT *, len(regexp_extract_all(text, '\S+')) AS words FROM pf),
+ch AS (
+    SELECT doc_id, k, 0 AS chunk, words, [heading] AS headings, text FROM fr WHERE k = 1
+    UNION ALL
+    SELECT f.doc_id, f.k, CASE WHEN c.words >= 500 AND c.words + f.words > 1000 THEN c.chunk + 1 ELSE c.chunk END, CASE WHEN c.words >= 500 AND c.words + f.words > 1000 THEN f.words ELSE c.words + f.words END,
+           CASE WHEN c.words >= 500 AND c.words + f.words > 1000 THEN [f.heading] WHEN list_contains(c.headings, f.heading) THEN c.headings ELSE list_append(c.headings, f.heading) END,
+           CASE WHEN c.words >= 500 AND c.words + f.words > 1000 THEN f.text ELSE c.text || chr(10) || chr(10) || f.text END
+    FROM ch c JOIN fr f ON f.doc_id = c.doc_id AND f.k = c.k + 1
+)
+SELECT doc_id, chunk, words, array_to_string(headings, ' | ') AS headings, md5(text) AS text_md5 FROM ch QUALIFY row_number() OVER (PARTITION BY doc_id, chunk ORDER BY k DESC) = 1
+""")
 def doc_chunks(spark, sf_dir):
     found = D.chunks(D.document_sections(D.cleaned(table(spark, sf_dir, "documents"), "doc_id", "text")))
-    return found.select("doc_id", "chunk", "words", "headings", "text")
+    return found.select("doc_id", "chunk", "words", F.array_join("headings", " | ").alias("headings"), F.md5("text").alias("text_md5"))
 
 
 @query()
