@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.llm.pieces import coder, ragged, splitter
-from siftmill.llm.shared import stored
 
 #: Characters of text that make up a block, and at most (but for one longer text) 1.25 times that.
-BLOCK = 4_000_000
+BLOCK = 8_000_000
+_BLOCKS = "block long, bucket int, data array<binary>, ids array<long>"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -57,14 +57,26 @@ class Vocabulary:
         return cls.loaded[path]
 
 
+def _squeezed(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _restored(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _pack(words: list[bytes]) -> bytes:
     """Byte strings as one: their lengths, then themselves, compressed."""
     sizes = np.fromiter(map(len, words), "<u4", len(words))
-    return zlib.compress(np.uint32(len(words)).tobytes() + sizes.tobytes() + b"".join(words), 1)
+    return _squeezed(np.uint32(len(words)).tobytes() + sizes.tobytes() + b"".join(words))
 
 
 def _unpack(data: bytes) -> list[bytes]:
-    raw = zlib.decompress(data)
+    raw = _restored(data)
     n = int(np.frombuffer(raw, "<u4", 1)[0])
     ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype="int64") + 4 + 4 * n
     starts = np.concatenate([[4 + 4 * n], ends[:-1]]) if n else ends
@@ -72,23 +84,36 @@ def _unpack(data: bytes) -> list[bytes]:
 
 
 def _numbers(values: np.ndarray) -> bytes:
-    """Whole numbers below 2^32, the low and the high halves apart so that they compress."""
-    v = values.astype("<u4")
-    low, high = (v & 0xFFFF).astype("<u2"), (v >> 16).astype("<u2")
-    return zlib.compress(np.uint32(len(v)).tobytes() + (low & 0xFF).astype("u1").tobytes() + (low >> 8).astype("u1").tobytes() + high.tobytes(), 1)
+    """Whole numbers below 2^31: first how many bits each has, then by number of bits what follows the
+    leading one, byte by byte. Frequent small numbers take few bits that way."""
+    v = values.astype("int64") + 1
+    bits = (np.frexp(v.astype("float64"))[1] - 1).astype("u1")
+    parts = [bits.tobytes()]
+    for k in range(1, int(bits.max(initial=0)) + 1):
+        rest = v[bits == k] - (1 << k)
+        parts += [(rest >> shift & 255).astype("u1").tobytes() for shift in range(0, k, 8)]
+    return _squeezed(np.uint32(len(v)).tobytes() + b"".join(parts))
 
 
 def _numbers_of(data: bytes) -> np.ndarray:
-    raw = zlib.decompress(data)
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    a, b = np.frombuffer(raw, "u1", n, 4), np.frombuffer(raw, "u1", n, 4 + n)
-    return a.astype("int64") | b.astype("int64") << 8 | np.frombuffer(raw, "<u2", n, 4 + 2 * n).astype("int64") << 16
+    raw = np.frombuffer(_restored(data), "u1")
+    n = int(raw[:4].view("<u4")[0])
+    bits, at = raw[4 : 4 + n], 4 + n
+    out = np.zeros(n, "int64")
+    for k in range(1, int(bits.max(initial=0)) + 1):
+        here = np.flatnonzero(bits == k)
+        rest = np.full(len(here), (1 << k) - 1, "int64")
+        for shift in range(0, k, 8):
+            rest += raw[at : at + len(here)].astype("int64") << shift
+            at += len(here)
+        out[here] = rest
+    return out
 
 
 def split_blocks(df: DataFrame, id_col: str, text_col: str, pattern: str, buckets: int) -> DataFrame:
-    """(block, bucket, data, ids) of df's texts: for each block of documents a row with bucket -1 (data:
-    the codes of all words in order, and each document's number of words; ids: the documents) and a
-    row for each bucket (data: its distinct words in the order of their codes)."""
+    """(block, bucket, data, ids) of df's texts: for each block of documents a row with bucket -1 (data: the
+    codes of all words in order, each document's number of words, and the bucket of each code; ids:
+    the documents) and a row for each bucket (data: its distinct words in the order of codes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matches, task = splitter(pattern), TaskContext.get().partitionId()
@@ -96,7 +121,7 @@ def split_blocks(df: DataFrame, id_col: str, text_col: str, pattern: str, bucket
             yield _block_rows((task << 32) + n, ids, texts, matches, buckets)
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "block long, bucket int, data array<binary>, ids array<long>")
+    return rows.mapInArrow(run, _BLOCKS)
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
@@ -141,17 +166,20 @@ def _block_rows(block: int, ids: list, texts: list[str], matches: Callable, buck
         else:
             found += [np.concatenate([np.array([words[w] for w in matches(first)], "int64"), flat[ragged(starts[at], sizes[at])]])]
     codes = np.concatenate(found)
-    # Words are numbered anew by bucket, so that the buckets' answers in order are the codes' ids.
+    # Frequent words get small codes, which compress well; words of one count are in order of spelling.
+    # A bucket's words are listed in the order of their codes: each code's bucket tells where.
     spelt = [w.encode() for w in words]
-    bucket = np.fromiter((zlib.crc32(w) % buckets for w in spelt), "int64", len(spelt))
-    order = np.argsort(bucket, kind="stable")
+    counts = np.bincount(codes, minlength=len(spelt)).tolist()
+    order = sorted(range(len(spelt)), key=lambda i: (-counts[i], spelt[i]))
     place = np.empty(len(order), "int64")
     place[order] = np.arange(len(order))
-    out = [(block, -1, [_numbers(place[codes]), _numbers(np.fromiter(map(len, found), "int64", len(found)))], ids)]
-    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+    bucket = np.fromiter((zlib.crc32(spelt[i]) % buckets for i in order), "int64", len(order))
+    out = [(block, -1, [_numbers(place[codes]), _numbers(np.fromiter(map(len, found), "int64", len(found))), _numbers(bucket)], ids)]
+    by_bucket = np.argsort(bucket, kind="stable")
+    bounds = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1)).tolist()
     for b in range(buckets):
         if bounds[b + 1] > bounds[b]:
-            out.append((block, b, [_pack([spelt[i] for i in order[bounds[b] : bounds[b + 1]].tolist()])], None))
+            out.append((block, b, [_pack([spelt[order[i]] for i in by_bucket[bounds[b] : bounds[b + 1]].tolist()])], None))
     columns = list(zip(*out))
     return pa.RecordBatch.from_arrays(
         [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.list_(pa.binary())), pa.array(columns[3], pa.list_(pa.int64()))],
@@ -159,19 +187,23 @@ def _block_rows(block: int, ids: list, texts: list[str], matches: Callable, buck
     )
 
 
-def encode_words(requests: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(block, bucket, data): for each request (block, bucket, data: words), the ids of its words, in
-    order. A bucket's requests come together, and each of their distinct words is encoded once."""
+def encode_words(rows: DataFrame, path: str, pattern: str) -> DataFrame:
+    """rows (block, bucket, data, ids) with the words of each bucket as their ids, in order. A bucket's
+    rows come together, and each of their distinct words is encoded once; the rows of documents
+    (bucket -1), dealt by block, go through as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Vocabulary.of(path, pattern).encoding.encode_ordinary
         now, held = None, {}
         for batch in batches:
-            for block, bucket, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for i, bucket in enumerate(batch.column(1).to_pylist()):
+                if bucket < 0:
+                    yield batch.slice(i, 1).select(["block", "bucket", "data", "ids"])
+                    continue
                 if bucket != now:
                     now, held = bucket, {}
                 found = []
-                for word in _unpack(data[0]):
+                for word in _unpack(batch.column(2)[i].as_py()[0]):
                     ids = held.get(word)
                     if ids is None:
                         ids = held[word] = tuple(encode(word.decode()))
@@ -179,10 +211,10 @@ def encode_words(requests: DataFrame, path: str, pattern: str) -> DataFrame:
                 sizes = np.fromiter(map(len, found), "int64", len(found))
                 flat = np.fromiter((k for ids in found for k in ids), "int64", int(sizes.sum()))
                 answer = pa.array([[_numbers(sizes), _numbers(flat)]], pa.list_(pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket], pa.int32()), answer], ["block", "bucket", "data"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([bucket], pa.int32()), answer, pa.array([None], pa.list_(pa.int64()))], ["block", "bucket", "data", "ids"])
 
-    dealt = requests.select("block", "bucket", "data").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "block long, bucket int, data array<binary>")
+    dealt = F.when(F.col("bucket") < 0, F.col("block")).otherwise(-1 - F.col("bucket").cast("long"))
+    return rows.withColumn("dealt", dealt).repartition("dealt").sortWithinPartitions("dealt").drop("dealt").mapInArrow(run, _BLOCKS)
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
@@ -191,13 +223,11 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     keep it; repeated rows each keep a row.
 
     path: a rank file that every machine has, or that SparkContext.addFile has sent; buckets: into
-    how many parts the distinct words of all texts are dealt (by default 4 times the session's
+    how many parts the distinct words of all texts are dealt (by default the session's
     shuffle partitions); one part's distinct words must fit in a task's memory.
     """
-    buckets = buckets or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = split_blocks(df, id_col, text_col, pattern, buckets)
-    blocks = stored(blocks.withColumn("words", F.col("bucket") >= 0), "words")
-    answers = encode_words(blocks.where("words"), path, pattern)
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = encode_words(split_blocks(df, id_col, text_col, pattern, buckets), path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -206,24 +236,27 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
                 if bucket < 0:
                     if held:
                         yield from _assembled(*held)
-                    held = [_numbers_of(data[0]), _numbers_of(data[1]), ids, []]
+                    held = [[_numbers_of(x) for x in data], ids, []]
                 else:
-                    held[3].append([_numbers_of(x) for x in data])
+                    held[2].append([_numbers_of(x) for x in data])
         if held:
             yield from _assembled(*held)
 
-    texts = blocks.where("NOT words").select("block", "bucket", "data", "ids")
-    all_rows = texts.union(answers.withColumn("ids", F.lit(None).cast("array<long>")))
-    dealt = all_rows.repartition("block").sortWithinPartitions("block", "bucket")
+    dealt = blocks.repartition("block").sortWithinPartitions("block", "bucket")
     return dealt.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
-def _assembled(codes: np.ndarray, words: np.ndarray, docs: list, answers: list) -> Iterator[pa.RecordBatch]:
+def _assembled(packed: list, docs: list, answers: list) -> Iterator[pa.RecordBatch]:
     """Batches of (id, ids) of a block, put together by position."""
+    codes, words, bucket = packed
+    # Answers come by bucket, and in a bucket by code; put them in the order of codes.
+    order = np.empty(len(bucket), "int64")
+    order[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
     none = np.zeros(0, "int64")
     sizes = np.concatenate([a[0] for a in answers] or [none])
     flat = np.concatenate([a[1] for a in answers] or [none]).astype("int32")
-    starts, at = np.cumsum(sizes) - sizes, 0
+    starts, at = (np.cumsum(sizes) - sizes)[order], 0
+    sizes = sizes[order]
     for low in range(0, len(docs), 256):
         count = words[low : low + 256]
         own = codes[at : at + int(count.sum())]
