@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftmill.functions.claims import claims, fact_variants, is_verified
+from siftmill.functions.claims import claims, fact_variants
 from siftmill.functions.text import token_estimate
 
 #: Budgets (fixed values): context less reply, and the least that is left.
@@ -74,24 +74,20 @@ def sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def guarded_items(items: DataFrame, facts: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
     """items with claims_found, claims_verified and kept: an item stays if all its claims are verified;
-    an item without numbers always does. facts: few enough for one array (checked by the caller)."""
-    known = F.broadcast(facts.agg(F.sort_array(F.collect_set("fact")).alias("_facts")))
-    found = claims(F.col(text_col))
-    each = items.crossJoin(known).withColumn("_claims", F.transform(found, lambda c: is_verified(c, F.col("_facts"))))  # one row
-    n, good = F.size("_claims"), F.size(F.filter("_claims", lambda v: v))
-    return each.select(*items.columns, n.alias("claims_found"), good.alias("claims_verified"), (n == good).alias("kept"))
+    an item without numbers always does. keys name an item."""
+    at = F.struct(*keys)
+    checked = verified_claims(extracted_claims(items.select(at.alias("at"), F.col(text_col).alias("part")), "at", "part"), facts)
+    per = checked.groupBy("at").agg(F.count("*").alias("claims_found"), F.count_if("verified").alias("claims_verified"))
+    rows = items.withColumn("at", at).join(per, "at", "left").fillna(0, ["claims_found", "claims_verified"])
+    return rows.select(*items.columns, "claims_found", "claims_verified", (F.col("claims_found") == F.col("claims_verified")).alias("kept"))
 
 
 def guarded_texts(df: DataFrame, facts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_col, text, claims_found, claims_verified, dropped, status): texts without the sentences that
     state unverified numbers. Status: skipped without facts; pass without claims; fallback if under
     half of the claims hold or nothing is left; else guarded."""
-    parts = sentences(df, id_col, text_col).withColumnRenamed("text", "part")
-    found = extracted_claims(parts.select(F.struct(id_col, "sentence").alias("at"), "part"), "at", "part")
-    checked = verified_claims(found.select("at", "pos", "value", "suffix"), facts)
-    per = checked.groupBy("at").agg(F.count("*").alias("n"), F.count_if("verified").alias("good"))
-    rows = parts.join(per, (parts[id_col] == F.col(f"at.{id_col}")) & (parts["sentence"] == F.col("at.sentence")), "left")
-    n, good = F.coalesce("n", F.lit(0)), F.coalesce("good", F.lit(0))
+    rows = guarded_items(sentences(df, id_col, text_col).withColumnRenamed("text", "part"), facts, id_col, "sentence", text_col="part")
+    n, good = F.col("claims_found"), F.col("claims_verified")
     keep = F.when(n == good, F.struct("sentence", "part"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(keep)), lambda x: x["part"]), " ")
     lost = F.array_sort(F.collect_list(F.when(n != good, F.struct("sentence", F.left("part", F.lit(PREVIEW)).alias("part")))))

@@ -15,7 +15,10 @@ from siftmill.operators import guard as G
 from siftmill.operators import nested as N
 from siftmill.operators import samples as S
 from siftmill.operators import semantics as M
+from siftmill.operators import replies as P
 from siftmill.sources import router as R
+from siftmill.sources import tables as B
+from siftmill.streaming import profile as L
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -564,3 +567,59 @@ def guard_sentences(spark, sf_dir):
     return found.select("doc_id", "text", "claims_found", "claims_verified", "status")
 
 
+
+
+# Readers, streams, replies
+
+
+@query(_stats("orders", ORDERS))
+def csv_profile_roundtrip(spark, sf_dir):
+    """orders as delimited text and back: the profile is that of the table."""
+    lines = table(spark, sf_dir, "orders").select(F.concat_ws(";", "o_orderkey", "o_custkey", "o_totalprice").alias("value"))
+    read = B.read_delimited(spark, B.staged(lines), sep=";", schema="o_orderkey long, o_custkey long, o_totalprice double", header=False)
+    return _shown_stats(read)
+
+
+@query(_stats("events", ["event_id", "user_id", "value"]))
+def ndjson_profile(spark, sf_dir):
+    lines = table(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", "user_id", "value")).alias("value"))
+    return _shown_stats(B.read_json_records(spark, B.staged(lines), "event_id long, user_id long, value double"))
+
+
+def _batches(spark, sf_dir):
+    """events' partial aggregates by day, as a stream leaves them."""
+    df = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_id", "user_id", "event_type", F.expr("IF(value < 10, NULL, value)").alias("value"), F.lit(7).alias("seven"))
+    return L.partial_profile(df, "day")
+
+
+_BATCHED = """
+WITH e AS (SELECT event_id, user_id, CASE WHEN value < 10 THEN NULL ELSE value END AS value FROM events),
+v AS (SELECT 'event_id' AS "column", CAST(event_id AS DOUBLE) AS x FROM e UNION ALL SELECT 'user_id', user_id FROM e UNION ALL SELECT 'value', value FROM e)
+SELECT "column", count(*) AS rows, count(*) - count(x) AS missing, min(x) AS min, max(x) AS max, round(avg(x), 6) AS mean, round(stddev_samp(x), 4) AS std FROM v GROUP BY "column"
+"""
+
+
+@query(_BATCHED)
+def stream_incremental_profile(spark, sf_dir):
+    found = L.merged_profile(_batches(spark, sf_dir)).where("column IN ('event_id', 'user_id', 'value')")
+    return found.select("column", "rows", "missing", "min", "max", "mean", F.round("std", 4).alias("std"))
+
+
+@query("SELECT 'seven' AS \"column\"")
+def stream_constant_cols(spark, sf_dir):
+    return L.merged_profile(_batches(spark, sf_dir)).where("is_constant").select("column")
+
+
+@query("SELECT count(*) - count(DISTINCT (event_type, user_id)) AS duplicate_rows FROM events")
+def stream_dup_count(spark, sf_dir):
+    return L.duplicates_so_far(table(spark, sf_dir, "events").select("event_type", "user_id")).agg((F.sum("n") - F.count("*")).alias("duplicate_rows"))
+
+
+@query("""
+SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role ELSE 'Data Summary' END AS title, CASE WHEN turn % 2 = 0 THEN left(text, 40) ELSE left(trim(text, ' '), 500) END AS executive_summary, turn % 2 = 0 AS strict FROM conversations
+""")
+def reply_parse(spark, sf_dir):
+    """conversations as replies: every other turn wrapped as fenced JSON."""
+    wrapped = F.concat(F.lit("Sure:\n```json\n"), F.to_json(F.struct(F.col("role").alias("title"), F.left("text", F.lit(40)).alias("executive_summary"))), F.lit("\n```"))
+    df = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("at"), F.when(F.col("turn") % 2 == 0, wrapped).otherwise(F.col("text")).alias("reply"))
+    return P.parsed_replies(df, "at", "reply").select("at.conv_id", "at.turn", "title", "executive_summary", "strict")

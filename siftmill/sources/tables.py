@@ -23,14 +23,14 @@ def header_delimiter(line: str) -> str:
     return next((d for d in HEADER_DELIMITERS if d in line), ",")
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = "auto", schema: str | None = None, multi_line: bool = False) -> DataFrame:
-    """A table with a header; blank cells are null, blank-named columns go, names lose outer blanks.
+def read_delimited(spark: SparkSession, path: str, sep: str = "auto", schema: str | None = None, multi_line: bool = False, header: bool = True) -> DataFrame:
+    """A table with a header (or, without one, with a schema); blank cells are null, blank-named columns go, names lose outer blanks.
     sep: a delimiter, `tab`, or `auto`, which looks at the first line. Without a schema, types are
     inferred in a pass of its own."""
     if sep == "auto":
         first = spark.read.text(path).where("trim(value) != ''").limit(1).first()
         sep = header_delimiter(first.value if first else "")
-    options = {"header": True, "sep": "\t" if sep == "tab" else sep, "multiLine": multi_line, "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+    options = {"header": header, "sep": "\t" if sep == "tab" else sep, "multiLine": multi_line, "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
     reader = spark.read.options(**options)
     df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     return named(df)
@@ -42,11 +42,11 @@ def delimited_from_lines(lines: DataFrame, sep: str, inferred: bool = True) -> D
 
 
 def _csv(lines: DataFrame, sep: str, inferred: bool) -> DataFrame:
-    path = _stage(lines)
+    path = staged(lines)
     return lines.sparkSession.read.csv(path, header=True, sep=sep, inferSchema=inferred, escape='"')
 
 
-def _stage(lines: DataFrame) -> str:
+def staged(lines: DataFrame) -> str:
     """Lines as text files where every executor finds them."""
     base = lines.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siftmill-")
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -17,19 +17,20 @@ from siftmill.operators.columns import numeric_columns, quoted
 SKETCH = 400  # k of the sketches: ranks to about half a percent
 
 
-def partial_profile(df: DataFrame) -> DataFrame:
+def partial_profile(df: DataFrame, *by: str) -> DataFrame:
     """(column, numeric, rows, missing, low, high, total, squares, least, most, sketch): one batch's
-    aggregates for each column; low and high are the least and the greatest value as text."""
+    aggregates for each column; low and high are the least and the greatest value as text. by: columns
+    that number the batches of a table, which aren't profiled themselves."""
     numeric = numeric_columns(df)
     each = [
         F.struct(
             F.lit(i).alias("position"), F.lit(f.name).alias("column"), F.lit(f.name in numeric).alias("numeric"),
             quoted(f.name).cast("string").alias("text"), (quoted(f.name).cast("double") if f.name in numeric else F.lit(None).cast("double")).alias("value"),
         )
-        for i, f in enumerate(df.schema) if not isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType, T.BinaryType, T.VariantType))
+        for i, f in enumerate(df.schema) if f.name not in by and not isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType, T.BinaryType, T.VariantType))
     ]
-    rows = df.select(F.explode(F.array(*each)).alias("r")).select("r.*")
-    return rows.groupBy("position", "column", "numeric").agg(
+    rows = df.select(*by, F.explode(F.array(*each)).alias("r")).select(*by, "r.*")
+    return rows.groupBy(*by, "position", "column", "numeric").agg(
         F.count("*").alias("rows"), F.count_if(F.col("text").isNull()).alias("missing"), F.min("text").alias("low"), F.max("text").alias("high"),
         F.sum("value").alias("total"), F.sum(F.col("value") * F.col("value")).alias("squares"), F.min("value").alias("least"), F.max("value").alias("most"),
         F.sum(F.length("text")).alias("chars"), F.kll_sketch_agg_double("value", F.lit(SKETCH)).alias("sketch"),

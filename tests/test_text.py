@@ -11,6 +11,7 @@ from siftmill.functions import text as T
 from siftmill.operators import documents as D
 from siftmill.operators import guard as G
 from siftmill.operators import nested as N
+from siftmill.operators import replies as P
 from siftmill.operators import samples as S
 from siftmill.operators import semantics as M
 from siftmill.sources import router as R
@@ -212,3 +213,17 @@ def test_samples(spark):
     assert S.random_rows(df.repartition(5), "k").collect() == S.random_rows(df, "k").collect()
     sample = S.representative_sample(df.limit(3), "k").collect()
     assert len(sample) == 9 and all("…" in r.row for r in sample)
+
+
+def test_replies(spark):
+    texts = ['x ```json\n{"title": "T", "executive_summary": "S", "key_findings": ["a", "b"], "calculated_metrics": {"n": 1}}\n``` y', '{"title": "only"}', "no JSON " * 100, "{broken", None, ""]
+    rows = {r.id: r for r in P.parsed_replies(spark.createDataFrame(list(enumerate(texts)), "id long, reply string"), "id", "reply").collect()}
+    assert (rows[0].strict, rows[0].title, rows[0].key_findings, rows[0].calculated_metrics, rows[0].recommendations) == (True, "T", ["a", "b"], {"n": "1"}, [])
+    assert (rows[1].strict, rows[1].title) == (False, "only") and len(rows[2].executive_summary) == 500
+    assert [rows[i].title for i in (2, 3, 4, 5)] == ["Data Summary"] * 4 and rows[4].executive_summary == ""
+
+
+def test_evidence(spark):
+    df = spark.sql("SELECT array('intro', 'Methods', 'zzz', '') AS s, array('Introduction', 'METHOD') AS h, array('5 users', 'many') AS n, array('Spark', 'R', 'Hive') AS t, 'we use spark and r' AS x")
+    r = df.select(P.supported(F.col("s"), F.col("h")).alias("s"), P.with_digits(F.col("n")).alias("n"), P.mentioned(F.col("t"), F.col("x")).alias("t")).first()
+    assert (r.s, r.n, r.t) == (["intro", "Methods"], ["5 users"], ["Spark"])
