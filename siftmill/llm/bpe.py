@@ -14,6 +14,7 @@ import base64
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -37,25 +38,45 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 class Vocabulary:
     """A rank file as the executors use it: loaded once a process, from a path on every machine or
-    from a file added to the job with SparkContext.addFile."""
+    from a file added to the job with SparkContext.addFile. Only workers that encode build the encoder."""
 
     loaded: dict[str, "Vocabulary"] = {}
 
-    def __init__(self, path: str, pattern: str):
-        import tiktoken
-
-        ranks = read_ranks(path)
-        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.token_bytes = [b""] * (max(ranks.values()) + 1)
-        for token, k in ranks.items():
-            self.token_bytes[k] = token
+    def __init__(self, path: str):
+        self.path = path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+        self.encoders: dict = {}
 
     @classmethod
-    def of(cls, path: str, pattern: str) -> "Vocabulary":
+    def of(cls, path: str) -> "Vocabulary":
         if path not in cls.loaded:
-            cls.loaded[path] = cls(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), pattern)
+            cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
+    def encoder(self, pattern: str) -> Callable[[str], list[int]]:
+        if pattern not in self.encoders:
+            import tiktoken
+
+            encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(self.path), special_tokens={})
+            self.encoders[pattern] = encoding.encode_ordinary
+        return self.encoders[pattern]
+
+    @cached_property
+    def token_bytes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, sizes, flat): the bytes of each id; an id without a token has size -1."""
+        ranks = read_ranks(self.path)
+        by_id = dict(zip(ranks.values(), ranks))
+        tokens = [by_id.get(k) for k in range(max(by_id, default=-1) + 1)]
+        flat = np.frombuffer(b"".join(t or b"" for t in tokens), "u1")
+        sizes = np.array([-1 if t is None else len(t) for t in tokens], "int64")
+        return np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0), sizes, flat
+
+    def spelt(self, ids: np.ndarray) -> bytes:
+        """The bytes of the tokens, one after another."""
+        starts, sizes, flat = self.token_bytes
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(sizes) or sizes[ids].min() < 0):
+            raise ValueError("an id isn't in the vocabulary")
+        return flat[ragged(starts[ids], sizes[ids])].tobytes()
+
 
 def _squeezed(data: bytes) -> bytes:
     import zstandard
@@ -147,31 +168,32 @@ def _block_rows(block: int, ids: list, texts: list[str], matches: Callable, buck
     # cut there by str.split and the pattern sees each distinct cut once, with its space. A text
     # with more white space beside such a space goes to the pattern whole.
     cuts, words = coder(), coder()
-    of_cut: list[list[int]] = []
-    unsafe: list[bool] = []
     docs: list[tuple] = []
     for text in texts:
         first, *parts = text.split(" ")
-        docs.append((text, first, np.fromiter(map(cuts.__getitem__, parts), "int64", len(parts))))
-    for cut in cuts:
-        of_cut.append([words[w] for w in matches(" " + cut)])
-        unsafe.append(not cut or cut[0].isspace() or cut[-1].isspace())
-    sizes = np.fromiter(map(len, of_cut), "int64", len(of_cut))
-    flat = np.fromiter((w for ws in of_cut for w in ws), "int64", int(sizes.sum()))
-    starts, odd = np.cumsum(sizes) - sizes, np.array(unsafe, bool)
+        docs.append((first, np.fromiter(map(cuts.__getitem__, parts), "int32", len(parts))))
+    sizes, flat, odd = np.zeros(len(cuts), "int32"), [], np.zeros(len(cuts), bool)
+    for i, cut in enumerate(cuts):
+        before = len(flat)
+        flat += [words[w] for w in matches(" " + cut)]
+        sizes[i] = len(flat) - before
+        odd[i] = not cut or cut[0].isspace() or cut[-1].isspace()
+    del cuts
+    flat, starts = np.array(flat, "int32"), np.cumsum(sizes, dtype="int64") - sizes
     found = []
-    for text, first, at in docs:
+    for i, (first, at) in enumerate(docs):
         if len(at) and (not first or first[-1].isspace() or odd[at].any()):
-            found.append(np.fromiter((words[w] for w in matches(text)), "int64"))
+            found.append(np.fromiter((words[w] for w in matches(texts[i])), "int32"))
         else:
-            found += [np.concatenate([np.array([words[w] for w in matches(first)], "int64"), flat[ragged(starts[at], sizes[at])]])]
+            found.append(np.concatenate([np.array([words[w] for w in matches(first)], "int32"), flat[ragged(starts[at], sizes[at])]]))
+    del docs, flat
     codes = np.concatenate(found)
     # Frequent words get small codes, which compress well; words of one count are in order of spelling.
     # A bucket's words are listed in the order of their codes: each code's bucket tells where.
     spelt = [w.encode() for w in words]
     counts = np.bincount(codes, minlength=len(spelt)).tolist()
     order = sorted(range(len(spelt)), key=lambda i: (-counts[i], spelt[i]))
-    place = np.empty(len(order), "int64")
+    place = np.empty(len(order), "int32")
     place[order] = np.arange(len(order))
     bucket = np.fromiter((zlib.crc32(spelt[i]) % buckets for i in order), "int64", len(order))
     out = [(block, -1, [_numbers(place[codes]), _numbers(np.fromiter(map(len, found), "int64", len(found))), _numbers(bucket)], ids)]
@@ -193,7 +215,7 @@ def encode_words(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     (bucket -1), dealt by block, go through as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Vocabulary.of(path, pattern).encoding.encode_ordinary
+        encode = Vocabulary.of(path).encoder(pattern)
         now, held = None, {}
         for batch in batches:
             for i, bucket in enumerate(batch.column(1).to_pylist()):
@@ -223,31 +245,44 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     keep it; repeated rows each keep a row.
 
     path: a rank file that every machine has, or that SparkContext.addFile has sent; buckets: into
-    how many parts the distinct words of all texts are dealt (by default the session's
-    shuffle partitions); one part's distinct words must fit in a task's memory.
+    how many parts the distinct words of all texts are dealt (by default the session's shuffle
+    partitions); one part's distinct words must fit in a task's memory.
     """
+    return _encoded(df, path, pattern, id_col, text_col, buckets, False)
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+    """(id_col long, ids array<int>, decoded binary): encode's rows with the bytes that their ids decode
+    to, looked up where the ids are put together, so that these needn't go to another worker."""
+    return _encoded(df, path, pattern, id_col, text_col, buckets, True)
+
+
+def _encoded(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str, buckets: int | None, decoded: bool) -> DataFrame:
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = encode_words(split_blocks(df, id_col, text_col, pattern, buckets), path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelt = Vocabulary.of(path).spelt if decoded else None
         held: list = []
         for batch in batches:
-            for bucket, data, ids in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            for i, bucket in enumerate(batch.column(1).to_pylist()):
+                data = [_numbers_of(x) for x in batch.column(2)[i].as_py()]
                 if bucket < 0:
                     if held:
-                        yield from _assembled(*held)
-                    held = [[_numbers_of(x) for x in data], ids, []]
+                        yield from _assembled(*held, spelt)
+                    held = [data, batch.column(3)[i].as_py(), []]
                 else:
-                    held[2].append([_numbers_of(x) for x in data])
+                    held[2].append(data)
         if held:
-            yield from _assembled(*held)
+            yield from _assembled(*held, spelt)
 
     dealt = blocks.repartition("block").sortWithinPartitions("block", "bucket")
-    return dealt.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
+    schema = "id long, ids array<int>" + ", decoded binary" * decoded
+    return dealt.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def _assembled(packed: list, docs: list, answers: list) -> Iterator[pa.RecordBatch]:
-    """Batches of (id, ids) of a block, put together by position."""
+def _assembled(packed: list, docs: list, answers: list, spelt: Callable | None) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, ids) of a block, put together by position; with spelt, and of the ids' bytes."""
     codes, words, bucket = packed
     # Answers come by bucket, and in a bucket by code; put them in the order of codes.
     order = np.empty(len(bucket), "int64")
@@ -264,21 +299,21 @@ def _assembled(packed: list, docs: list, answers: list) -> Iterator[pa.RecordBat
         long = np.add.reduceat(np.append(sizes[own], 0), np.minimum(np.cumsum(count) - count, len(own))) * (count > 0)
         ends = np.concatenate([[0], np.cumsum(long)])
         values = flat[ragged(starts[own], sizes[own])]
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(docs[low : low + 256], pa.int64()), lists], ["id", "ids"])
+        columns = [pa.array(docs[low : low + 256], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))]
+        if spelt:
+            columns.append(pa.array([spelt(values[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary()))
+        yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"][: len(columns)])
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
+def decode(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """df with the column decoded (binary): the bytes of the tokens in ids_col, one after another; null
     where ids_col is null. Each task joins ids with the table of token bytes by position in it.
     Raises for an id that isn't in the vocabulary."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = Vocabulary.of(path, pattern).token_bytes
-        sizes = np.fromiter(map(len, table), "int64", len(table))
-        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(table), "u1")
+        spelt = Vocabulary.of(path).spelt
         for lists in batches:
-            yield pd.Series([None if ids is None else flat[ragged(starts[ids], sizes[ids])].tobytes() for ids in lists], dtype=object)
+            yield pd.Series([None if ids is None else spelt(ids) for ids in lists], dtype=object)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return df.withColumn("decoded", F.pandas_udf(run, "binary")(F.col(ids_col)))

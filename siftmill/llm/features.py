@@ -82,29 +82,37 @@ def _remember(cache: dict, word: str, k: int) -> int:
 class Rows:
     """Sparse rows: what numpy needs for products with and gradients of weights."""
 
-    def __init__(self, rows: Iterable[dict[int, float]]):
+    def __init__(self, sizes: np.ndarray, at: np.ndarray, values: np.ndarray):
+        """sizes: entries of each row; at, values: the entries' places and values."""
+        self.n, self.at, self.values = len(sizes), at, values
+        self.row = np.repeat(np.arange(self.n, dtype="int32"), sizes)
+
+    @classmethod
+    def of(cls, rows: Iterable[dict[int, float]]) -> "Rows":
         rows = list(rows)
         sizes = np.array([len(r) for r in rows], "int64")
-        self.at = np.fromiter((k for r in rows for k in r), "int64", sizes.sum())
-        self.values = np.fromiter((v for r in rows for v in r.values()), "float64", sizes.sum())
-        self.row = np.repeat(np.arange(len(rows)), sizes)
-        self.n = len(rows)
+        total = int(sizes.sum())
+        return cls(sizes, np.fromiter((k for r in rows for k in r), "int32", total), np.fromiter((v for r in rows for v in r.values()), "float32", total))
+
+    def pick(self, rows: np.ndarray) -> "Rows":
+        """The rows for which `rows` is True."""
+        kept = rows[self.row]
+        return Rows(np.bincount(self.row, minlength=self.n)[rows], self.at[kept], self.values[kept])
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.values * weights[self.at], self.n)
 
     def only(self, slots: np.ndarray) -> "Rows":
         """The rows without the places where `slots` is False."""
-        out, kept = object.__new__(Rows), slots[self.at]
-        out.at, out.values, out.row, out.n = self.at[kept], self.values[kept], self.row[kept], self.n
-        return out
+        kept = slots[self.at]
+        return Rows(np.bincount(self.row[kept], minlength=self.n), self.at[kept], self.values[kept])
 
     def back(self, each: np.ndarray, dims: int) -> np.ndarray:
         """The sum of the rows, each times its number."""
         return np.bincount(self.at, self.values * each[self.row], dims)
 
 
-def labelled_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, bound: int, features: Callable, dims: int) -> tuple[list[dict[int, float]], np.ndarray]:
+def labelled_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, bound: int, features: Callable, dims: int) -> tuple[Rows, np.ndarray]:
     """Features and labels of at most `bound` labelled rows, those whose ids' hashes are smallest (so
     the same rows in any order and partitioning). Of several rows of one id the least text counts.
     Only these rows' features reach the driver."""
@@ -125,9 +133,10 @@ def labelled_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str
     kind = df.schema[id_col].dataType.simpleString()
     table = rows.select("_id", "_text", "_label").mapInArrow(run, f"id {kind}, label int, at array<int>, value array<float>").toArrow()
     ids = table["id"].to_pylist()
-    order = sorted(range(table.num_rows), key=lambda i: ids[i])
-    table = table.take(pa.array(order, pa.int64()))
-    return [dict(zip(a, v)) for a, v in zip(table["at"].to_pylist(), table["value"].to_pylist())], np.array(table["label"].to_pylist(), "int64")
+    table = table.take(pa.array(sorted(range(len(ids)), key=lambda i: ids[i])[:bound], pa.int64())).combine_chunks()
+    sizes = table["at"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+    at, values = (table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("at", "value"))
+    return Rows(sizes.astype("int64"), at.astype("int32"), values.astype("float32")), table["label"].to_numpy().astype("int64")
 
 
 def adam(gradient: Callable[[np.ndarray], np.ndarray], start: np.ndarray, steps: int, rate: float) -> np.ndarray:
@@ -152,7 +161,7 @@ def score_column(spark: SparkSession, text: Column, features: Callable, dims: in
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache: dict = {}
         for texts in batches:
-            rows = Rows(features(t or "", dims, cache) for t in texts)
+            rows = Rows.of(features(t or "", dims, cache) for t in texts)
             yield pd.Series(finish(rows.dot(held.value)), dtype="float64")
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}

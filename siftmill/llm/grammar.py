@@ -23,7 +23,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +37,11 @@ from siftmill.llm.shared import checked_broadcast, shared_folder, stored
 #: Ids that make up a shard; a longer document is a shard of its own.
 SHARD = 1 << 20
 #: Rounds of replacements, pairs that one round replaces at most, occurrences that a pair must have.
-ROUNDS, PAIRS, LEAST = 7, 2048, 12
+ROUNDS, PAIRS, LEAST = 5, 4000, 12
 #: Pieces of text that a worker remembers at most.
 REMEMBERED = 400_000
 
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^a-zß-öø-ÿ0-9\n]+")
 
 
 class WordEncoder:
@@ -70,37 +70,61 @@ class WordEncoder:
         return cls.loaded[path]
 
     def forget(self) -> None:
-        self.pieces, self.words = coder(), {}
-        self.sizes, self.flat = np.zeros(0, "int64"), np.zeros(0, "int32")
-
-    def word(self, word: str) -> tuple[int, ...]:
-        found = self.words.get(word)
-        if found is None:
-            spelt = word if word.isascii() else "".join(self.characters[b] for b in word.encode())
-            found = self.words[word] = tuple(t.id for t in self.tokenizer.model.tokenize(spelt))
-        return found
-
-    def piece(self, piece: str) -> list[int]:
-        if not piece:
-            return []
-        if not is_plain(piece) or "<|" in piece:
-            return self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return [k for w in _WORDS.findall(piece.lower()) for k in self.word(w)]
+        """Pieces and words are numbered as they come; for each, its words or ids are a run of an array."""
+        self.pieces, self.piece_sizes, self.piece_words = coder(), np.zeros(0, "int64"), np.zeros(0, "int32")
+        if len(getattr(self, "words", ())) > 2 * REMEMBERED or not hasattr(self, "words"):
+            self.words, self.word_sizes, self.word_ids = coder(), np.zeros(0, "int64"), np.zeros(0, "int32")
+
+    def _learn_words(self) -> None:
+        """The ids of words that have a number but no ids yet; other pieces count as words of their own."""
+        found = []
+        tokenize = self.tokenizer.model.tokenize
+        for word in islice(self.words, len(self.word_sizes), None):
+            if word[0] == "\0":
+                found.append(self.tokenizer.encode(word[1:], add_special_tokens=False).ids)
+            else:
+                spelt = word if word.isascii() else "".join(self.characters[b] for b in word.encode())
+                found.append([t.id for t in tokenize(spelt)])
+        self.word_sizes = np.concatenate([self.word_sizes, np.fromiter(map(len, found), "int64", len(found))])
+        self.word_ids = np.concatenate([self.word_ids, np.fromiter(chain.from_iterable(found), "int32")])
+
+    def _learn_pieces(self) -> None:
+        """The words of pieces that have a number but no words yet: of all plain ones in one go."""
+        new = list(islice(self.pieces, len(self.piece_sizes), None))
+        plain = np.array([is_plain(p) and "<|" not in p for p in new], bool)
+        parts = _WORDS.findall("\n".join([p for p, good in zip(new, plain) if good]).lower())
+        codes = np.fromiter(map(self.words.__getitem__, parts), "int64", len(parts))
+        ends = np.flatnonzero(codes == self.words["\n"])
+        sizes = np.zeros(len(new), "int64")
+        if plain.any():
+            bounds = np.concatenate([[-1], ends, [len(codes)]])
+            sizes[plain] = np.diff(bounds) - 1
+        # Other pieces are one "word" each, which the library gets whole; an empty one is none.
+        sizes[[i for i, p in enumerate(new) if p and not plain[i]]] = 1
+        inside = np.repeat(plain, sizes)
+        words = np.zeros(len(inside), "int64")
+        words[inside] = np.delete(codes, ends)
+        words[~inside] = [self.words["\0" + p] for p, good in zip(new, plain) if p and not good]
+        self.piece_sizes = np.concatenate([self.piece_sizes, sizes])
+        self.piece_words = np.concatenate([self.piece_words, words.astype("int32")])
 
     def encode(self, texts: list[str], end: int | None) -> list[np.ndarray]:
         """The ids of each text, with `end` behind them."""
         if len(self.pieces) > REMEMBERED:
             self.forget()
-        codes = []
-        for text in texts:
-            parts = text.replace("\n", " ").replace("\t", " ").split(" ")
-            codes.append(np.fromiter(map(self.pieces.__getitem__, parts), "int64", len(parts)))
-        new = [self.piece(p) for p in islice(self.pieces, len(self.sizes), None)]
-        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, new), "int64", len(new))])
-        self.flat = np.concatenate([self.flat, np.fromiter((k for ids in new for k in ids), "int32")])
-        starts = np.cumsum(self.sizes) - self.sizes
+        split = [text.replace("\n", " ").replace("\t", " ").split(" ") for text in texts]
+        counts = np.fromiter(map(len, split), "int64", len(split))
+        codes = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(split)), "int64", int(counts.sum()))
+        self._learn_pieces()
+        self._learn_words()
+        starts, sizes = np.cumsum(self.piece_sizes) - self.piece_sizes, self.piece_sizes
+        words = self.piece_words[ragged(starts[codes], sizes[codes])]
+        ids = self.word_ids[ragged((np.cumsum(self.word_sizes) - self.word_sizes)[words], self.word_sizes[words])]
+        # How many ids each piece has, then each text.
+        per_piece = np.concatenate([[0], np.cumsum(self.word_sizes[words])])[np.concatenate([[0], np.cumsum(sizes[codes])])]
+        bounds = per_piece[np.concatenate([[0], np.cumsum(counts)])]
         tail = np.array([] if end is None else [end], "int32")
-        return [np.concatenate([self.flat[ragged(starts[c], self.sizes[c])], tail]) for c in codes]
+        return [np.concatenate([ids[a:b], tail]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 def compress(ids: np.ndarray, sizes: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -115,8 +139,10 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int) -> tuple[np.ndarray,
     for _ in range(ROUNDS):
         if len(symbols) < 2 or room <= 0:
             break
-        keys = symbols[:-1] << 24 | symbols[1:]
-        keys[last[:-1]] = -1
+        # A pair can't be more frequent than its symbols.
+        often = np.bincount(symbols) >= LEAST
+        often = often[symbols]
+        keys = np.where(often[:-1] & often[1:] & ~last[:-1], symbols[:-1] << 24 | symbols[1:], -1)
         found, counts = _frequent(keys, min(PAIRS, room))
         if not len(found):
             break
@@ -143,8 +169,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int) -> tuple[np.ndarray,
 
 def _frequent(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The `most` most frequent keys of at least LEAST occurrences, ascending; -1 is none."""
-    ordered = np.sort(keys)
-    ordered = ordered[np.searchsorted(ordered, 0) :]
+    ordered = np.sort(keys[keys >= 0])
     begins = np.flatnonzero(np.diff(ordered, prepend=-1))
     counts = np.diff(np.append(begins, len(ordered)))
     good = np.flatnonzero(counts >= LEAST)
@@ -280,11 +305,13 @@ def _documents(row: dict, wanted: set | None) -> Iterator[pa.RecordBatch]:
     names, tokens, each = row["doc_ids"].as_py(), array("doc_tokens"), array("doc_symbols")
     starts, first = row["start"].as_py() + np.cumsum(tokens) - tokens, np.cumsum(each) - each
     chosen = [i for i, k in enumerate(names) if wanted is None or k in wanted]
-    for low in range(0, len(chosen), 512):
-        part = chosen[low : low + 512]
-        found = [expand(symbols[first[i] : first[i] + each[i]], base, rules).astype("<u4").tobytes() for i in part]
+    for low in range(0, len(chosen), 2048):
+        part = np.array(chosen[low : low + 2048])
+        raw = expand(symbols[ragged(first[part], each[part])], base, rules).astype("<u4").tobytes()
+        ends = 4 * np.cumsum(tokens[part])
+        found = [raw[a:b] for a, b in zip((ends - 4 * tokens[part]).tolist(), ends.tolist())]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([names[i] for i in part], pa.int64()), pa.array(starts[part], pa.int64()), pa.array(tokens[part], pa.int64()), pa.array(found, pa.binary())],
+            [pa.array([names[i] for i in part.tolist()], pa.int64()), pa.array(starts[part], pa.int64()), pa.array(tokens[part], pa.int64()), pa.array(found, pa.binary())],
             ["doc_id", "start", "n_tokens", "ids"],
         )
 

@@ -61,7 +61,7 @@ def fit_pu(positive: Rows, unlabelled: Rows, dims: int, l2: float = 1e-5, steps:
 def quality_column(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bound: int = BOUND, dims: int = DIMS) -> Column:
     """The score of df's texts, of a model fitted now: see quality_scores."""
     rows, marks = labelled_sample(df, labels, id_col, text_col, label_col, bound, form_features, dims)
-    weights, _ = fit_pu(Rows(r for r, m in zip(rows, marks) if m == 1), Rows(rows), dims)
+    weights, _ = fit_pu(rows.pick(marks == 1), rows, dims)
     return score_column(df.sparkSession, F.col(text_col), form_features, dims, weights, sigmoid)
 
 

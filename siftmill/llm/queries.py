@@ -42,8 +42,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    found = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    found = bpe.decode(found, path, public_tokenizers.PATTERN)
+    found = bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

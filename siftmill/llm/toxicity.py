@@ -36,13 +36,13 @@ class OrdinalModel:
         return self.exceed(score).sum(axis=1)
 
 
-def telling(rows: Rows, grades: np.ndarray, dims: int, least: float = 4.0) -> np.ndarray:
+def telling(rows: Rows, grades: np.ndarray, dims: int, least: float = 5.0) -> np.ndarray:
     """Which words' mean grade differs from all rows' by `least` standard errors or more. Most of a
     corpus's words are rare; without this their weights would learn single texts by heart."""
     n = np.bincount(rows.at, minlength=dims)
     total = np.bincount(rows.at, grades[rows.row], dims)
     score = np.abs(total - n * grades.mean()) / (grades.std() * np.sqrt(np.maximum(n, 1)))
-    return (n >= 3) & (score >= least)
+    return score >= least
 
 
 def fit_ordinal(rows: Rows, grades: np.ndarray, dims: int, l2: float = 3e-5, steps: int = 300, rate: float = 0.15) -> OrdinalModel:
@@ -91,7 +91,7 @@ def severity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     without labels every severity is next to 0.
     """
     rows, grades = labelled_sample(df, labels, id_col, text_col, grade_col, bound, word_features, dims)
-    model = fit_ordinal(Rows(rows), np.maximum(grades, 0), dims)
+    model = fit_ordinal(rows, np.maximum(grades, 0), dims)
     thresholds = model.thresholds.tolist()
     score = score_column(df.sparkSession, F.col(text_col), word_features, dims, model.weights, lambda s: s)
     found = df.select(id_col, score.alias("score"))

@@ -33,9 +33,14 @@ def test_byte_bpe_equals_the_library(spark, texts, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK", 2000)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
-    rows = bpe.decode(bpe.encode(frame(spark, texts), path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN).collect()
+    rows = bpe.decode(bpe.encode(frame(spark, texts), path, public_tokenizers.PATTERN), path).collect()
     assert {r.doc_id: list(r.ids) for r in rows} == {i: library.encode_ordinary(t or "") for i, t in enumerate(texts)}
     assert {r.doc_id: bytes(r.decoded) for r in rows} == {i: (t or "").encode() for i, t in enumerate(texts)}
+    both = bpe.round_trip(frame(spark, texts), path, public_tokenizers.PATTERN).collect()
+    assert {r.doc_id: (list(r.ids), bytes(r.decoded)) for r in both} == {r.doc_id: (list(r.ids), bytes(r.decoded)) for r in rows}
+    wrong = spark.sql("SELECT array(1, 60000) AS ids")
+    with pytest.raises(Exception, match="isn't in the vocabulary"):
+        bpe.decode(wrong, path).collect()
 
 
 def test_byte_bpe_of_null_ids_repeated_rows_and_no_rows(spark):

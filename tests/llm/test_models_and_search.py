@@ -17,9 +17,9 @@ def test_ordinal_regression_orders_grades():
         rows.append(dict.fromkeys([*map(int, bad), *map(int, rng.integers(20, 400, 30))], 1.0))
         grades.append(grade)
     grades = np.array(grades)
-    model = toxicity.fit_ordinal(features.Rows(rows[:2000]), grades[:2000], 512)
+    model = toxicity.fit_ordinal(features.Rows.of(rows[:2000]), grades[:2000], 512)
     assert (np.diff(model.thresholds) >= 0).all() and len(model.thresholds) == 3
-    found = model.expected(features.Rows(rows[2000:]).dot(model.weights))
+    found = model.expected(features.Rows.of(rows[2000:]).dot(model.weights))
     assert np.corrcoef(found, grades[2000:])[0, 1] > 0.95
     assert (np.abs(found - grades[2000:]) < 0.6).mean() > 0.9
 
@@ -50,7 +50,7 @@ def test_class_prior_and_risk():
     good = rng.normal(1.5, 0.7, 4000)
     bad = rng.normal(-1.5, 0.7, 2000)
     assert abs(quality.class_prior(good[:2000], np.concatenate([good[2000:], bad])) - 0.5) < 0.06
-    as_rows = lambda x: features.Rows({0: float(v), 1: 1.0} for v in x)
+    as_rows = lambda x: features.Rows.of({0: float(v), 1: 1.0} for v in x)
     weights, prior = quality.fit_pu(as_rows(good[:2000]), as_rows(np.concatenate([good[2000:], bad])), 2)
     assert 0.4 < prior < 0.56
     assert (good * weights[0] + weights[1] > 0).mean() > 0.95 and (bad * weights[0] + weights[1] > 0).mean() < 0.06
