@@ -27,19 +27,20 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftmill.llm.pieces import coder, is_plain, ragged
+from siftmill.llm.pieces import are_plain, coder, is_plain, ragged
 from siftmill.llm.shared import checked_broadcast, shared_folder, stored
 
 #: Ids that make up a shard; a longer document is a shard of its own.
 SHARD = 1 << 20
 #: Rounds of replacements, pairs that one round replaces at most, occurrences that a pair must have.
 ROUNDS, PAIRS, LEAST = 5, 4000, 12
-#: Pieces of text that a worker remembers at most.
-REMEMBERED = 400_000
+#: Pieces of text that a worker remembers at most, and bytes of text that it encodes at a time.
+REMEMBERED, PIECE = 400_000, 4_000_000
 
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^a-zß-öø-ÿ0-9\n]+")
 
@@ -91,8 +92,13 @@ class WordEncoder:
     def _learn_pieces(self) -> None:
         """The words of pieces that have a number but no words yet: of all plain ones in one go."""
         new = list(islice(self.pieces, len(self.piece_sizes), None))
-        plain = np.array([is_plain(p) and "<|" not in p for p in new], bool)
-        parts = _WORDS.findall("\n".join([p for p, good in zip(new, plain) if good]).lower())
+        joined = "\n".join(new)
+        if are_plain(new, joined) and "<|" not in joined:
+            plain = np.ones(len(new), bool)
+        else:
+            plain = np.array([is_plain(p) and "<|" not in p for p in new], bool)
+            joined = "\n".join([p for p, good in zip(new, plain) if good])
+        parts = _WORDS.findall(joined.lower())
         codes = np.fromiter(map(self.words.__getitem__, parts), "int64", len(parts))
         ends = np.flatnonzero(codes == self.words["\n"])
         sizes = np.zeros(len(new), "int64")
@@ -108,13 +114,17 @@ class WordEncoder:
         self.piece_sizes = np.concatenate([self.piece_sizes, sizes])
         self.piece_words = np.concatenate([self.piece_words, words.astype("int32")])
 
-    def encode(self, texts: list[str], end: int | None) -> list[np.ndarray]:
-        """The ids of each text, with `end` behind them."""
+    def encode(self, texts: pa.Array, end: int | None) -> list[np.ndarray]:
+        """The ids of each text, with `end` behind them; a null text is an empty one."""
         if len(self.pieces) > REMEMBERED:
             self.forget()
-        split = [text.replace("\n", " ").replace("\t", " ").split(" ") for text in texts]
-        counts = np.fromiter(map(len, split), "int64", len(split))
-        codes = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(split)), "int64", int(counts.sum()))
+        blank = pc.replace_substring(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), "\t", " ")
+        split = pc.split_pattern(blank, " ")
+        counts = split.value_lengths().to_numpy().astype("int64")
+        # Arrow numbers the batch's distinct pieces; only they are looked up here.
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+        codes = np.fromiter(map(self.pieces.__getitem__, distinct), "int64", len(distinct))[coded.indices.to_numpy()]
         self._learn_pieces()
         self._learn_words()
         starts, sizes = np.cumsum(self.piece_sizes) - self.piece_sizes, self.piece_sizes
@@ -229,15 +239,12 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
         held = 0
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
+            # Runs of texts of about PIECE bytes, for bounded memory.
+            place = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype="int64") // PIECE
             low = 0
             while low < len(names):
-                high, length = low, 0
-                own = []
-                while high < len(names) and length < 1_000_000:
-                    own.append(texts[high].as_py() or "")
-                    length += len(own[-1])
-                    high += 1
-                for k, x in zip(names[low:high], encoder.encode(own, end)):
+                high = int(np.searchsorted(place, place[low], "right"))
+                for k, x in zip(names[low:high], encoder.encode(texts.slice(low, high - low), end)):
                     if found and held + len(x) > SHARD:
                         yield _shard(part, shard, ids, found, encoder.size)
                         ids, found, held, shard = [], [], 0, shard + 1

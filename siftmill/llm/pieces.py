@@ -20,10 +20,19 @@ def coder() -> defaultdict:
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 
 
+_ALL_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ\n]+")
+
+
 def is_plain(piece: str) -> bool:
     return _PLAIN.fullmatch(piece) is not None
 
 
+def are_plain(pieces: list[str], joined: str) -> bool:
+    """Whether all pieces are plain; joined: they themselves with line ends between them."""
+    found = _ALL_PLAIN.fullmatch(joined)
+    return found is not None and joined.count("\n") == len(pieces) - 1
+
+
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places start, start + 1, ... of each run, one run after another."""
     ends = np.cumsum(sizes)
