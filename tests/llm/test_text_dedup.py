@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from siftmill.llm import decontam, linededup, shared, simhash
+from siftmill.llm import decontam, linededup, resemblance, shared, simhash
 
 SCHEMA = "doc_id long, text string, fp string, component string, pos int"
 
@@ -179,3 +179,47 @@ def test_decontamination_of_many_positions_in_one_text(spark):
         found = decontam.overlaps(df, spark.createDataFrame([(0, item)], "item_id long, text string")).first()
         assert (found.matched, found.compared) == (16, 16)
     assert df.select(F.size(decontam.tokens(F.col("text")))).first()[0] == 2 * decontam.CHUNK + 35
+
+
+def brute_resemblance(texts):
+    """{id: smallest id of its component} by Jaccard similarity of five-word shingles, 0.8 at least."""
+    sets = {}
+    for d, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+    root = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    return root
+
+
+def test_resemblance_equals_brute_force_jaccard(spark):
+    rng = random.Random(7)
+    texts, common = {}, words(rng, 40)
+    base = [words(rng, rng.choice([30, 60, 150, 400]), 5000) for _ in range(8)]
+    for i in range(160):
+        text = rng.choice(base).split()
+        for _ in range(rng.randrange(1 + len(text) // 20)):
+            text[rng.randrange(len(text))] = f"changed{rng.randrange(9)}"
+        if rng.random() < 0.2:
+            text += common.split()
+        texts[i * 3 + 1] = " ".join(text)
+    texts |= {i: base[2] + f" tail{i}" for i in range(600, 640)}  # a large group
+    texts |= {1000: None, 1001: "", 1002: "One", 1003: "one ", 1004: "a b c d e", 1005: "a b c d e a b c d e", 1006: "x " * 70_000}
+    df = spark.createDataFrame([(i, t, "a", "b", 0) for i, t in texts.items()], SCHEMA)
+    expected = brute_resemblance(texts)
+    got = {r.doc_id: r.component_id for r in resemblance.near_duplicates(df.union(df.where("doc_id = 1"))).collect()}
+    assert got == expected
+    links = brute_components({i: brute_fingerprint(t) for i, t in texts.items()})
+    assert len(set(expected.values())) < len(set(links.values()))  # 3 bits wouldn't do
+    assert {r.doc_id for r in resemblance.drop_near_duplicates(df).collect()} == set(expected.values())
+
+
+def test_resemblance_with_null_ids_and_no_rows(spark):
+    df = spark.createDataFrame([(None, "a b c d"), (7, "a b c d"), (None, "lonely text here"), (9, None), (7, "other text")], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in resemblance.near_duplicates(df).collect()}
+    assert got == {(None, 7), (7, 7), (None, None), (9, 9)}
+    assert resemblance.near_duplicates(df.where("false")).collect() == []
