@@ -1,6 +1,7 @@
 """SimHash, line dedup and decontamination against brute force and on awkward rows."""
 
 import random
+from itertools import combinations
 
 import pytest
 import xxhash
@@ -181,6 +182,49 @@ def test_decontamination_of_many_positions_in_one_text(spark):
     assert df.select(F.size(decontam.tokens(F.col("text")))).first()[0] == 2 * decontam.CHUNK + 35
 
 
+def test_masks_hit_every_overlap_that_the_check_accepts():
+    for n, changes in ((12, 2), (13, 2), (14, 2), (15, 3), (16, 3)):
+        for changed in combinations(range(n), changes):
+            assert any(not any(at + i in changed for i in m) for m in decontam.MASKS for at in range(n - m[-1])), changed
+
+
+def brute_overlaps(docs, items):
+    """Pairs with a window of 16 aligned tokens (all, of fewer; 12 at least) of which 80 % agree."""
+    found = set()
+    for d, text in docs.items():
+        for i, item in items.items():
+            a, b = text.split(), item.split()
+            for shift in range(-len(b), len(a)):
+                same = [a[shift + k] == b[k] for k in range(len(b)) if 0 <= shift + k < len(a)]
+                size = min(16, len(same))
+                if size >= 12 and any(10 * sum(same[k : k + size]) >= 8 * size for k in range(len(same) - size + 1)):
+                    found.add((d, i))
+    return found
+
+
+def test_decontamination_equals_brute_force_alignment(spark):
+    """All placements of two and three changes in short items, and random changes in longer ones."""
+    rng = random.Random(6)
+    items = {n: words(rng, n, 5000) for n in (15, 16)} | {n: words(rng, n, 5000) for n in (20, 24)}
+    docs = {}
+
+    def add(n, changed, before=0, after=0):
+        own = [f"new{len(docs)}" if k in changed else w for k, w in enumerate(items[n].split())]
+        docs[len(docs)] = " ".join([*(f"pre{k}" for k in range(before)), *own, *(f"post{k}" for k in range(after))])
+
+    for n in (15, 16):
+        for changes in (2, 3):
+            for changed in combinations(range(n), changes):
+                add(n, changed)
+    for n in (20, 24):
+        for _ in range(60):
+            add(n, {k for k in range(n) if rng.random() < 0.2}, rng.randrange(3), rng.randrange(3))
+        add(n, set(range(4, n, 5)), 2, 2)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.overlaps(df, bench).collect()} == brute_overlaps(docs, items)
+
+
 def brute_resemblance(texts):
     """{id: smallest id of its component} by Jaccard similarity of five-word shingles, 0.8 at least."""
     sets = {}
