@@ -1,10 +1,13 @@
 """What the operators of this subpackage share: the cluster's shared folder, checked broadcasts,
-connected components and a Bloom filter made of DataFrame functions."""
+connected components and a blocked Bloom filter made of DataFrame functions."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,28 +15,37 @@ from pyspark.sql import functions as F
 #: Rows of three longs at most that a checked broadcast may hold (about 25 MB).
 BROADCAST_ROWS = 300_000
 
+_made: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor sees. Where the setting is
-    absent (tests on one machine) a local folder takes its place."""
+    """A new folder below spark.checkpoint.dir, which every executor sees. Where the setting is absent,
+    a session on one machine (tests) gets a local folder; on a cluster this raises."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="siftmill-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint: its lineage ends here, and a lost executor costs nothing."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what was stored inside. Only for work whose results are written elsewhere."""
+    start = len(_made)
+    yield
+    for path in _made[start:]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    del _made[start:]
 
 
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: columnar, so that later passes
-    read only the columns they need."""
+    """df written as Parquet in the shared folder and read again: its lineage ends here, a lost executor
+    costs nothing, and later passes read only the columns they need."""
     path = shared_folder(df.sparkSession)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -41,29 +53,40 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
 
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, with a broadcast hint if it holds no more than `rows` rows; a larger df is left to a
-    shuffle join. Only for frames that are already cut or stored, as it counts them."""
+    shuffle join. Only for stored frames, as it counts them."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names of new columns for df: the given ones, with underscores until nothing in df clashes."""
+    taken = {c.lower() for c in df.columns}
+    tail = ""
+    while any((n + tail).lower() in taken for n in names):
+        tail += "_"
+    return [n + tail for n in names]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b), component being the smallest node reachable.
 
     Alternates large-star and small-star steps until the edge set stands still: every round works
-    on edges only, by min-aggregations with partial sums and joins that adaptive execution can
-    split, so a star with millions of leaves is no single task's work. Self-loops and repeated
-    edges do no harm; an empty input gives an empty result.
+    on edges only, by min-aggregations with partial sums, and by joins: with a broadcast side while
+    the nodes are few enough, else of a kind that adaptive execution can split, so a star with
+    millions of leaves is no single task's work. Self-loops and repeated edges do no harm; an empty
+    input gives an empty result.
     """
-    now = cut(
+    now = stored(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     )
     mark = _mark(now)
     while mark[0]:
+        small_side = F.broadcast if 2 * mark[0] <= BROADCAST_ROWS else lambda df: df
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(small_side(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        then = cut(small.union(lowest.select("u", F.col("m").alias("v"))).distinct())
+        small = large.join(small_side(lowest), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        then = stored(small.union(lowest.select("u", F.col("m").alias("v"))).distinct())
         after = _mark(then)
         now = then
         if after == mark:
@@ -81,45 +104,65 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 # A blocked Bloom filter as a table: one row a block, 256 bits of it in four longs. An item sets one
-# bit in each long of one block. The number of blocks is fixed, so is the size of the broadcast.
+# bit in each long of one block.
 
-#: Blocks of 32 bytes: 2 MB in all, whatever is listed.
-BLOOM_BLOCKS = 1 << 16
+#: Entries that a block takes (about 0.3 % of other items pass then), and the least and most blocks:
+#: up to 8 million entries pass at that rate, 33 million at 16 %; a broadcast of 20 MB of longs at most.
+BLOOM_LOAD, BLOOM_LEAST, BLOOM_MOST = 16, 1 << 10, 1 << 19
 
 
-def _bloom_bits(item: Column, blocks: int) -> list[Column]:
-    second = F.xxhash64(item, F.lit("bits"))
-    return [
-        F.pmod(F.shiftright(item, 20), F.lit(blocks)).cast("int").alias("block"),
-        *(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(second, 6 * i).bitwiseAND(63).cast("int")).alias(f"bit{i}") for i in range(4)),
-    ]
-
+@dataclass(frozen=True)
+class Bloom:
+    """table: (block, word0 .. word3), at most `blocks` rows."""
 
-def bloom_table(items: DataFrame, item: str, blocks: int = BLOOM_BLOCKS) -> DataFrame:
-    """The filter of the long hashes in column `item`: (block, word0 .. word3), at most `blocks` rows."""
-    bits = items.select(*_bloom_bits(F.col(item), blocks))
-    return bits.groupBy("block").agg(*(F.bit_or(f"bit{i}").alias(f"word{i}") for i in range(4)))
+    table: DataFrame
+    blocks: int
 
 
-def bloom_split(df: DataFrame, item: str, bloom: DataFrame, blocks: int = BLOOM_BLOCKS) -> tuple[DataFrame, DataFrame]:
-    """df's rows whose hash `item` may be listed, and those whose hash isn't for sure. Joins the
-    filter's bounded table by broadcast, so df isn't shuffled."""
-    bits = df.select("*", *(c.alias(f"_bloom_{n}") for c, n in zip(_bloom_bits(F.col(item), blocks), ("block", *"0123"))))
-    own = bloom.select(F.col("block").alias("_bloom_block"), *(F.col(f"word{i}").alias(f"_bloom_word{i}") for i in range(4)))
-    held = [F.col(f"_bloom_word{i}").bitwiseAND(F.col(f"_bloom_{i}")) != 0 for i in range(4)]
+def _bloom_bits(item: Column, blocks: int) -> list[Column]:
+    second = F.xxhash64(item, F.lit("bits"))
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(second, 6 * i).bitwiseAND(63).cast("int"))
+    return [F.shiftright(item, 20).bitwiseAND(blocks - 1).cast("int"), *map(bit, range(4))]
+
+
+def bloom_filter(items: DataFrame, item: str) -> Bloom:
+    """The filter of the long hashes in column `item` of a frame that is stored (it is counted): as many
+    blocks as its entries ask for, a power of two."""
+    wanted = -(-items.count() // BLOOM_LOAD)
+    blocks = min(BLOOM_MOST, max(BLOOM_LEAST, 1 << max(0, wanted - 1).bit_length()))
+    names = ["block", "bit0", "bit1", "bit2", "bit3"]
+    bits = items.select(*(c.alias(n) for c, n in zip(_bloom_bits(F.col(item), blocks), names)))
+    return Bloom(stored(bits.groupBy("block").agg(*(F.bit_or(f"bit{i}").alias(f"word{i}") for i in range(4)))), blocks)
+
+
+def bloom_split(df: DataFrame, item: str, bloom: Bloom) -> tuple[DataFrame, DataFrame]:
+    """df's rows whose hash `item` may be listed, and those whose hash isn't for sure (a null one never
+    is). Joins the filter's bounded table by broadcast, so df isn't shuffled."""
+    names = fresh(df, "block", *(f"bit{i}" for i in range(4)), *(f"word{i}" for i in range(4)))
+    block, bit, word = names[0], names[1:5], names[5:]
+    bits = df.select("*", *(c.alias(n) for c, n in zip(_bloom_bits(F.col(item), bloom.blocks), [block, *bit])))
+    own = F.broadcast(bloom.table.toDF(block, *word))
+    held = [F.col(w).bitwiseAND(F.col(b)) != 0 for w, b in zip(word, bit)]
     listed = held[0] & held[1] & held[2] & held[3]
-    never = bits.join(F.broadcast(own), "_bloom_block", "left").where(~F.coalesce(listed, F.lit(False)))
-    return bits.join(F.broadcast(own), "_bloom_block").where(listed).select(*df.columns), never.select(*df.columns)
+    never = bits.join(own, block, "left").where(~F.coalesce(listed, F.lit(False)))
+    return bits.join(own, block).where(listed).select(*df.columns), never.select(*df.columns)
 
 
-def bloom_pass(df: DataFrame, item: str, bloom: DataFrame, blocks: int = BLOOM_BLOCKS) -> DataFrame:
+def bloom_pass(df: DataFrame, item: str, bloom: Bloom) -> DataFrame:
     """The rows of df whose hash `item` may be listed."""
-    return bloom_split(df, item, bloom, blocks)[0]
-
-
-def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """The rows of df whose key isn't in gone (key), which is stored or cut; null keys stay. Only rows
-    whose key may be in gone are shuffled, whatever the sizes."""
-    bloom = stored(bloom_table(gone.select(F.xxhash64(key).alias("item")), "item"))
-    may, never = bloom_split(df.withColumn("_item", F.xxhash64(key)), "_item", bloom)
-    return never.union(may.join(gone.select(key).hint("merge"), key, "left_anti").select(*may.columns)).drop("_item")
+    return bloom_split(df, item, bloom)[0]
+
+
+def without(df: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
+    """The rows of df whose keys aren't among those of gone, which is stored; rows with a null key stay.
+
+    No wide row is shuffled: what the filter doesn't know stays where it is, and of the rest only
+    keys are compared exactly. The few keys that passed the filter by chance bring their rows back
+    by a broadcast, or by a join if they are many."""
+    item, = fresh(df, "item")
+    known = F.when(~F.greatest(*(F.col(k).isNull() for k in keys), F.lit(False)), F.xxhash64(*keys))
+    bloom = bloom_filter(gone.select(F.xxhash64(*keys).alias("item")), "item")
+    may, never = bloom_split(df.withColumn(item, known), item, bloom)
+    spared = stored(may.select(*keys).distinct().join(gone.select(*keys), list(keys), "left_anti"))
+    back = may.join(checked_broadcast(spared), list(keys), "left_semi").select(*df.columns)
+    return never.select(*df.columns).union(back)

@@ -9,7 +9,7 @@ Groups of near copies never expand into pairs. First every fingerprint joins the
 distance one or less of itself; fingerprints that meet at a point differ in two bits at most, so
 a chain along each point (65 fingerprints at most) connects them. What is left for the index are
 pairs between different groups: keys whose matches all belong to one group are dropped before
-the join.
+the join, and keys with very many pairs are resolved without them.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftmill.llm.shared import checked_broadcast, connected_components, cut, stored, without
+from siftmill.llm.shared import checked_broadcast, connected_components, stored, without
 
 #: Shingles hashed and counted at a time, so that a very long text needs little memory.
 BLOCK = 1 << 16
-#: Index keys with more matches than this are resolved by meeting points instead of pairs.
-HEAVY = 2048
+#: Index keys with more pairs than this (members times members and probes) are resolved by meeting points.
+HEAVY = 1 << 20
 
 
 def text_fingerprint(text: bytes, words: int, seed: int) -> int:
@@ -69,13 +69,13 @@ def _ball(value: str, bits: int) -> F.Column:
 
 def fingerprint_links(reps: DataFrame) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of fingerprints at distance 3 or less.
-    reps: (fp, rep), each fingerprint once, rep being unique too."""
+    reps: (fp, rep), each fingerprint once, neither null, rep being unique too; it may be empty."""
     points = reps.select("rep", F.explode(_ball("fp", 64)).alias("point"))
     along = Window.partitionBy("point").orderBy("rep")
-    close = cut(points.select("rep", F.lag("rep").over(along).alias("before")).where("before IS NOT NULL").select(F.col("rep").alias("a"), F.col("before").alias("b")).distinct())
+    close = stored(points.select("rep", F.lag("rep").over(along).alias("before")).where("before IS NOT NULL").select(F.col("rep").alias("a"), F.col("before").alias("b")).distinct())
 
     groups = connected_components(close)
-    named = cut(reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "fp", F.coalesce("component", "rep").alias("grp")))
+    named = stored(reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "fp", F.coalesce("component", "rep").alias("grp")))
     # The key of a half: its 32 bits, with the half's number in bit 32.
     halves = F.expr("array(shiftrightunsigned(fp, 32), (fp & 4294967295L) | 4294967296L)")
     table = named.select("rep", "fp", "grp", F.explode(halves).alias("key"))
@@ -86,11 +86,11 @@ def fingerprint_links(reps: DataFrame) -> DataFrame:
         .select("rep", "fp", "grp", F.explode(flips).alias("key"))
     )
     members = table.select("key", "grp", F.lit(1).alias("own")).union(probes.select("key", "grp", F.lit(0)))
-    mixed = cut(
-        members.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.sum("own").alias("own"))
-        .where("low < high AND own > 0").select("key", "own")
+    mixed = stored(
+        members.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.sum("own").alias("own"), F.count("*").alias("n"))
+        .where("low < high AND own > 0").select("key", (F.col("own") * F.col("n")).alias("pairs"))
     )
-    light, heavy = (checked_broadcast(mixed.where(w).select("key")) for w in (f"own <= {HEAVY}", f"own > {HEAVY}"))
+    light, heavy = (checked_broadcast(mixed.where(w).select("key")) for w in (f"pairs <= {HEAVY}", f"pairs > {HEAVY}"))
     left = table.unionByName(probes)
     pairs = (
         left.join(light, "key").alias("x").join(table.join(light, "key").alias("y"), "key")
@@ -122,7 +122,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and name none (null, if nobody else is in it). Repeated rows each keep a row.
     """
     own = stored(fingerprints(df, id_col, text_col, words, seed))
-    reps = cut(own.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("rep")))
+    reps = stored(own.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("rep")))
     found = connected_components(fingerprint_links(reps))
     named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return own.join(named, "fp", "left").select(id_col, "fp", "component_id")

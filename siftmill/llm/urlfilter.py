@@ -1,8 +1,8 @@
 """URL filtering: host and path rules, and a list of canonical URLs behind a blocked Bloom filter.
 
-All in DataFrame functions. The filter is a table of fixed size (shared.BLOOM_BLOCKS rows of four
-longs), so it may be broadcast however long the list is; what passes goes to an exact join that
-removes the false positives. A URL without a rule is blocked if its canonical form is listed.
+All in DataFrame functions. The filter is a table whose size has a bound (shared.BLOOM_MOST blocks of
+four longs), so it may be broadcast however long the list is; what passes goes to an exact join
+that removes the false positives. A URL without a rule is blocked if its canonical form is listed.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.shared import bloom_pass, bloom_table, stored
+from siftmill.llm.shared import bloom_filter, bloom_split, checked_broadcast, stored
 
 #: Query parameters that name a visit, not a page (fixed values).
 TRACKING = ("fbclid", "gclid", "ref", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term")
@@ -82,14 +82,15 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, rules: list[Rule], id_col:
     url = F.col("url")
     rows = pages.select(F.col(id_col), F.col(url_col).cast("string").alias("url"))
     rows = rows.select(id_col, "url", host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("page"))
-    rows = rows.withColumn("item", F.xxhash64("page"))
+    rows = rows.withColumn("item", F.when(F.col("page").isNotNull(), F.xxhash64("page")))
     entries = listed.select(canonical(F.col(listed_col).cast("string")).alias("page")).where("page IS NOT NULL").distinct()
     entries = stored(entries.withColumn("item", F.xxhash64("page")))
-    bloom = stored(bloom_table(entries, "item"))
+    # Rows without a page, or with one that isn't listed for sure, stay where they are.
+    may, never = bloom_split(rows, "item", bloom_filter(entries, "item"))
     # Each possible hit once, so that a page that everyone links to is one row of the exact join.
-    hits = bloom_pass(rows.where("page IS NOT NULL").select("page", "item").distinct(), "item", bloom)
-    sure = stored(hits.join(entries.select("page"), "page", "left_semi").select("page"))
-    found = rows.join(sure.withColumn("listed", F.lit(True)), "page", "left")
+    sure = stored(may.select("page").distinct().join(entries.select("page"), "page", "left_semi"))
+    known = checked_broadcast(sure.withColumn("listed", F.lit(True)))
+    found = may.join(known, "page", "left").select(*rows.columns, "listed").union(never.withColumn("listed", F.lit(False)))
     names, verdicts = (rule_of(F.col("host"), F.col("path"), rules, v) for v in ("name", "verdict"))
     listed_flag = F.coalesce("listed", F.lit(False))
     return found.select(
