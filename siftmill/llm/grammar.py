@@ -1,10 +1,9 @@
 """Token ids in files, compressed by Re-Pair grammars with random access.
 
 Documents are dealt by ranges of their ids and sorted, encoded, and gathered into shards of about
-`SHARD` ids. In each shard, frequent neighbouring ids are replaced by a nonterminal again and
-again: a round counts all pairs, gives the most frequent ones a nonterminal each, and replaces
-their occurrences from left to right; pairs never reach over a document's end. A shard is a row of
-the archive, a Parquet table:
+`SHARD` ids. In each shard, neighbouring ids that occur `LEAST` times or more are replaced by a
+nonterminal again and again, until no such pair is left; pairs never reach over a document's end.
+A shard is a row of the archive, a Parquet table:
 
     part, shard      its place in the order of ids, starting with part
     low_id, high_id  its least and largest document id
@@ -15,7 +14,8 @@ the archive, a Parquet table:
     lengths          how many ids each nonterminal expands to
     symbols          the compressed sequence, little-endian, `width` bytes each
 
-A document is read by skipping to its first symbol, as doc_symbols says, and expanding its own.
+A document is read by skipping to its first symbol, as doc_symbols says, and expanding its own; the
+lengths say where the parts of a nonterminal go, so nothing else has to be expanded for that.
 """
 
 from __future__ import annotations
@@ -37,10 +37,13 @@ from siftmill.llm.shared import checked_broadcast, shared_folder, stored
 
 #: Ids that make up a shard; a longer document is a shard of its own.
 SHARD = 1 << 20
-#: Rounds of replacements, pairs that one round replaces at most, occurrences that a pair must have.
-ROUNDS, PAIRS, LEAST = 5, 4000, 12
+#: Occurrences that a pair must have: a rule takes the room of about four symbols.
+LEAST = 12
 #: Pieces of text that a worker remembers at most, and bytes of text that it encodes at a time.
-REMEMBERED, PIECE = 400_000, 4_000_000
+REMEMBERED, PIECE = 400_000, 8_000_000
+
+#: Texts on which a tokenizer's way with words is compared with the library's before it is used.
+PROBES = ("The cat's 12 mats, WE'LL see!", "a\tb\nc  d ", "Ünï çödé ß ÿ", "x.y-z_0 (q) #1 @a $5", "e\u0301 日本 語", "don't 'stop' I'm", "<|endoftext|> a", "İ ǅ \u200b", "")
 
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^a-zß-öø-ÿ0-9\n]+")
 
@@ -48,7 +51,8 @@ _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^a-zß-
 class WordEncoder:
     """A tokenizer file of the tokenizers library whose words end at white space, applied to each
     distinct piece between blanks once. Pieces of plain Latin characters are split by the file's own
-    rule and go to its model; all others go through the library whole."""
+    rule and go to its model; all others go through the library whole. For files that work otherwise
+    (PROBES tell) all texts go through the library as they are."""
 
     loaded: dict[str, "WordEncoder"] = {}
 
@@ -62,6 +66,10 @@ class WordEncoder:
         moved = iter(range(256, 512))
         self.characters = [chr(b) if b in kept else chr(next(moved)) for b in range(256)]
         self.forget()
+        # A file with another way of its own (normaliser, splits, bytes) gets every text whole.
+        self.whole = False
+        own = [x.tolist() for x in self.encode(pa.array(PROBES), None)]
+        self.whole = own != [self.tokenizer.encode(t, add_special_tokens=False).ids for t in PROBES]
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -71,8 +79,8 @@ class WordEncoder:
         return cls.loaded[path]
 
     def forget(self) -> None:
-        """Pieces and words are numbered as they come; for each, its words or ids are a run of an array."""
-        self.pieces, self.piece_sizes, self.piece_words = coder(), np.zeros(0, "int64"), np.zeros(0, "int32")
+        """Pieces and words are numbered as they come; the ids of each are a run of an array."""
+        self.pieces, self.piece_sizes, self.piece_ids = coder(), np.zeros(0, "int64"), np.zeros(0, "int32")
         if len(getattr(self, "words", ())) > 2 * REMEMBERED or not hasattr(self, "words"):
             self.words, self.word_sizes, self.word_ids = coder(), np.zeros(0, "int64"), np.zeros(0, "int32")
 
@@ -90,7 +98,7 @@ class WordEncoder:
         self.word_ids = np.concatenate([self.word_ids, np.fromiter(chain.from_iterable(found), "int32")])
 
     def _learn_pieces(self) -> None:
-        """The words of pieces that have a number but no words yet: of all plain ones in one go."""
+        """The ids of pieces that have a number but no ids yet: of all plain ones in one go."""
         new = list(islice(self.pieces, len(self.piece_sizes), None))
         joined = "\n".join(new)
         if are_plain(new, joined) and "<|" not in joined:
@@ -111,11 +119,18 @@ class WordEncoder:
         words = np.zeros(len(inside), "int64")
         words[inside] = np.delete(codes, ends)
         words[~inside] = [self.words["\0" + p] for p, good in zip(new, plain) if p and not good]
-        self.piece_sizes = np.concatenate([self.piece_sizes, sizes])
-        self.piece_words = np.concatenate([self.piece_words, words.astype("int32")])
+        self._learn_words()
+        each = self.word_sizes[words]
+        ends = np.append(0, np.cumsum(each))[np.append(0, np.cumsum(sizes))]
+        ids = self.word_ids[ragged((np.cumsum(self.word_sizes) - self.word_sizes)[words], each)]
+        self.piece_sizes = np.concatenate([self.piece_sizes, np.diff(ends)])
+        self.piece_ids = np.concatenate([self.piece_ids, ids])
 
     def encode(self, texts: pa.Array, end: int | None) -> list[np.ndarray]:
         """The ids of each text, with `end` behind them; a null text is an empty one."""
+        if self.whole:
+            tail = [] if end is None else [end]
+            return [np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids + tail, "int32") for t in texts.to_pylist()]
         if len(self.pieces) > REMEMBERED:
             self.forget()
         blank = pc.replace_substring(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), "\t", " ")
@@ -126,99 +141,114 @@ class WordEncoder:
         distinct = coded.dictionary.to_numpy(zero_copy_only=False)
         codes = np.fromiter(map(self.pieces.__getitem__, distinct), "int64", len(distinct))[coded.indices.to_numpy()]
         self._learn_pieces()
-        self._learn_words()
-        starts, sizes = np.cumsum(self.piece_sizes) - self.piece_sizes, self.piece_sizes
-        words = self.piece_words[ragged(starts[codes], sizes[codes])]
-        ids = self.word_ids[ragged((np.cumsum(self.word_sizes) - self.word_sizes)[words], self.word_sizes[words])]
-        # How many ids each piece has, then each text.
-        per_piece = np.concatenate([[0], np.cumsum(self.word_sizes[words])])[np.concatenate([[0], np.cumsum(sizes[codes])])]
-        bounds = per_piece[np.concatenate([[0], np.cumsum(counts)])]
+        sizes = self.piece_sizes[codes]
+        ids = self.piece_ids[ragged((np.cumsum(self.piece_sizes) - self.piece_sizes)[codes], sizes)]
+        bounds = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]
         tail = np.array([] if end is None else [end], "int32")
         return [np.concatenate([ids[a:b], tail]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
-def compress(ids: np.ndarray, sizes: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, symbols of each document, left, right): the Re-Pair grammar of documents' ids, which
-    are below base; sizes: ids of each document. Nonterminals count up from base, and symbols stay
-    below 65536 if base is."""
+def compress(ids: np.ndarray, sizes: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, symbols of each document, left, right, lengths): the Re-Pair grammar of documents' ids,
+    which are below base; sizes: ids of each document. Nonterminals count up from base.
+
+    A round counts all pairs and replaces every pair that is frequent enough, where two of them
+    overlap the one that occurs more often. Rounds go on until no pair is left that can be replaced
+    LEAST times. A pair's count only falls once it is known, so later rounds look at those pairs
+    only that were frequent or that hold a symbol of the last round."""
     symbols = ids.astype("int64")
     last = np.zeros(len(ids), bool)
     last[np.cumsum(sizes)[sizes > 0] - 1] = True
-    left, right = [], []
-    room = (1 << 16) - base if base < 1 << 16 else 1 << 20
-    for _ in range(ROUNDS):
-        if len(symbols) < 2 or room <= 0:
-            break
-        # A pair can't be more frequent than its symbols.
-        often = np.bincount(symbols) >= LEAST
-        often = often[symbols]
-        keys = np.where(often[:-1] & often[1:] & ~last[:-1], symbols[:-1] << 24 | symbols[1:], -1)
-        found, counts = _frequent(keys, min(PAIRS, room))
-        if not len(found):
+    left, right, number = [], [], base
+    alive = ~last[:-1]
+    while alive.any():
+        at = np.flatnonzero(alive)
+        # Along a run of one symbol every second place counts, from the left.
+        same = at[symbols[at] == symbols[at + 1]]
+        odd = same[~_alternate(same)]
+        alive[odd] = False
+        at = np.flatnonzero(alive) if len(odd) else at
+        pairs, counts, places = _grouped(symbols, at, number)
+        frequent = counts >= LEAST
+        pairs, places, counts = pairs[frequent], places[np.repeat(frequent, counts)], counts[frequent]
+        alive[:] = False
+        alive[places] = True
+        alive[odd] = alive[odd - 1]
+        if not len(pairs):
             break
-        number = base + sum(map(len, left))
-        at, which = _occurrences(keys, found)
-        # Of neighbouring occurrences every second one, from the left.
-        begins = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-        offset = np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))
-        at, which = at[offset % 2 == 0], which[offset % 2 == 0]
-        symbols[at] = number + which
-        last[at] |= last[at + 1]
+        # Each pair has a rank of its own, by its count. Ties are broken at random (always alike): of a
+        # long passage that repeats, a third of the pairs go in each round then, else only one would.
+        rank = np.empty(len(pairs), "int32")
+        rank[np.lexsort((np.random.default_rng(len(pairs)).permutation(len(pairs)), counts))] = np.arange(1, len(pairs) + 1)
+        weight = np.zeros(len(symbols) + 2, "int32")
+        weight[places + 1] = np.repeat(rank, counts)
+        chosen = np.flatnonzero((weight[1:-1] > weight[:-2]) & (weight[1:-1] > weight[2:]))
+        won = weight[chosen + 1]
+        # The pair of the highest rank wins all its places, so every round replaces one at least.
+        good = np.bincount(won, minlength=len(pairs) + 1) >= LEAST
+        chosen, won = chosen[good[won]], won[good[won]]
+        which = np.empty(len(pairs) + 1, "int64")
+        which[rank] = np.arange(len(pairs))
+        new = which[np.flatnonzero(good)]
+        left.append(pairs[new] >> 32)
+        right.append(pairs[new] & 0xFFFFFFFF)
+        symbols[chosen] = (number - 1 + np.cumsum(good))[won]
+        number += len(new)
+        last[chosen] |= last[chosen + 1]
+        # Pairs that hold a new symbol are new; the others stay as they were.
+        renewed = np.zeros(len(symbols), bool)
+        renewed[chosen] = True
         keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
-        symbols, last = symbols[keep], last[keep]
-        left.append(found >> 24)
-        right.append(found & 0xFFFFFF)
-        room -= len(found)
+        keep[chosen + 1] = False
+        was = np.append(alive, False)[keep]
+        symbols, last, renewed = symbols[keep], last[keep], renewed[keep]
+        alive = (was[:-1] | renewed[:-1] | renewed[1:]) & ~last[:-1]
     ends = np.flatnonzero(last)
     each = np.zeros(len(sizes), "int64")
     each[sizes > 0] = np.diff(ends, prepend=-1)
+    lengths, done = np.zeros(number - base, "int64"), 0
+    for a, b in zip(left, right):  # a round's rules stand for symbols of earlier rounds
+        lengths[done : done + len(a)] = sum(np.where(x >= base, lengths[np.maximum(x - base, 0)], 1) for x in (a, b))
+        done += len(a)
     none = np.zeros(0, "int64")
-    return symbols, each, np.concatenate([none, *left]), np.concatenate([none, *right])
-
-
-def _frequent(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The `most` most frequent keys of at least LEAST occurrences, ascending; -1 is none."""
-    ordered = np.sort(keys[keys >= 0])
-    begins = np.flatnonzero(np.diff(ordered, prepend=-1))
-    counts = np.diff(np.append(begins, len(ordered)))
-    good = np.flatnonzero(counts >= LEAST)
-    if len(good) > most:
-        good = good[np.argpartition(-counts[good], most - 1)[:most]]
-        good.sort()
-    return ordered[begins[good]], counts[good]
-
-
-def _occurrences(keys: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, index in found) of the keys that are in found, by a table of their hashes."""
-    bits = 16
-    spread = lambda k: ((k.astype("uint64") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype("int64")
-    there = np.zeros(1 << bits, bool)
-    there[spread(found)] = True
-    at = np.flatnonzero(there[spread(keys)])
-    which = np.minimum(np.searchsorted(found, keys[at]), len(found) - 1)
-    good = found[which] == keys[at]
-    return at[good], which[good]
-
-
-def expansions(base: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, sizes, flat): the ids of each nonterminal."""
-    full: list[tuple[int, ...]] = []
-    for a, b in zip(left.tolist(), right.tolist()):
-        full.append((full[a - base] if a >= base else (a,)) + (full[b - base] if b >= base else (b,)))
-    sizes = np.fromiter(map(len, full), "int64", len(full))
-    return np.cumsum(sizes) - sizes, sizes, np.fromiter((k for x in full for k in x), "int64", int(sizes.sum()))
-
-
-def expand(symbols: np.ndarray, base: int, rules: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """The ids that symbols stand for."""
-    starts, sizes, flat = rules
-    high = symbols >= base
-    count = np.ones(len(symbols), "int64")
-    count[high] = sizes[symbols[high] - base]
-    out = np.repeat(symbols, count)
-    inside = np.repeat(high, count)
-    out[inside] = flat[ragged(starts[symbols[high] - base], sizes[symbols[high] - base])]
+    return symbols, each, np.concatenate([none, *left]), np.concatenate([none, *right]), lengths
+
+
+def _alternate(places: np.ndarray) -> np.ndarray:
+    """Of each run of neighbouring places every second one, from the left."""
+    begins = np.flatnonzero(np.diff(places, prepend=-2) != 1)
+    return (np.arange(len(places)) - np.repeat(begins, np.diff(np.append(begins, len(places))))) % 2 == 0
+
+
+def _grouped(symbols: np.ndarray, at: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, counts, places): the distinct pairs at places `at` of symbols below top, the left one in the
+    upper 32 bits; how often each occurs; and the places, pair by pair."""
+    bits, room = top.bit_length(), len(symbols).bit_length()
+    if 2 * bits + room < 64:  # pair and place in one number: faster to sort
+        ordered = np.sort((symbols[at] << bits | symbols[at + 1]) << room | at)
+        places, keys = ordered & ((1 << room) - 1), ordered >> room
+    else:
+        keys = symbols[at] << bits | symbols[at + 1]
+        order = np.argsort(keys, kind="stable")
+        places, keys = at[order], keys[order]
+    begins = np.flatnonzero(np.diff(keys, prepend=-1))
+    keys = keys[begins]
+    return keys >> bits << 32 | keys & ((1 << bits) - 1), np.diff(np.append(begins, len(places))), places
+
+
+def expand(symbols: np.ndarray, base: int, left: np.ndarray, right: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The ids that symbols stand for. The rules' lengths say where each half of a nonterminal begins, so
+    all nonterminals are opened at once, level by level, and only rules that occur are looked at."""
+    size = lambda x: np.where(x >= base, lengths[np.maximum(x - base, 0)], 1) if len(lengths) else np.ones(len(x), "int64")
+    count = size(symbols)
+    place = np.cumsum(count) - count
+    out = np.empty(int(count.sum()), "int64")
+    while len(symbols):
+        high = symbols >= base
+        out[place[~high]] = symbols[~high]
+        rule, at = symbols[high] - base, place[high]
+        symbols = np.concatenate([left[rule], right[rule]])
+        place = np.concatenate([at, at + size(left[rule])])
     return out
 
 
@@ -263,11 +293,12 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
 
 def _shard(part: int, shard: int, ids: list, found: list[np.ndarray], base: int) -> pa.RecordBatch:
     sizes = np.fromiter(map(len, found), "int64", len(found))
-    symbols, each, left, right = compress(np.concatenate(found), sizes, base)
-    lengths = expansions(base, left, right)[1]
-    width = 2 if symbols.max(initial=0) < 1 << 16 else 4
+    symbols, each, left, right, lengths = compress(np.concatenate(found), sizes, base)
+    top = int(symbols.max(initial=0))
+    width = 2 if top < 1 << 16 else 3 if top < 1 << 24 else 4
+    packed = symbols.astype("<u4").view("u1").reshape(-1, 4)[:, :width].tobytes()
     known = [k for k in ids if k is not None]
-    row = (part, shard, min(known, default=None), max(known, default=None), ids, sizes.tolist(), each.tolist(), int(sizes.sum()), base, left.tolist(), right.tolist(), lengths.tolist(), width, symbols.astype(f"<u{width}").tobytes())
+    row = (part, shard, min(known, default=None), max(known, default=None), ids, sizes, each, int(sizes.sum()), base, left, right, lengths, width, packed)
     types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int32(), *[pa.list_(pa.int32())] * 3, pa.int32(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], [c.split()[0] for c in _COLUMNS.split(", ")])
 
@@ -307,14 +338,17 @@ def read_tokens(spark: SparkSession, path: str, ids: list[int] | None = None) ->
 def _documents(row: dict, wanted: set | None) -> Iterator[pa.RecordBatch]:
     array = lambda name: row[name].values.to_numpy(zero_copy_only=False).astype("int64")
     base = row["base"].as_py()
-    symbols = np.frombuffer(row["symbols"].as_buffer(), f"<u{row['width'].as_py()}").astype("int64")
-    rules = expansions(base, array("left"), array("right"))
+    width = row["width"].as_py()
+    packed = np.zeros((len(row["symbols"].as_buffer()) // width, 4), "u1")
+    packed[:, :width] = np.frombuffer(row["symbols"].as_buffer(), "u1").reshape(-1, width)
+    symbols = packed.view("<u4").ravel().astype("int64")
+    rules = array("left"), array("right"), array("lengths")
     names, tokens, each = row["doc_ids"].as_py(), array("doc_tokens"), array("doc_symbols")
     starts, first = row["start"].as_py() + np.cumsum(tokens) - tokens, np.cumsum(each) - each
     chosen = [i for i, k in enumerate(names) if wanted is None or k in wanted]
     for low in range(0, len(chosen), 2048):
         part = np.array(chosen[low : low + 2048])
-        raw = expand(symbols[ragged(first[part], each[part])], base, rules).astype("<u4").tobytes()
+        raw = expand(symbols[ragged(first[part], each[part])], base, *rules).astype("<u4").tobytes()
         ends = 4 * np.cumsum(tokens[part])
         found = [raw[a:b] for a, b in zip((ends - 4 * tokens[part]).tolist(), ends.tolist())]
         yield pa.RecordBatch.from_arrays(
