@@ -1,15 +1,17 @@
 """Exact top-k inner products by aggregation without random access.
 
-Every component is a list of the vectors, sorted by that component. A query reads each list
-from the end that its own component favours. After t entries a vector that was met in a list
-counts there with its value; where it wasn't, its value lies between the list's far end and the
-entry reached last. That gives each vector a lower and an upper bound; reading stops when no
-vector outside the k best lower bounds can reach them, and only what is left gets its final score.
-
-Candidates are dealt into blocks of bounded size, and so are queries; each pair of blocks is one
-group's work. Within it, lists are read a power of two further at a time and bounds are made for
-all queries at once, as products of matrices. Each group returns its k best for each query,
-which a window ranks in the end.
+Every component is a list of the vectors, sorted by that component. A query reads each list in
+turn, from the end that its own component favours, and keeps of each vector what it has met: its
+lower bound takes the list's far end for components not met yet, its upper bound the entry that
+the list was read to. A vector whose upper bound is below the k-th lower bound is out; when the
+others are settled, reading goes on in the same lists for their missing components alone, until
+their scores are whole. Nothing is looked up by vector, and no products of whole vectors are made.
+
+Candidates are dealt into blocks of bounded size, and so are queries; a pair of blocks is one group's
+work. Blocks come in waves, each WAVE times as many as all before: a query enters a wave with the
+k-th score that it has, so a later block reads less and returns only what may still qualify. (Where
+components say little of scores, as with dense random vectors, bounds meet late and lists are
+read nearly to their ends; the work is that of all products then.)
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 
 from siftmill.llm.shared import stored
 
-#: Vectors in a block of candidates, and of queries.
-BLOCK, QUERIES = 4096, 512
+#: Vectors in a block of candidates, and of queries, at most; and what a wave grows by.
+BLOCK, QUERIES, WAVE = 16384, 8192, 8
+#: A query looks at its bounds when it has read this share of the lists, and each time it has doubled.
+FIRST = 64
 
 
 def whole(vector: Column, scale: int = 1024) -> Column:
@@ -32,72 +36,114 @@ def whole(vector: Column, scale: int = 1024) -> Column:
     return F.when(good, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
-def best_of_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vector row, score) of each query's k best vectors, itself left out; ties to the
-    smaller id. Whole numbers in doubles: exact while scores stay below 2^53."""
-    n, dims = vectors.shape
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    order = np.argsort(vectors, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None].repeat(dims, 1), 0)
-    lists = np.take_along_axis(vectors, order, 0)
-    lowest, highest = lists[0], lists[-1]
-    own = query_ids[:, None] == ids[None, :]
-    left = ~own  # whom a query still considers
-    take = min(k, n)
-    depth = max(1, n // 16)
-    while depth < n and take < n:
-        met_high, met_low = rank >= n - depth, rank < depth
-        reached_high, reached_low = lists[n - depth], lists[depth - 1]
-        low = up @ np.where(met_high, vectors, lowest).T + down @ np.where(met_low, vectors, highest).T
-        high = up @ np.where(met_high, vectors, reached_high).T + down @ np.where(met_low, vectors, reached_low).T
-        low[own] = -np.inf
-        kth = np.partition(low, n - take, axis=1)[:, n - take]
-        left = ~own & (high >= kth[:, None])
-        if left.sum() <= 4 * take * len(queries):
-            break
-        depth *= 2
-    rows, at = np.nonzero(left)
-    # Many left: one product for all; few: one sum for each.
-    if len(rows) * 4 > len(queries) * n:
-        score = (queries @ vectors.T)[rows, at]
-    else:
-        score = np.concatenate([np.einsum("ij,ij->i", queries[rows[i : i + 65536]], vectors[at[i : i + 65536]]) for i in range(0, len(rows), 65536)] or [np.zeros(0)])
-    sort = np.lexsort((ids[at], -score, rows))
-    rows, at, score = rows[sort], at[sort], score[sort]
-    first = np.searchsorted(rows, np.arange(len(queries)))
-    kept = np.arange(len(rows)) - first[rows] < k
-    return rows[kept], at[kept], score[kept]
+class Lists:
+    """The sorted lists of a block's vectors, one for each component."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.n = len(vectors)
+        self.order = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T)
+        self.values = np.take_along_axis(np.ascontiguousarray(vectors.T), self.order, 1)
+
+    def best(self, query: np.ndarray, k: int, floor=None, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """(places, scores, entries read): every vector among the query's k best of the block, ties with
+        the k-th included, but none below floor and none of the places in skip."""
+        n, kind = self.n, query.dtype
+        high, low = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        weight = query[np.concatenate([high, low])]
+        ends = np.concatenate([self.values[high, 0], self.values[low, -1]]) * weight  # what each list gives at least
+        bound = np.full(n, ends.sum() if len(ends) else 0, kind)
+        met = np.zeros((n, len(weight)), bool)
+        open_ = np.ones(n, bool)
+        if skip is not None:
+            open_[skip] = False
+        left, read, done = np.flatnonzero(open_), 0, 0
+        settled = False
+        while done < n and len(weight) and len(left):
+            then = min(n, max(1, n // FIRST, 2 * done))
+            place = np.concatenate([self.order[high, n - then : n - done], self.order[low, done:then]])
+            given = np.concatenate([self.values[high, n - then : n - done], self.values[low, done:then]]) * weight[:, None]
+            read += place.size
+            reached = np.concatenate([given[: len(high), 0], given[len(high) :, -1]])
+            more, of = (given - ends[:, None]).ravel(), np.repeat(np.arange(len(weight)), then - done)
+            place = place.ravel()
+            if settled or 4 * len(left) < n:
+                here = open_[place]
+                place, more, of = place[here], more[here], of[here]
+            if kind == object:
+                np.add.at(bound, place, more)
+            else:
+                bound += np.bincount(place, more, n)
+            met[place, of] = True
+            gap = reached - ends
+            upper = bound[left] + gap.sum() - (met[left] @ gap if kind != object else np.array([gap[m].sum() for m in met[left]], object))
+            least = np.partition(bound[left], len(left) - k)[len(left) - k] if len(left) > k else None
+            least = floor if least is None or floor is not None and floor > least else least
+            if least is not None:
+                kept = upper >= least
+                open_[left[~kept]] = False
+                left = left[kept]
+            settled = len(left) <= k
+            if not len(left) or met[left].all():
+                break
+            done = then
+        return left, bound[left], read
+
+
+def best_of_block(queries: np.ndarray, vectors: np.ndarray, k: int, floors: list, skips: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query row, vector row, score, entries read) of each query's k best vectors. Whole numbers, in
+    doubles where sums of products stay below 2^53, else in Python's."""
+    top = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, vectors.shape[1])
+    kind = "float64" if top < 1 << 52 else object
+    lists = Lists(vectors.astype(kind))
+    found, read = [], 0
+    for i, query in enumerate(queries.astype(kind)):
+        at, score, n = lists.best(query, k, floors[i], skips[i])
+        found.append((np.full(len(at), i), at, score))
+        read += n
+    rows, at, score = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, "int64"),) * 3
+    return rows, at, score, read
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """(query_id, rank, id_col, score): each query's k highest integer inner products with the
-    candidates (all of them, if there are fewer), never with the row of its own id.
+    candidates (all of them, if there are fewer), never with its own row.
 
     Vectors are taken as floor(scale * x). Those that are null, or hold null or non-finite
     components, take no part, on either side; neither do null ids. Vectors meet those of their
-    own length only. Ties go to the smaller id. Rows that repeat an id count once (the least
-    vector). Either side may be empty.
+    own length only. Ties go to the smaller id. Rows that repeat wholly count once; rows of one id
+    with different vectors are candidates, and queries, of their own. Either side may be empty.
     """
-    rows = lambda df: df.select(F.col(id_col).cast("long").alias("id"), whole(F.col(vector_col), scale).alias("v")).where("id IS NOT NULL AND v IS NOT NULL").groupBy("id").agg(F.min("v").alias("v"))
-    all_rows, asked = stored(rows(candidates)), stored(rows(queries))
-    blocks = [max(1, -(-df.count() // size)) for df, size in ((all_rows, BLOCK), (asked, QUERIES))]
-    deal = lambda df, n, name: df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    theirs = deal(all_rows, blocks[0], "c").select("id", "v", "c", each(blocks[1], "q"))
-    own = deal(asked, blocks[1], "q").select("id", "v", "q", each(blocks[0], "c"))
-    key = ["q", "c", "dims"]
+    rows = lambda df: df.select(F.col(id_col).cast("long").alias("id"), whole(F.col(vector_col), scale).alias("v")).where("id IS NOT NULL AND v IS NOT NULL").distinct()
+    all_rows, asked = stored(rows(candidates)), stored(rows(queries).withColumn("key", F.xxhash64("id", "v")))
+    total, cores = all_rows.count(), candidates.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-total // BLOCK), min(cores, total // 1024))
+    parts = max(1, -(-asked.count() // QUERIES))
+    dealt = all_rows.withColumn("c", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = asked.withColumn("q", F.pmod("key", F.lit(parts)).cast("int"))
 
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        a, b = (np.array(x["v"].tolist(), "float64").reshape(len(x), -1) for x in (q, c))
+            return pd.DataFrame({"key": [], "query_id": [], "id": [], "score": []})
+        a, b = (np.array(x["v"].tolist(), "int64").reshape(len(x), -1) for x in (q, c))
         ids, query_ids = c["id"].to_numpy(), q["id"].to_numpy()
-        i, j, score = best_of_block(a, query_ids, b, ids, k)
-        return pd.DataFrame({"query_id": query_ids[i], "id": ids[j], "score": score.astype("int64")})
-
-    sized = lambda df: df.withColumn("dims", F.size("v")).groupBy(*key)
-    found = sized(own).cogroup(sized(theirs)).applyInPandas(meet, "query_id long, id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
+        own = {i: n for n, i in enumerate(ids.tolist())} if len(set(ids.tolist())) == len(ids) else None
+        skips = []
+        for i, v in zip(query_ids.tolist(), a):
+            at = np.flatnonzero(ids == i) if own is None else np.array([own[i]] if i in own else [], "int64")
+            skips.append(at[(b[at] == v).all(axis=1)])
+        floors = [None if pd.isna(x) else int(x) for x in q["floor"]]
+        i, j, score, _ = best_of_block(a, b, k, floors, skips)
+        return pd.DataFrame({"key": q["key"].to_numpy()[i], "query_id": query_ids[i], "id": ids[j], "score": score.astype("int64")})
+
+    best, first = None, Window.partitionBy("key", "query_id").orderBy(F.desc("score"), "id")
+    low = 0
+    while low < blocks:
+        high = min(blocks, max(cores, WAVE * low))
+        floors = best.where(F.col("rank") == k).select("key", F.col("score").alias("floor")) if best else asked.select("key", F.lit(None).cast("long").alias("floor")).where("false")
+        own = asked.join(floors, "key", "left").withColumn("c", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
+        sized = lambda df: df.withColumn("dims", F.size("v")).groupBy("q", "c", "dims")
+        found = sized(own).cogroup(sized(dealt.where(F.col("c").between(low, high - 1)))).applyInPandas(meet, "key long, query_id long, id long, score long")
+        found = found if best is None else found.union(best.drop("rank"))
+        best = stored(found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k))
+        low = high
+    return best.select("query_id", "rank", F.col("id").alias(id_col), "score")
