@@ -143,35 +143,27 @@ SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FRO
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 10
 """
 
-# Lines, windows of 50 words, first occurrences, what follows them, and what is left.
+# Lines; the windows of 50 words that begin and that end at each; contents' first places; what is left.
 _OP7 = r"""
-WITH RECURSIVE d AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 l AS (
     SELECT doc_id, pos, line, len(line) - len(replace(line, ' ', '')) + 1 AS words
     FROM (SELECT doc_id, generate_subscripts(parts, 1) AS pos, trim(unnest(parts), ' ') AS line FROM d) WHERE line != ''
 ), n AS (
-    SELECT doc_id, pos, line, words, row_number() OVER o AS n, coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    SELECT doc_id, pos, line, words, row_number() OVER o AS n, sum(words) OVER o - words AS start, sum(words) OVER o AS stop
     FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
 ), w AS (
-    SELECT doc_id, n, pos, line, words, max(n) OVER h AS last, sum(words) OVER h AS held, md5(array_to_string(list(md5(line)) OVER h, '')) AS content
+    SELECT doc_id, n AS low, max(n) OVER h AS high, sum(words) OVER h AS held, md5(array_to_string(list(md5(line)) OVER h, '')) AS content
     FROM n WINDOW h AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+    UNION ALL
+    SELECT doc_id, min(n) OVER h, n, sum(words) OVER h, md5(array_to_string(list(md5(line)) OVER h, ''))
+    FROM n WINDOW h AS (PARTITION BY doc_id ORDER BY stop RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)
 ), f AS (
-    SELECT content, min((doc_id, n, last)) AS first FROM w WHERE held >= 50 GROUP BY content
+    SELECT content, min((doc_id, low, high)) AS first FROM w WHERE held >= 50 GROUP BY content
 ), m AS (
-    SELECT w.doc_id, w.n, w.last, first[1] AS doc0, first[3] AS last0 FROM w JOIN f USING (content)
-    WHERE w.held >= 50 AND (w.doc_id != first[1] OR w.n > first[3])
-), e AS (
-    SELECT doc_id, last, doc0, last0 FROM (SELECT *, lead(n) OVER (PARTITION BY doc_id ORDER BY n) AS next_n FROM m) WHERE next_n IS NULL OR next_n > last + 1
-), x AS (
-    SELECT e.doc_id, e.last, e.doc0, e.last0, 1 AS k, a.words AS used FROM e
-    JOIN w a ON a.doc_id = e.doc_id AND a.n = e.last + 1 JOIN w b ON b.doc_id = e.doc0 AND b.n = e.last0 + 1 AND a.line = b.line
-    UNION ALL
-    SELECT x.doc_id, x.last, x.doc0, x.last0, k + 1, used + a.words FROM x
-    JOIN w a ON a.doc_id = x.doc_id AND a.n = x.last + k + 1 JOIN w b ON b.doc_id = x.doc0 AND b.n = x.last0 + k + 1 AND a.line = b.line
-    WHERE used < 50
+    SELECT DISTINCT w.doc_id, low, high FROM w JOIN f USING (content) WHERE held >= 50 AND (w.doc_id != first[1] OR low > first[3])
 ), c AS (
-    SELECT DISTINCT w.doc_id, w.pos FROM w JOIN (SELECT doc_id, n, last FROM m UNION SELECT doc_id, last + k, last + k FROM x) s
-    ON w.doc_id = s.doc_id AND w.n BETWEEN s.n AND s.last
+    SELECT DISTINCT n.doc_id, n.pos, n.words FROM n JOIN m ON n.doc_id = m.doc_id AND n.n BETWEEN low AND high
 ), g AS (
     SELECT doc_id, list(pos) AS gone FROM c GROUP BY doc_id
 ), t AS (
@@ -181,7 +173,7 @@ SELECT doc_id,
        CASE WHEN len(gone) = 0 THEN text ELSE array_to_string(list_transform(list_filter(list_zip(parts, generate_series(1, len(parts))), lambda x: NOT list_contains(gone, x[2])), lambda x: x[1]), chr(10)) END AS text,
        CAST(coalesce(len(list_filter(parts, lambda x: trim(x, ' ') != '')), 0) AS BIGINT) AS lines,
        CAST(len(gone) AS BIGINT) AS lines_removed,
-       CAST(coalesce((SELECT sum(words) FROM l JOIN c USING (doc_id, pos) WHERE l.doc_id = t.doc_id), 0) AS BIGINT) AS words_removed
+       CAST(coalesce((SELECT sum(words) FROM c WHERE c.doc_id = t.doc_id), 0) AS BIGINT) AS words_removed
 FROM t
 """
 
