@@ -74,21 +74,65 @@ def test_token_archive_of_no_rows_and_null_ids(spark):
     assert grammar.round_trip(df.where("false"), path).collect() == []
 
 
-@pytest.mark.parametrize("base", [50, 60_000, 200_000])
+def brute_pairs(symbols, each):
+    """Non-overlapping occurrences of the most frequent pair inside documents."""
+    counts, at = {}, 0
+    for k in each.tolist():
+        before = None
+        for i in range(at, at + k - 1):
+            pair = (int(symbols[i]), int(symbols[i + 1]))
+            if pair == before:  # the one before took this pair's left symbol
+                before = None
+                continue
+            counts[pair] = counts.get(pair, 0) + 1
+            before = pair if pair[0] == pair[1] else None
+        at += k
+    return max(counts.values(), default=0)
+
+
+@pytest.mark.parametrize("base", [50, 60_000, 1 << 25])
 def test_grammars_expand_to_what_they_were(base, monkeypatch):
+    """Exact, and no pair is left that occurs LEAST times: random ids, repeats, runs of one id, passages."""
     monkeypatch.setattr(grammar, "LEAST", 3)
     rng = np.random.default_rng(8)
-    for n in (0, 1, 2, 50, 5000):
+    passage = rng.integers(0, 40, 300)
+    cases = [rng.integers(0, 4, n) for n in (0, 1, 2, 50)] + [np.tile(rng.integers(0, 30, 100), 50), np.zeros(777, "int64"), np.concatenate([np.concatenate([passage, rng.integers(0, 40, 30)]) for _ in range(9)])]
+    for ids in cases:
+        n = len(ids)
         sizes = np.array([n // 3, 0, n - n // 3])
-        ids = rng.integers(0, 4, n) if n < 5000 else np.tile(rng.integers(0, 30, 100), 50)
-        symbols, each, left, right = grammar.compress(ids, sizes, base)
-        rules = grammar.expansions(base, left, right)
+        symbols, each, left, right, lengths = grammar.compress(ids, sizes, base)
         ends = np.cumsum(each)
-        parts = [grammar.expand(symbols[b - k : b], base, rules).tolist() for b, k in zip(ends, each)]
+        parts = [grammar.expand(symbols[b - k : b], base, left, right, lengths).tolist() for b, k in zip(ends, each)]
         bounds = np.cumsum(sizes)
         assert parts == [ids[b - k : b].tolist() for b, k in zip(bounds, sizes)]
-        assert n < 5000 or len(symbols) < n / 5
-        assert base >= 1 << 16 or symbols.max(initial=0) < 1 << 16
+        assert [len(grammar.expand(np.array([base + i]), base, left, right, lengths)) for i in range(len(left))] == lengths.tolist()
+        assert brute_pairs(symbols, each) < 3
+        assert n < 5000 or len(symbols) < n / 20
+
+
+def test_documents_longer_than_a_shard(spark, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(grammar, "SHARD", 500)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["short one", "word and more " * 900, None, "again " * 200]
+    found = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in grammar.round_trip(frame(spark, texts), path).collect()}
+    library = Tokenizer.from_file(path)
+    assert found == {i: library.encode(t or "", add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+
+
+def test_other_tokenizer_files_get_texts_whole(tmp_path, texts):
+    from tokenizers import Tokenizer
+
+    import pyarrow as pa
+
+    path = tmp_path / "other.json"
+    held = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    held.normalizer = None
+    held.save(str(path))
+    other = grammar.WordEncoder(str(path))
+    assert other.whole and not grammar.WordEncoder(public_tokenizers.path("word_bpe_49k.json")).whole
+    assert [x.tolist() for x in other.encode(pa.array(texts), 1)] == [held.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -107,8 +151,30 @@ def test_warc_round_trip(spark, tmp_path):
     for r in sorted(chunks.where("record_type != 'revisit'").collect(), key=lambda r: (r.record_id, r.chunk_no)):
         whole[r.record_id] = whole.get(r.record_id, b"") + bytes(r.data)
     assert whole == {i: d for i, d in data.items() if i not in first}
-    raw = b"".join(bytes(r.content) for r in spark.read.format("binaryFile").load(path).collect())
-    assert raw[:2] == b"\x1f\x8b"
+    import gzip
+
+    raw = b"".join(gzip.decompress(bytes(r.content)) for r in spark.read.format("binaryFile").load(path).collect()).decode()
+    heads = [part.split("\r\n\r\n")[0] for part in raw.split("WARC/1.1\r\nWARC-Type: ")[1:] if "WARC-Record-ID" in part]
+    named = {x.split("WARC-Record-ID: ")[1].split("\r\n")[0] for x in heads}
+    refers = {x.split("WARC-Refers-To: ")[1].split("\r\n")[0] for x in heads if "WARC-Refers-To" in x}
+    assert refers and refers <= named and all("\r\nWARC-Date: 20" in x for x in heads)
+
+
+def test_warc_payloads_with_any_line_ends(spark):
+    """Payloads that end in parts of a record's end, in files of many buffers."""
+    ends = ["\r\n", "\n", "\r", "\r\n\r\n", "\r\n\r", "\r\n\r\nWARC/1.1\r\n", "end"]
+    df = spark.range(20_000).selectExpr("id AS page_id", "concat('http://h/', id) AS url", f"concat(repeat(concat(id, '\\r\\n'), cast(id % 97 AS int)), element_at(array({', '.join(repr(e) for e in ends)}), cast(id % {len(ends)} AS int) + 1)) AS html")
+    expected = df.selectExpr("page_id", "CAST(octet_length(html) AS LONG) AS payload_bytes", "sha2(html, 256) AS payload_digest")
+    found = warc.round_trip(df.repartition(3), size=100).select("page_id", "payload_bytes", "payload_digest")
+    assert found.exceptAll(expected).count() == 0 and expected.exceptAll(found).count() == 0
+
+
+def test_warc_of_a_payload_of_many_chunks(spark):
+    """A payload beyond the real chunk size, split and put together."""
+    df = spark.sql("SELECT 1L AS page_id, 'u' AS url, repeat('long line\n', 200000) AS html UNION ALL SELECT 2L, 'v', 'short'")
+    found = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.round_trip(df).collect()}
+    long = b"long line\n" * 200_000
+    assert found == {1: (len(long), hashlib.sha256(long).hexdigest()), 2: (5, hashlib.sha256(b"short").hexdigest())}
 
 
 def test_warc_of_repeated_rows_null_ids_and_no_rows(spark):
@@ -125,5 +191,8 @@ def test_changed_archives_are_refused(spark, tmp_path):
     chunks = warc.read_archive(spark, f"file://{tmp_path}/w")
     with pytest.raises(Exception, match="other bytes than stated"):
         warc.verified_records(chunks.withColumn("data", F.expr("overlay(data PLACING X'00' FROM 1)"))).collect()
+    for lost in (0, 1, 2):
+        with pytest.raises(Exception, match="was due"):
+            warc.verified_records(chunks.where(f"chunk_no != {lost}")).collect()
     with pytest.raises(Exception, match="was due"):
-        warc.verified_records(chunks.where("chunk_no != 1")).collect()
+        warc.verified_records(chunks.union(chunks)).collect()

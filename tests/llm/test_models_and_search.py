@@ -112,7 +112,7 @@ def brute_top(vectors, queries, k):
 
 @pytest.mark.parametrize("spread", [1.0, 0.01])
 def test_top_k_equals_brute_force(spark, spread, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "BLOCK", 24)  # 21 blocks: three waves
     monkeypatch.setattr(topk, "QUERIES", 16)
     rng = np.random.default_rng(5)
     values = {i: (rng.normal(size=12) * spread).astype("float32").tolist() for i in range(400)}
@@ -125,11 +125,46 @@ def test_top_k_equals_brute_force(spark, spread, monkeypatch):
     assert topk.top_k(df.where("false"), df).collect() == [] and topk.top_k(df, df.where("false")).collect() == []
 
 
-def test_bounds_stop_early():
-    """Where one component decides, few vectors get a final score."""
+def test_top_k_of_ids_that_repeat(spark):
+    """Rows of one id with other vectors are candidates of their own, for their own id's queries too."""
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 2.0]), (1, [1.0, 0.0]), (2, [3.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id = 2")).collect())
+    assert got == [(2, 1, 1, 3 * 1024**2), (2, 2, 1, 2 * 1024**2)]
+    both = sorted((r.rank, r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id = 1")).collect())
+    assert both == [(1, 2, 2 * 1024**2), (1, 2, 3 * 1024**2), (2, 1, 0), (2, 1, 0)]
+
+
+def exact(vectors, queries, k, floors):
+    out = set()
+    for i, q in enumerate(queries.tolist()):
+        scores = [sum(a * b for a, b in zip(q, v)) for v in vectors.tolist()]
+        least = max(sorted(scores)[-k], -(10**30) if floors[i] is None else floors[i])
+        out |= {(i, j, s) for j, s in enumerate(scores) if s >= least}
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 10**9, 10**17])
+def test_lists_give_whole_scores(size):
+    """Ties, zeros, floors; numbers beyond doubles too."""
+    rng = np.random.default_rng(7)
+    for n, dims in ((1, 3), (40, 5), (300, 8)):
+        vectors, queries = (rng.integers(-3, 4, (m, dims)) * size for m in (n, 6))
+        if size > 10**9:
+            queries = queries // size
+        queries[0] = 0
+        floors = [None, None, 0, 5 * size, None, 10**18]
+        i, j, s, _ = topk.best_of_block(queries, vectors, min(4, n), floors, [np.zeros(0, "int64")] * 6)
+        assert set(zip(i.tolist(), j.tolist(), map(int, s))) == exact(vectors, queries, min(4, n), floors)
+
+
+def test_reading_stops_early_where_bounds_allow():
+    """Where a few vectors lead in all lists, a small part of these is read; a floor saves more."""
     rng = np.random.default_rng(6)
-    vectors = np.floor(rng.normal(size=(2000, 4)) * [1000, 10, 10, 10])
-    i, j, s = topk.best_of_block(vectors[:3], np.arange(3), vectors, np.arange(2000), 5)
-    exact = vectors[:3] @ vectors.T
-    exact[np.arange(3), np.arange(3)] = -np.inf
-    assert s.reshape(3, 5).tolist() == (-np.sort(-exact, axis=1)[:, :5]).tolist()
+    vectors = np.floor(rng.pareto(1.0, (5000, 1)) * rng.uniform(80, 120, (5000, 4))).astype("int64")
+    queries = np.array([[5, 5, 5, 5], [1, 0, 0, 0]])
+    none = [np.zeros(0, "int64")] * 2
+    i, j, s, read = topk.best_of_block(queries, vectors, 5, [None, None], none)
+    assert set(zip(i.tolist(), j.tolist(), map(int, s))) == exact(vectors, queries, 5, [None, None])
+    assert read < 0.05 * (4 + 1) * 5000
+    high = int(5 * vectors.sum(axis=1).max() + 1)
+    assert topk.best_of_block(queries[:1], vectors, 5, [high], none)[3] <= 4 * 5000 // topk.FIRST

@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import re
 import zlib
 
 import duckdb
@@ -10,8 +11,8 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline as pipeline
-from siftmill.llm import bpe, queries
-from tests.llm.test_text_dedup import brute_components, brute_fingerprint, brute_lines
+from siftmill.llm import bpe, queries, toxicity
+from tests.llm.test_text_dedup import brute_components, brute_fingerprint, brute_lines, brute_overlaps, brute_resemblance
 
 DATA, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = ("documents", "embeddings", "pages", "benchmark", "labels")
@@ -80,17 +81,33 @@ def test_op10_is_right_on_held_out_rows(spark, duck):
     assert len(judged) > 80 and np.mean(judged) > 0.95
 
 
-def test_op5_ranks_toxic_texts_first(spark, duck):
+def test_op5_ranks_toxic_texts_first_on_held_out_rows(spark, duck):
+    """Fitted on two thirds of the labels, measured on the others."""
     labels = dict(duck.execute(f"SELECT doc_id, toxic FROM '{LARGER}/labels.parquet'").fetchall())
-    rows = [r for r in queries.op5_toxicity(spark, LARGER).collect() if r.doc_id in labels]
+    docs, marks = (queries.table(spark, LARGER, n) for n in ("documents", "labels"))
+    held = {i for i in labels if zlib.crc32(str(i).encode()) % 3 == 1}
+    rows = [r for r in toxicity.severity(docs, queries.learned(marks)).collect() if r.doc_id in held]
     toxic, clean = ([r.expected_severity for r in rows if labels[r.doc_id] == k] for k in (1, 0))
     assert np.mean([(a > b) + (a == b) / 2 for a in toxic for b in clean]) > 0.8
 
 
-def test_op6_finds_contained_passages(spark, duck, texts):
-    found = {r.doc_id for r in queries.op6_decontamination(spark, DATA).collect()}
-    items = [t for (t,) in duck.execute("SELECT text FROM benchmark").fetchall()]
-    assert {i for i, t in texts.items() if any(b in (t or "") for b in items)} <= found
+def test_op6_equals_brute_force_alignment(spark, duck, texts):
+    """Every alignment of every document with every item, and hence passages that are contained whole."""
+    got = {r.doc_id: r.n_items for r in queries.op6_decontamination(spark, DATA).collect()}
+    words = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
+    items = {}
+    for i, t in duck.execute("SELECT item_id, text FROM benchmark ORDER BY item_id").fetchall():
+        items.setdefault(words(t), i)
+    found = brute_overlaps({d: words(t) for d, t in texts.items()}, {i: t for t, i in items.items()})
+    assert got == {d: sum(x == d for x, _ in found) for d, _ in found} and got
+    assert {d for d, t in texts.items() if any(b in words(t) for b in items)} <= set(got)
+
+
+def test_all_queries_of_the_subpackage_register():
+    import __spark_entry__
+
+    named = {n for n in __spark_entry__.queries() if n.startswith("op") and n[2].isdigit()}
+    assert len(named) == 10 and named == set(queries.QUERIES) and "pipeline" in __spark_entry__.queries()
 
 
 def test_pipeline(spark, texts):
@@ -106,9 +123,8 @@ def test_pipeline(spark, texts):
             expected = {i: t for i, t in brute_lines(before, 50).items() if t.strip(" \n") or not (before[i] or "").strip(" \n")}
             assert after == expected
             assert all(r.n_chars == len(r.text) for r in docs.collect())
-        if name == "SimHash near-dedup":
-            components = brute_components({i: brute_fingerprint(t) for i, t in before.items()})
-            assert set(after) == set(components.values())
+        if name == "SimHash near-dedup":  # the stage's own contract: five words, a similarity of 0.8
+            assert set(after) == set(brute_resemblance(before).values())
     assert [len(a) <= len(b) for b, a in kept] == [True] * 4 and kept[-1][1]
     last = {r.doc_id: r for r in pipeline.STAGES[4][1](spark, docs, DATA).collect()}
     own = library()

@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -58,7 +59,7 @@ def test_simhash_equals_brute_force(spark):
     assert simhash.near_duplicates(df.union(df.where("doc_id = 1"))).count() == len(texts) + 1
 
 
-@pytest.mark.parametrize("heavy", [simhash.HEAVY, 2])
+@pytest.mark.parametrize("heavy", [simhash.HEAVY, 2, 60])
 def test_links_of_random_fingerprints(spark, heavy, monkeypatch):
     """Dense and sparse groups, with the pairs of large index keys by meeting points too."""
     monkeypatch.setattr(simhash, "HEAVY", heavy)
@@ -95,35 +96,28 @@ def test_components_of_a_chain_and_a_star(spark):
 
 
 def brute_lines(docs, least):
-    """{id: kept text} by the definition in linededup's head."""
+    """{id: kept text}: common runs of lines are walked place by place, from their first line to their
+    last; of a run in one document, parts that don't overlap their earlier place count."""
     lines = {}
     for d, t in docs.items():
         own = [(i, x.strip(" ")) for i, x in enumerate((t or "").split("\n")) if x.strip(" ")]
         lines[d] = [(i, x, x.count(" ") + 1) for i, x in own]
-    windows, gone = {}, {d: set() for d in docs}
-    spans = []
+    places, gone = {}, {d: set() for d in docs}
     for d in sorted(docs):
-        for a in range(len(lines[d])):
-            held, b, cover = 0, a, []
-            while b < len(lines[d]) and held < least:
-                cover.append(lines[d][b][1])
-                held += lines[d][b][2]
-                b += 1
-            if held < least:
-                continue
-            first = windows.setdefault(tuple(cover), (d, a, b))
-            if first[0] != d or a >= first[2]:
-                spans.append((d, a, b, first))
-    for k, (d, a, b, (d0, _, b0)) in enumerate(spans):
-        gone[d] |= {lines[d][i][0] for i in range(a, b)}
-        after = spans[k + 1] if k + 1 < len(spans) and spans[k + 1][0] == d else None
-        if after and after[1] <= b:
-            continue
-        used = 0
-        while b < len(lines[d]) and b0 < len(lines[d0]) and lines[d][b][1] == lines[d0][b0][1] and used < least:
-            gone[d].add(lines[d][b][0])
-            used += lines[d][b][2]
-            b, b0 = b + 1, b0 + 1
+        own = lines[d]
+        for a, (_, x, _) in enumerate(own):
+            for d0, a0 in places.setdefault(x, []):
+                if a and a0 and own[a - 1][1] == lines[d0][a0 - 1][1] and (d != d0 or a != a0):
+                    continue  # the run began before
+                k = 0
+                while a + k < len(own) and a0 + k < len(lines[d0]) and own[a + k][1] == lines[d0][a0 + k][1]:
+                    k += 1
+                apart = k if d != d0 else a - a0
+                for begin in range(a, a + k - min(k, apart) + 1):
+                    part = own[begin : begin + min(k, apart)]
+                    if sum(n for _, _, n in part) >= least:
+                        gone[d] |= {i for i, _, _ in part}
+            places[x].append((d, a))
     return {d: t if not gone[d] else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in docs.items()}
 
 
@@ -141,6 +135,27 @@ def test_line_dedup_equals_brute_force(spark):
     assert any(r.lines_removed for r in rows) and all(r.component == "b" for r in rows)
 
 
+def test_a_run_is_deleted_whole_whatever_else_repeats_parts_of_it(spark):
+    """Lines of 30, 30 and 10 words: the longest common run counts, not the first place of its window."""
+    a, b, c, z = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 30), ("b", 30), ("c", 10), ("z", 10)))
+    docs = {1: f"{a}\n{b}", 2: f"{z}\n{a}\n{b}\n{c}", 3: f"{c}\n{a}\n{b}\n{c}\n{z}", 4: f"{z}\n{a}\n{b}\n{a}"}
+    df = spark.createDataFrame([(i, t, "a", "b", 0) for i, t in docs.items()], SCHEMA)
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(df).collect()}
+    assert got == brute_lines(docs, 50) == {1: docs[1], 2: f"{z}\n{c}", 3: f"{c}\n{z}", 4: a}
+    names = df.selectExpr("doc_id", "text", "1 AS lines", "2 AS gone", "3 AS split", "4 AS item", "5 AS doc", "6 AS version")
+    assert linededup.keep_new_lines(names).columns == names.columns
+    assert sorted(linededup.dedup_lines(names).columns) == sorted({*names.columns, "lines_removed", "words_removed"})
+
+
+def test_line_dedup_of_hot_contents(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "HOT", 3)
+    rng = random.Random(9)
+    shared = ["\n".join(words(rng, 9) for _ in range(4)) for _ in range(3)]
+    docs = {i: words(rng, 8) + "\n" + rng.choice(shared) + "\n" + words(rng, 8) for i in range(40)}
+    df = spark.createDataFrame([(i, t, "a", "b", 0) for i, t in docs.items()], SCHEMA)
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(df, words=20).collect()} == brute_lines(docs, 20)
+
+
 def test_line_dedup_of_repeated_rows_null_ids_and_no_rows(spark):
     long = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, long), (1, long), (2, "x\n" + long), (None, long), (3, long)], "doc_id long, text string")
@@ -152,7 +167,7 @@ def test_line_dedup_of_repeated_rows_null_ids_and_no_rows(spark):
 
 def test_decontamination_finds_changed_passages_and_leaves_others(spark):
     rng = random.Random(4)
-    items = {i: words(rng, 40, 5000) for i in range(5)} | {5: words(rng, 13, 5000), 6: "too short to match", 7: None}
+    items = {i: words(rng, 40, 5000) for i in range(5)} | {5: words(rng, 13, 5000), 6: "too short to match", 7: None, 9: "", 11: words(rng, 8, 5000), 12: "Of five words in all"}
     items[8] = items[0]
     changed = items[1].split()
     for i in (3, 9, 14, 22, 30):
@@ -161,25 +176,27 @@ def test_decontamination_finds_changed_passages_and_leaves_others(spark):
         10: words(rng, 50) + " " + items[0] + " " + words(rng, 50), 11: " ".join(changed), 12: words(rng, 300, 5000),
         13: items[2].upper().replace(" ", ", "), 14: " ".join(items[3].split()[:9]), 15: None, 16: "", 17: "too short to match",
         18: words(rng, 5000, 5000) + " " + items[5] + " " + words(rng, 5000, 5000), 19: " ".join(items[4].split()[20:]) + " " + " ".join(items[2].split()[:20]),
+        20: words(rng, 30) + " " + items[11] + " tail", 21: " ".join(items[11].split()[:7]) + " other", 22: "of FIVE words, in all!", 23: "of five words in all the texts", 24: "it is too short to match that",
     }
     df = spark.createDataFrame([(i, t, "a", "b", 0) for i, t in docs.items()], SCHEMA)
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.overlaps(df, bench).collect()}
-    assert got == {(10, 0), (11, 1), (13, 2), (18, 5), (19, 4), (19, 2)}
+    # Items under 12 tokens: verbatim; under 6, as a whole text only.
+    assert got == {(10, 0), (11, 1), (13, 2), (17, 6), (18, 5), (19, 4), (19, 2), (20, 11), (22, 12)}
     assert {r.doc_id: (r.n_items, r.first_item) for r in decontam.contaminated(df, bench).collect()}[19] == (2, 2)
     kept = decontam.drop_contaminated(df.union(spark.createDataFrame([(None, items[0], "a", "b", 0)], SCHEMA)), bench)
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 12, 14, 15, 16, 17]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 12, 14, 15, 16, 21, 23, 24]
     assert decontam.overlaps(df, bench.where("false")).collect() == [] and decontam.overlaps(df.where("false"), bench).collect() == []
 
 
 def test_decontamination_of_many_positions_in_one_text(spark):
     rng = random.Random(5)
     item = words(rng, 30, 5000)
-    for before in (decontam.CHUNK - 20, decontam.CHUNK - 1, decontam.CHUNK, 2 * decontam.CHUNK + 5):
+    for before in (2028, 2047, 2048, 4101):
         df = spark.createDataFrame([(1, words(rng, before, 5000) + " " + item)], "doc_id long, text string")
         found = decontam.overlaps(df, spark.createDataFrame([(0, item)], "item_id long, text string")).first()
         assert (found.matched, found.compared) == (16, 16)
-    assert df.select(F.size(decontam.tokens(F.col("text")))).first()[0] == 2 * decontam.CHUNK + 35
+    assert df.select(F.size(decontam.tokens(F.col("text")))).first()[0] == 4131
 
 
 def test_masks_hit_every_overlap_that_the_check_accepts():
@@ -190,15 +207,20 @@ def test_masks_hit_every_overlap_that_the_check_accepts():
 
 def brute_overlaps(docs, items):
     """Pairs with a window of 16 aligned tokens (all, of fewer; 12 at least) of which 80 % agree."""
-    found = set()
-    for d, text in docs.items():
-        for i, item in items.items():
-            a, b = text.split(), item.split()
-            for shift in range(-len(b), len(a)):
-                same = [a[shift + k] == b[k] for k in range(len(b)) if 0 <= shift + k < len(a)]
-                size = min(16, len(same))
-                if size >= 12 and any(10 * sum(same[k : k + size]) >= 8 * size for k in range(len(same) - size + 1)):
+    found, numbers = set(), {}
+    coded = lambda t: np.array([numbers.setdefault(w, len(numbers)) for w in t.split()], "int32")
+    docs, items = ({k: coded(t) for k, t in x.items()} for x in (docs, items))
+    for d, a in docs.items():
+        for i, b in items.items():
+            for shift in range(12 - len(b), len(a) - 11):
+                low, high = max(shift, 0), min(shift + len(b), len(a))
+                size = min(16, high - low)
+                if size < 12:
+                    continue
+                sums = np.concatenate([[0], np.cumsum(a[low:high] == b[low - shift : high - shift])])
+                if 10 * (sums[size:] - sums[:-size]).max() >= 8 * size:
                     found.add((d, i))
+                    break
     return found
 
 
