@@ -20,6 +20,7 @@ lengths say where the parts of a nonterminal go, so nothing else has to be expan
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Iterator
@@ -40,7 +41,7 @@ SHARD = 1 << 20
 #: Occurrences that a pair must have: a rule takes the room of about four symbols.
 LEAST = 12
 #: Pieces of text that a worker remembers at most, and bytes of text that it encodes at a time.
-REMEMBERED, PIECE = 400_000, 8_000_000
+REMEMBERED, PIECE = 800_000, 8_000_000
 
 #: Texts on which a tokenizer's way with words is compared with the library's before it is used.
 PROBES = ("The cat's 12 mats, WE'LL see!", "a\tb\nc  d ", "Ünï çödé ß ÿ", "x.y-z_0 (q) #1 @a $5", "e\u0301 日本 語", "don't 'stop' I'm", "<|endoftext|> a", "İ ǅ \u200b", "")
@@ -139,8 +140,12 @@ class WordEncoder:
         # Arrow numbers the batch's distinct pieces; only they are looked up here.
         coded = split.flatten().dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False)
-        codes = np.fromiter(map(self.pieces.__getitem__, distinct), "int64", len(distinct))[coded.indices.to_numpy()]
-        self._learn_pieces()
+        codes = np.fromiter(map(self.pieces.__getitem__, distinct), "int32", len(distinct))[coded.indices.to_numpy()]
+        gc.disable()  # new words are many small objects, none of them garbage
+        try:
+            self._learn_pieces()
+        finally:
+            gc.enable()
         sizes = self.piece_sizes[codes]
         ids = self.piece_ids[ragged((np.cumsum(self.piece_sizes) - self.piece_sizes)[codes], sizes)]
         bounds = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]
@@ -156,7 +161,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int) -> tuple[np.ndarray,
     overlap the one that occurs more often. Rounds go on until no pair is left that can be replaced
     LEAST times. A pair's count only falls once it is known, so later rounds look at those pairs
     only that were frequent or that hold a symbol of the last round."""
-    symbols = ids.astype("int64")
+    symbols = ids.astype("int32")
     last = np.zeros(len(ids), bool)
     last[np.cumsum(sizes)[sizes > 0] - 1] = True
     left, right, number = [], [], base
@@ -211,7 +216,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int) -> tuple[np.ndarray,
         lengths[done : done + len(a)] = sum(np.where(x >= base, lengths[np.maximum(x - base, 0)], 1) for x in (a, b))
         done += len(a)
     none = np.zeros(0, "int64")
-    return symbols, each, np.concatenate([none, *left]), np.concatenate([none, *right]), lengths
+    return symbols.astype("int64"), each, np.concatenate([none, *left]), np.concatenate([none, *right]), lengths
 
 
 def _alternate(places: np.ndarray) -> np.ndarray:
@@ -225,10 +230,10 @@ def _grouped(symbols: np.ndarray, at: np.ndarray, top: int) -> tuple[np.ndarray,
     upper 32 bits; how often each occurs; and the places, pair by pair."""
     bits, room = top.bit_length(), len(symbols).bit_length()
     if 2 * bits + room < 64:  # pair and place in one number: faster to sort
-        ordered = np.sort((symbols[at] << bits | symbols[at + 1]) << room | at)
+        ordered = np.sort((symbols[at].astype("int64") << bits | symbols[at + 1]) << room | at)
         places, keys = ordered & ((1 << room) - 1), ordered >> room
     else:
-        keys = symbols[at] << bits | symbols[at + 1]
+        keys = symbols[at].astype("int64") << bits | symbols[at + 1]
         order = np.argsort(keys, kind="stable")
         places, keys = at[order], keys[order]
     begins = np.flatnonzero(np.diff(keys, prepend=-1))
