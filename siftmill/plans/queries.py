@@ -356,11 +356,30 @@ def json_flatten_paths(spark, sf_dir):
     return N.flatten(table(spark, sf_dir, "events"), "event_id", "props")
 
 
+_SHAPES = """'{"a":{"b":' || user_id || '},"t":["' || event_type || '","x"],"g":[[1,2],[3,4]],"e":[],"o":[{"k":' || event_id || '},{"k":null}],"w":[{},{},{},{},{}],"m":[1,null],"s":[1,2,3,4,5,6,7,8,9,10,11,12,13],"p":{"q":' || props || '}}'"""
+
+
+@query("""
+SELECT event_id, path, value FROM (
+    SELECT event_id, 'a.b' AS path, CAST(user_id AS VARCHAR) AS value FROM events UNION ALL SELECT event_id, 't', event_type || ', x' FROM events
+    UNION ALL SELECT event_id, 'g', '[grid 2x2]' FROM events UNION ALL SELECT event_id, 'e', NULL FROM events
+    UNION ALL SELECT event_id, 'o[0].k', CAST(event_id AS VARCHAR) FROM events UNION ALL SELECT event_id, 'o[1].k', NULL FROM events
+    UNION ALL SELECT event_id, 'w', '[nested array of 5 objects]' FROM events UNION ALL SELECT event_id, 'm', '[nested list of 2 items]' FROM events
+    UNION ALL SELECT event_id, 's', '[list of 13 items]' FROM events UNION ALL SELECT event_id, 'p.q.k', json_extract_string(props, '$.k') FROM events
+)
+""")
+def json_flatten_shapes(spark, sf_dir):
+    """Objects in objects, lists of scalars, objects, lists and mixtures, markers."""
+    return N.flatten(table(spark, sf_dir, "events").select("event_id", F.expr(_SHAPES).alias("j")), "event_id", "j")
+
+
 def _turns(spark, sf_dir):
+    """A report for each conversation, in parts of bounded size: a long one is no single row."""
     df = table(spark, sf_dir, "conversations")
     row = F.struct("turn", "role", F.length("text").alias("chars"))
-    rows = F.array_sort(F.collect_list(row))
-    return df.groupBy("conv_id").agg(F.to_json(F.struct(F.concat(F.lit("talk "), F.col("conv_id").cast("string")).alias("title"), rows.alias("turns"), F.transform(rows, lambda x: x["role"]).alias("roles"))).alias("json"))
+    rows = F.collect_list(row)
+    whole = F.to_json(F.struct(F.concat(F.lit("talk "), F.col("conv_id").cast("string")).alias("title"), rows.alias("turns"), F.transform(rows, lambda x: x["role"]).alias("roles")))
+    return df.groupBy("conv_id", F.expr("pmod(xxhash64(turn, text), greatest(1, turn div 256))")).agg(whole.alias("json")).select("conv_id", "json")
 
 
 @query("""

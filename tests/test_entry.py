@@ -88,7 +88,8 @@ def test_digest_of_a_table(spark):
     profile, summary = found["profile"], found["summary"]
     assert profile["dataset"] == {"rows": 150, "columns": 5, "duplicate_rows": 0}
     assert profile["data_types"] == {"numeric": 3, "categorical": 1, "text": 1, "datetime": 0, "boolean": 0}
-    assert summary["title"] == "general summary - 150 records, 5 columns" and "3 numeric, 1 categorical, 1 text" in summary["executive_summary"]
+    assert summary["title"].endswith("table of 150 rows by 5 columns") and "3 numeric, 1 text, 1 categorical" in summary["executive_summary"]
+    assert "None of its 150 rows repeats" in summary["executive_summary"] and any("c_acctbal (mean" in x for x in summary["key_findings"])
     assert len(profile["sample"]) == 15 and summary["calculated_metrics"]["row_count"] == 150
     empty = P.digest(spark.createDataFrame([], "a int, b string"))
     assert empty["profile"]["dataset"]["rows"] == 0
