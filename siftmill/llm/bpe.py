@@ -27,6 +27,10 @@ from siftmill.llm.pieces import coder, ragged, splitter
 
 #: Characters of text that make up a block, and at most (but for one longer text) 1.25 times that.
 BLOCK = 8_000_000
+#: Bytes of text for each bucket of distinct words and for each part of a shuffle: what a task holds.
+BUCKET = 64_000_000
+#: Texts on which cutting at single spaces is compared with a pattern's own matches before it is used.
+PROBES = ("It's a cat, isn't it? 12 345 x", "tab\there and  two", " lead mid\n next\r\n a b ", "a1 b2c (d) #e -f _g", "Ünï çödé 日本 語 e\u0301 x", "I'M WE'll  'S ...! ?", "a \u00a0b c\u3000 d")
 _BLOCKS = "block long, bucket int, data array<binary>, ids array<long>"
 
 
@@ -138,8 +142,9 @@ def split_blocks(df: DataFrame, id_col: str, text_col: str, pattern: str, bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matches, task = splitter(pattern), TaskContext.get().partitionId()
+        cut_up = cuts_at_spaces(matches)
         for n, (ids, texts) in enumerate(_gather(batches)):
-            yield _block_rows((task << 32) + n, ids, texts, matches, buckets)
+            yield _block_rows((task << 32) + n, ids, texts, matches, buckets, cut_up)
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, _BLOCKS)
@@ -163,26 +168,41 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
         yield ids, texts
 
 
-def _block_rows(block: int, ids: list, texts: list[str], matches: Callable, buckets: int) -> pa.RecordBatch:
-    # A single space between two other characters is always a boundary between matches, so texts are
-    # cut there by str.split and the pattern sees each distinct cut once, with its space. A text
-    # with more white space beside such a space goes to the pattern whole.
+def _odd(cut: str) -> bool:
+    """Whether a cut has more white space beside a single space."""
+    return not cut or cut[0].isspace() or cut[-1].isspace()
+
+
+def cuts_at_spaces(matches: Callable) -> bool:
+    """Whether a pattern lets a match begin at every single space between two other characters."""
+    for text in PROBES:
+        first, *parts = text.split(" ")
+        if not (not first or first[-1].isspace() or any(map(_odd, parts))) and matches(text) != [w for p in (first, *(" " + x for x in parts)) for w in matches(p)]:
+            return False
+    return True
+
+
+def _block_rows(block: int, ids: list, texts: list[str], matches: Callable, buckets: int, cut_up: bool) -> pa.RecordBatch:
+    # With patterns like the usual ones, a single space between two other characters is always a
+    # boundary between matches, so texts are cut there by str.split and the pattern sees each
+    # distinct cut once, with its space. A text with more white space beside such a space goes to
+    # the pattern whole, and so does every text where the pattern is of another kind.
     cuts, words = coder(), coder()
     docs: list[tuple] = []
     for text in texts:
-        first, *parts = text.split(" ")
+        first, *parts = text.split(" ") if cut_up else [""]
         docs.append((first, np.fromiter(map(cuts.__getitem__, parts), "int32", len(parts))))
     sizes, flat, odd = np.zeros(len(cuts), "int32"), [], np.zeros(len(cuts), bool)
     for i, cut in enumerate(cuts):
         before = len(flat)
         flat += [words[w] for w in matches(" " + cut)]
         sizes[i] = len(flat) - before
-        odd[i] = not cut or cut[0].isspace() or cut[-1].isspace()
+        odd[i] = _odd(cut)
     del cuts
     flat, starts = np.array(flat, "int32"), np.cumsum(sizes, dtype="int64") - sizes
     found = []
     for i, (first, at) in enumerate(docs):
-        if len(at) and (not first or first[-1].isspace() or odd[at].any()):
+        if not cut_up or len(at) and (not first or first[-1].isspace() or odd[at].any()):
             found.append(np.fromiter((words[w] for w in matches(texts[i])), "int32"))
         else:
             found.append(np.concatenate([np.array([words[w] for w in matches(first)], "int32"), flat[ragged(starts[at], sizes[at])]]))
@@ -198,10 +218,9 @@ def _block_rows(block: int, ids: list, texts: list[str], matches: Callable, buck
     bucket = np.fromiter((zlib.crc32(spelt[i]) % buckets for i in order), "int64", len(order))
     out = [(block, -1, [_numbers(place[codes]), _numbers(np.fromiter(map(len, found), "int64", len(found))), _numbers(bucket)], ids)]
     by_bucket = np.argsort(bucket, kind="stable")
-    bounds = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1)).tolist()
-    for b in range(buckets):
-        if bounds[b + 1] > bounds[b]:
-            out.append((block, b, [_pack([spelt[order[i]] for i in by_bucket[bounds[b] : bounds[b + 1]].tolist()])], None))
+    begins = np.flatnonzero(np.diff(bucket[by_bucket], prepend=-1)).tolist()
+    for low, high in zip(begins, [*begins[1:], len(by_bucket)]):
+        out.append((block, int(bucket[by_bucket[low]]), [_pack([spelt[order[i]] for i in by_bucket[low:high].tolist()])], None))
     columns = list(zip(*out))
     return pa.RecordBatch.from_arrays(
         [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.list_(pa.binary())), pa.array(columns[3], pa.list_(pa.int64()))],
@@ -209,7 +228,7 @@ def _block_rows(block: int, ids: list, texts: list[str], matches: Callable, buck
     )
 
 
-def encode_words(rows: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode_words(rows: DataFrame, path: str, pattern: str, parts: tuple[int, ...] = ()) -> DataFrame:
     """rows (block, bucket, data, ids) with the words of each bucket as their ids, in order. A bucket's
     rows come together, and each of their distinct words is encoded once; the rows of documents
     (bucket -1), dealt by block, go through as they are."""
@@ -236,7 +255,7 @@ def encode_words(rows: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([bucket], pa.int32()), answer, pa.array([None], pa.list_(pa.int64()))], ["block", "bucket", "data", "ids"])
 
     dealt = F.when(F.col("bucket") < 0, F.col("block")).otherwise(-1 - F.col("bucket").cast("long"))
-    return rows.withColumn("dealt", dealt).repartition("dealt").sortWithinPartitions("dealt").drop("dealt").mapInArrow(run, _BLOCKS)
+    return rows.withColumn("dealt", dealt).repartition(*parts, "dealt").sortWithinPartitions("dealt").drop("dealt").mapInArrow(run, _BLOCKS)
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
@@ -245,8 +264,9 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     keep it; repeated rows each keep a row.
 
     path: a rank file that every machine has, or that SparkContext.addFile has sent; buckets: into
-    how many parts the distinct words of all texts are dealt (by default the session's shuffle
-    partitions); one part's distinct words must fit in a task's memory.
+    how many parts the distinct words of all texts are dealt: by default one for each BUCKET bytes of
+    text (counted in a pass over their sizes), so that what a task holds doesn't grow with the
+    input, and no fewer than the session's shuffle partitions.
     """
     return _encoded(df, path, pattern, id_col, text_col, buckets, False)
 
@@ -258,8 +278,13 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
 
 
 def _encoded(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str, buckets: int | None, decoded: bool) -> DataFrame:
-    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = encode_words(split_blocks(df, id_col, text_col, pattern, buckets), path, pattern)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not buckets:
+        size = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
+        buckets = max(least, -(-size // BUCKET))
+    # Without a number the session's partitions hold, which adaptive execution may put together.
+    parts = (buckets,) if buckets > least else ()
+    blocks = encode_words(split_blocks(df, id_col, text_col, pattern, buckets), path, pattern, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelt = Vocabulary.of(path).spelt if decoded else None
@@ -276,7 +301,7 @@ def _encoded(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str,
         if held:
             yield from _assembled(*held, spelt)
 
-    dealt = blocks.repartition("block").sortWithinPartitions("block", "bucket")
+    dealt = blocks.repartition(*parts, "block").sortWithinPartitions("block", "bucket")
     schema = "id long, ids array<int>" + ", decoded binary" * decoded
     return dealt.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 

@@ -43,6 +43,19 @@ def test_byte_bpe_equals_the_library(spark, texts, monkeypatch):
         bpe.decode(wrong, path).collect()
 
 
+def test_byte_bpe_of_other_patterns_and_many_buckets(spark, texts, monkeypatch):
+    """A pattern whose matches may hold spaces gets texts whole; buckets follow the size of the input."""
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "BUCKET", 2000)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    for pattern in (r"\w+ \w+|\s+|\S+", public_tokenizers.PATTERN):
+        library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+        rows = bpe.round_trip(frame(spark, texts), path, pattern).collect()
+        assert {r.doc_id: list(r.ids) for r in rows} == {i: library.encode_ordinary(t or "") for i, t in enumerate(texts)}
+    assert bpe.cuts_at_spaces(bpe.splitter(public_tokenizers.PATTERN)) and not bpe.cuts_at_spaces(bpe.splitter(r"\w+ \w+|\s+|\S+"))
+
+
 def test_byte_bpe_of_null_ids_repeated_rows_and_no_rows(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     df = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], "doc_id long, text string")
