@@ -112,14 +112,8 @@ class Rows:
         return np.bincount(self.at, self.values * each[self.row], dims)
 
 
-def labelled_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, bound: int, features: Callable, dims: int) -> tuple[Rows, np.ndarray]:
-    """Features and labels of at most `bound` labelled rows, those whose ids' hashes are smallest (so
-    the same rows in any order and partitioning). Of several rows of one id the least text counts.
-    Only these rows' features reach the driver."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id IS NOT NULL AND _label IS NOT NULL")
-    known = known.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(bound)
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(known), "_id")
-    rows = rows.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label"))
+def _gathered(rows: DataFrame, id_kind: str, features: Callable, dims: int, bound: int) -> tuple[Rows, np.ndarray]:
+    """Features and labels of rows (_id, _text, _label), which are few, in the order of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
@@ -130,8 +124,7 @@ def labelled_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str
                 ["id", "label", "at", "value"],
             )
 
-    kind = df.schema[id_col].dataType.simpleString()
-    table = rows.select("_id", "_text", "_label").mapInArrow(run, f"id {kind}, label int, at array<int>, value array<float>").toArrow()
+    table = rows.select("_id", "_text", "_label").mapInArrow(run, f"id {id_kind}, label int, at array<int>, value array<float>").toArrow()
     ids = table["id"].to_pylist()
     table = table.take(pa.array(sorted(range(len(ids)), key=lambda i: ids[i])[:bound], pa.int64())).combine_chunks()
     sizes = table["at"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
@@ -139,6 +132,30 @@ def labelled_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return Rows(sizes.astype("int64"), at.astype("int32"), values.astype("float32")), table["label"].to_numpy().astype("int64")
 
 
+def labelled_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, bound: int, features: Callable, dims: int) -> tuple[Rows, np.ndarray]:
+    """Features and labels of at most `bound` labelled rows, those whose ids' hashes are smallest (so
+    the same rows in any order and partitioning). Of several rows of one id the least text counts.
+    Only these rows' features reach the driver."""
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id IS NOT NULL AND _label IS NOT NULL")
+    known = known.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(bound)
+    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(known), "_id")
+    rows = rows.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label"))
+    return _gathered(rows, df.schema[id_col].dataType.simpleString(), features, dims, bound)
+
+
+def text_sample(df: DataFrame, text_col: str, bound: int, features: Callable, dims: int) -> Rows:
+    """Features of at most `bound` distinct texts of df, drawn by their hashes (so the same ones in any
+    order and partitioning). A text counts once, however many copies it has; null ones don't."""
+    texts = df.select(F.col(text_col).cast("string").alias("_text")).where("_text IS NOT NULL").withColumn("_id", F.xxhash64("_text"))
+    # The share of hashes that a sample of this size takes; a quarter more for the draw's chance.
+    total = texts.count()
+    if total > bound:
+        top = (1 << 63) - 1
+        texts = texts.where(F.col("_id").bitwiseAND(top) < int(top * min(1.0, 1.25 * bound / total)))
+    rows = texts.dropDuplicates(["_id"]).withColumn("_label", F.lit(0))
+    return _gathered(rows, "bigint", features, dims, bound)[0]
+
+
 def adam(gradient: Callable[[np.ndarray], np.ndarray], start: np.ndarray, steps: int, rate: float) -> np.ndarray:
     """Weights after `steps` steps down a gradient."""
     w, m, v = start.copy(), np.zeros_like(start), np.zeros_like(start)

@@ -1,14 +1,14 @@
 """A quality classifier from positive and unlabelled texts.
 
-Trusted positives are rows labelled 1; the unlabelled texts are labelled rows with their labels
-hidden, so they are drawn as the corpus is. The share of positives among the unlabelled (the
-class prior) is estimated from the scores of a plain discriminator: it is the least ratio of
+Trusted positives are rows labelled 1; the unlabelled texts are drawn from the corpus itself, each text
+once, whatever its label. The share of positives among the unlabelled (the class prior) is estimated from the scores of a plain discriminator: it is the least ratio of
 unlabelled to positive texts above a score. Then the non-negative unbiased risk
 
     prior * R_positive(+1) + max(0, R_unlabelled(-1) - prior * R_positive(-1))
 
 is minimised over linear scores of the whole text's form: where the second term falls below 0,
-its gradient is followed upwards. Fitted on at most `bound` labelled rows, applied to every row.
+its gradient is followed upwards. Fitted on at most `bound` labelled rows and as many unlabelled
+texts, applied to every row.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.features import Rows, adam, form_features, labelled_sample, score_column, sigmoid
+from siftmill.llm.features import Rows, adam, form_features, labelled_sample, score_column, sigmoid, text_sample
+from siftmill.llm.shared import fresh
 
 DIMS = 1 << 12
-#: Labelled rows that a model is fitted on at most.
+#: Labelled rows, and unlabelled texts, that a model is fitted on at most.
 BOUND = 20_000
 
 
@@ -61,15 +62,15 @@ def fit_pu(positive: Rows, unlabelled: Rows, dims: int, l2: float = 1e-5, steps:
 def quality_column(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bound: int = BOUND, dims: int = DIMS) -> Column:
     """The score of df's texts, of a model fitted now: see quality_scores."""
     rows, marks = labelled_sample(df, labels, id_col, text_col, label_col, bound, form_features, dims)
-    weights, _ = fit_pu(rows.pick(marks == 1), rows, dims)
+    weights, _ = fit_pu(rows.pick(marks == 1), text_sample(df, text_col, bound, form_features, dims), dims)
     return score_column(df.sparkSession, F.col(text_col), form_features, dims, weights, sigmoid)
 
 
 def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
     """(id_col, score double, predicted int): a row for each row of df.
 
-    labels: (id_col, label_col) with 1 for trusted positives; other rows' labels aren't used, their
-    texts are unlabelled ones. Rows with nulls don't count. score is from 0 to 1; predicted is 1
+    labels: (id_col, label_col) with 1 for trusted positives; other labels aren't used. Rows with
+    nulls don't count, and rows that repeat count once. score is from 0 to 1; predicted is 1
     from 0.5 on. Null and empty texts are scored as empty texts; without labels all score 0.5.
     """
     found = df.select(id_col, quality_column(df, labels, id_col, **more).alias("score"))
@@ -77,5 +78,7 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", **m
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
-    """The rows of df that the classifier doesn't reject (score 0.5 or more), with df's columns."""
-    return df.withColumn("_score", quality_column(df, labels, id_col, **more)).where("_score >= 0.5").drop("_score")
+    """The rows of df that the classifier doesn't reject (score 0.5 or more), with df's columns. Repeated
+    rows share their fate; see quality_scores for nulls and empty tables."""
+    score, = fresh(df, "score")
+    return df.withColumn(score, quality_column(df, labels, id_col, **more)).where(F.col(score) >= 0.5).select(*df.columns)
