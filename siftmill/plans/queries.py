@@ -605,6 +605,32 @@ def ndjson_profile(spark, sf_dir):
     return _shown_stats(B.read_json_records(spark, B.staged(lines), "event_id long, user_id long, value double"))
 
 
+@query("SELECT o_orderkey, o_custkey, CASE o_orderstatus WHEN 'O' THEN NULL ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def csv_header_inferred(spark, sf_dir):
+    """orders as files with headers, blank cells and a column without a name, read by names and inferred types."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.expr("nullif(o_orderstatus, 'O')").alias("o_orderstatus"), F.lit("x").alias(" "), "o_totalprice", "o_orderpriority")
+    path = B.scratch_path(spark) + ".csv"
+    rows.write.csv(path, header=True, sep=";", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return B.read_table(spark, path)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem")
+def csv_lines_coerced(spark, sf_dir):
+    """lineitem as lines in no order, the header among them; numbers are coerced where all cells are some."""
+    names = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"]
+    lines = table(spark, sf_dir, "lineitem").select(F.concat_ws("|", *names).alias("value")).union(spark.createDataFrame([("|".join(names),)], "value string"))
+    return B.delimited_from_lines(lines.repartition(8), "|", "|".join(names)).withColumn("l_linenumber", F.col("l_linenumber").cast("int"))
+
+
+@query("SELECT event_id, user_id, value FROM events")
+def json_wrapped_records(spark, sf_dir):
+    """events as arrays of objects and as objects whose lists hold them, each text a hundred records."""
+    rows = table(spark, sf_dir, "events").groupBy(F.expr("event_id div 100").alias("id")).agg(F.to_json(F.collect_list(F.struct("event_id", "user_id", "value"))).alias("a"))
+    texts = rows.select("id", F.when(F.col("id") % 2 == 0, F.col("a")).otherwise(F.concat(F.lit('{"records": '), "a", F.lit(', "more": []}'))).alias("j"))
+    found = B.records_from_texts(texts, "id", "j")
+    return found.select(F.from_json("record", "event_id long, user_id long, value double").alias("r")).select("r.*")
+
+
 def _batches(spark, sf_dir):
     """events' partial aggregates by day, as a stream leaves them."""
     df = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_id", "user_id", "event_type", F.expr("IF(value < 10, NULL, value)").alias("value"), F.lit(7).alias("seven"))

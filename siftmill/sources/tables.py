@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
-import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -15,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftmill.sources.scratch import kept, scratch_path
+
 #: Marks of a header's delimiter, in order; a comma if there is none (fixed values).
 HEADER_DELIMITERS = ("\t", ";", "|")
 
@@ -24,46 +25,82 @@ def header_delimiter(line: str) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = "auto", schema: str | None = None, multi_line: bool = False, header: bool = True) -> DataFrame:
-    """A table with a header (or, without one, with a schema); blank cells are null, blank-named columns go, names lose outer blanks.
-    sep: a delimiter, `tab`, or `auto`, which looks at the first line. Without a schema, types are
-    inferred in a pass of its own."""
-    if sep == "auto":
-        first = spark.read.text(path).where("trim(value) != ''").limit(1).first()
-        sep = header_delimiter(first.value if first else "")
-    options = {"header": header, "sep": "\t" if sep == "tab" else sep, "multiLine": multi_line, "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+    """A table with a header (or, without one, with a schema); blank cells are null, columns without a name
+    in the header go, names lose outer blanks. sep: a delimiter, `tab`, or `auto`, which looks at the
+    first line. Without a schema, types are inferred in a pass of its own."""
+    first = spark.read.text(path).where("trim(value) != ''").limit(1).first() if sep == "auto" or header else None
+    sep = header_delimiter(first.value if first else "") if sep == "auto" else "\t" if sep == "tab" else sep
+    options = {"header": header, "sep": sep, "multiLine": multi_line, "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
     reader = spark.read.options(**options)
     df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
-    return named(df)
-
-
-def delimited_from_lines(lines: DataFrame, sep: str, inferred: bool = True) -> DataFrame:
-    """A table from a frame of lines (value) that starts with the header."""
-    return named(_csv(lines, sep, inferred))
-
-
-def _csv(lines: DataFrame, sep: str, inferred: bool) -> DataFrame:
-    path = staged(lines)
-    return lines.sparkSession.read.csv(path, header=True, sep=sep, inferSchema=inferred, escape='"')
+    return named(df, cells_of(first.value, sep)) if header and first else named(df)
 
 
 def staged(lines: DataFrame) -> str:
     """Lines as text files where every executor finds them."""
-    base = lines.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siftmill-")
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = scratch_path(lines.sparkSession)
     lines.write.text(path)
     return path
 
 
-def named(df: DataFrame) -> DataFrame:
-    """Without blank-named columns, names without outer blanks."""
-    kept = [n for n in df.columns if n.strip() and not re.fullmatch(r"_c\d+", n)]
-    return df.select(*(F.col("`" + n.replace("`", "``") + "`").alias(n.strip()) for n in kept))
+def cells_of(line: str, sep: str) -> list[str]:
+    """The cells of one line of delimited text."""
+    return next(csv.reader([line.removeprefix("\ufeff")], delimiter=sep), [])
+
+
+def delimited_from_lines(lines: DataFrame, sep: str, header: str, inferred: bool = True, column: str = "value") -> DataFrame:
+    """A table from a frame of lines in any order and partitioning: header is the line with the names, which
+    is left out wherever it occurs, and so are blank lines. Cells are text (null if blank), or where
+    inferred long or double if all of a column's are."""
+    names = cells_of(header, sep)
+    fields = [f"c{i}" for i in range(len(names))]
+    rows = lines.where((F.trim(column) != "") & (F.trim(column) != header.strip()))
+    cells = F.from_csv(column, ", ".join(f"{c} string" for c in fields), {"sep": sep, "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    df = rows.select(cells.alias("r")).select(*(F.col(f"r.{c}").alias(c) for c in fields))
+    kept = [(c, n.strip()) for c, n in zip(fields, names) if n.strip()]
+    df = df.select(*(c for c, _ in kept))
+    return (coerced(df) if inferred else df).toDF(*(n for _, n in kept))
+
+
+def named(df: DataFrame, header: list[str] | None = None) -> DataFrame:
+    """Without columns that have no name, names without outer blanks. header: the names as they were read; a
+    reader may have given blank ones a name of its own."""
+    given = df.columns if header is None or len(header) != len(df.columns) else header
+    kept = [(n, g.strip()) for n, g in zip(df.columns, given) if g.strip()]
+    names = [n.strip() for n, _ in kept]
+    return df.select(*(F.col("`" + n.replace("`", "``") + "`") for n, _ in kept)).toDF(*names)
 
 
-def read_json_records(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Records from JSON: one a line; or one array, or objects whose lists of objects are the records."""
+def read_json_records(spark: SparkSession, path: str, schema: str | None = None, lines: bool = True) -> DataFrame:
+    """Records from JSON files. lines: each line is a record, and files are split. Otherwise each file is
+    one text (of any layout) that must fit in memory: an array of records, an object whose lists hold
+    them, or one record; see records_from_texts. Without a schema one is inferred in a pass of its own."""
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.option("multiLine", False).json(path)
+    if lines:
+        return reader.json(path)
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    texts = kept(records_from_texts(files, "file", "value").select("record"))
+    if schema:
+        return texts.select(F.from_json("record", schema).alias("r")).select("r.*")
+    path = scratch_path(spark)
+    texts.select(F.col("record").alias("value")).write.text(path)  # a record a line
+    return spark.read.json(path)
+
+
+#: Ends of names and how they are read (fixed values).
+READERS = {".csv": "delimited", ".tsv": "delimited", ".txt": "delimited", ".json": "json", ".jsonl": "lines", ".ndjson": "lines", ".xlsx": "workbook", ".xlsm": "workbook"}
+
+
+def read_table(spark: SparkSession, path: str, **more) -> DataFrame:
+    """A table from a file or folder by the end of its name: delimited text, JSON, JSON lines or a workbook.
+    Other ends raise."""
+    tail = re.search(r"\.[a-z]+$", path.rstrip("/").lower().removesuffix(".gz"))
+    kind = READERS.get(tail[0] if tail else "")
+    if kind is None:
+        raise ValueError(f"no reader for {path}")
+    if kind == "workbook":
+        return workbook_table(read_workbooks(spark, path))
+    return read_delimited(spark, path, **more) if kind == "delimited" else read_json_records(spark, path, lines=kind == "lines", **more)
 
 
 def records_from_texts(df: DataFrame, id_col: str, json_col: str) -> DataFrame:

@@ -23,8 +23,19 @@ def test_delimited_files(spark, tmp_path):
     df = R.read_delimited(spark, f"file://{tmp_path}/a.csv")
     assert df.columns == ["id", "name", "v"] and [tuple(r) for r in df.orderBy("id").collect()] == [(1, "x", 2.5), (2, None, None)]
     assert [R.header_delimiter(x) for x in ("a\tb;c", "a;b|c", "a|b", "a,b", "")] == ["\t", ";", "|", ",", ","]
-    lines = spark.createDataFrame([("a|b",), ("1|x",)], "value string").coalesce(1)
-    assert [tuple(r) for r in R.delimited_from_lines(lines, "|").collect()] == [(1, "x")]
+    (tmp_path / "b.csv").write_text("_c1,_c0,\n1,2,\n")  # names that look generated stay
+    assert R.read_table(spark, f"file://{tmp_path}/b.csv").columns == ["_c1", "_c0"]
+    with pytest.raises(ValueError, match="no reader"):
+        R.read_table(spark, "file:///tmp/x.bin")
+
+
+def test_delimited_lines_in_any_partitioning(spark):
+    rows = [f'{i}|"x | {i}"||{i / 2}' for i in range(1000)]
+    lines = spark.createDataFrame([(x,) for x in ["a| b ||c", *rows, "", "  "]], "value string").repartition(4)
+    df = R.delimited_from_lines(lines, "|", "a| b ||c")
+    assert df.dtypes == [("a", "bigint"), ("b", "string"), ("c", "double")]
+    assert sorted(map(tuple, df.collect())) == [(i, f"x | {i}", i / 2) for i in range(1000)]
+    assert R.delimited_from_lines(lines.where("false"), "|", "a|b").columns == ["a", "b"]
 
 
 def test_coercion(spark):
@@ -43,6 +54,11 @@ def test_json_records(spark, tmp_path):
     assert got == {0: [{"a": 1}, {"value": 2}], 1: [{"a": 1}, {"a": 2}], 2: [{"a": 1, "b": [{"c": 1}]}], 3: [{"a": 1}, {"a": 2}], 4: [{"value": 5}], 5: [{"value": "not json"}]}
     (tmp_path / "r.jsonl").write_text('{"a":1}\n{"a":2,"b":"x"}\n')
     assert R.read_json_records(spark, f"file://{tmp_path}/r.jsonl").count() == 2
+    (tmp_path / "p.json").write_text('[\n  {"a": 1,\n   "b": "x"},\n  {"a": 2}\n]')
+    (tmp_path / "w.json").write_text('{"r": [{"a": 3}],\n "s": [{"a": 4}]}')
+    got = [sorted(map(tuple, R.read_table(spark, f"file://{tmp_path}/{n}.json").select("a").collect())) for n in "pw"]
+    assert got == [[(1,), (2,)], [(3,), (4,)]]
+    assert sorted(map(tuple, R.read_json_records(spark, f"file://{tmp_path}/p.json", "a long, b string", lines=False).collect()), key=str) == [(1, "x"), (2, None)]
 
 
 def test_workbooks(spark, tmp_path):
