@@ -60,6 +60,19 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """Arrow batches of about size bytes at most inside, whatever the number of their rows: a task's JVM and its
+    Python worker each hold one or two. The session's setting returns on leaving."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(size, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, with a broadcast hint if it holds no more than `rows` rows; a larger df is left to a
     shuffle join. Only for stored frames, as it counts them."""
