@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 #: Rows of three longs at most that a checked broadcast may hold (about 25 MB).
 BROADCAST_ROWS = 300_000
 
-_made: list[str] = []
+#: The folders made inside the innermost swept block of this thread; None outside of one.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,19 +30,30 @@ def shared_folder(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="siftmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    _made.append(path)
+    own = _made.get()
+    if own is not None:
+        own.append(path)
     return path
 
 
-@contextmanager
-def swept(spark: SparkSession) -> Iterator[None]:
-    """Deletes on leaving what was stored inside. Only for work whose results are written elsewhere."""
-    start = len(_made)
-    yield
-    for path in _made[start:]:
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders; those that aren't there do no harm."""
+    for path in paths:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    del _made[start:]
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving, by an exception too, what this thread stored inside. Only for work whose results
+    are written elsewhere. Blocks may stand in each other and in several threads: each owns its folders."""
+    own: list[str] = []
+    outer = _made.set(own)
+    try:
+        yield
+    finally:
+        _made.reset(outer)
+        discard(spark, *own)
 
 
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
