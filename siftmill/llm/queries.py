@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm import bpe, decontam, grammar, linededup, quality, simhash, topk, toxicity, urlfilter, warc
+from siftmill.llm import bpe, decontam, fim, grammar, linededup, quality, secrets, simhash, topk, toxicity, urlfilter, warc, yinyang
 
 #: Host and path rules of op3 (fixed values).
 RULES = [
@@ -86,7 +86,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held, "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc, op3_url_filter, op4_byte_bpe, op5_toxicity, op6_decontamination, op7_line_dedup, op8_top_k, op9_token_output, op10_quality)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.rearranged(table(spark, sf_dir, "documents"))
+    found = fim.restored(made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = yinyang.clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", yinyang.digest(F.col("centroid")).alias("centroid_sha256"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scanned(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "guess")
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(number, secrets.KINDS[:3]), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc, op3_url_filter, op4_byte_bpe, op5_toxicity, op6_decontamination, op7_line_dedup, op8_top_k, op9_token_output, op10_quality, op11_fill_in_middle, op12_centroids, op13_secrets)}
 
 _OP2 = """
 WITH p AS (
@@ -177,4 +195,56 @@ SELECT doc_id,
 FROM t
 """
 
-ORACLE_SQL = {"op2_warc": _OP2, "op3_url_filter": _OP3, "op7_line_dedup": _OP7, "op8_top_k": _OP8}
+_OP11 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, string_split(text, chr(10)) AS parts FROM t),
+l AS (
+    SELECT doc_id, text, h, list_filter(list_transform(parts, lambda x, i: x || CASE WHEN i < len(parts) THEN chr(10) ELSE '' END), lambda x: x != '') AS units FROM u
+), d AS (
+    SELECT *, len(units) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(units) + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(units) + 1) AS b,
+           CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 AS spm, text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') AS plain
+    FROM l
+), p AS (
+    SELECT *, coalesce(array_to_string(units[1:least(a, b)], ''), '') AS prefix, coalesce(array_to_string(units[least(a, b) + 1:greatest(a, b)], ''), '') AS middle,
+           coalesce(array_to_string(units[greatest(a, b) + 1:n], ''), '') AS suffix
+    FROM d
+)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT plain THEN length(prefix) END AS prefix_chars, CASE WHEN NOT plain THEN length(middle) END AS middle_chars,
+       sha256(CASE WHEN plain THEN text WHEN spm THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def _op12(k: int = 8, rounds: int = 10) -> str:
+    """The rounds one after another: distances of all vectors and centroids, then floors of means."""
+    near = """
+a{0} AS MATERIALIZED (
+    SELECT i, arg_min(j, (d, j)) AS j, min(d) AS d FROM (
+        SELECT g.i, c.j, list_sum(list_transform(list_zip(g.v, c.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d FROM g, c{0} c
+    ) GROUP BY i
+)"""
+    mean = """
+c{1} AS MATERIALIZED (
+    SELECT c.j, coalesce(m.v, c.v) AS v FROM c{0} c LEFT JOIN (
+        SELECT j, list((s - ((s % n + n) % n)) // n ORDER BY p) AS v FROM (
+            SELECT a.j, p, CAST(sum(g.v[p]) AS BIGINT) AS s, count(*) AS n FROM a{0} a JOIN g USING (i), generate_series(1, 64) AS x(p) GROUP BY a.j, p
+        ) GROUP BY j
+    ) m USING (j)
+)"""
+    steps = [near.format(r) + "," + mean.format(r, r + 1) for r in range(rounds)] + [near.format(rounds)]
+    return f"""
+WITH g AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) AS i, vec_id, v FROM (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    )
+), c0 AS MATERIALIZED (SELECT CAST(i - 1 AS INTEGER) AS j, v FROM g WHERE i <= {k}),{",".join(steps)}
+SELECT vec_id, a.j AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN g USING (i) JOIN c{rounds} c USING (j)
+"""
+
+
+ORACLE_SQL = {"op2_warc": _OP2, "op3_url_filter": _OP3, "op7_line_dedup": _OP7, "op8_top_k": _OP8, "op11_fill_in_middle": _OP11, "op12_centroids": _op12()}

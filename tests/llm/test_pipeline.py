@@ -107,7 +107,7 @@ def test_all_queries_of_the_subpackage_register():
     import __spark_entry__
 
     named = {n for n in __spark_entry__.queries() if n.startswith("op") and n[2].isdigit()}
-    assert len(named) == 10 and named == set(queries.QUERIES) and "pipeline" in __spark_entry__.queries()
+    assert len(named) == 13 and named == set(queries.QUERIES) and "pipeline" in __spark_entry__.queries()
 
 
 def test_pipeline(spark, texts):
