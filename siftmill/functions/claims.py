@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftmill.functions.numbers import round_binary
+
 #: A number with commas or without, a sign, decimals, and a suffix (fixed values).
 CLAIM = r"(?i)(?<![\w.])(-?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?)\s*((?:%|[kmb]|\b(?:million|billion|thousand)\b))?"
 SCALES = {"K": 1e3, "M": 1e6, "B": 1e9, "THOUSAND": 1e3, "MILLION": 1e6, "BILLION": 1e9}
@@ -27,16 +29,7 @@ def claims(text: Column) -> Column:
 def fact_variants(fact: Column) -> Column:
     """array<double>: the fact, rounded to 0 to 4 places, a whole number in thousands, millions and
     billions, and a share as a percentage. NaN has none."""
-    rounded = [F.bround(fact, d) for d in range(5)]
     scaled = F.when(fact == F.floor(fact), F.array(*(fact / s for s in (1e3, 1e6, 1e9)))).otherwise(F.array().cast("array<double>"))
-    percent = F.when((F.abs(fact) > 0) & (F.abs(fact) < 1), F.array(*(F.bround(fact * 100, d) for d in (4, 2, 0)))).otherwise(F.array().cast("array<double>"))
-    every = F.array_distinct(F.concat(F.array(fact, *rounded), scaled, percent))
+    percent = F.when((F.abs(fact) > 0) & (F.abs(fact) < 1), round_binary(fact * 100, 4, 2, 0)).otherwise(F.array().cast("array<double>"))
+    every = F.array_distinct(F.concat(F.array(fact), round_binary(fact, 0, 1, 2, 3, 4), scaled, percent))
     return F.when(F.isnan(fact) | fact.isNull(), F.array().cast("array<double>")).otherwise(every)
-
-
-def is_verified(claim: Column, facts: Column) -> Column:
-    """Whether a claim is a fact: to 2 % if it has a suffix of scale, else to a thousandth."""
-    value = claim["value"]
-    near = F.exists(facts, lambda f: F.abs(value - f) <= 0.02 * F.abs(f))
-    same = F.exists(facts, lambda f: F.abs(value - f) <= 1e-3)
-    return F.when(claim["suffix"].isin(*SCALES), near).otherwise(same)

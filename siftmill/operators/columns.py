@@ -7,6 +7,7 @@ aggregation over the table; whatever depends on single values comes from a frequ
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -112,29 +113,37 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def order_statistics(df: DataFrame, columns: list[str], shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:
     """(column, n, name, low, high, nearest) for each share: the values of the 0-based ranks that are
-    (n-1) * share rounded down, up and to the nearest among the column's values that aren't null or NaN, exactly.
-
-    Three passes without a sort of everything: approximate percentiles bracket each rank from both
-    sides; one aggregation counts what lies below the bracket and how often each value in it
-    occurs; a window over the few values in the bracket finds the rank.
-    """
+    (n-1) * share rounded down, up and to the nearest among the column's values that aren't null or NaN, exactly."""
     each = [F.struct(F.lit(n).alias("column"), quoted(n).cast("double").alias("value")) for n in columns]
     if not each:
         return df.sparkSession.createDataFrame([], "column string, n long, name string, low double, high double, nearest double")
     values = df.select(F.explode(F.array(*each)).alias("r")).select("r.*").where("value IS NOT NULL AND NOT isnan(value)")
+    # As many brackets as columns and shares: a broadcast whatever the table's size.
+    return ranked_values(values, ["column"], shares, accuracy, F.broadcast)
+
+
+def ranked_values(values: DataFrame, by: list[str], shares: dict[str, float], accuracy: int = 10_000, side: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(*by, n, name, low, high, nearest) for each group of values (*by, value double, without nulls and NaN)
+    and share: see order_statistics.
+
+    Three passes without a sort of everything: approximate percentiles bracket each rank from both
+    sides; one aggregation counts what lies below the bracket and how often each value in it
+    occurs; a window over the few values in the bracket finds the rank. So no group, however
+    large, is sorted or held by one task. side: what is done to the groups' brackets before they
+    meet the values; a join that adaptive execution can split, unless they are known to be few.
+    """
     slack = 2 / accuracy
     cuts = [c for s in shares.values() for c in (max(0.0, s - slack), min(1.0, s + slack))]
-    spans = values.groupBy("column").agg(F.count("*").alias("n"), F.percentile_approx("value", cuts, accuracy).alias("cuts"))
+    spans = values.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("value", cuts, accuracy).alias("cuts"))
     each = [F.struct(F.lit(name).alias("name"), F.lit(s).alias("share"), F.col("cuts")[2 * i].alias("from"), F.col("cuts")[2 * i + 1].alias("to")) for i, (name, s) in enumerate(shares.items())]
-    spans = spans.select("column", "n", F.explode(F.array(*each)).alias("s")).select("column", "n", "s.*")
-    # As many rows as columns and shares: a broadcast whatever the table's size.
-    near = values.join(F.broadcast(spans), "column").where("value <= to")
-    counts = near.groupBy("column", "n", "name", "share", F.when(F.col("value") >= F.col("from"), F.col("value")).alias("value")).agg(F.count("*").alias("m"))
-    order = Window.partitionBy("column", "name").orderBy(F.asc_nulls_first("value"))
+    spans = spans.select(*by, "n", F.explode(F.array(*each)).alias("s")).select(*by, "n", "s.*")
+    near = values.join(side(spans), by).where("value <= to")
+    counts = near.groupBy(*by, "n", "name", "share", F.when(F.col("value") >= F.col("from"), F.col("value")).alias("value")).agg(F.count("*").alias("m"))
+    order = Window.partitionBy(*by, "name").orderBy(F.asc_nulls_first("value"))
     placed = counts.withColumn("end", F.sum("m").over(order)).withColumn("start", F.col("end") - F.col("m"))
     rank = (F.col("n") - 1) * F.col("share")
     holds = lambda r: F.max(F.when((F.col("start") <= r) & (r < F.col("end")), F.col("value")))
-    return placed.groupBy("column", "n", "name").agg(holds(F.floor(rank)).alias("low"), holds(F.ceil(rank)).alias("high"), holds(F.floor(rank + 0.5)).alias("nearest"))
+    return placed.groupBy(*by, "n", "name").agg(holds(F.floor(rank)).alias("low"), holds(F.ceil(rank)).alias("high"), holds(F.floor(rank + 0.5)).alias("nearest"))
 
 
 def nearest_quartiles(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.functions.claims import claims, fact_variants
 from siftmill.functions.text import token_estimate
+from siftmill.operators.nested import scalars
 
 #: Budgets (fixed values): context less reply, and the least that is left.
 CONTEXT, REPLY, LEAST_BUDGET, MIN_RATIO, DROPPED, PREVIEW = 2048, 500, 256, 0.5, 8, 80
@@ -38,33 +39,50 @@ def extracted_claims(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(id_col, "pos", "c.value", "c.suffix")
 
 
-def variants(facts: DataFrame, value: str = "value") -> DataFrame:
-    """(fact): every form in which one of the facts may be restated, each once."""
-    return facts.select(F.explode(fact_variants(F.col(value).cast("double"))).alias("fact")).distinct()
+def variants(facts: DataFrame, *keys: str, value: str = "value") -> DataFrame:
+    """(*keys, fact): every form in which one of the facts may be restated, each once (for each key)."""
+    return facts.select(*keys, F.explode(fact_variants(F.col(value).cast("double"))).alias("fact")).distinct()
 
 
-def verified_claims(found: DataFrame, facts: DataFrame) -> DataFrame:
-    """found (.., value, suffix) with the column verified: whether a fact is within a thousandth, or, of a
-    claim with a scale, within 2 %.
+def digest_facts(digests: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, fact): what digests (*keys, v VARIANT) allow to state: the forms of every number in them, however
+    deep, and of the numbers that their texts state. Truth values are no numbers."""
+    found = scalars(digests, *keys)
+    numbers = found.where("numeric IS NOT NULL").select(*keys, F.col("numeric").alias("value"))
+    stated = found.where("text IS NOT NULL").select(*keys, F.explode(claims(F.col("text"))).alias("c")).select(*keys, "c.value")
+    return variants(numbers.union(stated).distinct(), *keys)
+
+
+def verified_claims(found: DataFrame, facts: DataFrame, *keys: str) -> DataFrame:
+    """found (.., *keys, value, suffix) with the column verified: whether a fact of the same keys is within a
+    thousandth, or, of a claim with a scale, within 2 %. Without keys, whether any fact is; a claim with a
+    null key isn't verified.
 
     An equi-join, not a product: facts and claims are put into bands of twice the tolerance's width
     (absolute ones, or of the logarithm), and a claim looks into its own band and its neighbours.
+    Each (keys, value, suffix) is looked up once, however many rows make the claim.
     """
-    f = facts.select("fact").where("fact IS NOT NULL").distinct()
+    f = facts.where("fact IS NOT NULL").select(*keys, "fact").distinct()
     band = lambda x: F.floor(x / 0.002).cast("long")
     log_band = lambda x: F.floor(F.log(F.abs(x)) / 0.05).cast("long")
     sign = lambda x: F.signum(x).cast("int")
-    zeros = f.where("fact = 0").select(F.lit("z").alias("k"), F.lit(0).alias("s"), F.lit(0).cast("long").alias("b"), "fact")
-    exact = f.where(F.abs("fact") < 1e15).select(F.lit("e").alias("k"), F.lit(0).alias("s"), band(F.col("fact")).alias("b"), "fact")
-    scaled = f.where("fact != 0").select(F.lit("r").alias("k"), sign(F.col("fact")).alias("s"), log_band(F.col("fact")).alias("b"), "fact")
-    rows = found.withColumn("_row", F.struct(*found.columns))
-    near = lambda b: F.array(*(b + i for i in (-1, 0, 1)))
-    plain = rows.where("suffix = '' AND abs(value) < 1e15").select("_row", "value", F.lit("e").alias("k"), F.lit(0).alias("s"), F.explode(near(band(F.col("value")))).alias("b"))
-    large = rows.where("suffix != '' AND value != 0").select("_row", "value", F.lit("r").alias("k"), sign(F.col("value")).alias("s"), F.explode(near(log_band(F.col("value")))).alias("b"))
-    none = rows.where("suffix != '' AND value = 0").select("_row", "value", F.lit("z").alias("k"), F.lit(0).alias("s"), F.lit(0).cast("long").alias("b"))
-    same = F.when(F.col("k") == "e", F.abs(F.col("value") - F.col("fact")) <= 1e-3).otherwise(F.abs(F.col("value") - F.col("fact")) <= 0.02 * F.abs("fact"))
-    good = plain.union(large).union(none).join(exact.union(scaled).union(zeros), ["k", "s", "b"]).where(same).select("_row").distinct().withColumn("_good", F.lit(True))
-    return rows.join(good, "_row", "left").select(*found.columns, F.coalesce("_good", F.lit(False)).alias("verified"))
+    place = lambda kind, s, b: (F.lit(kind).alias("_k"), s.cast("int").alias("_s"), b.cast("long").alias("_b"))
+    zero = F.lit(0)
+    listed = (
+        f.where("fact = 0").select(*keys, "fact", *place("z", zero, zero))
+        .union(f.where(F.abs("fact") < 1e15).select(*keys, "fact", *place("e", zero, band(F.col("fact")))))
+        .union(f.where("fact != 0").select(*keys, "fact", *place("r", sign(F.col("fact")), log_band(F.col("fact")))))
+    )
+    asked = found.select(*keys, "suffix", "value").distinct()
+    near = lambda b: F.explode(F.array(*(b + i for i in (-1, 0, 1))))
+    plain = asked.where("suffix = '' AND abs(value) < 1e15").select(*keys, "suffix", "value", *place("e", zero, F.lit(0)), near(band(F.col("value"))).alias("_n"))
+    large = asked.where("suffix != '' AND value != 0").select(*keys, "suffix", "value", *place("r", sign(F.col("value")), F.lit(0)), near(log_band(F.col("value"))).alias("_n"))
+    none = asked.where("suffix != '' AND value = 0").select(*keys, "suffix", "value", *place("z", zero, zero), zero.cast("long").alias("_n"))
+    looked = plain.union(large).union(none).withColumn("_b", F.col("_n")).drop("_n")
+    gap = F.abs(F.col("value") - F.col("fact"))
+    same = F.when(F.col("_k") == "e", gap <= 1e-3).otherwise(gap <= 0.02 * F.abs("fact"))
+    good = looked.join(listed, [*keys, "_k", "_s", "_b"]).where(same).select(*keys, "suffix", "value").distinct().withColumn("_good", F.lit(True))
+    return found.join(good, [*keys, "suffix", "value"], "left").select(*found.columns, F.coalesce("_good", F.lit(False)).alias("verified"))
 
 
 def sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -72,11 +90,12 @@ def sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(id_col, F.posexplode(F.split(F.col(text_col), r"(?<=[.!?])\s+")).alias("sentence", "text"))
 
 
-def guarded_items(items: DataFrame, facts: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
+def guarded_items(items: DataFrame, facts: DataFrame, *keys: str, text_col: str = "text", of: tuple[str, ...] = ()) -> DataFrame:
     """items with claims_found, claims_verified and kept: an item stays if all its claims are verified;
-    an item without numbers always does. keys name an item."""
+    an item without numbers always does. keys name an item, of those of them that facts have too."""
     at = F.struct(*keys)
-    checked = verified_claims(extracted_claims(items.select(at.alias("at"), F.col(text_col).alias("part")), "at", "part"), facts)
+    found = extracted_claims(items.select(at.alias("at"), F.col(text_col).alias("part")), "at", "part")
+    checked = verified_claims(found.select("at", *(F.col(f"at.{k}").alias(k) for k in of), "value", "suffix"), facts, *of)
     per = checked.groupBy("at").agg(F.count("*").alias("claims_found"), F.count_if("verified").alias("claims_verified"))
     rows = items.withColumn("at", at).join(per, "at", "left").fillna(0, ["claims_found", "claims_verified"])
     return rows.select(*items.columns, "claims_found", "claims_verified", (F.col("claims_found") == F.col("claims_verified")).alias("kept"))
@@ -100,6 +119,77 @@ def guarded_texts(df: DataFrame, facts: DataFrame, id_col: str, text_col: str) -
     return whole.withColumn("status", status)
 
 
+# Whole summaries
+
+
+#: A summary's lists in the order in which what they lose is reported, and the title that takes the place of one
+#: with a wrong number (fixed values).
+LISTS, NO_TITLE = ("key_findings", "anomalies_detected", "recommendations"), "General summary"
+FIELDS = ("title", "executive_summary", "key_findings", "calculated_metrics", "anomalies_detected", "recommendations")
+_PARTS = ("title", "executive_summary", *LISTS, "calculated_metrics")
+
+
+def summary_parts(df: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, part, place, name, text): a summary's title, the sentences of its executive_summary, the items of
+    its lists and its numeric metrics (map<string,string>), each with an address: part (a number, in
+    the order of a report) and place. Nulls have no part."""
+
+    def of(part: str, texts: Column, names: Column | None = None) -> Column:
+        at = F.lit(_PARTS.index(part))
+        name = F.lit(part) if names is None else None
+        return F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda x, i: F.struct(at.alias("part"), i.alias("place"), (name if names is None else F.concat(F.lit(f"{part}."), F.get(names, i))).alias("name"), x.alias("text")))
+
+    split = F.split(F.coalesce("executive_summary", F.lit("")), r"(?<=[.!?])\s+")
+    metrics = F.map_filter("calculated_metrics", lambda k, v: v.try_cast("double").isNotNull())
+    every = F.concat(
+        of("title", F.array("title")), of("executive_summary", split), *(of(c, F.col(c)) for c in LISTS),
+        of("calculated_metrics", F.map_values(metrics), F.map_keys(metrics)),
+    )
+    return df.select(id_col, F.explode(every).alias("p")).select(id_col, "p.*").where("text IS NOT NULL")
+
+
+def guarded_summaries(df: DataFrame, facts: DataFrame, anchors: DataFrame, id_col: str) -> DataFrame:
+    """df's summaries (id_col, and FIELDS), each a row of its own id, held against the facts (id_col, fact) of their
+    own digest, plus status, claims_found, claims_verified, claims_dropped and dropped (the first 8).
+
+    A part stays if every number in it is a fact: a sentence, an item, a numeric metric; a title with a
+    wrong one gives way to `General summary`. status: skipped without facts of this id, pass without
+    claims (both leave the summary as it is); fallback, if under half of the claims hold, or nothing is
+    left of an executive summary that lost parts: then the fields are the anchor's (id_col, FIELDS); else
+    guarded. A null field is an empty one; a null id has no facts.
+    """
+    parts = guarded_items(summary_parts(df, id_col), facts, id_col, "part", "place", of=(id_col,))
+    lost = F.when(F.col("part") == len(_PARTS) - 1, F.concat("name", F.lit(": "), "text")).otherwise(F.concat("name", F.lit(": "), F.left("text", F.lit(PREVIEW))))
+    row = F.struct("part", "place", "kept", lost.alias("lost"), "text", F.substring_index("name", "calculated_metrics.", -1).alias("key"))
+    per = parts.groupBy(id_col).agg(F.sort_array(F.collect_list(row)).alias("parts"), F.sum("claims_found").alias("claims_found"), F.sum("claims_verified").alias("claims_verified"))
+    texts = lambda part: F.transform(F.filter("parts", lambda p: (p["part"] == _PARTS.index(part)) & p["kept"]), lambda p: p["text"])
+    bad = F.transform(F.filter("parts", lambda p: (p["part"] == len(_PARTS) - 1) & ~p["kept"]), lambda p: p["key"])
+    known = facts.select(id_col).distinct().withColumn("_facts", F.lit(True))
+    rows = df.select(id_col, *FIELDS).join(per, id_col, "left").join(known, id_col, "left")
+    anchor = anchors.select(id_col, *(F.col(c).alias(f"_{c}") for c in FIELDS), F.lit(True).alias("_anchor"))
+    none = F.array().cast("array<string>")
+    rows = rows.join(anchor, id_col, "left").fillna(0, ["claims_found", "claims_verified"])
+    dropped = F.coalesce(F.transform(F.filter("parts", lambda p: ~p["kept"]), lambda p: p["lost"]), none)
+    left = F.array_join(F.coalesce(texts("executive_summary"), none), " ")
+    n, good = F.col("claims_found"), F.col("claims_verified")
+    status = (
+        F.when(F.col("_facts").isNull(), "skipped").when(n == 0, "pass")
+        .when((good < MIN_RATIO * n) | ((F.size(dropped) > 0) & (F.trim(left) == "")), "fallback").otherwise("guarded")
+    )
+    rows = rows.withColumns({"_status": status, "_left": left, "_dropped": dropped})
+    guarded = {
+        "title": F.when(F.size(texts("title")) > 0, F.col("title")).otherwise(F.when(F.col("title").isNotNull(), NO_TITLE)), "executive_summary": F.col("_left"),
+        "calculated_metrics": F.map_filter("calculated_metrics", lambda k, v: ~F.array_contains(bad, k)), **{c: texts(c) for c in LISTS},
+    }
+    checked = F.col("_status").isin("guarded", "fallback")
+    shown = [
+        F.when(F.col("_status") == "guarded", guarded[c]).when((F.col("_status") == "fallback") & F.col("_anchor"), F.col(f"_{c}")).when(F.col("_status") == "fallback", None).otherwise(F.col(c)).alias(c)
+        for c in FIELDS
+    ]
+    tally = [F.when(checked, c).otherwise(0).alias(name) for c, name in ((n, "claims_found"), (good, "claims_verified"), (n - good, "claims_dropped"))]
+    return rows.select(id_col, *shown, F.col("_status").alias("status"), *tally, F.when(checked, F.slice("_dropped", 1, DROPPED)).otherwise(none).alias("dropped"))
+
+
 # Budgets
 
 
@@ -124,9 +214,3 @@ def fitted_level(sizes: DataFrame, id_col: str, budget: int) -> DataFrame:
 def token_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_col, tokens): estimates."""
     return df.select(id_col, token_estimate(F.col(text_col)).alias("tokens"))
-
-
-def running_budget(df: DataFrame, id_col: str, order: Column, tokens: Column, budget: int) -> DataFrame:
-    """The rows, in order, whose tokens so far keep to the budget."""
-    w = Window.partitionBy(id_col).orderBy(order)
-    return df.withColumn("_used", F.sum(tokens).over(w)).where(F.col("_used") <= budget).drop("_used")

@@ -13,6 +13,7 @@ from siftmill.operators import columns as C
 from siftmill.operators import documents as D
 from siftmill.operators import guard as G
 from siftmill.operators import nested as N
+from siftmill.operators import reports as E
 from siftmill.operators import samples as S
 from siftmill.operators import semantics as M
 from siftmill.operators import replies as P
@@ -399,17 +400,94 @@ def report_digest_sections(spark, sf_dir):
     return found.select("conv_id", "section", "kind", "count", F.col("columns").cast("int").alias("columns"), F.col("tokens").cast("int").alias("tokens"))
 
 
-@query("SELECT conv_id, 'turns' AS section, 'chars' AS path, CAST(min(length(text)) AS DOUBLE) AS min, CAST(max(length(text)) AS DOUBLE) AS max, round(avg(length(text)), 4) AS mean, round(median(length(text)), 4) AS median FROM conversations GROUP BY conv_id")
+@query("""
+WITH v AS (SELECT conv_id, 'chars' AS path, CAST(length(text) AS DOUBLE) AS x FROM conversations UNION ALL SELECT conv_id, 'turn', turn FROM conversations)
+SELECT conv_id, 'turns' AS section, path, min(x) AS min, max(x) AS max, round(avg(x), 4) AS mean, round(median(x), 4) AS median FROM v GROUP BY conv_id, path
+""")
 def report_digest_numbers(spark, sf_dir):
-    return N.report_numbers(N.report_rows(_turns(spark, sf_dir), "conv_id", "json"), "conv_id").where("path = 'chars'")
+    found = E.section_numbers(N.report_rows(_turns(spark, sf_dir), "conv_id", "json"), "conv_id", most=None)
+    return found.select("conv_id", "section", "path", "min", "max", "mean", "median")
+
+
+def _accounts(spark, sf_dir):
+    """A report for each customer that has orders, in parts of bounded size: account data, a table of orders, a list of their days."""
+    orders = table(spark, sf_dir, "orders")
+    parts = orders.groupBy("o_custkey").agg(F.expr("greatest(1, count(*) div 256)").alias("parts"))
+    rows = F.collect_list(F.struct(
+        F.col("o_orderstatus").alias("status"), F.expr("nullif(o_orderpriority, '1-URGENT')").alias("priority"), F.floor("o_totalprice").alias("price"),
+        F.struct(F.month("o_orderdate").alias("month"), F.year("o_orderdate").alias("year")).alias("placed"),
+    ))
+    held = orders.join(parts, "o_custkey").groupBy("o_custkey", F.expr("pmod(xxhash64(o_orderkey), parts)").alias("part")).agg(rows.alias("orders"))
+    name = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment", "c_acctbal")
+    whole = F.struct(
+        F.col("c_name").alias("company"), F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance")).alias("account"),
+        "orders", F.transform("orders", lambda x: x["status"]).alias("issues"),
+    )
+    return held.join(name, "o_custkey").select("o_custkey", F.to_json(whole).alias("json"))
+
+
+_CELLS = """
+WITH o AS (SELECT * FROM orders JOIN customer ON c_custkey = o_custkey),
+v AS (
+    SELECT o_custkey, 'status' AS path, o_orderstatus AS value FROM o UNION ALL SELECT o_custkey, 'priority', nullif(o_orderpriority, '1-URGENT') FROM o
+),
+n AS (
+    SELECT o_custkey, 'price' AS path, floor(o_totalprice) AS x FROM o UNION ALL SELECT o_custkey, 'placed.month', month(o_orderdate) FROM o UNION ALL SELECT o_custkey, 'placed.year', year(o_orderdate) FROM o
+),
+k AS (
+    SELECT o_custkey, path, count(*) AS records, count(value) AS filled, count(DISTINCT value) AS uniq, count(DISTINCT value) + CASE WHEN count(value) < count(*) THEN 1 ELSE 0 END AS dist FROM v GROUP BY ALL
+    UNION ALL SELECT o_custkey, path, count(*), count(x), count(DISTINCT x), count(DISTINCT x) FROM n GROUP BY ALL
+)
+"""
+
+
+@query(_CELLS + """
+SELECT o_custkey, 'orders' AS section, path, CASE WHEN path IN ('status', 'priority') THEN CASE WHEN dist > 0.5 * records THEN 'text' ELSE 'categorical' END ELSE 'numeric' END AS bucket, records, filled, dist AS "distinct"
+FROM k
+""")
+def report_section_columns(spark, sf_dir):
+    return E.section_columns(N.report_rows(_accounts(spark, sf_dir), "o_custkey", "json"), "o_custkey")
+
+
+@query(_CELLS + """
+, w AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY uniq DESC, path) AS place FROM k WHERE path IN ('status', 'priority') AND dist <= 0.5 * records AND filled > 0)
+SELECT o_custkey, 'orders' AS section, path, any_value(uniq) AS "unique", CAST(any_value(place) AS INTEGER) AS place, value, count(*) AS count,
+       CAST(row_number() OVER (PARTITION BY o_custkey, path ORDER BY count(*) DESC, value) AS INTEGER) AS rank
+FROM v JOIN w USING (o_custkey, path) WHERE value IS NOT NULL AND place <= 5 GROUP BY o_custkey, path, value QUALIFY rank <= 5
+""")
+def report_section_categories(spark, sf_dir):
+    return E.section_categories(N.report_rows(_accounts(spark, sf_dir), "o_custkey", "json"), "o_custkey")
+
+
+@query(_CELLS + """
+, s AS (SELECT o_custkey, path, round(min(x), 4) AS min, round(max(x), 4) AS max, round(avg(x), 4) AS mean, round(median(x), 4) AS median, round(stddev_samp(x), 4) AS std FROM n GROUP BY ALL),
+c AS (SELECT *, CASE WHEN mean = 0 THEN CAST('inf' AS DOUBLE) WHEN std IS NULL THEN 0 ELSE std / abs(mean) END AS cv FROM s)
+SELECT o_custkey, 'orders' AS section, path, min, max, mean, median, std, round(cv, 4) AS cv, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY cv DESC, path) AS INTEGER) AS rank FROM c
+""")
+def report_section_numbers(spark, sf_dir):
+    return E.section_numbers(N.report_rows(_accounts(spark, sf_dir), "o_custkey", "json"), "o_custkey").withColumn("cv", F.round("cv", 4))
 
 
 @query("""
-SELECT conv_id, 'talk ' || conv_id || ' Report' AS title, 'This report covers one entity: title: talk ' || conv_id || '. Its sections are roles (' || count(*) || ' items), turns (' || count(*) || ' records).' AS summary
+SELECT conv_id, 'Report: talk ' || conv_id AS title, 'Known of it: title = talk ' || conv_id || '. It is made up of ' || count(*) || ' entries in roles, ' || count(*) || ' records in turns.' AS summary,
+       CAST(count(*) AS VARCHAR) AS turns
 FROM conversations GROUP BY conv_id
 """)
 def report_summary(spark, sf_dir):
-    return N.report_summaries(N.report_rows(_turns(spark, sf_dir), "conv_id", "json"), "conv_id").select("conv_id", "title", "summary")
+    found = E.report_summaries(N.report_rows(_turns(spark, sf_dir), "conv_id", "json"), "conv_id")
+    return found.select("conv_id", "title", F.col("executive_summary").alias("summary"), F.col("calculated_metrics")["count.turns"].alias("turns"))
+
+
+@query(_CELLS + """
+, t AS (SELECT o_custkey, o_orderstatus AS value, count(*) AS n FROM o GROUP BY ALL),
+l AS (SELECT o_custkey, string_agg(value || ' ×' || n, ', ' ORDER BY n DESC, value) AS listed, sum(n) AS n FROM t GROUP BY o_custkey)
+SELECT o_custkey, 'finding' AS part, 'issues' AS section, 'issues lists ' || listed || '.' AS text FROM l
+UNION ALL SELECT o_custkey, 'recommendation', 'issues', 'Settle what issues names: ' || n || ' in all.' FROM l
+""")
+def report_findings(spark, sf_dir):
+    """What reports say of their lists."""
+    found = E.report_statements(N.report_rows(_accounts(spark, sf_dir), "o_custkey", "json"), "o_custkey")
+    return found.where("section = 'issues'").select("o_custkey", "part", "section", "text")
 
 
 # Documents
@@ -556,37 +634,147 @@ def ladder_fit(spark, sf_dir):
     return G.fitted_level(G.ladder_sizes(_facets(spark, sf_dir), "lang"), "lang", G.input_budget())
 
 
-@query()
+def _claims(source: str, keys: str, text: str) -> str:
+    """SQL: (keys, pos, value, suffix) of a source's claims; what the pattern looks back at is a group of its own."""
+    pattern = r"(^|[^\w.])(-?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?)(\s*(?:%|[kmb]|\b(?:million|billion|thousand)\b))?"
+    each = f"unnest(list_zip(regexp_extract_all({text}, '{pattern}', 2, 'i'), regexp_extract_all({text}, '{pattern}', 3, 'i'))) AS c, generate_subscripts(regexp_extract_all({text}, '{pattern}', 2, 'i'), 1) - 1 AS pos"
+    scale = "CASE upper(suffix) WHEN 'K' THEN 1e3 WHEN 'THOUSAND' THEN 1e3 WHEN 'M' THEN 1e6 WHEN 'MILLION' THEN 1e6 WHEN 'B' THEN 1e9 WHEN 'BILLION' THEN 1e9 ELSE 1e0 END"
+    return f"""SELECT {keys}, pos, CAST(replace(n, ',', '') AS DOUBLE) * {scale} AS value, upper(suffix) AS suffix
+    FROM (SELECT {keys}, pos, c[1] AS n, regexp_replace(coalesce(c[2], ''), '[\\s%]', '', 'g') AS suffix FROM (SELECT {keys}, {each} FROM {source}))"""
+
+
+_VARIANTS = "list_distinct([x] || [round_even(x, 0), round_even(x, 1), round_even(x, 2), round_even(x, 3), round_even(x, 4)] || CASE WHEN x = floor(x) THEN [x / 1e3, x / 1e6, x / 1e9] ELSE [] END || CASE WHEN abs(x) > 0 AND abs(x) < 1 THEN [round_even(x * 100, 4), round_even(x * 100, 2), round_even(x * 100, 0)] ELSE [] END)"
+_HOLDS = "CASE WHEN suffix = '' THEN abs(value - fact) <= 1e-3 ELSE abs(value - fact) <= 0.02 * abs(fact) END"
+
+
+@query(_claims("documents", "doc_id", "text"))
 def claims_extract(spark, sf_dir):
-    return G.extracted_claims(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return G.extracted_claims(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("pos", F.col("pos").cast("long"))
 
 
 def _facts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("rows"), F.max("n_chars").alias("longest"), F.count_distinct("lang").alias("langs"), F.round(F.avg("n_chars"), 2).alias("mean")).selectExpr("stack(4, CAST(rows AS DOUBLE), CAST(longest AS DOUBLE), CAST(langs AS DOUBLE), CAST(mean AS DOUBLE)) AS value")
+    return table(spark, sf_dir, "documents").agg(F.count("*").alias("rows"), F.max("n_chars").alias("longest"), F.count_distinct("lang").alias("langs"), F.avg("n_chars").alias("mean")).selectExpr("stack(4, CAST(rows AS DOUBLE), CAST(longest AS DOUBLE), CAST(langs AS DOUBLE), CAST(mean AS DOUBLE)) AS value")
 
 
-@query("""
-WITH f AS (SELECT unnest([CAST(count(*) AS DOUBLE), CAST(max(l_linenumber) AS DOUBLE), CAST(count(DISTINCT l_returnflag) AS DOUBLE)]) AS x FROM lineitem)
-SELECT DISTINCT unnest([x, x / 1e3, x / 1e6, x / 1e9]) AS fact FROM f
+_FACTS = f"""
+v AS (SELECT unnest([CAST(count(*) AS DOUBLE), CAST(max(n_chars) AS DOUBLE), CAST(count(DISTINCT lang) AS DOUBLE), avg(n_chars)]) AS x FROM documents),
+f AS (SELECT DISTINCT unnest({_VARIANTS}) AS fact FROM v)
+"""
+
+
+@query(f"""
+WITH s AS (
+    SELECT unnest([count(*), max(l_linenumber), count(DISTINCT l_returnflag), round(avg(l_quantity), 6), round(avg(l_discount), 6), round(avg(l_tax), 6), round(avg(-l_discount), 6)]) AS x FROM lineitem
+) SELECT DISTINCT unnest({_VARIANTS}) AS fact FROM s
 """)
 def facts_variants(spark, sf_dir):
-    facts = table(spark, sf_dir, "lineitem").agg(F.count("*").alias("a"), F.max("l_linenumber").alias("b"), F.count_distinct("l_returnflag").alias("c"))
-    return G.variants(facts.selectExpr("stack(3, CAST(a AS DOUBLE), CAST(b AS DOUBLE), CAST(c AS DOUBLE)) AS value"))
+    """Counts, averages, shares and negative ones."""
+    mean = lambda c: F.round(F.avg(c), 6)
+    facts = table(spark, sf_dir, "lineitem").agg(
+        F.count("*").alias("a"), F.max("l_linenumber").alias("b"), F.count_distinct("l_returnflag").alias("c"), mean("l_quantity").alias("d"), mean("l_discount").alias("e"), mean("l_tax").alias("f"), mean(-F.col("l_discount")).alias("g"),
+    )
+    return G.variants(facts.selectExpr("stack(7, " + ", ".join(f"CAST({c} AS DOUBLE)" for c in "abcdefg") + ") AS value"))
 
 
-@query()
+@query(f"""
+WITH {_FACTS}, c AS ({_claims("documents", "doc_id", "text")})
+SELECT doc_id, pos, value, suffix, EXISTS (SELECT 1 FROM f WHERE {_HOLDS}) AS verified FROM c
+""")
 def guard_verify(spark, sf_dir):
     claims = G.extracted_claims(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return G.verified_claims(claims, G.variants(_facts(spark, sf_dir)))
+    return G.verified_claims(claims, G.variants(_facts(spark, sf_dir))).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query()
+_SENTENCES = r"""SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS sentence FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents WHERE text IS NOT NULL)"""
+
+
+@query(f"""
+WITH {_FACTS}, s AS ({_SENTENCES}), c AS ({_claims("s", "doc_id, sentence", "part")}),
+k AS (SELECT doc_id, sentence, count(*) AS n, count(CASE WHEN good THEN 1 END) AS good FROM (SELECT doc_id, sentence, EXISTS (SELECT 1 FROM f WHERE {_HOLDS}) AS good FROM c) GROUP BY ALL),
+t AS (
+    SELECT doc_id, coalesce(string_agg(CASE WHEN coalesce(n, 0) = coalesce(good, 0) THEN part END, ' ' ORDER BY sentence), '') AS text, CAST(coalesce(sum(n), 0) AS BIGINT) AS claims_found,
+           CAST(coalesce(sum(good), 0) AS BIGINT) AS claims_verified, count(CASE WHEN n > good THEN 1 END) AS lost FROM s LEFT JOIN k USING (doc_id, sentence) GROUP BY doc_id
+)
+SELECT doc_id, md5(text) AS text_md5, claims_found, claims_verified,
+       CASE WHEN claims_found = 0 THEN 'pass' WHEN claims_verified < 0.5 * claims_found OR (lost > 0 AND trim(text, ' ') = '') THEN 'fallback' ELSE 'guarded' END AS status FROM t
+""")
 def guard_sentences(spark, sf_dir):
     found = G.guarded_texts(table(spark, sf_dir, "documents"), G.variants(_facts(spark, sf_dir)), "doc_id", "text")
-    return found.select("doc_id", "text", "claims_found", "claims_verified", "status")
+    return found.select("doc_id", F.md5("text").alias("text_md5"), "claims_found", "claims_verified", "status")
+
 
+def _talk_facts(spark, sf_dir):
+    values = N.parsed(_turns(spark, sf_dir), "conv_id", "json")
+    return G.digest_facts(values, "conv_id")
 
 
+_TALK_FACTS = """
+v AS (SELECT conv_id, CAST(turn AS DOUBLE) AS x FROM conversations UNION SELECT conv_id, length(text) FROM conversations UNION SELECT conv_id, conv_id FROM conversations),
+f AS (SELECT DISTINCT conv_id, unnest([x, x / 1e3, x / 1e6, x / 1e9]) AS fact FROM v)
+"""
+
+
+@query(f"WITH {_TALK_FACTS} SELECT * FROM f")
+def digest_facts(spark, sf_dir):
+    """What the report of each conversation allows to state: turns, lengths, and the number in its title."""
+    return _talk_facts(spark, sf_dir)
+
+
+@query(f"""
+WITH {_TALK_FACTS}, c AS ({_claims("conversations", "conv_id, turn", "text")}),
+k AS (SELECT c.conv_id, turn, pos, max(CAST({_HOLDS} AS INTEGER)) AS good FROM c JOIN f ON c.conv_id = f.conv_id GROUP BY ALL)
+SELECT conv_id, turn, count(*) AS claims_found, CAST(sum(good) AS BIGINT) AS claims_verified FROM k GROUP BY conv_id, turn
+""")
+def digest_claims(spark, sf_dir):
+    """The numbers in each conversation's turns, held against the facts of its own report."""
+    found = G.extracted_claims(table(spark, sf_dir, "conversations").withColumn("at", F.struct("conv_id", "turn")), "at", "text")
+    checked = G.verified_claims(found.select("at.conv_id", "at.turn", "value", "suffix"), _talk_facts(spark, sf_dir), "conv_id")
+    return checked.groupBy("conv_id", "turn").agg(F.count("*").alias("claims_found"), F.count_if("verified").alias("claims_verified"))
+
+
+@query(f"""
+WITH {_TALK_FACTS}, a AS (SELECT conv_id, count(*) AS n, max(length(text)) AS m, CAST(sum(length(text)) AS BIGINT) AS s FROM conversations GROUP BY conv_id),
+p AS (
+    SELECT conv_id, 0 AS part, 0 AS place, 'title' AS name, 'Talk ' || conv_id || ' of ' || n || ' turns' AS text FROM a
+    UNION ALL SELECT conv_id, 1, 0, 'executive_summary', 'Its longest turn has ' || m || ' signs.' FROM a
+    UNION ALL SELECT conv_id, 1, 1, 'executive_summary', 'All turns have ' || s || ' signs.' FROM a
+    UNION ALL SELECT conv_id, 2, 0, 'key_findings', 'It has ' || n || ' turns' FROM a UNION ALL SELECT conv_id, 2, 1, 'key_findings', 'no number here' FROM a
+    UNION ALL SELECT conv_id, 2, 2, 'key_findings', 'about ' || (m // 100) || 'K signs' FROM a
+    UNION ALL SELECT conv_id, 4, 0, 'recommendations', 'Read turn ' || (n - 1) FROM a
+    UNION ALL SELECT conv_id, 5, 0, 'calculated_metrics.longest', CAST(m AS VARCHAR) FROM a UNION ALL SELECT conv_id, 5, 1, 'calculated_metrics.total', CAST(s AS VARCHAR) FROM a
+), c AS ({_claims("p", "conv_id, part, place", "text")}),
+k AS (SELECT c.conv_id, part, place, pos, max(CAST({_HOLDS} AS INTEGER)) AS good FROM c JOIN f ON c.conv_id = f.conv_id GROUP BY ALL),
+g AS (SELECT conv_id, part, place, name, text, count(pos) AS n, CAST(coalesce(sum(good), 0) AS BIGINT) AS good FROM p LEFT JOIN k USING (conv_id, part, place) GROUP BY ALL),
+t AS (
+    SELECT conv_id, CAST(sum(n) AS BIGINT) AS claims_found, CAST(sum(good) AS BIGINT) AS claims_verified, count(CASE WHEN n > good THEN 1 END) AS lost,
+           max(CASE WHEN part = 0 THEN CASE WHEN n = good THEN text ELSE 'General summary' END END) AS title, coalesce(string_agg(CASE WHEN part = 1 AND n = good THEN text END, ' ' ORDER BY place), '') AS executive_summary,
+           coalesce(string_agg(CASE WHEN part = 2 AND n = good THEN text END, ' | ' ORDER BY place), '') AS findings, coalesce(string_agg(CASE WHEN part = 4 AND n = good THEN text END, ' | ' ORDER BY place), '') AS advice,
+           coalesce(string_agg(CASE WHEN part = 5 AND n = good THEN name END, ' | ' ORDER BY place), '') AS metrics,
+           coalesce(string_agg(CASE WHEN n > good THEN name || ': ' || left(text, 80) END, ' | ' ORDER BY part, place), '') AS dropped
+    FROM g GROUP BY conv_id
+), z AS (SELECT *, claims_verified < 0.5 * claims_found OR (lost > 0 AND executive_summary = '') AS fell FROM t)
+SELECT conv_id, CASE WHEN fell THEN 'Report: talk ' || conv_id ELSE title END AS title,
+       CASE WHEN fell THEN 'Known of it: title = talk ' || conv_id || '. It is made up of ' || n || ' entries in roles, ' || n || ' records in turns.' ELSE executive_summary END AS executive_summary,
+       CASE WHEN NOT fell THEN findings END AS findings, CASE WHEN NOT fell THEN advice END AS advice, CASE WHEN NOT fell THEN metrics END AS metrics, dropped,
+       CASE WHEN fell THEN 'fallback' ELSE 'guarded' END AS status, claims_found, claims_verified
+FROM z JOIN a USING (conv_id)
+""")
+def guard_summaries(spark, sf_dir):
+    """A summary of each conversation, partly wrong, held against its own report, whose summary is the anchor."""
+    talks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("m"), F.sum(F.length("text")).alias("s"))
+    said = lambda form, *cols: F.format_string(form, *cols)
+    summaries = talks.select(
+        "conv_id", said("Talk %d of %d turns", "conv_id", "n").alias("title"), said("Its longest turn has %d signs. All turns have %d signs.", "m", "s").alias("executive_summary"),
+        F.array(said("It has %d turns", "n"), F.lit("no number here"), said("about %dK signs", F.expr("m div 100"))).alias("key_findings"),
+        F.create_map(F.lit("longest"), F.col("m").cast("string"), F.lit("total"), F.col("s").cast("string")).alias("calculated_metrics"),
+        F.array().cast("array<string>").alias("anomalies_detected"), F.array(said("Read turn %d", F.col("n") - 1)).alias("recommendations"),
+    )
+    anchors = E.report_summaries(N.report_rows(_turns(spark, sf_dir), "conv_id", "json"), "conv_id")
+    found = G.guarded_summaries(summaries, _talk_facts(spark, sf_dir), anchors, "conv_id")
+    own = lambda c, name: F.when(F.col("status") != "fallback", F.array_join(c, " | ")).alias(name)
+    metrics = F.transform(F.array_sort(F.map_keys("calculated_metrics")), lambda k: F.concat(F.lit("calculated_metrics."), k))
+    return found.select("conv_id", "title", "executive_summary", own("key_findings", "findings"), own("recommendations", "advice"), own(metrics, "metrics"), F.array_join("dropped", " | ").alias("dropped"), "status", "claims_found", "claims_verified")
+
 
 # Readers, streams, replies
 

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folders made inside the innermost swept block of this thread; None outside of one.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
 
 def scratch_path(spark: SparkSession) -> str:
     """A new path below spark.checkpoint.dir. Where that is unset, a session on one machine (tests) gets a
@@ -17,7 +23,31 @@ def scratch_path(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="siftmill-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    own = _made.get()
+    if own is not None:
+        own.append(path)
+    return path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders; those that aren't there do no harm."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving, by an exception too, what this thread stored inside. Only for work whose results
+    are written elsewhere. Blocks may stand in each other and in several threads: each owns its folders."""
+    own: list[str] = []
+    outer = _made.set(own)
+    try:
+        yield
+    finally:
+        _made.reset(outer)
+        discard(spark, *own)
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -25,3 +55,12 @@ def kept(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make returns, kept; all that was kept on the way is deleted."""
+    path = scratch_path(spark)
+    with swept(spark):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,17 +1,21 @@
 """Documents, routing, nested JSON, claims: literal fixtures and brute force."""
 
 import json
+import math
 import random
 import re
+import statistics
 
 from pyspark.sql import functions as F
 
 from siftmill.functions import claims as K
 from siftmill.functions import text as T
+from siftmill.functions.numbers import round_binary
 from siftmill.operators import documents as D
 from siftmill.operators import guard as G
 from siftmill.operators import nested as N
 from siftmill.operators import replies as P
+from siftmill.operators import reports as E
 from siftmill.operators import samples as S
 from siftmill.operators import semantics as M
 from siftmill.sources import router as R
@@ -146,10 +150,53 @@ def test_reports(spark):
     assert sections == {"info": ("object", 1, 0), "issues": ("list", 3, 0), "items": ("table", 3, 2), "conf": ("object", 1, 0)}
     values = {(r.section, r.path, r.value): r["count"] for r in N.report_values(rows, "id").collect()}
     assert values[("issues", None, "i1")] == 2 and values[("items", "s", "open")] == 2
-    n = N.report_numbers(rows, "id").first()
+    n = E.section_numbers(rows, "id").first()
     assert (n.path, n.min, n.max, n.mean, n.median) == ("n", 1.0, 7.0, 4.0, 4.0)
-    words = N.report_summaries(rows, "id").first()
-    assert words.title == "Q1 Report" and words.summary.startswith("All is well. Settings: steps 5.")
+    words = E.report_summaries(rows, "id").first()
+    assert words.title == "Report: Q1" and words.executive_summary == "All is well. It is made up of 1 object in conf, 1 object in info, 3 entries in issues, 3 records in items."
+    assert words.key_findings == ["issues lists i1 ×2, i2 ×1.", "items measures n from 1.0 to 7.0 around 4.0."]
+    assert words.recommendations == ["Settle what issues names: 3 in all."] and words.calculated_metrics["columns.items"] == "2" and words.fields == 4
+    reports = df.where(N.is_nested_report(F.try_parse_json("j"))).collect()
+    assert [r.id for r in reports] == [1]
+
+
+def test_profiles_of_report_sections(spark):
+    """Several reports at once: caps, ties, absent and null cells, empty reports and none."""
+    rng = random.Random(6)
+    reports = {}
+    for i in range(12):
+        items = [{**{f"c{c}": rng.choice(["a", "b", None]) for c in range(7)}, **{f"n{c}": rng.randrange(50) * (c + 1) for c in range(8)}, "long": "x" * 70, "one": f"u{k}"} for k in range(rng.randrange(4, 30))]
+        for item in items[::3]:
+            item.pop("c1"), item.pop("n1")
+        reports[i] = {"items": items, "plain": rng.randrange(9)}
+    rows = [(i, json.dumps(r)) for i, r in reports.items()] + [(50, "{}"), (51, None), (52, "[1]"), (53, '{"items": []}')]
+    cells = N.report_rows(spark.createDataFrame(rows, "id long, j string").repartition(3), "id", "j")
+    columns = {(r.id, r.path): r for r in E.section_columns(cells, "id").collect()}
+    numbers = {(r.id, r.path): r for r in E.section_numbers(cells, "id", most=None).collect()}
+    top = {(r.id, r.path): r["rank"] for r in E.section_numbers(cells, "id").collect()}
+    found = {}
+    for r in E.section_categories(cells, "id").collect():
+        found.setdefault((r.id, r.path), []).append((r["rank"], r.value, r["count"]))
+    for i, report in reports.items():
+        items = report["items"]
+        for name in ("c0", "c1", "n0", "n1", "long", "one"):
+            values = [x.get(name) for x in items]
+            held = [v for v in values if v is not None]
+            got = columns[i, name]
+            assert (got.records, got.filled, got.distinct) == (len(items), len(held), len(set(values)))
+            if name[0] == "n":
+                n = numbers[i, name]
+                assert (n.min, n.max, n.median) == (min(held), max(held), statistics.median(held)) and math.isclose(n.mean, statistics.mean(held), abs_tol=1e-4)
+            assert got.bucket == ("numeric" if name[0] == "n" else "text" if name == "long" or len(set(values)) > len(items) / 2 else "categorical")
+        assert sorted(r for (j, _), r in top.items() if j == i) == list(range(1, 7))
+        wanted = sorted((p for (j, p), c in columns.items() if j == i and c.bucket == "categorical" and c.filled), key=lambda p: (-len({x.get(p) for x in items} - {None}), p))[:5]
+        assert sorted(p for j, p in found if j == i) == sorted(wanted)
+        for p in wanted:
+            counts = sorted(((v, sum(x.get(p) == v for x in items)) for v in {x.get(p) for x in items} - {None}), key=lambda c: (-c[1], c[0]))
+            assert sorted(found[i, p]) == [(k + 1, v, n) for k, (v, n) in enumerate(counts)]
+    assert {i for i, _ in columns} == set(reports)
+    empty = N.report_rows(spark.createDataFrame([], "id long, j string"), "id", "j")
+    assert E.section_columns(empty, "id").collect() == E.section_categories(empty, "id").collect() == E.section_numbers(empty, "id").collect() == E.report_summaries(empty, "id").collect() == []
 
 
 def test_claim_fixture(spark):
@@ -172,6 +219,59 @@ def test_verification_equals_a_product(spark):
     assert not any(r.verified for r in G.verified_claims(df, spark.createDataFrame([], "fact double")).collect())
 
 
+def test_rounding_by_the_binary_value(spark):
+    rng = random.Random(8)
+    xs = [2.675, 1.005, 0.5, 1.5, 2.5, -2.5, 4.35, 0.285, 1e-9, 0.00005, 0.00015, 1e15 + 0.3, 9007199254740993.0, 1e22, 0.0, 6e14 + 0.125, 0.99995, 1023.9999999999999, None, float("inf"), float("nan")]
+    xs += [round(rng.uniform(-1000, 1000), rng.randrange(1, 6)) for _ in range(500)] + [rng.uniform(-1, 1) * 10 ** rng.randrange(-6, 17) for _ in range(500)]
+    xs += [(rng.randrange(10**6) + 0.5) / 10 ** rng.randrange(5) for _ in range(500)] + [2.0**e * f for e in range(-20, 60) for f in (1, 1 - 2**-53)]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", round_binary(F.col("x"), 0, 1, 2, 3, 4).alias("r")).collect()
+    for r in rows:
+        if r.x is None or not math.isfinite(r.x):
+            assert all(v == r.x or v != v for v in r.r)
+        else:
+            assert r.r == [round(r.x, d) for d in range(5)], r.x
+
+
+def test_facts_of_digests_and_their_claims(spark):
+    texts = {1: '{"rows": 1500, "share": 0.25, "x": [{"y": "12 of 30k"}, true, null, [7, [2.675]]]}', 2: '{"a": "none", "b": {}}', 3: '{"n": 2}', 4: None, 5: "broken{"}
+    values = N.parsed(spark.createDataFrame(list(texts.items()), "id long, j string"), "id", "j")
+    facts = G.digest_facts(values, "id")
+    held = {}
+    for r in facts.collect():
+        held.setdefault(r.id, set()).add(r.fact)
+    assert held.keys() == {1, 3} and {1500.0, 1.5, 0.25, 25.0, 12.0, 30000.0, 30.0, 7.0, 2.67, 2.675} <= held[1] and held[3] == {2.0, 2e-3, 2e-6, 2e-9} and 1.0 not in held[1]
+    claims = spark.createDataFrame([(1, 12.0, ""), (3, 12.0, ""), (3, 2.0, ""), (3, 2.0, ""), (1, 1510.0, "K"), (3, 1510.0, "K"), (None, 2.0, ""), (9, 2.0, "")], "id long, value double, suffix string")
+    got = [(r.id, r.value, r.verified) for r in G.verified_claims(claims, facts, "id").collect()]
+    assert sorted(got, key=str) == sorted([(1, 12.0, True), (3, 12.0, False), (3, 2.0, True), (3, 2.0, True), (1, 1510.0, True), (3, 1510.0, False), (None, 2.0, False), (9, 2.0, False)], key=str)
+    assert G.digest_facts(values.where("false"), "id").collect() == []
+
+
+def test_guarded_summaries(spark):
+    kind = "id long, title string, executive_summary string, key_findings array<string>, calculated_metrics map<string, string>, anomalies_detected array<string>, recommendations array<string>"
+    summaries = spark.createDataFrame([
+        (1, "Report of 1,500", "It has 1.5K rows. It has 99 rows. Fine!", ["a 25% share", "b 77", None], {"rows": "1500", "bad": "3.3", "note": "n/a"}, None, ["do 7"]),
+        (2, "T 5", "x 5", ["y 6"], {}, [], []), (3, "All 9 wrong", "It is 8.", ["2 ok"], {}, [], []), (4, "No numbers", "none", ["x"], {"k": "v"}, [], []),
+        (5, "Wrong 8 here", "A 2 and a 2. Also 2.", ["x" * 90 + " 9", "2"], {}, ["9"] * 12, ["2", "2", "2", "2", "2", "2", "2", "2", "2", "2"]), (6, None, None, None, None, None, None), (None, "T 1", "x 1", [], {}, [], []),
+        (7, "Two 2", "Only 9.", ["2"], {}, [], []),
+    ], kind)
+    facts = spark.createDataFrame([(1, 1500.0), (1, 1.5), (1, 25.0), (1, 7.0), (3, 2.0), (4, 1.0), (5, 2.0), (6, 1.0), (7, 2.0)], "id long, fact double")
+    anchors = spark.createDataFrame([(3, "Anchor", "A", ["f"], {"m": "1"}, [], ["r"])], kind)
+    got = {r.id: r for r in G.guarded_summaries(summaries, facts, anchors, "id").collect()}
+    assert len(got) == 8 and {i: r.status for i, r in got.items()} == {1: "guarded", 2: "skipped", 3: "fallback", 4: "pass", 5: "guarded", 6: "pass", 7: "fallback", None: "skipped"}
+    one = got[1]
+    assert (one.title, one.executive_summary, one.key_findings, one.calculated_metrics, one.recommendations) == ("Report of 1,500", "It has 1.5K rows. Fine!", ["a 25% share"], {"rows": "1500", "note": "n/a"}, ["do 7"])
+    assert (one.claims_found, one.claims_verified, one.claims_dropped) == (8, 5, 3)
+    assert one.dropped == ["executive_summary: It has 99 rows.", "key_findings: b 77", "calculated_metrics.bad: 3.3"]
+    assert (got[2].title, got[2].executive_summary, got[2].key_findings, got[2].dropped) == ("T 5", "x 5", ["y 6"], [])
+    assert (got[3].title, got[3].executive_summary, got[3].key_findings, got[3].calculated_metrics, got[3].recommendations) == ("Anchor", "A", ["f"], {"m": "1"}, ["r"])
+    assert got[4].calculated_metrics == {"k": "v"} and got[4].key_findings == ["x"]
+    assert got[5].title == "General summary" and got[5].key_findings == ["2"] and got[5].anomalies_detected == [] and len(got[5].dropped) == 8
+    assert got[5].dropped[:3] == ["title: Wrong 8 here", "key_findings: " + "x" * 80, "anomalies_detected: 9"]
+    assert (got[7].title, got[7].key_findings) == (None, None)  # no anchor for it
+    assert G.guarded_summaries(summaries.where("false"), facts, anchors, "id").collect() == []
+    assert {r.status for r in G.guarded_summaries(summaries, facts.where("false"), anchors, "id").collect()} == {"skipped"}
+
+
 def test_guarded_texts(spark):
     facts = G.variants(spark.createDataFrame([(1500.0,), (0.25,)], "value double"))
     texts = {1: "We saw 1.5K rows. A share of 25%. And 77 ghosts!", 2: "No numbers here.", 3: "Only 99 lies. And 98 more.", 4: "It is 1500. Or 2."}
