@@ -4,6 +4,7 @@ can express it. A query runs over its whole table."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -240,17 +241,20 @@ def spotlights(spark, sf_dir):
 
 # Names
 
+_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
-def _names(names: list[str]) -> str:
-    return "(VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(names)) + ') AS names(position, "column")'
 
+def _names(names: str) -> str:
+    """SQL: (position, column) of a table's columns."""
+    return f'(SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name AS "column" FROM (DESCRIBE {names}))'
 
-_CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
-_ALL_NAMES = [*_CUSTOMER, *LINEITEM, "l_returnflag", "l_linestatus", "l_shipdate", *ORDERS, "o_orderstatus", "o_orderdate", "o_orderpriority", "p_name", "p_brand", "p_retailprice", "event_id", "ts", "user_id", "event_type", "doc_id", "text", "n_chars", "url"]
 
+_ALL_NAMES = "(" + " UNION ALL ".join(f"SELECT '{t}' AS source, * FROM {_names(t)}" for t in _TABLES) + ")"
 
-def _names_frame(spark, names: list[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(names)), "position int, column string")
+
+def _by_table(spark, sf_dir, of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What is made of the column names of each given table."""
+    return reduce(DataFrame.union, (of(M.names_of(table(spark, sf_dir, t))).select(F.lit(t).alias("source"), "*") for t in _TABLES))
 
 
 def _quote(text: str) -> str:
@@ -261,34 +265,69 @@ _ROLE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(\"column\"), {_quote(
 _PHRASE_SQL = "CASE role " + " ".join(f"WHEN {_quote(r)} THEN {_quote(c)}" for r, c in {r: c for _, r, c in reversed(M.ROLES)}.items()) + " ELSE 'Other detail' END"
 
 
-@query(f"SELECT *, {_PHRASE_SQL} AS category FROM (SELECT position, \"column\", {_ROLE_SQL} AS role FROM {_names(_ALL_NAMES)})")
+@query(f"SELECT *, {_PHRASE_SQL} AS category FROM (SELECT source, position, \"column\", {_ROLE_SQL} AS role FROM {_ALL_NAMES})")
 def semantics_roles(spark, sf_dir):
-    return M.column_roles(_names_frame(spark, _ALL_NAMES))
+    return _by_table(spark, sf_dir, M.column_roles)
+
 
+@query(f"SELECT source, {_PHRASE_SQL} AS category, min(position) AS position FROM (SELECT source, position, {_ROLE_SQL} AS role FROM {_ALL_NAMES}) GROUP BY ALL")
+def semantics_categories(spark, sf_dir):
+    return _by_table(spark, sf_dir, M.categories)
 
-_STAFF = ["employee_id", "first_name", "department", "salary", "hire_date", "manager", "payload_x"]
-_SIGNALS = ", ".join(f"({i}, {_quote(d)}, {_quote(w)})" for i, (d, words) in enumerate(M.DOMAINS.items()) for w in words.split())
+
+_SIGNALS = ", ".join(f"({i}, {_quote(d)}, {_quote(w)}, {t})" for i, (d, words) in enumerate(M.DOMAINS.items()) for t, w in enumerate(words))
 _DOMAIN_SQL = f"""
-WITH w AS (SELECT DISTINCT position, unnest(regexp_extract_all(lower("column"), '[a-z0-9]+')) AS token FROM {_names(_STAFF)}),
-s AS (SELECT place, domain, count(*) AS score FROM w JOIN (VALUES {_SIGNALS}) AS t(place, domain, token) USING (token) GROUP BY ALL),
-b AS (SELECT * FROM s ORDER BY score DESC, place LIMIT 1)
-SELECT CASE WHEN score >= 2 THEN domain ELSE 'Unknown' END AS label, score, CASE WHEN score >= 2 THEN round(least(0.97, 0.5 + 0.08 * score), 2) ELSE round(least(0.3, score / 4), 2) END AS confidence FROM b
+WITH n AS {_ALL_NAMES}, w AS (SELECT DISTINCT source, position, "column", unnest(regexp_extract_all(lower("column"), '[a-z0-9]+')) AS token FROM n),
+s AS (SELECT source, place, domain, count(*) AS score, list("column" || ' (→ ' || token || ')' ORDER BY position, t)[1:8] AS evidence FROM w JOIN (VALUES {_SIGNALS}) AS t(place, domain, token, t) USING (token) GROUP BY source, place, domain),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, place) = 1),
+x AS (SELECT source, coalesce(score, 0) AS score, domain, coalesce(array_to_string(evidence, '; '), '') AS evidence FROM (SELECT DISTINCT source FROM n) LEFT JOIN b USING (source)),
+d AS (SELECT source, CASE WHEN score >= 2 THEN domain ELSE 'Unknown' END AS label, score, CASE WHEN score >= 2 THEN round(least(0.97, 0.5 + 0.08 * score), 2) ELSE round(least(0.3, score / 4), 2) END AS confidence, evidence FROM x)
 """
 
 
-@query(_DOMAIN_SQL)
+@query(_DOMAIN_SQL + "SELECT source, label, score, CAST(confidence AS DOUBLE) AS confidence, evidence FROM d")
 def domain_score(spark, sf_dir):
-    return M.domain(_names_frame(spark, _STAFF)).select("label", "score", F.col("confidence").cast("double").alias("confidence"))
+    found = _by_table(spark, sf_dir, M.domain)
+    return found.select("source", "label", "score", F.col("confidence").cast("double").alias("confidence"), F.array_join("evidence", "; ").alias("evidence"))
+
 
+_KIND_SQL = "CASE WHEN confidence >= 0.5 AND label != 'Unknown' THEN CASE label " + " ".join(f"WHEN {_quote(d)} THEN {_quote(k)}" for d, k in M.KINDS.items()) + """ ELSE label END
+    WHEN list_contains(roles, 'person_name') AND (contains(lower(joined), 'dept') OR list_contains(roles, 'org')) THEN 'employee / workforce'
+    WHEN list_contains(roles, 'money') AND list_contains(roles, 'org') THEN 'financial / accounting' WHEN list_contains(roles, 'location') AND list_contains(roles, 'person_name') THEN 'people / contact' ELSE 'general / tabular' END"""
 
-@query("SELECT 'employee / workforce' AS kind, 'This is an employee / workforce dataset. It contains records covering employee id, first name, department, salary, hire date, manager, payload x.' AS summary, 'human resources' AS label")
+
+@query(_DOMAIN_SQL + f"""
+, r AS (SELECT source, list(role) AS roles, string_agg("column", ' ' ORDER BY position) AS joined, array_to_string(list(replace("column", '_', ' ') ORDER BY position)[1:8], ', ') AS covered
+        FROM (SELECT *, {_ROLE_SQL} AS role FROM n) GROUP BY source),
+k AS (SELECT source, label, covered, {_KIND_SQL} AS kind FROM r JOIN d USING (source))
+SELECT source, kind, label, 'By the names of its columns (' || covered || ') it looks like ' || CASE WHEN regexp_matches(lower(kind), '^[aeiou]') THEN 'an ' ELSE 'a ' END || kind || ' table.' AS summary FROM k
+""")
 def semantics_kind(spark, sf_dir):
-    return M.dataset_kind(_names_frame(spark, _STAFF)).select("kind", "summary", "label")
+    return _by_table(spark, sf_dir, M.dataset_kind).select("source", "kind", "label", "summary")
+
 
+_WAVES = " UNION ALL ".join(f"SELECT source, -1 AS position, '' AS \"column\", '{b}' AS band FROM {_ALL_NAMES} WHERE contains(lower(\"column\"), '{b}') GROUP BY source" for b in M.BANDS)
+_ANY = lambda words: " OR ".join(f"contains(lower(\"column\"), '{w}')" for w in words)
 
-@query("SELECT unnest(['alpha', 'gamma']) AS band")
+
+@query(f"SELECT source, position, \"column\", CASE WHEN {_ANY(M.LOW)} THEN 'low' WHEN {_ANY(M.HIGH)} THEN 'high' ELSE 'mid' END AS band FROM {_ALL_NAMES} UNION ALL {_WAVES}")
 def frequency_bands(spark, sf_dir):
-    return M.frequency_bands(_names_frame(spark, ["ch1_Alpha_power", "gamma", "alpha2", "other"]))
+    """Bands of names: the brain waves that they mention, and how often a stream's columns are told to vary."""
+    waves = _by_table(spark, sf_dir, M.frequency_bands).select("source", F.lit(-1).alias("position"), F.lit("").alias("column"), "band")
+    return _by_table(spark, sf_dir, M.streamed_bands).union(waves)
+
+
+_STREAM_WORDS = ", ".join(f"({i}, '{d}', {c}, '{w}')" for i, (d, (words, c)) in enumerate(M.STREAMED.items()) for w in words)
+
+
+@query(f"""
+WITH n AS {_ALL_NAMES}, b AS (
+    SELECT source, label, CAST(confidence AS DOUBLE) AS confidence, string_agg("column", '; ' ORDER BY "column") AS evidence FROM n JOIN (VALUES {_STREAM_WORDS}) AS t(place, label, confidence, "column") USING ("column") GROUP BY source, place, label, confidence
+    QUALIFY row_number() OVER (PARTITION BY source ORDER BY place) = 1
+) SELECT source, coalesce(label, 'general') AS label, coalesce(confidence, 0e0) AS confidence, coalesce(evidence, '') AS evidence FROM (SELECT DISTINCT source FROM n) LEFT JOIN b USING (source)
+""")
+def streamed_domain(spark, sf_dir):
+    return _by_table(spark, sf_dir, M.streamed_domain).withColumn("evidence", F.array_join("evidence", "; "))
 
 
 # Samples
