@@ -135,7 +135,10 @@ def ranked_values(values: DataFrame, by: list[str], shares: dict[str, float], ac
     slack = 2 / accuracy
     cuts = [c for s in shares.values() for c in (max(0.0, s - slack), min(1.0, s + slack))]
     spans = values.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("value", cuts, accuracy).alias("cuts"))
-    each = [F.struct(F.lit(name).alias("name"), F.lit(s).alias("share"), F.col("cuts")[2 * i].alias("from"), F.col("cuts")[2 * i + 1].alias("to")) for i, (name, s) in enumerate(shares.items())]
+    # In a small group the neighbouring rank may lie beyond the bracket: all its values are looked at.
+    small = F.col("n") < accuracy
+    cut = lambda i, end: F.when(small, F.lit(end)).otherwise(F.col("cuts")[i])
+    each = [F.struct(F.lit(name).alias("name"), F.lit(s).alias("share"), cut(2 * i, float("-inf")).alias("from"), cut(2 * i + 1, float("inf")).alias("to")) for i, (name, s) in enumerate(shares.items())]
     spans = spans.select(*by, "n", F.explode(F.array(*each)).alias("s")).select(*by, "n", "s.*")
     near = values.join(side(spans), by).where("value <= to")
     counts = near.groupBy(*by, "n", "name", "share", F.when(F.col("value") >= F.col("from"), F.col("value")).alias("value")).agg(F.count("*").alias("m"))

@@ -20,6 +20,7 @@ from siftmill.operators import semantics as M
 from siftmill.operators import replies as P
 from siftmill.sources import router as R
 from siftmill.sources import tables as B
+from siftmill.streaming import facets as W
 from siftmill.streaming import profile as L
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -858,33 +859,186 @@ def json_wrapped_records(spark, sf_dir):
     return found.select(F.from_json("record", "event_id long, user_id long, value double").alias("r")).select("r.*")
 
 
-def _batches(spark, sf_dir):
-    """events' partial aggregates by day, as a stream leaves them."""
-    df = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_id", "user_id", "event_type", F.expr("IF(value < 10, NULL, value)").alias("value"), F.lit(7).alias("seven"))
-    return L.partial_profile(df, "day")
+# Streams: each query starts one on a given table's files, and waits until it has read them all.
 
 
-_BATCHED = """
-WITH e AS (SELECT event_id, user_id, CASE WHEN value < 10 THEN NULL ELSE value END AS value FROM events),
-v AS (SELECT 'event_id' AS "column", CAST(event_id AS DOUBLE) AS x FROM e UNION ALL SELECT 'user_id', user_id FROM e UNION ALL SELECT 'value', value FROM e)
-SELECT "column", count(*) AS rows, count(*) - count(x) AS missing, min(x) AS min, max(x) AS max, round(avg(x), 6) AS mean, round(stddev_samp(x), 4) AS std FROM v GROUP BY "column"
+def _stream(spark, sf_dir, name: str) -> DataFrame:
+    """A table's files as a stream. The table may be a file or a folder: a pattern stands for both."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def _events(df: DataFrame) -> DataFrame:
+    return df.select("event_id", "user_id", "event_type", F.expr("IF(value < 10, NULL, value)").alias("value"), F.lit(7).alias("seven"))
+
+
+def _streamed(stream: DataFrame, **facets: W.Facet) -> Callable[[str], DataFrame]:
+    """Runs a stream through its facets; the result gives a facet's parts."""
+    spark = stream.sparkSession
+    state = B.scratch_path(spark)
+    W.facet_stream(stream, state, B.scratch_path(spark), facets).awaitTermination()
+    return lambda facet: W.parts(spark, state, facet)
+
+
+_EVENT_VALUES = """
+e AS (SELECT event_id, user_id, event_type, CASE WHEN value < 10 THEN NULL ELSE value END AS value, 7 AS seven FROM events),
+v AS (SELECT 0 AS position, 'event_id' AS "column", CAST(event_id AS DOUBLE) AS x FROM e UNION ALL SELECT 1, 'user_id', user_id FROM e UNION ALL SELECT 3, 'value', value FROM e UNION ALL SELECT 4, 'seven', seven FROM e)
 """
 
 
-@query(_BATCHED)
+@query(f"""
+WITH {_EVENT_VALUES}
+SELECT "column", count(*) AS rows, count(*) - count(x) AS missing, min(x) AS min, max(x) AS max, round(avg(x), 6) AS mean, round(stddev_samp(x), 4) AS std,
+       true AS ranks_hold FROM v GROUP BY "column"
+""")
 def stream_incremental_profile(spark, sf_dir):
-    found = L.merged_profile(_batches(spark, sf_dir)).where("column IN ('event_id', 'user_id', 'value')")
-    return found.select("column", "rows", "missing", "min", "max", "mean", F.round("std", 4).alias("std"))
+    """ranks_hold: whether the sketch's quartiles lie within 2 % of their ranks among the table's values."""
+    parts = _streamed(_events(_stream(spark, sf_dir, "events")), moments=L.partial_profile)
+    found = L.merged_profile(parts("moments")).where("mean IS NOT NULL")
+    names = ["event_id", "user_id", "value", "seven"]
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("column"), F.col(n).cast("double").alias("x")) for n in names)))
+    values = _events(table(spark, sf_dir, "events")).select(each.alias("r")).select("r.*").where("x IS NOT NULL")
+    cuts = [("q1", 0.25), ("median", 0.5), ("q3", 0.75)]
+    ranks = values.join(F.broadcast(found.select("column", *(c for c, _ in cuts))), "column").groupBy("column").agg(
+        F.count("*").alias("n"), *(F.count_if(F.col("x") < F.col(c)).alias(f"{c}_0") for c, _ in cuts), *(F.count_if(F.col("x") <= F.col(c)).alias(f"{c}_1") for c, _ in cuts),
+    )
+    near = [(F.col(f"{c}_0") <= (share + 0.02) * F.col("n")) & (F.col(f"{c}_1") >= (share - 0.02) * F.col("n")) for c, share in cuts]
+    ranks = ranks.select("column", (near[0] & near[1] & near[2]).alias("ranks_hold"))
+    return found.join(F.broadcast(ranks), "column").select("column", "rows", "missing", "min", "max", "mean", F.round("std", 4).alias("std"), "ranks_hold")
 
 
-@query("SELECT 'seven' AS \"column\"")
+@query(f"""
+WITH {_EVENT_VALUES}, s AS (SELECT position, "column", round(avg(x), 6) AS mean, round(coalesce(stddev_samp(x), 0), 6) AS std FROM v GROUP BY ALL),
+c AS (SELECT *, CASE WHEN mean = 0 THEN 0 ELSE abs(std / mean) END AS cv FROM s)
+SELECT "column", round(cv, 4) AS cv, CAST(row_number() OVER (ORDER BY cv DESC, abs(mean) DESC, position) AS INTEGER) AS rank FROM c
+""")
+def stream_variation(spark, sf_dir):
+    parts = _streamed(_events(_stream(spark, sf_dir, "events")), moments=L.partial_profile)
+    return W.by_variation(L.merged_profile(parts("moments"))).select("column", F.round("cv", 4).alias("cv"), "rank")
+
+
+@query("""
+SELECT 'event_type' AS "column" FROM events HAVING count(DISTINCT event_type) <= 1 UNION ALL SELECT 'seven' FROM events HAVING count(*) >= 0
+UNION ALL SELECT 'value' FROM events HAVING count(DISTINCT CASE WHEN value < 10 THEN NULL ELSE value END) <= 1 UNION ALL SELECT 'user_id' FROM events HAVING count(DISTINCT user_id) <= 1
+""")
 def stream_constant_cols(spark, sf_dir):
-    return L.merged_profile(_batches(spark, sf_dir)).where("is_constant").select("column")
+    parts = _streamed(_events(_stream(spark, sf_dir, "events")), moments=L.partial_profile)
+    return L.merged_profile(parts("moments")).where("is_constant").select("column")
 
 
 @query("SELECT count(*) - count(DISTINCT (event_type, user_id)) AS duplicate_rows FROM events")
 def stream_dup_count(spark, sf_dir):
-    return L.duplicates_so_far(table(spark, sf_dir, "events").select("event_type", "user_id")).agg((F.sum("n") - F.count("*")).alias("duplicate_rows"))
+    """The state of a streaming aggregation, as its last batch wrote it."""
+    path = B.scratch_path(spark)
+
+    def last(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    writer = L.duplicates_so_far(_stream(spark, sf_dir, "events").select("event_type", "user_id")).writeStream.outputMode("complete").foreachBatch(last)
+    writer.option("checkpointLocation", B.scratch_path(spark)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).agg((F.sum("n") - F.count("*")).alias("duplicate_rows"))
+
+
+@query("""
+SELECT date_trunc('hour', ts) AS start, event_type AS key, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY ALL
+""")
+def stream_windows(spark, sf_dir):
+    """Hours of events by type, as a stream with a watermark leaves them."""
+    path = B.scratch_path(spark)
+
+    def last(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    found = L.windowed_profile(_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value", "event_type")
+    found.writeStream.outputMode("complete").foreachBatch(last).option("checkpointLocation", B.scratch_path(spark)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).select(F.col("start").cast("timestamp_ntz").alias("start"), "key", "n", F.round("mean", 6).alias("mean"), "least", "most")
+
+
+_PAIRED = ["l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _gaps(df: DataFrame) -> DataFrame:
+    """lineitem with nulls in two columns, so that pairs have different rows."""
+    return df.select("l_partkey", "l_quantity", "l_extendedprice", F.expr("nullif(l_discount, 0)").alias("l_discount"), F.expr("IF(l_quantity > 40, NULL, l_tax)").alias("l_tax"))
+
+
+_GAPS = "g AS (SELECT l_partkey, l_quantity, l_extendedprice, nullif(l_discount, 0) AS l_discount, CASE WHEN l_quantity > 40 THEN NULL ELSE l_tax END AS l_tax FROM lineitem)"
+_GAP_PAIRS = " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, {i * len(_PAIRED) + j} AS position, count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END) AS n, round(corr({a}, {b}), 4) AS value FROM g" for i, a in enumerate(_PAIRED) for j, b in enumerate(_PAIRED) if i < j
+)
+
+
+@query(f"WITH {_GAPS} SELECT a, b, n, value FROM ({_GAP_PAIRS})")
+def stream_corr_pairs(spark, sf_dir):
+    parts = _streamed(_gaps(_stream(spark, sf_dir, "lineitem")), pairs=W.co_moments)
+    return W.merged_correlations(parts("pairs")).select("a", "b", "n", "value")
+
+
+@query(f"""
+WITH {_GAPS}, p AS ({_GAP_PAIRS}), s AS (SELECT *, CASE WHEN value > 0 THEN 'positive' ELSE 'negative' END AS sign FROM p WHERE value != 0)
+SELECT sign, a, b, value, CAST(row_number() OVER (PARTITION BY sign ORDER BY abs(value) DESC, position) AS INTEGER) AS rank FROM s QUALIFY rank <= 5
+""")
+def stream_corr_top(spark, sf_dir):
+    parts = _streamed(_gaps(_stream(spark, sf_dir, "lineitem")), pairs=W.co_moments)
+    return W.strongest_pairs(W.merged_correlations(parts("pairs")))
+
+
+_FLAGS = ["l_returnflag", "l_linestatus"]
+
+
+@query(f'SELECT "column", value, n AS count, CAST(row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS INTEGER) AS rank FROM ({_values("lineitem", _FLAGS)}) WHERE length(value) <= 40 QUALIFY rank <= 5')
+def stream_top_values(spark, sf_dir):
+    parts = _streamed(_stream(spark, sf_dir, "lineitem"), values=lambda b: W.frequent_values(b, _FLAGS))
+    return W.top_values(W.merged_values(parts("values")))
+
+
+_OFTEN = "(SELECT CAST(user_id // 40 AS VARCHAR) AS circle, event_type FROM events)"
+
+
+@query(f'SELECT "column", value, n AS count, CAST(row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS INTEGER) AS rank FROM ({_values(_OFTEN, ["circle", "event_type"])}) QUALIFY rank <= 3')
+def stream_top_values_recounted(spark, sf_dir):
+    """A part holds too few values for one of the columns, so a second query counts what may be on top."""
+    stream = _stream(spark, sf_dir, "events").select(F.expr("CAST(user_id div 40 AS STRING)").alias("circle"), "event_type")
+    found = _streamed(stream, values=lambda b: W.frequent_values(b, ["circle", "event_type"], cap=8))("values")
+    merged = W.merged_values(found)
+    wanted = B.kept(W.open_values(merged, 3))
+    again = _streamed(stream, counts=lambda b: W.counts_of(b, wanted))("counts")
+    return W.top_values(merged, again, 3).join(W.settled_columns(found, merged, 3), "column", "left_semi")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), '42')), o_orderkey LIMIT 5")
+def stream_sample(spark, sf_dir):
+    """The sample of sample_random_seeded, kept while files arrive."""
+    parts = _streamed(_stream(spark, sf_dir, "orders"), sample=lambda b: W.least_hashes(b, "o_orderkey", 5))
+    return W.merged_sample(parts("sample"), "o_orderkey", 5).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM (SELECT o_orderkey, o_custkey, row_number() OVER () AS n FROM orders) ORDER BY n DESC LIMIT 5")
+def stream_tail(spark, sf_dir):
+    """The last rows of orders as its files have them."""
+    parts = _streamed(W.placed(_stream(spark, sf_dir, "orders")), tail=lambda b: W.last_rows(b, "file", "row"))
+    return W.last_rows(parts("tail"), "file", "row").select("o_orderkey", "o_custkey")
+
+
+@query(_outliers("events", _EVENTS).replace("GROUP BY ALL", 'GROUP BY o.position, o."column", q1, q3, lo, hi, o.n').replace("/ o.n, 3)", "/ o.n, 4)") + """
+SELECT "column", round(lo, 4) AS lo, round(hi, 4) AS hi, outliers, share, CAST(row_number() OVER (ORDER BY outliers DESC, "column") AS INTEGER) AS rank FROM x WHERE outliers > 0 QUALIFY rank <= 10
+""")
+def stream_outliers(spark, sf_dir):
+    """Bounds from a first pass, frozen; a second query counts what lies outside of them."""
+    stream = _stream(spark, sf_dir, "events").select(*_EVENTS)
+    bounds = B.kept(W.frozen_bounds(_streamed(stream, quartiles=W.chunk_quartiles)("quartiles")))
+    found = _streamed(stream, outside=lambda b: W.outside(b, bounds))("outside")
+    return W.merged_outliers(found, bounds).select("column", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"), "outliers", "share", "rank")
+
+
+@query("""
+SELECT 'conv_id' AS "column", 'numeric' AS bucket UNION ALL SELECT 'turn', 'numeric' UNION ALL
+SELECT 'role', CASE WHEN avg(length(role)) > 60 OR count(DISTINCT role) > 500 THEN 'text' ELSE 'categorical' END FROM conversations UNION ALL
+SELECT 'text', CASE WHEN avg(length(text)) > 60 OR count(DISTINCT CASE WHEN length(text) <= 40 THEN text END) > 500 THEN 'text' ELSE 'categorical' END FROM conversations
+""")
+def stream_kinds(spark, sf_dir):
+    stream = _stream(spark, sf_dir, "conversations")
+    parts = _streamed(stream, moments=L.partial_profile, values=lambda b: W.frequent_values(b, ["role", "text"]))
+    return W.streamed_kinds(stream.schema, L.merged_profile(parts("moments")), W.merged_values(parts("values"))).select("column", "bucket")
 
 
 @query("""

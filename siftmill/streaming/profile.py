@@ -38,10 +38,10 @@ def partial_profile(df: DataFrame, *by: str) -> DataFrame:
 
 
 def merged_profile(parts: DataFrame) -> DataFrame:
-    """(position, column, rows, missing, is_constant, min, max, mean, std, q1, median, q3): all batches'
+    """(position, column, rows, missing, chars, is_constant, min, max, mean, std, q1, median, q3): all batches'
     aggregates together. mean and std to 6 places; a column is constant if it has one value or none."""
     sums = parts.groupBy("position", "column", "numeric").agg(
-        *(F.sum(c).alias(c) for c in ("rows", "missing", "total", "squares")), F.min("low").alias("low"), F.max("high").alias("high"),
+        *(F.sum(c).alias(c) for c in ("rows", "missing", "total", "squares", "chars")), F.min("low").alias("low"), F.max("high").alias("high"),
         F.min("least").alias("least"), F.max("most").alias("most"), F.max((F.col("missing") > 0).cast("int")).alias("holes"),
         F.kll_merge_agg_double("sketch").alias("sketch"),
     )
@@ -51,7 +51,7 @@ def merged_profile(parts: DataFrame) -> DataFrame:
     constant = (F.col("low").eqNullSafe(F.col("high"))) & ((F.col("holes") == 0) | F.col("low").isNull())
     rank = lambda q: F.when(F.col("numeric") & (n > 0), F.kll_sketch_get_quantile_double("sketch", F.lit(q)))
     return sums.select(
-        "position", "column", "rows", "missing", constant.alias("is_constant"), F.col("least").alias("min"), F.col("most").alias("max"),
+        "position", "column", "rows", "missing", "chars", constant.alias("is_constant"), F.col("least").alias("min"), F.col("most").alias("max"),
         F.round(mean, 6).alias("mean"), F.round(F.when(F.col("numeric"), F.coalesce(spread, F.lit(0.0))), 6).alias("std"), rank(0.25).alias("q1"), rank(0.5).alias("median"), rank(0.75).alias("q3"),
     )
 

@@ -1,6 +1,7 @@
 """Column profiles: the literal fixtures, nulls, ties, empty and odd tables."""
 
 import math
+import random
 import statistics
 
 import pytest
@@ -90,3 +91,15 @@ def test_top_values_break_ties_by_value(spark):
     assert [(r.value, r["count"]) for r in C.category_values(df, ["s"]).orderBy("rank").collect()] == [("c", 2), ("a", 1), ("b", 1)]
     spots = C.spotlights(df.union(spark.createDataFrame([("http://x",), ("@me",), ("y" * 41,), ("",), (" a ",)], "s string"))).orderBy("rank").collect()
     assert [(r.value, r["count"], r.uniques) for r in spots] == [("a", 2, 3), ("c", 2, 3), ("b", 1, 3)]
+
+
+def test_ranks_of_small_groups(spark):
+    """Every number of rows, for which the neighbouring rank may lie beyond what an approximate percentile brackets."""
+    rng = random.Random(9)
+    groups = {n: sorted(rng.randrange(1000) / 8 for _ in range(n)) for n in [*range(1, 30), 103, 10_003, 20_007]}
+    df = spark.createDataFrame([(n, v) for n, vs in groups.items() for v in vs], "g int, value double")
+    got = {(r.g, r.name): r for r in C.ranked_values(df, ["g"], {"q1": 0.25, "median": 0.5, "q3": 0.75}).collect()}
+    for n, vs in groups.items():
+        for name, share in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+            r, rank = got[n, name], (n - 1) * share
+            assert (r.n, r.low, r.high, r.nearest) == (n, vs[math.floor(rank)], vs[math.ceil(rank)], vs[math.floor(rank + 0.5)])
