@@ -18,11 +18,6 @@ PROFILE_LADDER = {
     "pairs": (None, 4, 2, 1, 1, 0), "missing": (None, 4, 2, 1, 1, 0), "imbalance": (None, 4, 2, 1, 0, 0), "unique_counts": (None, 30, 15, 8, 0, 0),
     "names": (None, 10, 6, 3, 1, 1), "sample_rows": (None, None, None, 2, 1, 0),
 }
-REPORT_LADDER = {
-    "fields": (None, 18, 14, 12, 10, 8), "sections": (None, 6, 5, 4, 3, 2), "columns": (None, 4, 3, 2, 1, 1), "values": (None, 3, 3, 2, 2, 1),
-    "numeric": (None, 5, 4, 3, 2, 1), "tokens": (None, 8, 6, 5, 4, 3), "findings": (None, 2, 2, 1, 1, 0), "counts": (None, 8, 6, 5, 4, 3),
-    "summary_chars": (None, 220, 160, 120, 90, 0), "section_fields": (None, 10, 8, 6, 4, 3),
-}
 
 
 def input_budget(stated: int | None = None, context: int = CONTEXT, reply: int = REPLY) -> int:

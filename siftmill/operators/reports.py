@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from siftmill.operators import columns as C
 from siftmill.operators import nested as N
 from siftmill.operators import semantics as M
+from siftmill.operators.guard import fitted_level
 
 #: Caps of a section's profile (fixed values): columns and values of categories, numeric columns.
 CATEGORY_COLUMNS, CATEGORY_VALUES, NUMERIC_COLUMNS = 5, 5, 6
@@ -29,6 +30,15 @@ GENERIC = ("other detail", "temperature / physical reading", "status / category
 #: How many fields, tokens and items a sentence lists, and the longest value that is listed (fixed values).
 FIELDS, TOKENS, ITEMS, VALUE_CHARS = 8, 6, 8, 60
 
+#: Fields that tell most, in order (fixed values); the others come after them.
+TELLING = ("title", "description", "info.title", "info.description", "name", "info.EpisodeId", "configuration.episodeSteps")
+#: What each level of compression keeps at most of a report's digest, level 0 keeping all (fixed values; None: all).
+LADDER = {
+    "fields": (None, 18, 14, 12, 10, 8), "sections": (None, 6, 5, 4, 3, 2), "columns": (None, 4, 3, 2, 1, 1), "values": (None, 3, 3, 2, 2, 1),
+    "numeric": (None, 5, 4, 3, 2, 1), "tokens": (None, 8, 6, 5, 4, 3), "findings": (None, 2, 2, 1, 1, 0), "counts": (None, 8, 6, 5, 4, 3),
+    "summary_chars": (None, 220, 160, 120, 90, 0), "section_fields": (None, 10, 8, 6, 4, 3),
+}
+
 
 def section_columns(rows: DataFrame, id_col: str) -> DataFrame:
     """(id_col, section, path, bucket, records, filled, distinct) of the columns of tables: numeric if all values
@@ -151,3 +161,81 @@ def report_summaries(rows: DataFrame, id_col: str) -> DataFrame:
         id_col, title.alias("title"), F.array_join(F.coalesce("summary", none), " ").alias("executive_summary"), F.coalesce("finding", none).alias("key_findings"), metrics.alias("calculated_metrics"),
         none.alias("anomalies_detected"), F.coalesce("recommendation", none).alias("recommendations"), "fields", "sections",
     )
+
+
+# Digests within a budget
+
+
+def digest_pieces(rows: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, facet, section, place, rank, text): the pieces of a report's digest. section is the place of a piece's
+    section among the report's, 0 for what belongs to none; place and rank are what the ladder's limits
+    are held against, rank being that of a value in its column."""
+    columns = section_columns(rows, id_col)
+    fields = rows.where("kind = 'field'").select(id_col, "path", "value").distinct()
+    sections = N.report_sections(rows, id_col).withColumn("order", F.row_number().over(Window.partitionBy(id_col).orderBy("section")))
+    telling = rows.sparkSession.createDataFrame(list(enumerate(TELLING)), "first int, path string")
+    place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.coalesce("first", F.lit(len(TELLING))), "path"))
+    titles = fields.join(F.broadcast(telling), "path", "left").withColumn("place", place)
+    at = sections.select(id_col, "section", "order")
+    inner = fields.select(id_col, F.substring_index("path", ".", 1).alias("section"), "path").where("path != section").join(sections.where("kind = 'object'").select(id_col, "section"), [id_col, "section"], "left_semi")
+    inner = inner.withColumn("place", F.row_number().over(Window.partitionBy(id_col, "section").orderBy("path")))
+    values = N.report_values(rows, id_col)
+    told = report_statements(rows, id_col)
+    found = told.where("part = 'finding'").withColumn("n", F.row_number().over(Window.partitionBy(id_col, "section").orderBy("place", "text")))
+    zero, dot = F.lit(0), F.lit(".")
+
+    def pieces(frame: DataFrame, facet: str, text: Column, place: Column, rank: Column = zero, owned: bool = True) -> DataFrame:
+        frame = frame.select(id_col, *(["section"] if owned else []), F.lit(facet).alias("facet"), place.cast("int").alias("place"), rank.cast("int").alias("rank"), text.alias("text"))
+        order = F.col("order") if owned else zero
+        return (frame.join(at, [id_col, "section"]) if owned else frame).select(id_col, "facet", order.cast("int").alias("section"), "place", "rank", "text")
+
+    count = F.col("count").cast("string")
+    valued = F.concat("value", F.lit(" ×"), count)
+    number = F.concat("section", dot, "path", F.lit(": "), F.concat_ws(" ", *(F.col(c).cast("string") for c in ("min", "median", "mean", "max"))))
+    return reduce(DataFrame.union, [
+        pieces(titles, "fields", F.concat("path", F.lit(": "), F.coalesce("value", F.lit("none"))), F.col("place"), owned=False),
+        pieces(told.where("part = 'summary' AND place = 0"), "summary_chars", F.col("text"), zero, owned=False),
+        pieces(sections.drop("order"), "sections", F.concat("section", F.lit(": "), "kind", F.lit(" of "), count), zero),
+        pieces(inner, "section_fields", F.col("path"), F.col("place")),
+        pieces(section_categories(rows, id_col, columns), "columns", F.concat("section", dot, "path", F.lit(": "), valued), F.col("place"), F.col("rank")),
+        pieces(section_numbers(rows, id_col, columns), "numeric", number, F.col("rank")),
+        pieces(values.where("kind = 'token'"), "tokens", F.concat("section", F.lit(": "), valued), F.col("rank")),
+        pieces(values.where("kind = 'item'"), "counts", F.concat("section", F.lit(": "), valued), F.col("rank")),
+        pieces(found, "findings", F.col("text"), F.col("n")),
+    ])
+
+
+def _limit(name: str, level: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(x).cast("int") for x in LADDER[name])), level + 1)
+
+
+def _at_level(level: Column) -> Column:
+    """What a level leaves of a piece, null if nothing."""
+    within = lambda x, name: F.coalesce(x <= _limit(name, level), F.lit(True))
+    own = F.lit(True)
+    for facet in LADDER:
+        if facet not in ("sections", "values", "summary_chars"):
+            own = F.when(F.col("facet") == facet, within(F.col("place"), facet)).otherwise(own)
+    own = own & ((F.col("facet") != "columns") | within(F.col("rank"), "values")) & within(F.col("section"), "sections")
+    cut = F.coalesce(F.left("text", _limit("summary_chars", level)), F.col("text"))
+    left = F.when(F.col("facet") == "summary_chars", cut).otherwise(F.col("text"))
+    return F.when(own & (left != ""), left)
+
+
+def digest_levels(pieces: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, level, pieces, chars, tokens): what is left of each report's digest on each level, all in one pass:
+    a row for each report and level, whatever the number of pieces."""
+    every = range(len(next(iter(LADDER.values()))))
+    left = {level: _at_level(F.lit(level)) for level in every}
+    sums = pieces.groupBy(id_col).agg(*(f.alias(f"{n}{i}") for i, x in left.items() for n, f in (("pieces", F.count(x)), ("chars", F.coalesce(F.sum(F.length(x)), F.lit(0))))))
+    rows = F.explode(F.array(*(F.struct(F.lit(i).alias("level"), F.col(f"pieces{i}").alias("pieces"), F.col(f"chars{i}").alias("chars")) for i in every)))
+    return sums.select(id_col, rows.alias("r")).select(id_col, "r.*").withColumn("tokens", F.ceil(F.col("chars") / 4.0))
+
+
+def fitted_digests(pieces: DataFrame, id_col: str, budget: int) -> DataFrame:
+    """(id_col, level, tokens, digest): each report's digest on the first level that keeps to the budget (the last, if
+    none does), a line a piece."""
+    fits = fitted_level(digest_levels(pieces, id_col), id_col, budget)
+    rows = pieces.join(fits, id_col).withColumn("left", _at_level(F.col("level")))
+    line = F.when(F.col("left").isNotNull(), F.struct("section", "facet", "place", "rank", "left"))
+    return rows.groupBy(id_col, "level", "tokens").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["left"]), "\n").alias("digest"))

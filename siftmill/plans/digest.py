@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from siftmill.operators import columns as C
 from siftmill.operators import samples as S
 from siftmill.operators import semantics as M
+from siftmill.plans.steps import Steps
 
 #: How sure a domain must be to be named, and how many columns' meanings are listed (fixed values).
 NAMED_DOMAIN, MEANINGS = 0.6, 20
@@ -136,11 +137,16 @@ def narrated(d: TableDigest, profile: dict) -> dict:
     }
 
 
-def digest(df: DataFrame, key: str | None = None) -> dict:
-    """{profile, summary} of a table."""
-    facets = table_digest(df, key)
-    profile = assembled(facets)
-    return {"profile": profile, "summary": narrated(facets, profile)}
+def digest(df: DataFrame, key: str | None = None, steps: Steps | None = None) -> dict:
+    """{profile, summary} of a table. steps: takes the time of each step, and the rows and nulls that it saw."""
+    steps = steps or Steps()
+    with steps.step("facets") as watch:
+        facets = table_digest(watch("table", df), key)
+    with steps.step("profile"):
+        profile = assembled(facets)
+    with steps.step("narrative"):
+        summary = narrated(facets, profile)
+    return {"profile": profile, "summary": summary}
 
 
 @dataclass

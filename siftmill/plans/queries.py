@@ -18,6 +18,8 @@ from siftmill.operators import reports as E
 from siftmill.operators import samples as S
 from siftmill.operators import semantics as M
 from siftmill.operators import replies as P
+from siftmill.plans.steps import Steps
+from siftmill.sources import payloads as Y
 from siftmill.sources import router as R
 from siftmill.sources import tables as B
 from siftmill.streaming import facets as W
@@ -530,6 +532,46 @@ def report_findings(spark, sf_dir):
     return found.where("section = 'issues'").select("o_custkey", "part", "section", "text")
 
 
+_LADDER_SQL = "(VALUES " + ", ".join(f"({i}, {', '.join('NULL' if E.LADDER[f][i] is None else str(E.LADDER[f][i]) for f in ('fields', 'sections', 'columns', 'values', 'numeric', 'counts', 'section_fields'))})" for i in range(6)) + ") AS ladder(level, f, s, c, v, m, k, i)"
+_PIECES = _CELLS + f"""
+, w AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY uniq DESC, path) AS place FROM k WHERE path IN ('status', 'priority') AND dist <= 0.5 * records AND filled > 0),
+p AS (
+    SELECT DISTINCT o_custkey, 'fields' AS facet, 0 AS section, unnest([1, 2, 3]) AS place, 0 AS rank, unnest(['account.balance: ' || c_acctbal, 'account.segment: ' || c_mktsegment, 'company: ' || c_name]) AS text FROM o
+    UNION ALL SELECT o_custkey, 'sections', unnest([1, 2, 3]), 0, 0, unnest(['account: object of 1', 'issues: list of ' || count(*), 'orders: table of ' || count(*)]) FROM o GROUP BY o_custkey
+    UNION ALL SELECT DISTINCT o_custkey, 'section_fields', 1, unnest([1, 2]), 0, unnest(['account.balance', 'account.segment']) FROM o
+    UNION ALL SELECT o_custkey, 'counts', 2, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, o_orderstatus), 0, 'issues: ' || o_orderstatus || ' ×' || count(*) FROM o GROUP BY o_custkey, o_orderstatus
+    UNION ALL SELECT o_custkey, 'columns', 3, any_value(place), row_number() OVER (PARTITION BY o_custkey, path ORDER BY count(*) DESC, value), 'orders.' || path || ': ' || value || ' ×' || count(*)
+              FROM v JOIN w USING (o_custkey, path) WHERE value IS NOT NULL GROUP BY o_custkey, path, value QUALIFY any_value(place) <= 5 AND row_number() OVER (PARTITION BY o_custkey, path ORDER BY count(*) DESC, value) <= 5
+), z AS (
+    SELECT o_custkey, level, count(*) AS pieces, CAST(sum(length(text)) AS BIGINT) AS chars FROM p, {_LADDER_SQL}
+    WHERE (level = 0 OR section <= s) AND (level = 0 OR place <= CASE facet WHEN 'fields' THEN f WHEN 'section_fields' THEN i WHEN 'counts' THEN k WHEN 'columns' THEN c ELSE place END) AND (level = 0 OR facet != 'columns' OR rank <= v)
+    GROUP BY o_custkey, level
+), y AS (SELECT *, CAST(ceil(chars / 4.0) AS BIGINT) AS tokens FROM z)
+"""
+
+
+def _pieces(spark, sf_dir) -> DataFrame:
+    """The pieces of accounts' digests whose texts hold no fractions, which engines write in different ways."""
+    found = E.digest_pieces(N.report_rows(_accounts(spark, sf_dir), "o_custkey", "json"), "o_custkey")
+    return found.where("facet NOT IN ('numeric', 'findings')")
+
+
+@query(_PIECES + "SELECT o_custkey, level, pieces, chars, tokens FROM y")
+def report_ladder_levels(spark, sf_dir):
+    return E.digest_levels(_pieces(spark, sf_dir), "o_custkey")
+
+
+@query(_PIECES + """
+, b AS (SELECT o_custkey, coalesce(min(CASE WHEN tokens <= 60 THEN level END), 5) AS level FROM y GROUP BY o_custkey)
+SELECT o_custkey, CAST(level AS INTEGER) AS level, tokens, pieces AS lines, chars FROM b JOIN y USING (o_custkey, level)
+""")
+def report_ladder_fit(spark, sf_dir):
+    """The digests that fit 60 tokens, the first level that does, measured again on what they hold."""
+    found = E.fitted_digests(_pieces(spark, sf_dir), "o_custkey", 60)
+    lines = F.size(F.split("digest", "\n")).cast("long")
+    return found.select("o_custkey", "level", "tokens", lines.alias("lines"), (F.length("digest") - lines + 1).cast("long").alias("chars"))
+
+
 # Documents
 
 
@@ -859,6 +901,47 @@ def json_wrapped_records(spark, sf_dir):
     return found.select(F.from_json("record", "event_id long, user_id long, value double").alias("r")).select("r.*")
 
 
+@query("""
+SELECT CAST(event_id AS BIGINT) AS event_id, CASE WHEN event_id % 4 < 2 THEN CAST(value AS DOUBLE) END AS amount, CASE event_id % 4 WHEN 0 THEN user_id END AS "by.user", CASE event_id % 4 WHEN 0 THEN event_type END AS "by.kind",
+       CASE event_id % 4 WHEN 1 THEN event_type || ', x' END AS tags, CASE event_id % 4 WHEN 2 THEN CASE WHEN event_id % 8 = 2 THEN CAST(user_id AS VARCHAR) ELSE event_type END END AS mixed, NULL AS value FROM events WHERE event_id % 4 != 3
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN event_id % 8 = 3 THEN CAST(event_id AS VARCHAR) ELSE event_type END FROM events WHERE event_id % 4 = 3
+""")
+def payloads_merged(spark, sf_dir):
+    """events as payloads of different shapes: nested objects, objects with lists, fields that change their type, numbers and bare text."""
+    rows = table(spark, sf_dir, "events").withColumn("amount", F.col("value").cast("double"))
+    shape = F.col("event_id") % 4
+    mixed = F.when(F.col("event_id") % 8 == 2, F.to_json(F.struct("event_id", F.col("user_id").alias("mixed")))).otherwise(F.to_json(F.struct("event_id", F.col("event_type").alias("mixed"))))
+    payload = (
+        F.when(shape == 0, F.to_json(F.struct("event_id", "amount", F.struct(F.col("user_id").alias("user"), F.col("event_type").alias("kind")).alias("by"))))
+        .when(shape == 1, F.to_json(F.array(F.struct("event_id", "amount", F.array("event_type", F.lit("x")).alias("tags"))))).when(shape == 2, mixed)
+        .when(F.col("event_id") % 8 == 3, F.col("event_id").cast("string")).otherwise(F.col("event_type"))
+    )
+    return Y.merged_table(rows.select(payload.alias("payload")), "payload")
+
+
+@query("""
+SELECT page_id, CASE page_id % 4 WHEN 2 THEN 'UTF-16LE' WHEN 3 THEN 'UTF-16BE' ELSE 'UTF-8' END AS encoding, md5(html) AS text_md5 FROM pages WHERE html IS NOT NULL
+""")
+def bytes_decoded(spark, sf_dir):
+    """pages as base64 of bytes in four encodings, and back by their marks."""
+    rows = table(spark, sf_dir, "pages").where("html IS NOT NULL")
+    marked = lambda mark, encoding: F.concat(F.unhex(F.lit(mark)), F.encode("html", encoding))
+    way = F.col("page_id") % 4
+    content = F.when(way == 0, F.encode("html", "UTF-8")).when(way == 1, marked("EFBBBF", "UTF-8")).when(way == 2, marked("FFFE", "UTF-16LE")).otherwise(marked("FEFF", "UTF-16BE"))
+    held = Y.from_base64(F.base64(content))
+    return rows.select("page_id", Y.encoding_of(held).alias("encoding"), F.md5(Y.text_of(held)).alias("text_md5"))
+
+
+@query(" UNION ALL ".join(f"SELECT 'orders' AS frame, '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS missing FROM (SELECT o_orderkey, nullif(o_orderstatus, 'O') AS o_orderstatus, o_totalprice, nullif(o_orderpriority, '1-URGENT') AS o_orderpriority FROM orders)" for c in ("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")))
+def steps_observed(spark, sf_dir):
+    """What a digest's steps saw of orders, from the runs of the digest itself."""
+    steps = Steps()
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("nullif(o_orderstatus, 'O')").alias("o_orderstatus"), "o_totalprice", F.expr("nullif(o_orderpriority, '1-URGENT')").alias("o_orderpriority"))
+    with steps.step("moments") as watch:
+        B.kept(watch("orders", df))
+    return steps.table(spark).select("frame", "column", "rows", "missing")
+
+
 # Streams: each query starts one on a given table's files, and waits until it has read them all.
 
 

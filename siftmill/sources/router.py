@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.functions.text import outside_quotes
+from siftmill.sources.payloads import text_of
 
 #: Extensions and the kinds they stand for (fixed values).
 KINDS = {
@@ -73,9 +74,8 @@ def classified_texts(df: DataFrame, id_col: str, text_col: str, hint_col: str |
 
 def classified_files(files: DataFrame) -> DataFrame:
     """(path, kind, format, text): a binaryFile frame's contents: PDF and workbooks by their first bytes,
-    else text as UTF-8 or, where that fails, Latin-1."""
+    else text by its byte-order mark (UTF-8, UTF-16), as UTF-8 or, where that fails, Latin-1."""
     head = F.hex(F.substring("content", 1, 8))
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
     is_pdf, is_book = F.startswith(head, F.lit("255044462D")), F.startswith(head, F.lit("504B0304")) | (head == "D0CF11E0A1B11AE1") | F.lower("path").rlike(r"\.xlsx?$")
     shape = F.when(is_pdf, "pdf").when(is_book, "excel")
-    return files.select("path", F.when(is_pdf, "document").when(is_book, "tabular").alias("kind"), shape.alias("format"), F.when(shape.isNull(), F.regexp_replace(text, "^﻿", "")).alias("text"))
+    return files.select("path", F.when(is_pdf, "document").when(is_book, "tabular").alias("kind"), shape.alias("format"), F.when(shape.isNull(), text_of(F.col("content"))).alias("text"))

@@ -18,6 +18,8 @@ from siftmill.operators import replies as P
 from siftmill.operators import reports as E
 from siftmill.operators import samples as S
 from siftmill.operators import semantics as M
+from siftmill.plans.steps import Steps
+from siftmill.sources import payloads as Y
 from siftmill.sources import router as R
 
 
@@ -199,6 +201,49 @@ def test_profiles_of_report_sections(spark):
     assert E.section_columns(empty, "id").collect() == E.section_categories(empty, "id").collect() == E.section_numbers(empty, "id").collect() == E.report_summaries(empty, "id").collect() == []
 
 
+def test_one_table_of_mixed_payloads(spark):
+    texts = ['{"a":1,"b":{"c d":2.5,"e":[1,2]},"x.y":true}', '{"a":"t","b":{"c d":3},"z":null}', "12", '{"m":[{"q":1}],"value":3,"`b`":1}', "nope", None, '[{"a":7},5,null]', '{"x":{"y":2}}', '{"b":{"e":[]}}', "null", '[]', json.dumps({"b": {"e": list(range(13))}})]
+    df = spark.createDataFrame([(t, "kept out") for t in texts], "j string, a string").repartition(3)
+    table = Y.merged_table(df, "j")
+    kinds = dict(table.dtypes)
+    assert (kinds["a"], kinds["b.c d"], kinds["b.e"], kinds["value"], kinds["`b`"], kinds["z"]) == ("string", "double", "string", "string", "bigint", "string")
+    assert {kinds["x.y"], kinds["x.y_2"]} == {"bigint", "boolean"}
+    rows = [r.asDict() for r in table.collect()]
+    assert len(rows) == 10 and sorted(r["a"] for r in rows if r["a"]) == ["1", "7", "t"] and sorted(r["value"] for r in rows if r["value"]) == ["12", "3", "5", "nope"]
+    assert sorted(r["b.e"] for r in rows if r["b.e"]) == ["1, 2", "[list of 13 items]"] and [r["m"] for r in rows if r["m"]] == ["[nested array of 1 objects]"]
+    assert Y.merged_table(df.where("j IN ('12', 'nope')"), "j").columns == ["value"]
+    assert Y.merged_table(df.where("false"), "j").collect() == [] and Y.merged_table(df.where("false"), "j").columns == ["value"]
+
+
+def test_texts_of_bytes(spark):
+    texts = ["plain", "é ü", "日本 😀", "", "\ufeff twice"]
+    rows = [(i, mark + t.encode(encoding), t, name) for i, t in enumerate(texts) for mark, encoding, name in ((b"\xef\xbb\xbf", "utf-8", "UTF-8"), (b"\xff\xfe", "utf-16-le", "UTF-16LE"), (b"\xfe\xff", "utf-16-be", "UTF-16BE"))]
+    rows += [(9, "naïve café".encode("latin-1"), "naïve café", "ISO-8859-1"), (10, "naïve".encode(), "naïve", "UTF-8"), (11, b"", "", "UTF-8"), (12, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, content binary, text string, name string")
+    for r in df.select("text", "name", Y.text_of(F.col("content")).alias("t"), Y.encoding_of(F.col("content")).alias("e"), Y.from_base64(F.base64("content")).alias("back"), "content").collect():
+        assert (r.t, r.e) == (r.text, r.name) and r.back == r.content
+    assert one(spark, "aGk =\n", lambda c: Y.text_of(Y.from_base64(c))) == "hi" and one(spark, "no base64!", Y.from_base64) is None
+
+
+def test_steps_see_what_runs(spark):
+    steps, df = Steps(), spark.createDataFrame([(1, None), (2, "x"), (3, None)], "a int, b string")
+    with steps.step("one") as watch:
+        assert watch("df", df).where("a > 1").count() == 2
+        watch("never used", df)
+        assert watch("none", df.where("false")).count() == 0
+    try:
+        with steps.step("two"):
+            raise KeyError("x")
+    except KeyError:
+        pass
+    with steps.step("three"):
+        pass
+    rows = steps.table(spark).collect()
+    assert {(r.label, r.frame, r.column, r.rows, r.missing) for r in rows if r.frame == "df"} == {("one", "df", "a", 3, 0), ("one", "df", "b", 3, 2)}
+    assert "never used" not in {r.frame for r in rows} and [(r.label, r.failed) for r in rows if r.label != "one"] == [("two", True), ("three", False)]
+    assert all(r.milliseconds >= 0 for r in rows)
+
+
 def test_claim_fixture(spark):
     text = "up 1,234.5 and 60% of 5 men, 2 million v1.2, 7 thousand, 2024-01-05, 3 bananas"
     got = [(c.value, c.suffix) for c in one(spark, text, K.claims)]
@@ -219,6 +264,33 @@ def test_verification_equals_a_product(spark):
     assert not any(r.verified for r in G.verified_claims(df, spark.createDataFrame([], "fact double")).collect())
 
 
+def test_digests_of_reports_by_level(spark):
+    """Every limit of the ladder, held against a plain count of pieces; digests keep to their budget."""
+    report = {f"s{i}": [{"c1": rng_value % 2 and "a" or "b", "c2": f"v{rng_value % 3}", "n": rng_value, "m": rng_value * 2} for rng_value in range(9)] for i in range(8)}
+    report |= {f"f{i:02}": f"value {i}" for i in range(25)} | {"title": "T", "name": "N", "description": "D" * 300, "l": [f"i{k % 10}" for k in range(40)], "o": {f"k{k:02}": k for k in range(12)}}
+    rows = N.report_rows(spark.createDataFrame([(1, json.dumps(report)), (2, '{"title": "only"}')], "id long, j string"), "id", "j")
+    pieces = E.digest_pieces(rows, "id")
+    held = [tuple(r) for r in pieces.collect()]
+    got = {(r.id, r.level): (r.pieces, r.chars, r.tokens) for r in E.digest_levels(pieces, "id").collect()}
+    for i in (1, 2):
+        for level in range(6):
+            cap = {k: v[level] if v[level] is not None else 10**9 for k, v in E.LADDER.items()}
+            left = []
+            for _, facet, section, place, rank, text in (p for p in held if p[0] == i):
+                limit = {"sections": 10**9, "summary_chars": 10**9}.get(facet, cap.get(facet))
+                if section <= cap["sections"] and place <= limit and (facet != "columns" or rank <= cap["values"]):
+                    left.append(text[: cap["summary_chars"]] if facet == "summary_chars" else text)
+            left = [x for x in left if x]
+            assert got[i, level] == (len(left), sum(map(len, left)), -(-sum(map(len, left)) // 4))
+    order = [p[5].split(":")[0] for p in sorted((p for p in held if p[0] == 1 and p[1] == "fields"), key=lambda p: p[3])]
+    assert order[:4] == ["title", "description", "name", "f00"]
+    for budget in (10_000, 200, 60, 1):
+        for r in E.fitted_digests(pieces, "id", budget).collect():
+            first = next((level for level in range(6) if got[r.id, level][2] <= budget), 5)
+            assert (r.level, r.tokens) == (first, got[r.id, first][2]) and len(r.digest.replace("\n", "")) == got[r.id, first][1]
+    assert E.digest_levels(pieces.where("false"), "id").collect() == []
+
+
 def test_rounding_by_the_binary_value(spark):
     rng = random.Random(8)
     xs = [2.675, 1.005, 0.5, 1.5, 2.5, -2.5, 4.35, 0.285, 1e-9, 0.00005, 0.00015, 1e15 + 0.3, 9007199254740993.0, 1e22, 0.0, 6e14 + 0.125, 0.99995, 1023.9999999999999, None, float("inf"), float("nan")]
