@@ -151,14 +151,14 @@ FROM r
 
 _OP8 = """
 WITH g AS (
-    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS DOUBLE)) AS v FROM embeddings
+    SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS DOUBLE)) AS v FROM embeddings
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-    FROM g q JOIN g c ON q.vec_id != c.vec_id WHERE q.vec_id % 100 = 0
+    SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM g q JOIN g c ON q.n != c.n WHERE q.vec_id % 100 = 0
 )
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
-WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 10
+WINDOW w AS (PARTITION BY n ORDER BY score DESC, vec_id) QUALIFY rank <= 10
 """
 
 # Lines; the windows of 50 words that begin and that end at each; contents' first places; what is left.

@@ -104,16 +104,26 @@ def best_of_block(queries: np.ndarray, vectors: np.ndarray, k: int, floors: list
     return rows, at, score, read
 
 
+def first_of_ties(k: int, query: np.ndarray, at: np.ndarray, score: np.ndarray, read: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of each query's vectors the k best ones, the first of equals: so many leave a block at most, however many
+    tie. Vectors come in the order that decides ties."""
+    order = np.lexsort((at, -score, query))
+    query, at, score = query[order], at[order], score[order]
+    kept = np.arange(len(query)) - np.searchsorted(query, query, "left") < k
+    return query[kept], at[kept], score[kept], read
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """(query_id, rank, id_col, score): each query's k highest integer inner products with the
     candidates (all of them, if there are fewer), never with its own row.
 
     Vectors are taken as floor(scale * x). Those that are null, or hold null or non-finite
     components, take no part, on either side; neither do null ids. Vectors meet those of their
-    own length only. Ties go to the smaller id. Rows that repeat wholly count once; rows of one id
-    with different vectors are candidates, and queries, of their own. Either side may be empty.
+    own length only. Ties go to the smaller id. Every row is a candidate, and every query row gets an
+    answer, rows that repeat wholly too: such a query leaves out one of its copies, itself. Equal rows
+    travel as one with their number. Either side may be empty.
     """
-    rows = lambda df: df.select(F.col(id_col).cast("long").alias("id"), whole(F.col(vector_col), scale).alias("v")).where("id IS NOT NULL AND v IS NOT NULL").distinct()
+    rows = lambda df: df.select(F.col(id_col).cast("long").alias("id"), whole(F.col(vector_col), scale).alias("v")).where("id IS NOT NULL AND v IS NOT NULL").groupBy("id", "v").agg(F.count("*").alias("copies"))
     all_rows, asked = stored(rows(candidates)), stored(rows(queries).withColumn("key", F.xxhash64("id", "v")))
     total, cores = all_rows.count(), candidates.sparkSession.sparkContext.defaultParallelism
     blocks = max(1, -(-total // BLOCK), min(cores, total // 1024))
@@ -123,17 +133,21 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
 
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
-            return pd.DataFrame({"key": [], "query_id": [], "id": [], "score": []})
+            return pd.DataFrame({"key": [], "query_id": [], "id": [], "copies": [], "score": []})
+        c = c.assign(order=c["v"].map(tuple)).sort_values(["id", "order"], ignore_index=True)
         a, b = (np.array(x["v"].tolist(), "int64").reshape(len(x), -1) for x in (q, c))
         ids, query_ids = c["id"].to_numpy(), q["id"].to_numpy()
         own = {i: n for n, i in enumerate(ids.tolist())} if len(set(ids.tolist())) == len(ids) else None
-        skips = []
+        copies, skips, selves = c["copies"].to_numpy(), [], []
         for i, v in zip(query_ids.tolist(), a):
             at = np.flatnonzero(ids == i) if own is None else np.array([own[i]] if i in own else [], "int64")
-            skips.append(at[(b[at] == v).all(axis=1)])
+            at = at[(b[at] == v).all(axis=1)]
+            selves.append(int(at[0]) if len(at) else -1)
+            skips.append(at[copies[at] == 1])
         floors = [None if pd.isna(x) else int(x) for x in q["floor"]]
-        i, j, score, _ = best_of_block(a, b, k, floors, skips)
-        return pd.DataFrame({"key": q["key"].to_numpy()[i], "query_id": query_ids[i], "id": ids[j], "score": score.astype("int64")})
+        i, j, score, _ = first_of_ties(k, *best_of_block(a, b, k, floors, skips))
+        others = copies[j] - (np.array(selves, "int64")[i] == j)
+        return pd.DataFrame({"key": q["key"].to_numpy()[i], "query_id": query_ids[i], "id": ids[j], "copies": others, "score": score.astype("int64")})
 
     best, first = None, Window.partitionBy("key", "query_id").orderBy(F.desc("score"), "id")
     low = 0
@@ -142,8 +156,11 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
         floors = best.where(F.col("rank") == k).select("key", F.col("score").alias("floor")) if best else asked.select("key", F.lit(None).cast("long").alias("floor")).where("false")
         own = asked.join(floors, "key", "left").withColumn("c", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
         sized = lambda df: df.withColumn("dims", F.size("v")).groupBy("q", "c", "dims")
-        found = sized(own).cogroup(sized(dealt.where(F.col("c").between(low, high - 1)))).applyInPandas(meet, "key long, query_id long, id long, score long")
+        found = sized(own).cogroup(sized(dealt.where(F.col("c").between(low, high - 1)))).applyInPandas(meet, "key long, query_id long, id long, copies long, score long")
         found = found if best is None else found.union(best.drop("rank"))
         best = stored(found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k))
         low = high
-    return best.select("query_id", "rank", F.col("id").alias(id_col), "score")
+    each = lambda c: F.explode(F.sequence(F.lit(1).cast("long"), c))
+    best = best.drop("rank").withColumn("copy", each(F.least("copies", F.lit(k).cast("long")))).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+    repeated = best.join(asked.select("key", F.col("copies").alias("times")), "key").withColumn("time", each(F.col("times")))
+    return repeated.select("query_id", "rank", F.col("id").alias(id_col), "score")

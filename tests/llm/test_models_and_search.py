@@ -102,11 +102,13 @@ def test_no_listed_url_is_missed(spark):
     assert got.where("(verdict = 'block') != (page_id % 3 = 0)").count() == 0
 
 
-def brute_top(vectors, queries, k):
-    out = []
-    for q in queries:
-        scores = sorted(((int(np.dot(vectors[q], v)), -i) for i, v in vectors.items() if i != q and len(v) == len(vectors[q])), reverse=True)[:k]
-        out += [(q, r, -i, s) for r, (s, i) in enumerate(scores, 1)]
+def brute_top(rows, queries, k):
+    """rows: (id, vector), each a candidate but for the query's own row."""
+    rows, out = list(rows), []
+    for n, (q, own) in enumerate(rows):
+        if q in queries:
+            scores = sorted(((int(np.dot(own, v)), -i) for m, (i, v) in enumerate(rows) if m != n and len(v) == len(own)), reverse=True)[:k]
+            out += [(q, r, -i, s) for r, (s, i) in enumerate(scores, 1)]
     return out
 
 
@@ -120,18 +122,33 @@ def test_top_k_equals_brute_force(spark, spread, monkeypatch):
     bad = [(900, None), (1000, [None] * 12), (1100, [float("nan")] * 12), (1200, [float("inf")] * 12), (None, [0.0] * 12)]
     df = spark.createDataFrame([*values.items(), *bad, (5, values[5])], "vec_id long, embedding array<float>").selectExpr("*", "'x' AS score", "1 AS rank")
     got = sorted(map(tuple, topk.top_k(df, df.where("vec_id % 10 = 0"), k=7).collect()))
-    whole = {i: np.floor(np.array(v, "float64") * 1024).astype("int64") for i, v in values.items()}
-    assert got == sorted(brute_top(whole, [i for i in values if i % 10 == 0], 7))
+    whole = [(i, np.floor(np.array(v, "float64") * 1024).astype("int64")) for i, v in [*values.items(), (5, values[5])]]
+    assert got == sorted(brute_top(whole, {i for i in values if i % 10 == 0}, 7))
     assert topk.top_k(df.where("false"), df).collect() == [] and topk.top_k(df, df.where("false")).collect() == []
 
 
 def test_top_k_of_ids_that_repeat(spark):
-    """Rows of one id with other vectors are candidates of their own, for their own id's queries too."""
+    """Every row is a candidate but the query's own: rows of one id with other vectors, and copies of the query."""
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 2.0]), (1, [1.0, 0.0]), (2, [3.0, 1.0])], "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id = 2")).collect())
-    assert got == [(2, 1, 1, 3 * 1024**2), (2, 2, 1, 2 * 1024**2)]
-    both = sorted((r.rank, r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id = 1")).collect())
-    assert both == [(1, 2, 2 * 1024**2), (1, 2, 3 * 1024**2), (2, 1, 0), (2, 1, 0)]
+    assert got == [(2, 1, 1, 3 * 1024**2), (2, 2, 1, 3 * 1024**2), (2, 3, 1, 2 * 1024**2)]
+    both = sorted((r.rank, r.vec_id, r.score // 1024**2) for r in topk.top_k(df, df.where("vec_id = 1")).collect())
+    assert both == sorted([(1, 2, 2), (2, 1, 0), (3, 1, 0), *[(1, 2, 3), (2, 1, 1), (3, 1, 0)] * 2])
+    few = sorted((r.query_id, r.rank, r.vec_id) for r in topk.top_k(df, df.where("vec_id = 2"), k=1).collect())
+    assert few == [(2, 1, 1)]
+
+
+def test_top_k_of_equal_scores(spark, monkeypatch):
+    """Zero queries tie with everything: no more than k rows of each block leave a task."""
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    rng = np.random.default_rng(3)
+    rows = [(i, [0.0] * 6 if i % 3 == 0 else rng.normal(size=6).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(df, df.where("vec_id % 10 = 0"), k=4).collect()))
+    whole = {i: np.floor(np.array(v) * 1024).astype("int64") for i, v in rows}
+    assert got == sorted(brute_top(whole.items(), {i for i in whole if i % 10 == 0}, 4))
+    zero, vectors = np.zeros((1, 6), "int64"), np.array(list(whole.values()))
+    assert len(topk.first_of_ties(4, *topk.best_of_block(zero, vectors, 4, [None], [np.zeros(0, "int64")]))[0]) == 4
 
 
 def exact(vectors, queries, k, floors):
