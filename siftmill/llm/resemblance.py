@@ -10,10 +10,13 @@ sample decides the work only, not the result. Every pair proposed is checked on
 
 Large groups of near copies don't expand into pairs: the members of a prefix key stand in a row by
 size, and each is compared with one neighbour. Between groups that are still apart, all pairs under
-keys of at most LIGHT texts are tried, which is exact for these. Under larger keys (a group of near
-copies whose members are partly less alike than SHARE) proof for all would take every pair, so each
-text looks in ROUNDS rounds at neighbours in new orders and tries the one with the nearest
-fingerprint: links between such texts may be missed; README gives the recall measured.
+keys of at most LIGHT texts are tried. Under larger keys each text first looks at its neighbours in
+a few orders and tries the one with the nearest fingerprint, which joins most of a group of near
+copies. What is still apart is settled exactly: larger keys that share texts make up a family, and
+every text outside of a family's largest group asks the whole family, in blocks of bounded size,
+whom it resembles. Texts inside the largest group never ask: their links with each other join
+nothing, and others ask for the rest. So no link is lost, and the work beyond the rows themselves is
+that of the texts left over, not of all pairs.
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftmill.llm.pieces import ragged
 from siftmill.llm.shared import BROADCAST_ROWS, bloom_filter, bloom_pass, checked_broadcast, connected_components, settled, small_batches, stored, without
 from siftmill.llm.simhash import BLOCK, fingerprint_links
 
@@ -33,8 +38,11 @@ WORDS, SEED = 5, 42
 SHARE = (4, 5)
 #: One text in so many is in the sample of shingles; those that occur there once only count as rare.
 SAMPLE = 8
-#: Texts of a key whose pairs are all tried, and rounds in which those of larger keys look for others.
-LIGHT, ROUNDS = 32, 4
+#: Texts of a key whose pairs are all tried, and rounds in which those of larger keys look for others before the
+#: rest is settled.
+LIGHT, ROUNDS = 32, 2
+#: Shingles of the asking and of the asked texts that meet in one task.
+ASKING, ASKED = 1 << 18, 1 << 20
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -108,10 +116,9 @@ def _sets(texts: DataFrame, common: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, "id long, node long, fp long, size long, prefix array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
-    """Of pairs (a, b), which are stored, those whose whole sets resemble enough. Only the sets of texts
-    in pairs are made again, and each goes where its pairs are."""
-    need = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps.select("node", "id"), "node"))
+def _sets_of(nodes: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, own): the whole sets of nodes (node), each once. Only the texts that stand for them are read for it."""
+    need = stored(nodes.distinct().join(reps.select("node", "id"), "node"))
     bloom = bloom_filter(need.select(F.xxhash64("id").alias("item")), "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +128,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([_node(own)], pa.int64()), pa.array([own.view("<i8")], pa.list_(pa.int64()))], ["node", "own"])
 
     may = bloom_pass(texts.withColumn("item", F.xxhash64("id")), "item", bloom).select("text")
-    sets = may.mapInArrow(run, "node long, own array<long>").join(checked_broadcast(need.select("node")), "node", "left_semi").dropDuplicates(["node"])
+    return may.mapInArrow(run, "node long, own array<long>").join(checked_broadcast(need.select("node")), "node", "left_semi").dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """Of pairs (a, b), which are stored, those whose whole sets resemble enough. Only the sets of texts
+    in pairs are made again, and each goes where its pairs are."""
+    sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), texts, reps)
     # Not stored: one shuffle by node drops the duplicates and serves both joins.
     both = pairs.join(sets.toDF("a", "mine"), "a").join(sets.toDF("b", "theirs"), "b")
     part, whole = SHARE
@@ -157,9 +170,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             else:
                 rest = settled(spark, lambda: _ordered(_beside(heavy, groups, turn)))
             links = settled(spark, lambda: _verified(rest, texts, reps))
-            if links.isEmpty():
-                break
-            groups = settled(spark, lambda: _merged(groups, links))
+            if not links.isEmpty():
+                groups = settled(spark, lambda: _merged(groups, links))
+        last = settled(spark, lambda: _left_over(heavy, groups, texts, reps))
+        groups = settled(spark, lambda: _merged(groups, last))
         named = reps.select("node", "id").join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
         least = named.groupBy("grp").agg(F.min("id").alias("component_id"))
         named = named.join(least, "grp").select("node", "component_id")
@@ -188,6 +202,69 @@ def _first_groups(texts: DataFrame, reps: DataFrame) -> DataFrame:
     return connected_components(found).withColumnRenamed("component", "grp")
 
 
+def _families(heavy: DataFrame, groups: DataFrame) -> DataFrame:
+    """(node, grp, family, left): the texts under larger keys that several groups still share. Keys that share texts
+    are of one family; left tells whether a text is outside of its family's largest group."""
+    rows = heavy.select("node", "key").join(checked_broadcast(groups), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+    mixed = stored(rows.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.min("node").alias("first")).where("low < high").select("key", "first"))
+    held = stored(rows.join(checked_broadcast(mixed), "key").select("node", "grp", "first"))
+    family = connected_components(held.select(F.col("node").alias("a"), F.col("first").alias("b"))).withColumnRenamed("component", "family")
+    nodes = stored(held.select("node", "grp").distinct().join(family, "node", "left").withColumn("family", F.coalesce("family", "node")))
+    largest = nodes.groupBy("family", "grp").agg(F.count("*").alias("n")).groupBy("family").agg(F.max(F.struct("n", "grp")).alias("m")).select("family", F.col("m.grp").alias("main"))
+    return nodes.join(checked_broadcast(stored(largest)), "family").select("node", "grp", "family", (F.col("grp") != F.col("main")).alias("left"))
+
+
+def _left_over(heavy: DataFrame, groups: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): links that join all groups which any link between texts under larger keys joins."""
+    nodes = stored(_families(heavy, groups))
+    own = _sets_of(nodes.select("node"), texts, reps)
+    # Sizes of texts that resemble enough differ by a quarter at most: by one band.
+    band = F.floor(F.log(F.size("own")) / F.lit(float(np.log(SHARE[1] / SHARE[0])))).cast("int")
+    sets = stored(own.join(nodes, "node").select("node", "grp", "family", "left", "own", band.alias("band")))
+    total = lambda c, most: F.ceil(F.sum(F.size("own")) / most).cast("int").alias(c)
+    asked = stored(sets.groupBy("family", "band").agg(total("blocks", ASKED)))
+    asking = stored(sets.where("left").groupBy("family").agg(total("parts", ASKING)))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    theirs = sets.join(checked_broadcast(asked), ["family", "band"]).join(checked_broadcast(asking), "family")
+    theirs = theirs.select("node", "grp", "own", "family", "band", place("blocks").alias("block"), each("parts").alias("part"))
+    mine = sets.where("left").join(checked_broadcast(asking), "family").select("node", "grp", "own", "family", place("parts").alias("part"), F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("band"))
+    mine = mine.join(checked_broadcast(asked), ["family", "band"]).select("node", "grp", "own", "family", "band", "part", each("blocks").alias("block"))
+    by = ["family", "band", "block", "part"]
+    mine = mine.select(*(F.col(c).alias(c) for c in mine.columns))  # columns of its own: both sides come from one table
+    return mine.groupBy(*by).cogroup(theirs.groupBy(*by)).applyInPandas(_asked, "a long, b long")
+
+
+def _asked(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+    """(a, b) of texts that resemble enough, but for links between groups that others join already."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    found: list[tuple[int, int]] = []
+    if len(mine) and len(theirs):
+        part, whole = SHARE
+        sizes = np.array([len(x) for x in theirs["own"]])
+        shingle, row = np.concatenate(theirs["own"].to_list()), np.repeat(np.arange(len(theirs)), sizes)
+        order = np.argsort(shingle, kind="stable")
+        shingle, row = shingle[order], row[order]
+        nodes, groups = theirs["node"].to_numpy(), theirs["grp"].to_numpy()
+        for node, grp, own in zip(mine["node"].tolist(), mine["grp"].tolist(), mine["own"]):
+            low, high = np.searchsorted(shingle, own, "left"), np.searchsorted(shingle, own, "right")
+            shared = np.bincount(row[ragged(low, high - low)], minlength=len(theirs))
+            for i in np.flatnonzero(shared * (part + whole) >= (sizes + len(own)) * part):
+                x, y = find(grp), find(int(groups[i]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    found.append((node, int(nodes[i])))
+    a, b = zip(*found) if found else ((), ())
+    return pd.DataFrame({"a": np.array(a, "int64"), "b": np.array(b, "int64")})
+
+
 def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     """(node, grp): groups with those joined that links lead between."""
     grp = lambda c, n: groups.select(F.col("node").alias(c), F.col("grp").alias(n))

@@ -289,3 +289,29 @@ def test_resemblance_with_null_ids_and_no_rows(spark):
     got = {(r.doc_id, r.component_id) for r in resemblance.near_duplicates(df).collect()}
     assert got == {(None, 7), (7, 7), (None, None), (9, 9)}
     assert resemblance.near_duplicates(df.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("light,rounds,asked", [(2, 1, 1 << 20), (2, 1, 3000), (32, 2, 1 << 20)])
+def test_no_link_under_larger_keys_is_lost(spark, light, rounds, asked, monkeypatch):
+    """Near copies of one text that are partly less alike than the share: many small components beside a large one."""
+    monkeypatch.setattr(resemblance, "LIGHT", light)
+    monkeypatch.setattr(resemblance, "ROUNDS", rounds)
+    monkeypatch.setattr(resemblance, "ASKED", asked)
+    monkeypatch.setattr(resemblance, "ASKING", asked // 4)
+    rng = random.Random(11)
+    texts = {}
+    for size, n in ((120, 150), (60, 60), (14, 40)):
+        base = words(rng, size, 5000).split()
+        for _ in range(n):
+            text, at = list(base), rng.randrange(size)
+            share = rng.choice([0, 0.01, 0.02, 0.03, 0.05, 0.08])
+            for k in range(size):
+                if rng.random() < share:
+                    text[k] = f"own{rng.randrange(400)}"
+            if rng.random() < 0.3:  # a shorter one, or with a tail
+                text = text[: at + 5] if rng.random() < 0.5 else text + base[:at]
+            texts[len(texts)] = " ".join(text)
+    expected = brute_resemblance(texts)
+    assert 20 < len(set(expected.values())) < len(texts) - 40
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in resemblance.near_duplicates(df).collect()} == expected
