@@ -485,7 +485,7 @@ k AS (
 
 @query(_CELLS + """
 SELECT o_custkey, 'orders' AS section, path, CASE WHEN path IN ('status', 'priority') THEN CASE WHEN dist > 0.5 * records THEN 'text' ELSE 'categorical' END ELSE 'numeric' END AS bucket, records, filled, dist AS "distinct"
-FROM k
+FROM k WHERE filled > 0
 """)
 def report_section_columns(spark, sf_dir):
     return E.section_columns(N.report_rows(_accounts(spark, sf_dir), "o_custkey", "json"), "o_custkey")
@@ -504,10 +504,10 @@ def report_section_categories(spark, sf_dir):
 @query(_CELLS + """
 , s AS (SELECT o_custkey, path, round(min(x), 4) AS min, round(max(x), 4) AS max, round(avg(x), 4) AS mean, round(median(x), 4) AS median, round(stddev_samp(x), 4) AS std FROM n GROUP BY ALL),
 c AS (SELECT *, CASE WHEN mean = 0 THEN CAST('inf' AS DOUBLE) WHEN std IS NULL THEN 0 ELSE std / abs(mean) END AS cv FROM s)
-SELECT o_custkey, 'orders' AS section, path, min, max, mean, median, std, round(cv, 4) AS cv, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY cv DESC, path) AS INTEGER) AS rank FROM c
+SELECT o_custkey, 'orders' AS section, path, min, max, mean, median, std, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY cv DESC, path) AS INTEGER) AS rank FROM c
 """)
 def report_section_numbers(spark, sf_dir):
-    return E.section_numbers(N.report_rows(_accounts(spark, sf_dir), "o_custkey", "json"), "o_custkey").withColumn("cv", F.round("cv", 4))
+    return E.section_numbers(N.report_rows(_accounts(spark, sf_dir), "o_custkey", "json"), "o_custkey").drop("cv")
 
 
 @query("""
@@ -803,13 +803,15 @@ def digest_facts(spark, sf_dir):
 
 
 @query(f"""
-WITH {_TALK_FACTS}, c AS ({_claims("conversations", "conv_id, turn", "text")}),
+WITH {_TALK_FACTS}, t AS (SELECT conv_id, turn, 'Turn ' || turn || ' has ' || length(text) || ' signs in ' || len(string_split(text, ' ')) || ' parts.' AS said FROM conversations),
+c AS ({_claims("t", "conv_id, turn", "said")}),
 k AS (SELECT c.conv_id, turn, pos, max(CAST({_HOLDS} AS INTEGER)) AS good FROM c JOIN f ON c.conv_id = f.conv_id GROUP BY ALL)
 SELECT conv_id, turn, count(*) AS claims_found, CAST(sum(good) AS BIGINT) AS claims_verified FROM k GROUP BY conv_id, turn
 """)
 def digest_claims(spark, sf_dir):
-    """The numbers in each conversation's turns, held against the facts of its own report."""
-    found = G.extracted_claims(table(spark, sf_dir, "conversations").withColumn("at", F.struct("conv_id", "turn")), "at", "text")
+    """What is said of each turn, held against the facts of its own conversation's report."""
+    said = F.format_string("Turn %d has %d signs in %d parts.", "turn", F.length("text"), F.size(F.split("text", " ")))
+    found = G.extracted_claims(table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("at"), said.alias("said")), "at", "said")
     checked = G.verified_claims(found.select("at.conv_id", "at.turn", "value", "suffix"), _talk_facts(spark, sf_dir), "conv_id")
     return checked.groupBy("conv_id", "turn").agg(F.count("*").alias("claims_found"), F.count_if("verified").alias("claims_verified"))
 
