@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 #: Limits and thresholds of the profile (fixed values).
 TEXT_LENGTH, TEXT_SHARE, IMBALANCE = 60, 0.5, 0.8
-TOP_NUMERIC, CORRELATED, TOP_PAIRS, TOP_CATEGORICAL, TOP_VALUES, TOP_OUTLIERS, TOP_MISSING = 10, 40, 5, 8, 5, 8, 5
+TOP_NUMERIC, CORRELATED, TOP_PAIRS, TOP_CATEGORICAL, TOP_VALUES, TOP_OUTLIERS, TOP_MISSING, PREVIEW = 10, 40, 5, 8, 5, 8, 5, 15
 
 
 def quoted(name: str) -> Column:
@@ -87,6 +87,15 @@ def column_kinds(df: DataFrame) -> DataFrame:
     return known.union(f.select("position", "column", F.when(text, "text").otherwise("categorical")))
 
 
+def column_preview(kinds: DataFrame, most: int = PREVIEW) -> DataFrame:
+    """(bucket, columns, listed): how many columns of each kind there are, and the first `most` names, the rest as a
+    number."""
+    names = F.transform(F.array_sort(F.collect_list(F.struct("position", "column"))), lambda x: x["column"])
+    rows = kinds.groupBy("bucket").agg(F.count("*").alias("columns"), names.alias("names"))
+    more = F.when(F.col("columns") > most, F.array(F.format_string("... %d more", F.col("columns") - most))).otherwise(F.array().cast("array<string>"))
+    return rows.select("bucket", "columns", F.concat(F.slice("names", 1, most), more).alias("listed"))
+
+
 def missing_values(df: DataFrame) -> DataFrame:
     """(position, column, missing): nulls in each column."""
     counts = df.agg(*(F.count_if(quoted(n).isNull()).alias(f"missing{i}") for i, n in enumerate(df.columns)))

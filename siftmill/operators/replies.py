@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftmill.operators.nested import SCALARS, kind_of, shown
+
 #: A summary's fields, and what stands in for missing ones (fixed values).
 SCHEMA = "title string, executive_summary string, key_findings array<string>, calculated_metrics map<string, string>, anomalies_detected array<string>, recommendations array<string>"
 TITLE, SUMMARY_CHARS = "Data Summary", 500
@@ -16,17 +18,33 @@ def json_part(text: Column) -> Column:
     return F.when(found != "", found)
 
 
+#: Signs of a schema's entry in the place of a value, and where the value may stand then, in order (fixed values).
+ECHOED, HOLDERS = ("type", "$ref"), ("value", "content", "title", "label", "default")
+
+
+def unwrapped(value: Column) -> Column:
+    """A value as text; of one that repeats the schema ({"title": "Sales", "type": "string"}) what it holds: the first
+    scalar among HOLDERS, or all of it if there is none."""
+    v = F.try_parse_json(F.when(F.startswith(F.ltrim(value), F.lit("{")), value))
+    parts = F.try_variant_get(v, "$", "map<string,variant>")
+    echoed = F.exists(F.array(*map(F.lit, ECHOED)), lambda k: F.coalesce(F.map_contains_key(parts, k), F.lit(False)))
+    held = F.coalesce(*(F.when(kind_of(parts[k]).isin(*SCALARS), shown(parts[k])) for k in HOLDERS))
+    return F.coalesce(F.when(echoed, held), value)
+
+
 def parsed_replies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_col, strict, title, executive_summary, key_findings, calculated_metrics, anomalies_detected,
     recommendations): strict tells whether the reply held a JSON object with both title and summary;
-    otherwise the title is `Data Summary` and the summary the text's first 500 characters."""
+    otherwise the title is `Data Summary` and the summary the text's first 500 characters. Values that repeat the
+    schema are unwrapped, and make a reply not strict, as does any object in the place of a text."""
     part = json_part(F.col(text_col))
     good = F.expr("try_parse_json(_part)").isNotNull()
     rows = df.select(id_col, F.col(text_col).alias("_text"), part.alias("_part")).withColumn("_r", F.when(good, F.from_json("_part", SCHEMA)))
-    none = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c.rsplit(".")[-1])
-    strict = F.coalesce(F.col("_r.title").isNotNull() & F.col("_r.executive_summary").isNotNull(), F.lit(False))
+    none = lambda c: F.coalesce(F.transform(c, unwrapped), F.array().cast("array<string>")).alias(c.rsplit(".")[-1])
+    bare = lambda c: F.col(c).isNotNull() & (kind_of(F.try_parse_json(F.when(F.col(c).rlike(r"^\s*[{\[]"), F.col(c)))) == "null")
+    strict = F.coalesce(bare("_r.title") & bare("_r.executive_summary"), F.lit(False))
     return rows.select(
-        id_col, strict.alias("strict"), F.coalesce("_r.title", F.lit(TITLE)).alias("title"), F.coalesce("_r.executive_summary", F.left(F.trim("_text"), F.lit(SUMMARY_CHARS)), F.lit("")).alias("executive_summary"),
+        id_col, strict.alias("strict"), F.coalesce(unwrapped(F.col("_r.title")), F.lit(TITLE)).alias("title"), F.coalesce(unwrapped(F.col("_r.executive_summary")), F.left(F.trim("_text"), F.lit(SUMMARY_CHARS)), F.lit("")).alias("executive_summary"),
         none("_r.key_findings"), F.coalesce("_r.calculated_metrics", F.create_map().cast("map<string,string>")).alias("calculated_metrics"), none("_r.anomalies_detected"), none("_r.recommendations"),
     )
 

@@ -71,6 +71,7 @@ def assembled(d: TableDigest) -> dict:
     return {
         "dataset": {"rows": size["rows"], "columns": len(kinds), "duplicate_rows": size.duplicate_rows},
         "columns": [k["column"] for k in kinds],
+        "column_categories": {r.bucket: r.listed for r in C.column_preview(d.kinds).collect()},
         "data_types": {b: sum(k["bucket"] == b for k in kinds) for b in ("numeric", "categorical", "text", "datetime", "boolean")},
         "quality": {"missing_values_total": sum(m["missing"] for m in missing), "missing_by_column": missing[: C.TOP_MISSING], "constant_columns": [r.column for r in d.distinct.where("is_constant").orderBy("position").collect()]},
         "unique_value_counts": {r.column: r.n_unique for r in d.distinct.where("n_unique > 1").collect()} if len(kinds) <= C.CORRELATED else {},

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftmill.functions import text as T
@@ -133,6 +133,42 @@ def quality_duplicates(spark, sf_dir):
     return C.duplicate_rows(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber", "l_quantity"))
 
 
+@query(f"""
+WITH h AS ({_HOLES}), m AS ({" UNION ALL ".join(f"SELECT {i} AS position, '{n}' AS \"column\", count(*) - count({n}) AS missing FROM h" for i, n in enumerate(_HOLE_NAMES))})
+SELECT "column", missing, CAST(row_number() OVER (ORDER BY missing DESC, position) AS INTEGER) AS rank FROM m WHERE missing > 0 QUALIFY rank <= 5
+""")
+def quality_missing_top(spark, sf_dir):
+    """What a digest lists of missing values."""
+    found = C.missing_values(_holes(spark, sf_dir)).where("missing > 0")
+    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("missing"), "position"))).where(f"rank <= {C.TOP_MISSING}").select("column", "missing", "rank")
+
+
+@query(f"SELECT * FROM (WITH h AS ({_HOLES}) " + " UNION ALL ".join(f"SELECT '{n}' AS \"column\", count(DISTINCT {n}) + max(CASE WHEN {n} IS NULL THEN 1 ELSE 0 END) AS n_unique FROM h" for n in _HOLE_NAMES) + ") WHERE n_unique > 1")
+def quality_unique_counts(spark, sf_dir):
+    return C.distinct_values(_holes(spark, sf_dir)).where("NOT is_constant").select("column", "n_unique")
+
+
+@query("""
+SELECT count(*) AS rows, count(*) - count(DISTINCT (event_type, user_id % 7, CASE WHEN user_id % 2 = 0 THEN 'even' END)) AS duplicate_rows FROM events
+""")
+def quality_duplicates_nested(spark, sf_dir):
+    """Rows with lists, structs and maps."""
+    odd = F.when(F.col("user_id") % 2 == 0, "even")
+    return C.duplicate_rows(table(spark, sf_dir, "events").select(F.array("event_type", odd).alias("a"), F.struct(F.expr("user_id % 7").alias("x")).alias("s"), F.create_map(F.lit("k"), odd).alias("m")))
+
+
+@query("""
+SELECT 'numeric' AS bucket, 8 AS columns, 'l_orderkey, l_partkey, l_suppkey, ... 5 more' AS listed FROM lineitem HAVING count(*) > 0
+UNION ALL SELECT bucket, count(*), CASE WHEN count(*) > 3 THEN array_to_string(list("column" ORDER BY position)[1:3], ', ') || ', ... ' || (count(*) - 3) || ' more' ELSE array_to_string(list("column" ORDER BY position), ', ') END FROM (
+    SELECT 8 AS position, 'l_returnflag' AS "column", CASE WHEN avg(length(l_returnflag)) > 60 OR count(DISTINCT l_returnflag) > 0.5 * count(*) THEN 'text' ELSE 'categorical' END AS bucket FROM lineitem
+    UNION ALL SELECT 9, 'l_linestatus', CASE WHEN avg(length(l_linestatus)) > 60 OR count(DISTINCT l_linestatus) > 0.5 * count(*) THEN 'text' ELSE 'categorical' END FROM lineitem
+    UNION ALL SELECT 10, 'l_shipdate', 'datetime' FROM lineitem HAVING count(*) > 0
+) GROUP BY bucket
+""")
+def column_preview(spark, sf_dir):
+    return C.column_preview(C.column_kinds(table(spark, sf_dir, "lineitem")), 3).select("bucket", "columns", F.array_join("listed", ", ").alias("listed"))
+
+
 def _pairs(source: str, names: list[str]) -> str:
     def pair(i: int, a: str, j: int, b: str) -> str:
         a, b, x, y = f"CAST({a} AS DOUBLE)", f"CAST({b} AS DOUBLE)", a, b
@@ -356,6 +392,18 @@ def sample_compact(spark, sf_dir):
     return S.compact_rows(S.random_rows(table(spark, sf_dir, "documents"), "doc_id")).select("doc_id", "text", "lang")
 
 
+@query("""
+WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders),
+b AS (
+    SELECT 'first' AS bucket, * FROM (SELECT * FROM o ORDER BY o_orderkey LIMIT 5) UNION ALL SELECT 'last', * FROM (SELECT * FROM o ORDER BY o_orderkey DESC LIMIT 5)
+    UNION ALL SELECT 'random', * FROM (SELECT * FROM o ORDER BY md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), '42')), o_orderkey LIMIT 5)
+)
+SELECT bucket, '{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '","o_orderpriority":"' || o_orderpriority || '"}' AS row FROM b
+""")
+def sample_representative(spark, sf_dir):
+    return S.representative_sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
+
+
 # Routing
 
 _VOTES = r"""
@@ -386,6 +434,21 @@ def classify_text(spark, sf_dir):
     return R.classified_texts(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "kind", "format")
 
 
+@query(_DOCS + r"""
+, hh AS (SELECT *, CASE doc_id % 6 WHEN 0 THEN 'tabular' WHEN 1 THEN 'structured' WHEN 2 THEN 'document' WHEN 3 THEN 'document' END AS hinted, CASE doc_id % 6 WHEN 0 THEN 'csv' WHEN 1 THEN 'json' WHEN 2 THEN 'md' WHEN 3 THEN 'html' END AS tail FROM documents)
+SELECT hh.doc_id, CASE WHEN starts_with(text, '%PDF-') THEN 'document' WHEN hinted IS NOT NULL THEN hinted WHEN regexp_matches(ltrim(text, ' '), '^[\[{]') AND json_valid(text) THEN 'structured'
+       WHEN regexp_matches(text, '(^|[\r\n])[ ]*#') THEN 'document' WHEN w.doc_id IS NOT NULL THEN 'tabular' ELSE 'document' END AS kind,
+       CASE WHEN starts_with(text, '%PDF-') THEN 'pdf' WHEN hinted IS NOT NULL THEN tail WHEN regexp_matches(ltrim(text, ' '), '^[\[{]') AND json_valid(text) THEN 'json'
+       WHEN regexp_matches(text, '(^|[\r\n])[ ]*#') THEN 'markdown' WHEN w.doc_id IS NOT NULL THEN CASE WHEN delimiter = chr(9) THEN 'tsv' ELSE 'csv' END ELSE 'plain-text' END AS format
+FROM hh LEFT JOIN w USING (doc_id)
+""")
+def classify_hinted(spark, sf_dir):
+    """Texts with names, extensions, MIME types, unknown hints and none."""
+    hints = F.element_at(F.array(*map(F.lit, ("files/Report.CSV", "application/json", "md", "a.b.html", "x.unknown"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").withColumn("hint", F.when(F.col("doc_id") % 6 < 5, hints))
+    return R.classified_texts(rows, "doc_id", "text", "hint").select("doc_id", "kind", "format")
+
+
 @query("""SELECT event_id, len(regexp_replace(props, '"(?:[^"]|"")*(?:"|$)', '', 'g')) - len(replace(regexp_replace(props, '"(?:[^"]|"")*(?:"|$)', '', 'g'), ':', '')) AS colons FROM events""")
 def quoted_delim_count(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.outside_quotes(F.col("props"), ":").cast("long").alias("colons"))
@@ -572,6 +635,27 @@ def report_ladder_fit(spark, sf_dir):
     return found.select("o_custkey", "level", "tokens", lines.alias("lines"), (F.length("digest") - lines + 1).cast("long").alias("chars"))
 
 
+@query("""
+SELECT o_custkey, 'issues' AS section, o_orderstatus AS value, count(*) AS count, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, o_orderstatus) AS INTEGER) AS rank
+FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY o_custkey, o_orderstatus QUALIFY rank <= 12
+""")
+def report_list_values(spark, sf_dir):
+    found = N.report_values(N.report_rows(_accounts(spark, sf_dir), "o_custkey", "json"), "o_custkey")
+    return found.where("kind = 'item'").select("o_custkey", "section", "value", "count", "rank")
+
+
+@query("""
+SELECT event_id, path, value FROM (
+    SELECT event_id, 'a.b' AS path, CAST(user_id AS VARCHAR) AS value FROM events UNION ALL SELECT event_id, 't', event_type || ', x' FROM events UNION ALL SELECT event_id, 'e', NULL FROM events
+    UNION ALL SELECT event_id, 'o[0].k', CAST(event_id AS VARCHAR) FROM events UNION ALL SELECT event_id, 'o[1].k', NULL FROM events UNION ALL SELECT event_id, 'p.q.k', json_extract_string(props, '$.k') FROM events
+)
+""")
+def report_cells_unmarked(spark, sf_dir):
+    """Tables of reports without the markers of grids, long and mixed lists."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"rows":['), F.expr(_SHAPES), F.lit("]}")).alias("j"))
+    return N.report_rows(rows, "event_id", "j").where("kind = 'cell'").select("event_id", "path", "value")
+
+
 # Documents
 
 
@@ -676,9 +760,21 @@ def doc_chunks(spark, sf_dir):
     return found.select("doc_id", "chunk", "words", F.array_join("headings", " | ").alias("headings"), F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(_SECTIONS + r"""
+, dc AS (SELECT doc_id, coalesce(max(CASE WHEN is_title THEN coalesce(heading, left(line, 120)) END), 'Untitled document') AS title, greatest(count(CASE WHEN is_section THEN 1 END), 1) AS sections FROM n GROUP BY doc_id),
+dm AS (
+    SELECT doc_id, CASE WHEN dc.title = '' THEN 'Untitled document' ELSE dc.title END AS title, len(regexp_extract_all(d.text, '\S+')) AS words, sections, len(list_filter(string_split_regex(d.text, '\n\s*\n'), lambda x: trim(x, ' ' || chr(9) || chr(10)) != '')) AS paragraphs
+    FROM d JOIN dc USING (doc_id)
+), db AS (SELECT doc_id, section, text, repeat('#', CAST(level AS INTEGER)) || ' ' || heading || chr(10) || text AS block FROM x WHERE section <= 40),
+du AS (SELECT *, sum(length(block)) OVER (PARTITION BY doc_id ORDER BY section) AS used FROM db),
+da AS (SELECT doc_id, trim(regexp_replace(coalesce(string_agg(CASE WHEN used <= 3000 THEN block END, chr(10) || chr(10) ORDER BY section), left(arg_min(text, section), 3000)), '\s+', ' ', 'g'), ' ') AS opening FROM du GROUP BY doc_id),
+dl AS (SELECT doc_id, string_agg('- [' || level || '] ' || heading || ': ' || left(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), 120), chr(10) ORDER BY section) AS outline FROM x GROUP BY doc_id)
+SELECT doc_id, dm.title, md5(dm.title || ': ' || words || ' words in ' || sections || ' section(s), ' || paragraphs || ' paragraph(s). ' || CASE WHEN length(opening) > 600 THEN left(opening, 600) || '…' ELSE opening END) AS overview_md5, md5(outline) AS outline_md5
+FROM dm JOIN da USING (doc_id) JOIN dl USING (doc_id)
+""")
 def doc_digests(spark, sf_dir):
-    return D.deterministic_digests(D.cleaned(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    found = D.deterministic_digests(D.cleaned(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return found.select("doc_id", "title", F.md5("overview").alias("overview_md5"), F.md5("outline").alias("outline_md5"))
 
 
 # Budgets and claims
@@ -944,6 +1040,62 @@ def steps_observed(spark, sf_dir):
     return steps.table(spark).select("frame", "column", "rows", "missing")
 
 
+@query("SELECT doc_id, replace(text, chr(13), '') AS text, lang FROM documents WHERE trim(replace(text, chr(13), ''), ' ' || chr(9) || chr(10)) != '' AND NOT contains(text, chr(92))")
+def csv_quoted_lines(spark, sf_dir):
+    """documents as delimited text with quoted line ends, between tabs, and back."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\r"), F.lit("")).alias("text"), "lang").where(r"trim(BOTH ' \t\n' FROM text) != '' AND NOT contains(text, '\\')")
+    path = B.scratch_path(spark) + ".csv"
+    rows.write.csv(path, header=True, sep="\t", quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    read = B.read_delimited(spark, path, sep="tab", schema="doc_id long, text string, lang string", multi_line=True)
+    return read.select("doc_id", "text", "lang")
+
+
+@query("""
+SELECT event_id, 0 AS pos, CASE event_id % 3 WHEN 0 THEN '{"value":' || event_id || '}' WHEN 1 THEN '{"value":"' || event_type || '"}' ELSE '{"k":' || user_id || '}' END AS record FROM events
+""")
+def json_scalars_wrapped(spark, sf_dir):
+    """Numbers, bare text and objects as records."""
+    payload = F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).when(F.col("event_id") % 3 == 1, F.col("event_type")).otherwise(F.concat(F.lit('{"k":'), F.col("user_id").cast("string"), F.lit("}")))
+    found = B.records_from_texts(table(spark, sf_dir, "events").select("event_id", payload.alias("j")), "event_id", "j")
+    return found.select("event_id", "pos", F.replace("record", F.lit(" "), F.lit("")).alias("record"))
+
+
+@query("""
+SELECT conv_id, turn, role AS title, CAST(length(text) AS VARCHAR) AS executive_summary, role || ' | plain' AS key_findings, false AS strict FROM conversations
+""")
+def reply_unwrapped(spark, sf_dir):
+    """Replies that repeat the schema they were asked to fill."""
+    entry = lambda key, value: F.struct(value.alias(key), F.lit("string").alias("type"))
+    findings = F.array(F.to_json(entry("content", F.col("role"))), F.lit("plain"))
+    whole = F.to_json(F.struct(entry("title", F.col("role")).alias("title"), entry("value", F.length("text")).alias("executive_summary"), findings.alias("key_findings")))
+    df = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("at"), whole.alias("reply"))
+    found = P.parsed_replies(df, "at", "reply")
+    return found.select("at.conv_id", "at.turn", "title", "executive_summary", F.array_join("key_findings", " | ").alias("key_findings"), "strict")
+
+
+_TERMS = ["the", "and", "License", "xy", "password", "que"]
+
+
+@query(_SECTIONS + f"""
+, hs AS (SELECT doc_id, list(heading ORDER BY section) AS headings, list(lower(heading) ORDER BY section) AS low FROM x GROUP BY doc_id),
+ev AS (SELECT doc_id, headings, low, list_filter([lower(left(headings[1], 5)), 'no such heading', '', headings[-1] || ' and more'], lambda s: s != '' AND len(list_filter(low, lambda q: contains(q, lower(s)) OR contains(lower(s), q))) > 0) AS named FROM hs)
+SELECT doc_id, array_to_string(named, ' | ') AS supported, len(list_filter(string_split(d.text, chr(10)), lambda l: regexp_matches(l, '[0-9]'))) AS with_digits,
+       array_to_string(list_filter([{", ".join(map(_quote, _TERMS))}], lambda w: length(w) >= 3 AND contains(lower(d.text), lower(w))), ' | ') AS mentioned
+FROM d JOIN ev USING (doc_id)
+""")
+def reply_evidence(spark, sf_dir):
+    """Sections that a reply names against a document's headings; lines with numbers; terms that the document mentions."""
+    docs = D.cleaned(table(spark, sf_dir, "documents"), "doc_id", "text")
+    headings = F.transform(F.array_sort(F.collect_list(F.struct("section", "heading"))), lambda s: s["heading"])
+    heads = D.document_sections(docs).groupBy("doc_id").agg(headings.alias("headings"))
+    named = F.array(F.lower(F.left(F.get("headings", F.lit(0)), F.lit(5))), F.lit("no such heading"), F.lit(""), F.concat(F.element_at("headings", -1), F.lit(" and more")))
+    rows = docs.join(heads, "doc_id")
+    return rows.select(
+        "doc_id", F.array_join(P.supported(named, F.col("headings")), " | ").alias("supported"), F.size(P.with_digits(F.split("text", "\n"))).cast("long").alias("with_digits"),
+        F.array_join(P.mentioned(F.array(*map(F.lit, _TERMS)), F.col("text")), " | ").alias("mentioned"),
+    )
+
+
 # Streams: each query starts one on a given table's files, and waits until it has read them all.
 
 
