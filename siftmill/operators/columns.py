@@ -7,10 +7,10 @@ aggregation over the table; whatever depends on single values comes from a frequ
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,26 +120,60 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 # Ranks
 
 
+def _valid(name: str) -> Column:
+    """A column as doubles, without NaN."""
+    x = quoted(name).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def order_statistics(df: DataFrame, columns: list[str], shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:
     """(column, n, name, low, high, nearest) for each share: the values of the 0-based ranks that are
-    (n-1) * share rounded down, up and to the nearest among the column's values that aren't null or NaN, exactly."""
-    each = [F.struct(F.lit(n).alias("column"), quoted(n).cast("double").alias("value")) for n in columns]
-    if not each:
-        return df.sparkSession.createDataFrame([], "column string, n long, name string, low double, high double, nearest double")
-    values = df.select(F.explode(F.array(*each)).alias("r")).select("r.*").where("value IS NOT NULL AND NOT isnan(value)")
-    # As many brackets as columns and shares: a broadcast whatever the table's size.
-    return ranked_values(values, ["column"], shares, accuracy, F.broadcast)
+    (n-1) * share rounded down, up and to the nearest among the column's values that aren't null or NaN, exactly.
+    The brackets are found at once, by a pass of their own."""
+    return _bracketed(df, columns, shares, accuracy, ())[1]
+
 
+def _bracketed(df: DataFrame, columns: list[str], shares: dict[str, float], accuracy: int, more: tuple[Column, ...]) -> tuple[Row, DataFrame]:
+    """The first pass's row, with the aggregates `more`, and order_statistics.
 
-def ranked_values(values: DataFrame, by: list[str], shares: dict[str, float], accuracy: int = 10_000, side: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    The first pass, over whole rows, brackets all columns' ranks by approximate percentiles, along with
+    whatever else is asked of the table; the second counts what lies below the brackets. The third
+    turns values into rows, but only those inside a bracket, which are few.
+    """
+    kind = "column string, n long, name string, low double, high double, nearest double"
+    slack = 2 / accuracy
+    cuts = [c for s in shares.values() for c in (max(0.0, s - slack), min(1.0, s + slack))]
+    first = df.agg(*more, *(a for i, c in enumerate(columns) for a in (F.count(_valid(c)).alias(f"n{i}"), F.percentile_approx(_valid(c), cuts, accuracy).alias(f"cuts{i}"))), F.count(F.lit(1)).alias("_all")).first()
+    places = []
+    for i, c in enumerate(columns):
+        n = first[f"n{i}"]
+        for j, (name, share) in enumerate(shares.items()):
+            # In a small column the neighbouring rank may lie beyond the bracket: all its values are looked at.
+            low, high = first[f"cuts{i}"][2 * j : 2 * j + 2] if n >= accuracy else (-math.inf, math.inf)
+            places.append((c, n, name, low, high, math.floor((n - 1) * share), math.ceil((n - 1) * share), math.floor((n - 1) * share + 0.5)))
+    places = [p for p in places if p[1]]
+    if not places:
+        return first, df.sparkSession.createDataFrame([], kind)
+    below = df.agg(*(F.count_if(_valid(c) < low).alias(f"b{k}") for k, (c, _, _, low, *_) in enumerate(places))).first()
+    held = F.array(*(F.when(_valid(c).between(low, high), F.struct(F.lit(k).alias("k"), _valid(c).alias("value"))) for k, (c, _, _, low, high, *_) in enumerate(places)))
+    inside = df.select(F.explode(F.array_compact(held)).alias("r")).groupBy("r.k", "r.value").agg(F.count("*").alias("m"))
+    wanted = [(k, c, n, name, below[f"b{k}"], *ranks) for k, (c, n, name, _, _, *ranks) in enumerate(places)]
+    table = df.sparkSession.createDataFrame(wanted, "k int, column string, n long, name string, below long, down long, up long, near long")
+    end = F.sum("m").over(Window.partitionBy("k").orderBy("value"))
+    rows = inside.withColumn("end", end).join(F.broadcast(table), "k")  # a row a column and share
+    at = lambda r: F.max(F.when((F.col("below") + F.col("end") - F.col("m") <= F.col(r)) & (F.col(r) < F.col("below") + F.col("end")), F.col("value")))
+    return first, rows.groupBy("column", "n", "name").agg(at("down").alias("low"), at("up").alias("high"), at("near").alias("nearest"))
+
+
+def ranked_values(values: DataFrame, by: list[str], shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:
     """(*by, n, name, low, high, nearest) for each group of values (*by, value double, without nulls and NaN)
     and share: see order_statistics.
 
     Three passes without a sort of everything: approximate percentiles bracket each rank from both
     sides; one aggregation counts what lies below the bracket and how often each value in it
     occurs; a window over the few values in the bracket finds the rank. So no group, however
-    large, is sorted or held by one task. side: what is done to the groups' brackets before they
-    meet the values; a join that adaptive execution can split, unless they are known to be few.
+    large, is sorted or held by one task; brackets meet the values by a join that adaptive execution
+    can split.
     """
     slack = 2 / accuracy
     cuts = [c for s in shares.values() for c in (max(0.0, s - slack), min(1.0, s + slack))]
@@ -149,7 +183,7 @@ def ranked_values(values: DataFrame, by: list[str], shares: dict[str, float], ac
     cut = lambda i, end: F.when(small, F.lit(end)).otherwise(F.col("cuts")[i])
     each = [F.struct(F.lit(name).alias("name"), F.lit(s).alias("share"), cut(2 * i, float("-inf")).alias("from"), cut(2 * i + 1, float("inf")).alias("to")) for i, (name, s) in enumerate(shares.items())]
     spans = spans.select(*by, "n", F.explode(F.array(*each)).alias("s")).select(*by, "n", "s.*")
-    near = values.join(side(spans), by).where("value <= to")
+    near = values.join(spans, by).where("value <= to")
     counts = near.groupBy(*by, "n", "name", "share", F.when(F.col("value") >= F.col("from"), F.col("value")).alias("value")).agg(F.count("*").alias("m"))
     order = Window.partitionBy(*by, "name").orderBy(F.asc_nulls_first("value"))
     placed = counts.withColumn("end", F.sum("m").over(order)).withColumn("start", F.col("end") - F.col("m"))
@@ -174,13 +208,11 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     std. rank orders by cv, the largest first, and by position."""
     names = columns if columns is not None else numeric_columns(df)
     value = lambda n: quoted(n).cast("double")
-    one = df.agg(
-        F.count("*").alias("_rows"),
-        *(f(value(n)).alias(f"{p}{i}") for i, n in enumerate(names) for p, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_samp))),
-    )
-    moments = _rows(one, names, min="double", max="double", mean="double", std="double")
-    middle = order_statistics(df, names, {"median": 0.5}).select("column", ((F.col("low") + F.col("high")) / 2).alias("median"))
-    rows = moments.join(F.broadcast(middle), "column", "left")
+    moments = tuple(f(value(n)).alias(f"{p}{i}") for i, n in enumerate(names) for p, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_samp)))
+    first, ranks = _bracketed(df, names, {"median": 0.5}, 10_000, moments)
+    rows = df.sparkSession.createDataFrame([(i, n, *(first[f"{p}{i}"] for p in ("min", "max", "mean", "std"))) for i, n in enumerate(names)], "position int, column string, min double, max double, mean double, std double")
+    middle = ranks.select("column", ((F.col("low") + F.col("high")) / 2).alias("median"))
+    rows = rows.join(F.broadcast(middle), "column", "left")
     rows = rows.select("position", "column", *(F.round(c, 4).alias(c) for c in ("min", "max", "mean", "median", "std")))
     cv = F.when(F.col("mean").isNull() | (F.col("mean") == 0), F.lit(float("inf"))).when(F.col("std").isNull(), F.lit(0.0)).otherwise(F.col("std") / F.abs("mean"))
     return rows.withColumn("cv", cv).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cv"), "position")))

@@ -47,7 +47,8 @@ class TableDigest:
 
 
 def table_digest(df: DataFrame, key: str | None = None) -> TableDigest:
-    """All facets of df; nothing but its columns' kinds is computed yet. key orders the samples."""
+    """All facets of df; its columns' kinds, their moments and the brackets of their ranks are computed at once, the
+    others when they are used. key orders the samples."""
     kinds = C.column_kinds(df)
     categorical = [r.column for r in kinds.where("bucket = 'categorical'").orderBy("position").collect()]  # a row a column
     numeric = C.numeric_columns(df)
