@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill.llm import bpe, decontam, fim, grammar, linededup, quality, secrets, simhash, topk, toxicity, urlfilter, warc, yinyang
+from siftmill.llm.shared import bounded_batches
 
 #: Host and path rules of op3 (fixed values).
 RULES = [
@@ -87,6 +88,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     made = fim.rearranged(table(spark, sf_dir, "documents"))
     found = fim.restored(made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output"))
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
@@ -98,6 +100,7 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     found = secrets.scanned(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "guess")
     number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

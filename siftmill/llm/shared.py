@@ -3,57 +3,20 @@ connected components and a blocked Bloom filter made of DataFrame functions."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
-from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftmill.sources.scratch import discard, scratch_path, settled, swept  # noqa: F401
+
 #: Rows of three longs at most that a checked broadcast may hold (about 25 MB).
 BROADCAST_ROWS = 300_000
 
-#: The folders made inside the innermost swept block of this thread; None outside of one.
-_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor sees. Where the setting is absent,
-    a session on one machine (tests) gets a local folder; on a cluster this raises."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="siftmill-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    own = _made.get()
-    if own is not None:
-        own.append(path)
-    return path
-
-
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Deletes folders; those that aren't there do no harm."""
-    for path in paths:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-@contextmanager
-def swept(spark: SparkSession) -> Iterator[None]:
-    """Deletes on leaving, by an exception too, what this thread stored inside. Only for work whose results
-    are written elsewhere. Blocks may stand in each other and in several threads: each owns its folders."""
-    own: list[str] = []
-    outer = _made.set(own)
-    try:
-        yield
-    finally:
-        _made.reset(outer)
-        discard(spark, *own)
+#: A new folder below spark.checkpoint.dir, which every executor sees.
+shared_folder = scratch_path
 
 
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
@@ -64,15 +27,6 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
-    """What make returns, stored; all that it stored on the way is deleted."""
-    path = shared_folder(spark)
-    with swept(spark):
-        df = make()
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
 def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
     """Arrow batches of about size bytes at most inside, whatever the number of their rows: a task's JVM and its
@@ -86,6 +40,18 @@ def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+#: Bytes of an Arrow batch that whole texts travel in. Spark's own 64 MB, doubled while a batch grows and held on
+#: both sides of each task's pipe, take hundreds of MB of an executor beside its heap.
+BATCH = 8 << 20
+
+
+def bounded_batches(spark: SparkSession, size: int = BATCH) -> None:
+    """From now on the session's Arrow batches hold about size bytes at most, whatever the number of their rows. For
+    results that run later than the call returns; see small_batches for work that ends inside it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, min(size, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))))
+
+
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, with a broadcast hint if it holds no more than `rows` rows; a larger df is left to a
     shuffle join. Only for stored frames, as it counts them."""
