@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from siftmill.llm import bpe, decontam, linededup, quality, resemblance
 from siftmill.llm.queries import learned, table
-from siftmill.llm.shared import shared_folder, swept
+from siftmill.llm.shared import bounded_batches, discard, shared_folder, swept
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject. A null or empty text is judged as an empty one;
-    repeated rows share their fate; without labels all stay."""
+    repeated rows share their fate; without labels, or without documents, all stay. Texts of any length are
+    judged whole."""
+    bounded_batches(spark)
     return quality.keep_good(docs, learned(table(spark, sf_dir, "labels")))
 
 
@@ -23,7 +25,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later repeats of runs of 50 or more words; n_chars follows the text. A
     document that consists of such repeats goes. Rows with a null id or text stay as they are; of
     equal runs the one of the smallest id stays."""
-    return linededup.keep_new_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    found = linededup.keep_new_lines(docs)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,13 +39,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't overlap with the benchmark; those with a null id or text stay."""
+    """Documents that don't overlap with the benchmark; those with a null id or text stay. Texts of any length are
+    searched whole; without items, or without documents, nothing changes. Repeated rows share their fate."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token ids, and digests of them and of the bytes that they decode to; none for a null
     or empty text. Repeated rows each keep a row."""
+    bounded_batches(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     found = bpe.round_trip(docs, path, public_tokenizers.PATTERN)
     return found.select(
@@ -65,13 +72,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of sf_dir. What a stage stored for itself is deleted when its result
-    is written."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on the documents of sf_dir. What a stage stored for itself, and what it read, is deleted when
+    its result is written."""
+    docs, older = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         path = shared_folder(spark)
         with swept(spark):
             found = stage(spark, docs, sf_dir)
             found.write.parquet(path)
         docs = spark.read.schema(found.schema).parquet(path)
+        if older:
+            discard(spark, older)
+        older = path
     return docs
