@@ -58,6 +58,18 @@ def frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.select(F.explode(F.array(*each)).alias("r")).select("r.*").groupBy("position", "column", "value").agg(F.count("*").alias("n"))
 
 
+def value_digests(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(position, column, digest, chars, n): frequencies by 128 bits of each value's hash and its length, null included
+    (a null digest): what only counts or measures values needn't shuffle them, however long they are."""
+    names = columns if columns is not None else df.columns
+    each = [F.struct(F.lit(df.columns.index(n)).alias("position"), F.lit(n).alias("column"), _text(df, n).alias("value")) for n in names]
+    if not each:
+        return df.sparkSession.createDataFrame([], "position int, column string, digest struct<a: long, b: long>, chars int, n long")
+    rows = df.select(F.explode(F.array(*each)).alias("r")).select("r.*")
+    digest = F.when(F.col("value").isNotNull(), F.struct(F.xxhash64("value").alias("a"), F.xxhash64(F.lit(1), "value").alias("b")))
+    return rows.groupBy("position", "column", digest.alias("digest"), F.length("value").alias("chars")).agg(F.count("*").alias("n"))
+
+
 def _text(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
     nested = isinstance(kind, (T.ArrayType, T.StructType, T.MapType, T.VariantType))
@@ -79,9 +91,9 @@ def column_kinds(df: DataFrame) -> DataFrame:
         else:
             fixed[i, f.name] = "numeric" if isinstance(kind, T.NumericType) else "datetime" if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else "boolean" if isinstance(kind, T.BooleanType) else "categorical"
     known = df.sparkSession.createDataFrame([(i, n, b) for (i, n), b in fixed.items()], "position int, column string, bucket string")
-    f = frequencies(df, strings).groupBy("position", "column").agg(
+    f = value_digests(df, strings).groupBy("position", "column").agg(
         F.count("*").alias("distinct"), F.sum("n").alias("rows"),
-        (F.sum(F.length("value") * F.col("n")) / F.sum(F.when(F.col("value").isNotNull(), F.col("n")))).alias("length"),
+        (F.sum(F.col("chars") * F.col("n")) / F.sum(F.when(F.col("chars").isNotNull(), F.col("n")))).alias("length"),
     )
     text = (F.coalesce("length", F.lit(0)) > TEXT_LENGTH) | (F.col("distinct") > TEXT_SHARE * F.col("rows"))
     return known.union(f.select("position", "column", F.when(text, "text").otherwise("categorical")))
@@ -105,7 +117,7 @@ def missing_values(df: DataFrame) -> DataFrame:
 def distinct_values(df: DataFrame) -> DataFrame:
     """(position, column, n_unique, is_constant): distinct values, null being one. An empty table's
     columns have none and are constant."""
-    found = frequencies(df).groupBy("position", "column").agg(F.count("*").alias("n"))
+    found = value_digests(df).groupBy("position", "column").agg(F.count("*").alias("n"))
     names = df.sparkSession.createDataFrame(list(enumerate(df.columns)), "position int, column string")
     n = F.coalesce("n", F.lit(0))
     return names.join(F.broadcast(found), ["position", "column"], "left").select("position", "column", n.alias("n_unique"), (n <= 1).alias("is_constant"))

@@ -49,26 +49,33 @@ def document_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return lines.withColumns({"is_title": is_title, "is_section": F.col("heading").isNotNull() & ~is_title})
 
 
+def title_of_lines() -> Column:
+    """The title among a document's lines, as an aggregate: the first heading, or the first 120 characters of an early
+    line; may be null."""
+    return F.max(F.when(F.col("is_title"), F.coalesce("heading", F.left("line", F.lit(TITLE_CHARS)))))
+
+
 def document_titles(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, title): the first heading, or the first 120 characters of an early line; may be null."""
-    title = F.coalesce("heading", F.left("line", F.lit(TITLE_CHARS)))
-    return lines.groupBy(id_col).agg(F.max(F.when(F.col("is_title"), title)).alias("title"))
+    """(id_col, title) of documents' lines."""
+    return lines.groupBy(id_col).agg(title_of_lines().alias("title"))
 
 
 def document_sections(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id_col, section, heading, level, line, text): sections in order from 1. A document without any has
     one of level 1 with its title (or `Document`) and its whole text."""
-    lines = document_lines(docs, id_col)
-    upto = Window.partitionBy(id_col).orderBy("i")
-    numbered = lines.withColumn("section", F.sum(F.col("is_section").cast("int")).over(upto))
+    # One shuffle by document: windows, sections and what stands for a document without any all use it.
+    own = Window.partitionBy(id_col)
+    begins = F.col("is_section").cast("int")
+    lines = document_lines(docs, id_col).withColumns({"section": F.sum(begins).over(own.orderBy("i")), "sections": F.sum(begins).over(own)})
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "raw"))), lambda x: x["raw"]), "\n")
-    found = numbered.where("section > 0").groupBy(id_col, "section").agg(
-        F.min_by("heading", "i").alias("heading"), F.min_by("level", "i").alias("level"), F.min("i").alias("line"),
-        F.regexp_replace(body, r"^\n+|\n+$", "").alias("text"),
+    found = lines.where("section > 0 OR sections = 0").groupBy(id_col, "section").agg(
+        F.min_by("heading", "i").alias("heading"), F.min_by("level", "i").alias("level"), F.min("i").alias("line"), body.alias("body"), title_of_lines().alias("title"),
+    )
+    none = F.col("section") == 0
+    return found.select(
+        id_col, F.greatest("section", F.lit(1)).cast("long").alias("section"), F.when(none, F.coalesce(F.when(F.col("title") != "", F.col("title")), F.lit("Document"))).otherwise(F.col("heading")).alias("heading"),
+        F.when(none, 1).otherwise(F.col("level")).alias("level"), "line", F.when(none, strip(F.col("body"))).otherwise(F.regexp_replace("body", r"^\n+|\n+$", "")).alias("text"),
     )
-    bare = docs.join(found.select(id_col).distinct(), id_col, "left_anti").join(document_titles(lines, id_col), id_col, "left")
-    whole = bare.select(id_col, F.lit(1).cast("long").alias("section"), F.coalesce(F.when(F.col("title") != "", F.col("title")), F.lit("Document")).alias("heading"), F.lit(1).alias("level"), F.lit(0).alias("line"), strip(F.col("text")).alias("text"))
-    return found.select(id_col, F.col("section").cast("long"), "heading", "level", "line", "text").union(whole)
 
 
 def document_metrics(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -77,7 +84,7 @@ def document_metrics(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     lines = document_lines(docs, id_col)
     opens = F.col("fence") & F.col("code")
     table = ~F.col("fence") & ~F.col("code") & F.startswith("line", F.lit("|")) & F.contains(F.substring("line", 2, 1 << 30), F.lit("|"))
-    title = F.max(F.when(F.col("is_title"), F.coalesce("heading", F.left("line", F.lit(TITLE_CHARS)))))
+    title = title_of_lines()
     counts = lines.groupBy(id_col).agg(
         F.coalesce(F.when(title != "", title), F.lit("Untitled document")).alias("title"),
         F.greatest(F.count_if("is_section"), F.lit(1)).alias("section_count"), F.count_if(table).alias("table_count"), F.count_if(opens).alias("code_block_count"),

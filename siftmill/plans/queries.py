@@ -123,7 +123,7 @@ def quality_distinct(spark, sf_dir):
     return C.distinct_values(_holes(spark, sf_dir)).select("column", "n_unique")
 
 
-@query("SELECT 'empty' AS \"column\" UNION ALL SELECT 'seven'")
+@query(f"WITH h AS ({_HOLES}) " + " UNION ALL ".join(f"SELECT '{n}' AS \"column\" FROM h HAVING count(DISTINCT {n}) + max(CASE WHEN {n} IS NULL THEN 1 ELSE 0 END) <= 1" for n in _HOLE_NAMES))
 def quality_constants(spark, sf_dir):
     return C.distinct_values(_holes(spark, sf_dir)).where("is_constant").select("column")
 

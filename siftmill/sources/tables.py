@@ -48,13 +48,16 @@ def cells_of(line: str, sep: str) -> list[str]:
     return next(csv.reader([line.removeprefix("\ufeff")], delimiter=sep), [])
 
 
-def delimited_from_lines(lines: DataFrame, sep: str, header: str, inferred: bool = True, column: str = "value") -> DataFrame:
+def delimited_from_lines(lines: DataFrame, sep: str, header: str, inferred: bool = True, column: str = "value", headers: int = 1) -> DataFrame:
     """A table from a frame of lines in any order and partitioning: header is the line with the names, which
-    is left out wherever it occurs, and so are blank lines. Cells are text (null if blank), or where
-    inferred long or double if all of a column's are."""
+    stands in it `headers` times (once for each file that has one); a line like it beyond these is data.
+    Blank lines go. Cells are text (null if blank), or where inferred long or double if all of a
+    column's are."""
     names = cells_of(header, sep)
     fields = [f"c{i}" for i in range(len(names))]
-    rows = lines.where((F.trim(column) != "") & (F.trim(column) != header.strip()))
+    like = F.trim(column) == header.strip()
+    again = lines.where(like).agg(F.count("*").alias("n"), F.min(column).alias(column)).where(f"n > {headers}")
+    rows = lines.select(column).where((F.trim(column) != "") & ~like).union(again.select(F.explode(F.array_repeat(column, (F.col("n") - headers).cast("int")))))
     cells = F.from_csv(column, ", ".join(f"{c} string" for c in fields), {"sep": sep, "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
     df = rows.select(cells.alias("r")).select(*(F.col(f"r.{c}").alias(c) for c in fields))
     kept = [(c, n.strip()) for c, n in zip(fields, names) if n.strip()]

@@ -36,6 +36,10 @@ def test_delimited_lines_in_any_partitioning(spark):
     assert df.dtypes == [("a", "bigint"), ("b", "string"), ("c", "double")]
     assert sorted(map(tuple, df.collect())) == [(i, f"x | {i}", i / 2) for i in range(1000)]
     assert R.delimited_from_lines(lines.where("false"), "|", "a|b").columns == ["a", "b"]
+    # A line like the header beyond the headers that there are is data.
+    twice = spark.createDataFrame([("a|b",), ("a|b",), (" a|b",), ("1|x",)], "value string").repartition(3)
+    rows = lambda n: sorted(map(tuple, R.delimited_from_lines(twice, "|", "a|b", headers=n).collect()))
+    assert rows(3) == [(1, "x")] and rows(2) == [("1", "x"), ("a", "b")] and rows(1) == [("1", "x"), ("a", "b"), ("a", "b")]
 
 
 def test_coercion(spark):

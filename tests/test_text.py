@@ -244,6 +244,18 @@ def test_steps_see_what_runs(spark):
     assert all(r.milliseconds >= 0 for r in rows)
 
 
+def test_echoed_schemas_are_unwrapped(spark):
+    cases = {
+        '{"title": "Sales", "type": "string"}': "Sales", '{"$ref": "x", "label": "L", "title": "T"}': "T", '{"type": "t", "value": 5, "title": "no"}': "5", '{"type": "t", "value": {"a": 1}, "default": "D"}': "D",
+        '{"type": "only"}': '{"type": "only"}', '{"title": "kept"}': '{"title": "kept"}', "plain {type}": "plain {type}", "{broken": "{broken", None: None,
+    }
+    for value, expected in cases.items():
+        assert one(spark, value, P.unwrapped) == expected, value
+    replies = ['{"title": {"title": "A", "type": "string"}, "executive_summary": "s", "key_findings": [{"type": "x", "value": "f"}, "g"]}', '{"title": "A", "executive_summary": "s"}', '{"title": ["A"], "executive_summary": "s"}', "no json"]
+    got = {r.id: r for r in P.parsed_replies(spark.createDataFrame(list(enumerate(replies)), "id long, t string"), "id", "t").collect()}
+    assert [got[i].strict for i in range(4)] == [False, True, False, False] and (got[0].title, got[0].key_findings) == ("A", ["f", "g"]) and got[3].title == "Data Summary"
+
+
 def test_claim_fixture(spark):
     text = "up 1,234.5 and 60% of 5 men, 2 million v1.2, 7 thousand, 2024-01-05, 3 bananas"
     got = [(c.value, c.suffix) for c in one(spark, text, K.claims)]
