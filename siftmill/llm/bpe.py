@@ -27,8 +27,9 @@ from siftmill.llm.pieces import coder, ragged, splitter
 
 #: Characters of text that make up a block, and at most (but for one longer text) 1.25 times that.
 BLOCK = 8_000_000
-#: Bytes of text for each bucket of distinct words and for each part of a shuffle: what a task holds.
-BUCKET = 64_000_000
+#: Bytes of text for each bucket of distinct words and for each part of a shuffle; buckets at most, as a block emits a
+#: row for each bucket that its words fall into; and words whose ids a task keeps.
+BUCKET, BUCKETS, KEPT = 64_000_000, 1024, 1 << 19
 #: Texts on which cutting at single spaces is compared with a pattern's own matches before it is used.
 PROBES = ("It's a cat, isn't it? 12 345 x", "tab\there and  two", " lead mid\n next\r\n a b ", "a1 b2c (d) #e -f _g", "Ünï çödé 日本 語 e\u0301 x", "I'M WE'll  'S ...! ?", "a \u00a0b c\u3000 d")
 _BLOCKS = "block long, bucket int, data array<binary>, ids array<long>"
@@ -230,8 +231,10 @@ def _block_rows(block: int, ids: list, texts: list[str], matches: Callable, buck
 
 def encode_words(rows: DataFrame, path: str, pattern: str, parts: tuple[int, ...] = ()) -> DataFrame:
     """rows (block, bucket, data, ids) with the words of each bucket as their ids, in order. A bucket's
-    rows come together, and each of their distinct words is encoded once; the rows of documents
-    (bucket -1), dealt by block, go through as they are."""
+    rows come together, and each of their distinct words is encoded once (and again where a bucket has more
+    than KEPT: memory stays bounded, whatever the words); the rows of documents (bucket -1), dealt by
+    block, go through as they are."""
+    most = KEPT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Vocabulary.of(path).encoder(pattern)
@@ -247,6 +250,8 @@ def encode_words(rows: DataFrame, path: str, pattern: str, parts: tuple[int, ...
                 for word in _unpack(batch.column(2)[i].as_py()[0]):
                     ids = held.get(word)
                     if ids is None:
+                        if len(held) >= most:
+                            held.clear()
                         ids = held[word] = tuple(encode(word.decode()))
                     found.append(ids)
                 sizes = np.fromiter(map(len, found), "int64", len(found))
@@ -265,8 +270,9 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
     path: a rank file that every machine has, or that SparkContext.addFile has sent; buckets: into
     how many parts the distinct words of all texts are dealt: by default one for each BUCKET bytes of
-    text (counted in a pass over their sizes), so that what a task holds doesn't grow with the
-    input, and no fewer than the session's shuffle partitions.
+    text (counted in a pass over their sizes), no fewer than the session's shuffle partitions, but BUCKETS
+    at most, so that rows stay in proportion to the blocks. Blocks are put together in as many parts as
+    the input's size asks for.
     """
     return _encoded(df, path, pattern, id_col, text_col, buckets, False)
 
@@ -279,11 +285,11 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
 
 def _encoded(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str, buckets: int | None, decoded: bool) -> DataFrame:
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if not buckets:
-        size = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
-        buckets = max(least, -(-size // BUCKET))
+    size = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
+    asked = max(least, -(-size // BUCKET))
+    buckets = buckets or min(asked, max(least, BUCKETS))
     # Without a number the session's partitions hold, which adaptive execution may put together.
-    parts = (buckets,) if buckets > least else ()
+    parts = (asked,) if asked > least else ()
     blocks = encode_words(split_blocks(df, id_col, text_col, pattern, buckets), path, pattern, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,6 +38,8 @@ from siftmill.llm.shared import checked_broadcast, shared_folder, stored
 
 #: Ids that make up a shard; a longer document is a shard of its own.
 SHARD = 1 << 20
+#: Bytes of text for each file of an archive, and so for each task that writes one.
+PART = 64_000_000
 #: Occurrences that a pair must have: a rule takes the room of about four symbols.
 LEAST = 12
 #: Pieces of text that a worker remembers at most, and bytes of text that it encodes at a time.
@@ -264,8 +266,11 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
     """Writes the ids of every whole text of df to an archive (see above) at path, in ascending order
     of id_col; a null or empty text has the id `end` only. Null ids come first; of rows with one id
     the order is their texts' hashes'. tokenizer: a file of the tokenizers library, on every machine
-    or sent by SparkContext.addFile."""
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    or sent by SparkContext.addFile. parts: files at least; by default one for each PART bytes of text, counted in
+    a pass over their sizes, and no fewer than the session's shuffle partitions."""
+    if not parts:
+        size = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
+        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, shard = WordEncoder.of(tokenizer), TaskContext.get().partitionId(), 0

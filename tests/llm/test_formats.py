@@ -56,6 +56,23 @@ def test_byte_bpe_of_other_patterns_and_many_buckets(spark, texts, monkeypatch):
     assert bpe.cuts_at_spaces(bpe.splitter(public_tokenizers.PATTERN)) and not bpe.cuts_at_spaces(bpe.splitter(r"\w+ \w+|\s+|\S+"))
 
 
+def test_byte_bpe_rows_stay_in_proportion_to_blocks(spark, texts, monkeypatch):
+    """However much text there is: no more rows a block than buckets, and no more words held than KEPT."""
+    import tiktoken
+
+    for name, value in (("BUCKET", 500), ("BUCKETS", 6), ("KEPT", 16)):
+        monkeypatch.setattr(bpe, name, value)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    seen = []
+    split = bpe.split_blocks
+    monkeypatch.setattr(bpe, "split_blocks", lambda df, i, t, p, buckets: seen.append(split(df, i, t, p, buckets)) or seen[-1])
+    rows = bpe.round_trip(frame(spark, texts), path, public_tokenizers.PATTERN).collect()
+    assert {r.doc_id: list(r.ids) for r in rows} == {i: library.encode_ordinary(t or "") for i, t in enumerate(texts)}
+    per = seen[0].groupBy("block").count().collect()
+    assert len(per) == 3 and max(r["count"] for r in per) <= 7
+
+
 def test_byte_bpe_of_null_ids_repeated_rows_and_no_rows(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     df = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], "doc_id long, text string")
@@ -79,6 +96,22 @@ def test_token_archive_equals_the_library(spark, texts, tmp_path, monkeypatch):
     assert spark.read.parquet(f"file://{tmp_path}/a").agg(F.sum(F.size("left"))).first()[0] > 0
 
 
+def test_token_archive_of_many_parts_and_repeated_rows(spark, tmp_path, monkeypatch):
+    """Files follow the bytes of text; rows that repeat each have their place."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(grammar, "PART", 2000)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rows = [(i // 3, f"words of text number {i // 3} again and again " * 3) for i in range(300)]
+    grammar.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/m", path)
+    assert spark.read.parquet(f"file://{tmp_path}/m").select("part").distinct().count() > 10
+    ids = [library.encode(t, add_special_tokens=False).ids + [1] for _, t in rows]
+    starts = np.cumsum([0, *map(len, ids)]).tolist()
+    got = sorted((r.start, r.doc_id, r.n_tokens, np.frombuffer(r.ids, "<u4").tolist()) for r in grammar.read_tokens(spark, f"file://{tmp_path}/m").collect())
+    assert got == [(starts[k], i, len(ids[k]), ids[k]) for k, (i, _) in enumerate(rows)]
+
+
 def test_token_archive_of_no_rows_and_null_ids(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     df = spark.createDataFrame([(None, "a b"), (4, None), (2, "c"), (2, "d")], "doc_id long, text string")
