@@ -189,6 +189,15 @@ def test_decontamination_finds_changed_passages_and_leaves_others(spark):
     assert decontam.overlaps(df, bench.where("false")).collect() == [] and decontam.overlaps(df.where("false"), bench).collect() == []
 
 
+def test_decontamination_of_repeated_rows(spark):
+    """Rows that repeat count once among an item's documents, and all of them go."""
+    item = " ".join(f"item{k}" for k in range(20))
+    df = spark.createDataFrame([(1, f"before {item} after"), (1, f"before {item} after"), (2, "clean " * 30), (2, "clean " * 30), (None, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (7, item), (8, item)], "item_id long, text string")
+    assert [(r.doc_id, r.n_items, r.first_item) for r in decontam.contaminated(df, bench).collect()] == [(1, 1, 7)]
+    assert sorted((r.doc_id or 0) for r in decontam.drop_contaminated(df, bench).collect()) == [0, 2, 2]
+
+
 def test_decontamination_of_many_positions_in_one_text(spark):
     rng = random.Random(5)
     item = words(rng, 30, 5000)
