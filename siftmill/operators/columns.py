@@ -230,6 +230,11 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return rows.withColumn("cv", cv).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cv"), "position")))
 
 
+def most_varied(stats: DataFrame, k: int = CORRELATED) -> list[str]:
+    """The names of the k columns that vary most, in their order: those whose pairs are looked at in wide tables."""
+    return [r.column for r in stats.where(F.col("rank") <= k).orderBy("position").select("column").collect()]
+
+
 def global_extremes(stats: DataFrame) -> DataFrame:
     """(kind, column, value): the least and the greatest value of all columns; the first column wins ties."""
     least = stats.where("min IS NOT NULL").orderBy("min", "position").limit(1).select(F.lit("min").alias("kind"), "column", F.col("min").alias("value"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftmill.operators import documents as D
 from siftmill.operators.nested import SCALARS, kind_of, shown
 
 #: A summary's fields, and what stands in for missing ones (fixed values).
@@ -63,3 +64,46 @@ def with_digits(items: Column) -> Column:
 def mentioned(names: Column, text: Column) -> Column:
     """The names of 3 or more characters that the text mentions, whatever the case."""
     return F.filter(names, lambda n: (F.length(n) >= 3) & F.contains(F.lower(text), F.lower(n)))
+
+
+# Replies about documents
+
+
+def _texts(v: Column) -> Column:
+    """The scalars of a list as texts; none of what isn't one."""
+    entries = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+    return F.transform(F.filter(entries, lambda x: kind_of(x).isin(*SCALARS)), shown)
+
+
+def guarded_documents(df: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, status, title, overview, key_findings, evidence, important_numbers, technologies): replies about cleaned
+    documents (id_col, text), with what the documents don't bear out left out: evidence (finding and
+    source_section) of sections that they don't have, important numbers without a digit, technologies that they
+    don't mention. df may hold a reply or none for each document.
+
+    status: parsed, if the reply holds a JSON object; its summary may be a text (the overview), a list (key
+    findings) or an object with either. digest, if it doesn't: then the document's own digest is the overview.
+    A title that is missing is the document's.
+    """
+    own = D.deterministic_digests(docs, id_col).select(id_col, F.col("title").alias("_title"), F.col("overview").alias("_overview"))
+    heads = F.transform(F.array_sort(F.collect_list(F.struct("section", "heading"))), lambda x: x["heading"])
+    headings = D.document_sections(docs, id_col).groupBy(id_col).agg(heads.alias("_headings"))
+    v = F.try_parse_json(json_part(F.col(text_col)))
+    replies = df.select(id_col, F.when(kind_of(v) == "object", v).alias("_v"))
+    rows = docs.select(id_col, F.col("text").alias("_text")).join(replies, id_col, "left").join(own, id_col).join(headings, id_col)
+    parts = F.coalesce(F.try_variant_get("_v", "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    rows = rows.withColumn("_parts", parts).withColumn("_summary", F.col("_parts")["summary"])
+    kind, inner = kind_of(F.col("_summary")), F.try_variant_get("_summary", "$", "map<string,variant>")
+    text = lambda x: F.when(kind_of(x) == "text", shown(x))
+    overview = F.when(kind == "text", shown(F.col("_summary"))).when(kind == "object", text(inner["overview"]))
+    found = F.when(kind == "list", _texts(F.col("_summary"))).when(kind == "object", _texts(inner["key_findings"]))
+    said = F.transform(F.coalesce(F.try_variant_get(F.col("_parts")["evidence"], "$", "array<variant>"), F.array().cast("array<variant>")), lambda e: F.struct(
+        text(F.try_variant_get(e, "$.finding", "variant")).alias("finding"), text(F.try_variant_get(e, "$.source_section", "variant")).alias("source_section"),
+    ))
+    borne = F.filter(said, lambda e: (F.coalesce(e["finding"], F.lit("")) != "") & F.exists(F.col("_headings"), lambda h: (F.coalesce(e["source_section"], F.lit("")) != "") & (F.contains(F.lower(h), F.lower(e["source_section"])) | F.contains(F.lower(e["source_section"]), F.lower(h)))))
+    bad = F.col("_v").isNull()
+    return rows.select(
+        id_col, F.when(bad, "digest").otherwise("parsed").alias("status"), F.coalesce(text(F.col("_parts")["title"]), F.col("_title")).alias("title"),
+        F.when(bad, F.col("_overview")).otherwise(overview).alias("overview"), F.coalesce(found, F.array().cast("array<string>")).alias("key_findings"), borne.alias("evidence"),
+        with_digits(_texts(F.col("_parts")["important_numbers"])).alias("important_numbers"), mentioned(_texts(F.col("_parts")["technologies"]), F.col("_text")).alias("technologies"),
+    )

@@ -54,7 +54,7 @@ def table_digest(df: DataFrame, key: str | None = None) -> TableDigest:
     numeric = C.numeric_columns(df)
     names = M.names_of(df)
     stats = C.numeric_stats(df)
-    ranked = [r.column for r in stats.where(F.col("rank") <= C.CORRELATED).orderBy("rank").collect()] if len(numeric) > C.CORRELATED else numeric
+    ranked = C.most_varied(stats) if len(numeric) > C.CORRELATED else numeric
     return TableDigest(
         rows=C.duplicate_rows(df), kinds=kinds, missing=C.missing_values(df), distinct=C.distinct_values(df), stats=stats,
         pairs=C.correlations(df, ranked), outliers=C.outliers(df), values=C.category_values(df, categorical), categories=C.category_summary(df, categorical),

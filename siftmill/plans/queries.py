@@ -195,6 +195,16 @@ def corr_top_negative(spark, sf_dir):
     return C.strongest(C.correlations(table(spark, sf_dir, "lineitem")), "negative")
 
 
+@query(f"""
+WITH s AS ({_stats('lineitem', LINEITEM)}), t AS (SELECT "column" FROM s WHERE rank <= 5), p AS ({_SIGNED.format(_pairs('lineitem', LINEITEM))})
+SELECT a, b, value, sign FROM p WHERE a IN (SELECT "column" FROM t) AND b IN (SELECT "column" FROM t)
+""")
+def corr_pairs_capped(spark, sf_dir):
+    """Pairs of the columns that vary most."""
+    df = table(spark, sf_dir, "lineitem")
+    return C.correlations(df, C.most_varied(C.numeric_stats(df), 5)).select("a", "b", "value", "sign")
+
+
 def _quartiles(source: str, names: list[str]) -> str:
     return f"""
 WITH v AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY "column") AS n FROM ({_long(source, names)}) WHERE value IS NOT NULL),
@@ -1096,6 +1106,37 @@ def reply_evidence(spark, sf_dir):
     )
 
 
+@query(_SECTIONS + """
+, hs AS (SELECT doc_id, list(heading ORDER BY section) AS headings, list(lower(heading) ORDER BY section) AS low FROM x GROUP BY doc_id),
+tt AS (SELECT doc_id, coalesce(max(CASE WHEN is_title THEN coalesce(heading, left(line, 120)) END), '') AS title FROM n GROUP BY doc_id),
+ev AS (SELECT doc_id, CASE WHEN len(list_filter(low, lambda q: contains(q, lower(left(headings[1], 4))) OR contains(lower(left(headings[1], 4)), q))) > 0 AND left(headings[1], 4) != '' THEN 'first' ELSE '' END AS evidence FROM hs)
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'digest' ELSE 'parsed' END AS status, CASE WHEN doc_id % 4 = 1 THEN 'Reply ' || doc_id WHEN title = '' THEN 'Untitled document' ELSE title END AS title,
+       CASE doc_id % 4 WHEN 1 THEN 'plain words' WHEN 3 THEN 'nested words' END AS overview, CASE doc_id % 4 WHEN 2 THEN 'a | b' WHEN 3 THEN 'c' ELSE '' END AS key_findings,
+       CASE WHEN doc_id % 4 = 0 THEN '' ELSE evidence END AS evidence, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'about 5' END AS important_numbers,
+       CASE WHEN doc_id % 4 > 0 AND contains(lower(d.text), 'the') THEN 'The' ELSE '' END AS technologies
+FROM d JOIN ev USING (doc_id) JOIN tt USING (doc_id)
+""")
+def reply_documents(spark, sf_dir):
+    """Replies about documents: prose, and objects whose summary is a text, a list or an object, partly made up."""
+    docs = D.cleaned(table(spark, sf_dir, "documents"), "doc_id", "text")
+    heads = F.min_by("heading", "section")
+    first = D.document_sections(docs).groupBy("doc_id").agg(heads.alias("heading"))
+    evidence = F.array(*(F.struct(F.lit(f).alias("finding"), s.alias("source_section")) for f, s in (("first", F.left("heading", F.lit(4))), ("made up", F.lit("no such heading")), ("", F.col("heading")))))
+    common = [evidence.alias("evidence"), F.array(F.lit("about 5"), F.lit("many")).alias("important_numbers"), F.array(F.lit("The"), F.lit("qqqq"), F.lit("a")).alias("technologies")]
+    way = F.col("doc_id") % 4
+    reply = (
+        F.when(way == 0, "Nothing but prose.").when(way == 1, F.to_json(F.struct(F.concat(F.lit("Reply "), F.col("doc_id").cast("string")).alias("title"), F.lit("plain words").alias("summary"), *common)))
+        .when(way == 2, F.to_json(F.struct(F.array(F.lit("a"), F.lit("b")).alias("summary"), *common)))
+        .otherwise(F.concat(F.lit("```json\n"), F.to_json(F.struct(F.struct(F.lit("nested words").alias("overview"), F.array(F.lit("c")).alias("key_findings")).alias("summary"), *common)), F.lit("\n```")))
+    )
+    found = P.guarded_documents(first.select("doc_id", reply.alias("reply")), docs, "doc_id", "reply")
+    listed = lambda c: F.array_join(c, " | ")
+    return found.select(
+        "doc_id", "status", "title", F.when(F.col("status") == "parsed", F.col("overview")).alias("overview"), listed("key_findings").alias("key_findings"),
+        listed(F.transform("evidence", lambda e: e["finding"])).alias("evidence"), listed("important_numbers").alias("important_numbers"), listed("technologies").alias("technologies"),
+    )
+
+
 # Streams: each query starts one on a given table's files, and waits until it has read them all.
 
 

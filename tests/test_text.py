@@ -256,6 +256,22 @@ def test_echoed_schemas_are_unwrapped(spark):
     assert [got[i].strict for i in range(4)] == [False, True, False, False] and (got[0].title, got[0].key_findings) == ("A", ["f", "g"]) and got[3].title == "Data Summary"
 
 
+def test_replies_about_documents(spark):
+    df = docs(spark, ["# Plan\nUse Spark 4.\n\n## Risks\nNone.", "just words", "", "more words"])
+    replies = {
+        0: json.dumps({"title": None, "summary": {"overview": 5, "key_findings": ["k", {"no": 1}, 7]}, "evidence": [{"finding": "f", "source_section": "risk"}, {"finding": "g", "source_section": "Budget"}, {"finding": None, "source_section": "Plan"}, "text", {}],
+                       "important_numbers": ["4 nodes", "none", 12], "technologies": ["spark", "Kafka", "S4"]}),
+        1: "no object", 2: '{"summary": null}',
+    }
+    got = {r.doc_id: r for r in P.guarded_documents(spark.createDataFrame(list(replies.items()), "doc_id long, reply string"), df, "doc_id", "reply").collect()}
+    assert [got[i].status for i in range(4)] == ["parsed", "digest", "parsed", "digest"]
+    one_ = got[0]
+    assert (one_.title, one_.overview, one_.key_findings, one_.important_numbers, one_.technologies) == ("Plan", None, ["k", "7"], ["4 nodes", "12"], ["spark"])
+    assert [(e.finding, e.source_section) for e in one_.evidence] == [("f", "risk")]
+    assert got[1].overview.startswith("just words: 2 words") and got[2].overview is None and got[3].evidence == []
+    assert P.guarded_documents(spark.createDataFrame([], "doc_id long, reply string"), df.where("false"), "doc_id", "reply").collect() == []
+
+
 def test_claim_fixture(spark):
     text = "up 1,234.5 and 60% of 5 men, 2 million v1.2, 7 thousand, 2024-01-05, 3 bananas"
     got = [(c.value, c.suffix) for c in one(spark, text, K.claims)]
