@@ -57,10 +57,12 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
-    """What make returns, kept; all that was kept on the way is deleted."""
+def settled(spark: SparkSession, make: Callable[[], DataFrame], rows: int = 0) -> DataFrame:
+    """What make returns, kept; all that was kept on the way is deleted. rows: the most rows of a file (0: any
+    number). Tasks that read are dealt by bytes, of which narrow rows that repeat take few: without it, what a task
+    gathers of them grows with the table."""
     path = scratch_path(spark)
     with swept(spark):
         df = make()
-        df.write.parquet(path)
+        df.write.option("maxRecordsPerFile", rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -201,6 +201,15 @@ def test_profiles_of_report_sections(spark):
     assert E.section_columns(empty, "id").collect() == E.section_categories(empty, "id").collect() == E.section_numbers(empty, "id").collect() == E.report_summaries(empty, "id").collect() == []
 
 
+def test_files_of_report_rows_are_bounded(spark, monkeypatch):
+    """What a task reads of the rows, and gathers in memory, doesn't grow with the table."""
+    monkeypatch.setattr(N, "FILE_ROWS", 20, raising=False)
+    report = json.dumps({"items": [{"s": "open", "n": k} for k in range(90)]})
+    rows = N.report_rows(spark.createDataFrame([(1, report)], "id long, j string"), "id", "j")
+    assert max(r["count"] for r in rows.groupBy(F.input_file_name()).count().collect()) <= 20
+    assert rows.where("kind = 'cell'").count() == 180
+
+
 def test_one_table_of_mixed_payloads(spark):
     texts = ['{"a":1,"b":{"c d":2.5,"e":[1,2]},"x.y":true}', '{"a":"t","b":{"c d":3},"z":null}', "12", '{"m":[{"q":1}],"value":3,"`b`":1}', "nope", None, '[{"a":7},5,null]', '{"x":{"y":2}}', '{"b":{"e":[]}}', "null", '[]', json.dumps({"b": {"e": list(range(13))}})]
     df = spark.createDataFrame([(t, "kept out") for t in texts], "j string, a string").repartition(3)
