@@ -61,19 +61,20 @@ def verified_claims(found: DataFrame, facts: DataFrame, *keys: str) -> DataFrame
     band = lambda x: F.floor(x / 0.002).cast("long")
     log_band = lambda x: F.floor(F.log(F.abs(x)) / 0.05).cast("long")
     sign = lambda x: F.signum(x).cast("int")
-    place = lambda kind, s, b: (F.lit(kind).alias("_k"), s.cast("int").alias("_s"), b.cast("long").alias("_b"))
-    zero = F.lit(0)
-    listed = (
-        f.where("fact = 0").select(*keys, "fact", *place("z", zero, zero))
-        .union(f.where(F.abs("fact") < 1e15).select(*keys, "fact", *place("e", zero, band(F.col("fact")))))
-        .union(f.where("fact != 0").select(*keys, "fact", *place("r", sign(F.col("fact")), log_band(F.col("fact")))))
-    )
+    place = lambda kind, s, b: F.struct(F.lit(kind).alias("_k"), s.cast("int").alias("_s"), b.cast("long").alias("_b"))
+    placed = lambda frame, places, *columns: frame.select(*keys, *columns, F.explode(places).alias("_p")).select(*keys, *columns, "_p.*")
+    zero, fact, value = F.lit(0), F.col("fact"), F.col("value")
+    scaled = F.col("suffix") != ""
+    # A row lists all its places at once: facts and claims, which may come from whole tables, are read once for all.
+    listed = placed(f, F.array_compact(F.array(
+        F.when(fact == 0, place("z", zero, zero)), F.when(F.abs(fact) < 1e15, place("e", zero, band(fact))), F.when(fact != 0, place("r", sign(fact), log_band(fact))),
+    )), "fact")
     asked = found.select(*keys, "suffix", "value").distinct()
-    near = lambda b: F.explode(F.array(*(b + i for i in (-1, 0, 1))))
-    plain = asked.where("suffix = '' AND abs(value) < 1e15").select(*keys, "suffix", "value", *place("e", zero, F.lit(0)), near(band(F.col("value"))).alias("_n"))
-    large = asked.where("suffix != '' AND value != 0").select(*keys, "suffix", "value", *place("r", sign(F.col("value")), F.lit(0)), near(log_band(F.col("value"))).alias("_n"))
-    none = asked.where("suffix != '' AND value = 0").select(*keys, "suffix", "value", *place("z", zero, zero), zero.cast("long").alias("_n"))
-    looked = plain.union(large).union(none).withColumn("_b", F.col("_n")).drop("_n")
+    near = lambda kind, s, b: F.array(*(place(kind, s, b + i) for i in (-1, 0, 1)))
+    looked = placed(asked, (
+        F.when(~scaled & (F.abs(value) < 1e15), near("e", zero, band(value))).when(scaled & (value != 0), near("r", sign(value), log_band(value)))
+        .when(scaled & (value == 0), F.array(place("z", zero, zero)))
+    ), "suffix", "value")
     gap = F.abs(F.col("value") - F.col("fact"))
     same = F.when(F.col("_k") == "e", gap <= 1e-3).otherwise(gap <= 0.02 * F.abs("fact"))
     good = looked.join(listed, [*keys, "_k", "_s", "_b"]).where(same).select(*keys, "suffix", "value").distinct().withColumn("_good", F.lit(True))

@@ -301,6 +301,14 @@ def test_verification_equals_a_product(spark):
     assert not any(r.verified for r in G.verified_claims(df, spark.createDataFrame([], "fact double")).collect())
 
 
+def test_verification_reads_its_facts_once(spark):
+    """Facts may come from a whole table."""
+    found = spark.createDataFrame([(1, 2.0, ""), (2, 9.0, "")], "id long, value double, suffix string")
+    checked = G.verified_claims(found, spark.range(5).selectExpr("CAST(id AS DOUBLE) AS fact"))
+    assert checked._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    assert {r.id: r.verified for r in checked.collect()} == {1: True, 2: False}
+
+
 def test_digests_of_reports_by_level(spark):
     """Every limit of the ladder, held against a plain count of pieces; digests keep to their budget."""
     report = {f"s{i}": [{"c1": rng_value % 2 and "a" or "b", "c2": f"v{rng_value % 3}", "n": rng_value, "m": rng_value * 2} for rng_value in range(9)] for i in range(8)}
