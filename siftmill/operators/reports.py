@@ -45,7 +45,8 @@ def section_columns(rows: DataFrame, id_col: str) -> DataFrame:
     are numbers; else text if they are longer than 60 characters on average or over half as many as the
     section's records are distinct (null, where a record has none, being one); else categorical."""
     size = rows.where("kind = 'table'").groupBy(id_col, "section").agg(F.sum("record").alias("records"))
-    f = rows.where("kind = 'cell'").groupBy(id_col, "section", "path", "value").agg(F.count("*").alias("n"), F.count("numeric").alias("numbers"))
+    unsigned = F.when(F.col("numeric") == 0, F.ltrim("value", F.lit("-"))).otherwise(F.col("value"))  # 0.0 and -0.0 are one value
+    f = rows.where("kind = 'cell'").groupBy(id_col, "section", "path", unsigned.alias("value")).agg(F.count("*").alias("n"), F.count("numeric").alias("numbers"))
     held = F.when(F.col("value").isNotNull(), F.col("n"))
     per = f.groupBy(id_col, "section", "path").agg(
         F.coalesce(F.sum(held), F.lit(0)).alias("filled"), F.count("value").alias("values"), F.sum("numbers").alias("numbers"), F.sum(F.length("value") * held).alias("chars"),

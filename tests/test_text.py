@@ -137,6 +137,35 @@ def test_flatten_fixtures(spark):
     assert {i for i, _ in got} == {0, 1}
 
 
+def test_numbers_are_written_as_the_reference_writes_them(spark):
+    numbers = ["-0.0", "-0.00", "0.0", "-0.05", "10000000.0", "-12345678.9", "123456789012.25", "1e15", "1.5e16", "0.0001", "0.00012345", "9.5e-05", "1e-9", "-0.0e0", "1e300", "7"]
+    texts = [f'{{"n":{x}, "l":[{x},1]}}' for x in numbers]
+    texts += ['{"s":"-0.0","t":"a\\\\","u":-0.0,"v":"\\":-0.0, ","w":[-0.0,0.0]}', '{"u":-0.0x}']
+    got = {(r.id, r.path): r.value for r in N.flatten(spark.createDataFrame(list(enumerate(texts)), "id long, j string"), "id", "j").collect()}
+    for i, x in enumerate(numbers):
+        assert (got[i, "n"], got[i, "l"]) == (str(json.loads(x)), f"{json.loads(x)}, 1"), x
+    n = len(numbers)
+    assert {p: v for (i, p), v in got.items() if i >= n} == {"s": "-0.0", "t": "a\\", "u": "-0.0", "v": '":-0.0, ', "w": "-0.0, 0.0"}
+
+
+def test_ladders_of_accounts_with_negative_zero_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    from siftmill.plans import queries as plans
+
+    con = duckdb.connect()
+    for name, sql in {
+        "customer": "SELECT i AS c_custkey, 'C' || i AS c_name, 'M' AS c_mktsegment, CAST(x AS DOUBLE) AS c_acctbal FROM (VALUES (1, '-0.0'), (2, '0.0'), (3, '-7.25'), (4, '12345678.5')) AS t(i, x)",
+        "orders": "SELECT i AS o_orderkey, 1 + i % 4 AS o_custkey, 'F' AS o_orderstatus, 10.5 + i AS o_totalprice, TIMESTAMP '2020-01-02' AS o_orderdate, '2-HIGH' AS o_orderpriority FROM range(12) t(i)",
+    }.items():
+        con.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet'")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    for name in ("report_ladder_levels", "report_ladder_fit"):
+        found = plans.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(found.columns)} FROM ({plans.ORACLES[name]})").fetchall()
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
 def test_token_fixture(spark):
     texts = ['[["BUY","W",1],["SELL","W"],["BUY"]]', '{"a": ["x", "y", "x"], "b": [1, 2]}', '[{"a": ["p"]}, {"a": ["q"]}, {"a": ["r"]}, {"a": ["s"]}]', None, json.dumps(["y" * 41])]
     rows = N.token_counts(spark.createDataFrame(list(enumerate(texts)), "id long, j string"), "id", "j").collect()
