@@ -166,6 +166,16 @@ def test_ladders_of_accounts_with_negative_zero_equal_their_sql(spark, tmp_path)
         assert sorted(map(tuple, found.collect())) == sorted(want)
 
 
+def test_levels_store_values_of_opened_containers_only(spark, monkeypatch):
+    levels, kept = [], N.kept
+    monkeypatch.setattr(N, "kept", lambda df: levels.append(kept(df)) or levels[-1])
+    texts = ['{"a":{"b":1},"t":["x"],"s":[1,2,3,4,5,6,7,8,9,10,11,12,13],"w":[{},{},{},{},{}],"f":1.0,"z":[0.5,null,{}],"q":{}}', '[{"b":1}]', "7", "null"]
+    monkeypatch.setattr(N, "settled", lambda spark, make, rows=0: make())
+    rows = N.flatten(spark.createDataFrame(list(enumerate(texts)), "id long, j string"), "id", "j")
+    assert {(r.path, r.value) for r in rows.collect()} == {("a.b", "1"), ("t", "x"), ("s", "[list of 13 items]"), ("w", "[nested array of 5 objects]"), ("f", "1.0"), ("z", "[nested list of 3 items]")}
+    assert [(df.count(), df.where("v IS NOT NULL").count()) for df in levels] == [(7, 2), (1, 0)]
+
+
 def test_token_fixture(spark):
     texts = ['[["BUY","W",1],["SELL","W"],["BUY"]]', '{"a": ["x", "y", "x"], "b": [1, 2]}', '[{"a": ["p"]}, {"a": ["q"]}, {"a": ["r"]}, {"a": ["s"]}]', None, json.dumps(["y" * 41])]
     rows = N.token_counts(spark.createDataFrame(list(enumerate(texts)), "id long, j string"), "id", "j").collect()
