@@ -21,6 +21,9 @@ from siftmill.operators.guard import fitted_level
 
 #: Caps of a section's profile (fixed values): columns and values of categories, numeric columns.
 CATEGORY_COLUMNS, CATEGORY_VALUES, NUMERIC_COLUMNS = 5, 5, 6
+#: Sections of fewer records have their medians from one aggregation: a rank's error, at most RANKS ** -1 of the
+#: number of values, is none there (fixed values).
+FEW_RECORDS, RANKS = 2_500, 10_000
 #: Fields that name a report and that describe it, the first found wins (fixed values).
 NAMING = ("info.title", "title", "report_title", "name", "company")
 DESCRIBING = ("description", "info.description", "summary", "info.summary")
@@ -77,10 +80,15 @@ def section_numbers(rows: DataFrame, id_col: str, columns: DataFrame | None = No
     columns = section_columns(rows, id_col) if columns is None else columns
     by = [id_col, "section", "path"]
     values = rows.where("kind = 'cell' AND numeric IS NOT NULL AND NOT isnan(numeric)").select(*by, F.col("numeric").alias("value"))
-    values = values.join(columns.where("bucket = 'numeric'").select(*by), by, "left_semi")
-    moments = values.groupBy(*by).agg(F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-    middle = C.ranked_values(values, by, {"median": 0.5}).select(*by, ((F.col("low") + F.col("high")) / 2).alias("median"))
-    found = moments.join(middle, by).select(*by, *(F.round(c, 4).alias(c) for c in ("min", "max", "mean", "median", "std")))
+    middle = F.percentile_approx("value", [0.5, 0.5 + 1 / RANKS], RANKS)  # ranks n / 2 and n / 2 + 1, or (n + 1) / 2 twice
+    found = values.groupBy(*by).agg(F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), middle.alias("m"))
+    found = found.withColumn("median", (F.col("m")[0] + F.col("m")[1]) / 2).join(columns.where("bucket = 'numeric'").select(*by), by)
+    # A path has at most one value a record.
+    long = rows.where("kind = 'table'").groupBy(id_col, "section").agg(F.sum("record").alias("n")).where(F.col("n") >= FEW_RECORDS).select(id_col, "section")
+    if not long.isEmpty():
+        ranked = C.ranked_values(values.join(long, [id_col, "section"], "left_semi"), by, {"median": 0.5}).select(*by, ((F.col("low") + F.col("high")) / 2).alias("exact"))
+        found = found.join(ranked, by, "left").withColumn("median", F.coalesce("exact", "median"))
+    found = found.select(*by, *(F.round(c, 4).alias(c) for c in ("min", "max", "mean", "median", "std")))
     cv = F.when(F.col("mean") == 0, F.lit(float("inf"))).when(F.col("std").isNull(), F.lit(0.0)).otherwise(F.col("std") / F.abs("mean"))
     rank = F.row_number().over(Window.partitionBy(id_col, "section").orderBy(F.desc("cv"), "path"))
     ranked = found.withColumn("cv", cv).withColumn("rank", rank)

@@ -176,6 +176,22 @@ def test_levels_store_values_of_opened_containers_only(spark, monkeypatch):
     assert [(df.count(), df.where("v IS NOT NULL").count()) for df in levels] == [(7, 2), (1, 0)]
 
 
+def test_medians_of_sections_by_one_aggregation(spark, monkeypatch):
+    draw, tables = random.Random(5), {}
+    for i, n in enumerate([*range(1, 40), 99, 100, 999, 1000, 2498, 2499, 2500, 2501, 6000]):
+        tables[i] = [draw.choice((draw.randrange(20), draw.uniform(-1e3, 1e3))) for _ in range(n)]
+    frame = spark.createDataFrame([(i, p, float(x)) for i, xs in tables.items() for p, x in enumerate(xs)], "id long, p long, x double").repartition(7)
+    cells = frame.selectExpr("id", "'t' AS section", "'cell' AS kind", "p AS record", "'x' AS path", "CAST(x AS STRING) AS value", "x AS numeric")
+    heads = spark.createDataFrame([(i, "t", "table", len(xs), None, None, None) for i, xs in tables.items()], "id long, section string, kind string, record long, path string, value string, numeric double")
+    ranked, asked = E.C.ranked_values, []
+    monkeypatch.setattr(E.C, "ranked_values", lambda values, *a, **k: asked.append(values) or ranked(values, *a, **k))
+    got = {r.id: r.median for r in E.section_numbers(heads.union(cells), "id").collect()}
+    assert set(got) == set(tables)
+    for i, xs in tables.items():
+        assert abs(got[i] - statistics.median(xs)) <= 5.1e-5, len(xs)
+    assert {r.id for v in asked for r in v.select("id").distinct().collect()} == {i for i, xs in tables.items() if len(xs) >= 2500}
+
+
 def test_token_fixture(spark):
     texts = ['[["BUY","W",1],["SELL","W"],["BUY"]]', '{"a": ["x", "y", "x"], "b": [1, 2]}', '[{"a": ["p"]}, {"a": ["q"]}, {"a": ["r"]}, {"a": ["s"]}]', None, json.dumps(["y" * 41])]
     rows = N.token_counts(spark.createDataFrame(list(enumerate(texts)), "id long, j string"), "id", "j").collect()
