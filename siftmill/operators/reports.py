@@ -18,6 +18,7 @@ from siftmill.operators import columns as C
 from siftmill.operators import nested as N
 from siftmill.operators import semantics as M
 from siftmill.operators.guard import fitted_level
+from siftmill.sources.scratch import kept
 
 #: Caps of a section's profile (fixed values): columns and values of categories, numeric columns.
 CATEGORY_COLUMNS, CATEGORY_VALUES, NUMERIC_COLUMNS = 5, 5, 6
@@ -126,8 +127,9 @@ def report_statements(rows: DataFrame, id_col: str) -> DataFrame:
     counted = F.concat(F.col("count").cast("string"), F.when(F.col("kind") == "table", " records in ").when(F.col("kind") == "list", " entries in ").otherwise(" object in "), "section")
     per, word = [id_col, "section"], F.concat("value", F.lit(" ×"), F.col("count").cast("string"))
     top = section_categories(rows, id_col, columns).where((F.length("value") <= VALUE_CHARS) & ~F.contains("value", F.lit("[")))
-    names = columns.select("path").distinct()
-    meant = columns.join(names.select("path", M.phrase_of(M.role_of(F.col("path"))).alias("phrase")), "path").where(~F.lower("phrase").isin(*GENERIC))
+    # Stored, for rules to be held against each name once: what filters phrases would else be pushed down to every cell.
+    names = kept(rows.where("kind = 'cell'").select("path").distinct().select("path", M.phrase_of(M.role_of(F.col("path"))).alias("phrase")))
+    meant = columns.join(names.where(~F.lower("phrase").isin(*GENERIC)), "path")
     number = F.concat("path", F.lit(" from "), F.col("min").cast("string"), F.lit(" to "), F.col("max").cast("string"), F.lit(" around "), F.col("median").cast("string"))
     short = sections.withColumn("name", F.lower("section"))
     parts = [
