@@ -6,7 +6,14 @@ in about ten of 64 bits, which no index of segments reaches. So the rest comes f
 any one order of all shingles, two sets of sizes n and m that share the share asked for have a
 shingle in common among the first n - ceil(SHARE * n) + 1 of each. That loses nothing. The order
 puts shingles that a sample shows to be common last, so that rare ones make up the prefixes; the
-sample decides the work only, not the result. Every pair proposed is checked on the whole sets.
+sample decides the work only, not the result. Keys of one text only are dropped before anything is
+joined by key, and so are those of two texts whose sizes and places don't allow the share.
+
+Every pair proposed is checked on the whole sets. Texts that share a phrase by chance propose pairs
+too, and these grow faster than the input; so the sets' bits come first. They are parities: a shingle
+flips one bit of at least as many as the set has. Two sets differ by no fewer shingles than their
+bits do, so a pair whose bits differ too much can't resemble enough, and whole sets travel for the
+others only.
 
 Large groups of near copies don't expand into pairs: the members of a prefix key stand in a row by
 size, and each is compared with one neighbour. Between groups that are still apart, all pairs under
@@ -15,8 +22,9 @@ a few orders and tries the one with the nearest fingerprint, which joins most of
 copies. What is still apart is settled exactly: larger keys that share texts make up a family, and
 every text outside of a family's largest group asks the whole family, in blocks of bounded size,
 whom it resembles. Texts inside the largest group never ask: their links with each other join
-nothing, and others ask for the rest. So no link is lost, and the work beyond the rows themselves is
-that of the texts left over, not of all pairs.
+nothing, and others ask for the rest. They ask twice: by keys and bits whom they may resemble, which
+splits families into those that hang together by more than chance, then there by whole sets. So no
+link is lost, and the work beyond the rows themselves is that of the texts left over, not of all pairs.
 """
 
 from __future__ import annotations
@@ -30,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmill.llm.pieces import ragged
-from siftmill.llm.shared import BROADCAST_ROWS, bloom_filter, bloom_pass, checked_broadcast, connected_components, settled, small_batches, stored, without
+from siftmill.llm.shared import BROADCAST_ROWS, bloom_filter, bloom_pass, checked_broadcast, collected, connected_components, settled, settled_each, small_batches, stored, without
 from siftmill.llm.simhash import BLOCK, fingerprint_links
 
 WORDS, SEED = 5, 42
@@ -41,7 +49,7 @@ SAMPLE = 8
 #: Texts of a key whose pairs are all tried, and rounds in which those of larger keys look for others before the
 #: rest is settled.
 LIGHT, ROUNDS = 32, 2
-#: Shingles of the asking and of the asked texts that meet in one task.
+#: Shingles (or keys and words of bits) of the asking and of the asked texts that meet in one task.
 ASKING, ASKED = 1 << 18, 1 << 20
 
 
@@ -65,6 +73,14 @@ def _fingerprint(hashes: np.ndarray) -> np.int64:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0]
 
 
+def _bits(own: np.ndarray) -> np.ndarray:
+    """The parities of a set's shingles, 64 a long: as many longs, a power of two, as give each shingle a bit.
+    The first half of them XOR the second are the parities of half as many."""
+    count = 64 << max(0, len(own) - 1 >> 6).bit_length()
+    flips = np.bincount((own & np.uint64(count - 1)).astype("int64"), minlength=count)
+    return np.packbits((flips & 1).astype("uint8"), bitorder="little").view("<i8")
+
+
 def _node(sets: np.ndarray) -> int:
     import xxhash
 
@@ -91,7 +107,7 @@ def _common(texts: DataFrame) -> np.ndarray:
 
 
 def _sets(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """(id, node, fp, size, prefix): a row for each row of texts. node names the set of shingles."""
+    """(id, node, fp, size, bits, prefix): a row for each row of texts. node names the set of shingles."""
     order = np.argsort(common)
     known = texts.sparkSession.sparkContext.broadcast((common[order], order + 1))
     part, whole = SHARE
@@ -108,12 +124,33 @@ def _sets(texts: DataFrame, common: np.ndarray) -> DataFrame:
                     at = np.minimum(np.searchsorted(listed, own), len(listed) - 1)
                     rank = np.where(listed[at] == own, places[at], 0)
                 kept = len(own) - -(-part * len(own) // whole) + 1 if len(own) else 0
-                rows.append((_node(own), _fingerprint(hashes), len(own), own[np.lexsort((own, rank))[:kept]].view("<i8")))
-            nodes, fps, sizes, prefixes = zip(*rows) if rows else ((), (), (), ())
-            columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "node", "fp", "size", "prefix"])
-
-    return texts.mapInArrow(run, "id long, node long, fp long, size long, prefix array<long>")
+                rows.append((_node(own), _fingerprint(hashes), len(own), _bits(own), own[np.lexsort((own, rank))[:kept]].view("<i8")))
+            nodes, fps, sizes, bits, prefixes = zip(*rows) if rows else ((), (), (), (), ())
+            longs = (pa.array(x, pa.int64()) for x in (nodes, fps, sizes))
+            lists = (pa.array(x, pa.list_(pa.int64())) for x in (bits, prefixes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, *lists], ["id", "node", "fp", "size", "bits", "prefix"])
+
+    return texts.mapInArrow(run, "id long, node long, fp long, size long, bits array<long>, prefix array<long>")
+
+
+def _indexed(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, node) of each row of texts; (node, id, fp, size, bits) of each set that has an id, the least; and
+    (node, size, pos, key), the prefixes' rows under keys that other sets may have too. The whole prefixes stay no
+    longer than this."""
+    spark = texts.sparkSession
+
+    def whole() -> tuple[DataFrame, DataFrame]:
+        common = _common(texts)
+        collected(spark)
+        each = stored(_sets(texts, common))
+        others = (F.any_value(c).alias(c) for c in ("fp", "size", "bits", "prefix"))
+        return each.select("id", "node"), each.where("id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), *others)
+
+    own, reps = settled_each(spark, whole, 2)
+    collected(spark)
+    rows = reps.select("node", "size", F.posexplode("prefix").alias("pos", "key"))
+    again = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    return own, reps.drop("prefix"), bloom_pass(rows, "key", bloom_filter(again, "key"))
 
 
 def _sets_of(nodes: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
@@ -131,9 +168,27 @@ def _sets_of(nodes: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
     return may.mapInArrow(run, "node long, own array<long>").join(checked_broadcast(need.select("node")), "node", "left_semi").dropDuplicates(["node"])
 
 
+def _promising(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those whose sizes and bits allow the share: all that resemble enough, and hardly any that
+    share a few shingles only."""
+    part, whole = SHARE
+    side = lambda c: reps.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}"))
+
+    def folded(c: str, other: str) -> F.Column:
+        half = F.size(other)
+        return F.when(F.size(c) > half, F.transform(F.slice(c, F.lit(1), half), lambda x, i: x.bitwiseXOR(F.element_at(c, i + half + 1)))).otherwise(F.col(c))
+
+    apart = F.zip_with(folded("bits_a", "bits_b"), folded("bits_b", "bits_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    total = F.col("size_a") + F.col("size_b")
+    sizes = F.least("size_a", "size_b") * whole >= F.greatest("size_a", "size_b") * part
+    bits = (total - F.aggregate(apart, F.lit(0), lambda s, x: s + x)) * (part + whole) >= total * (2 * part)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(sizes).where(bits).select("a", "b")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
     """Of pairs (a, b), which are stored, those whose whole sets resemble enough. Only the sets of texts
-    in pairs are made again, and each goes where its pairs are."""
+    in pairs that their bits allow are made again, and each goes where its pairs are."""
+    pairs = stored(_promising(pairs, reps))
     sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), texts, reps)
     # Not stored: one shuffle by node drops the duplicates and serves both joins.
     both = pairs.join(sets.toDF("a", "mine"), "a").join(sets.toDF("b", "theirs"), "b")
@@ -157,21 +212,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def found() -> DataFrame:
-        own = stored(_sets(texts, _common(texts)))
-        reps = own.where("id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), *(F.any_value(c).alias(c) for c in ("fp", "size", "prefix")))
-        reps = stored(reps)
-        groups = settled(spark, lambda: _first_groups(texts, reps))
-        heavy = None
+        own, reps, near = settled_each(spark, lambda: _indexed(texts), 3)
+        collected(spark)
+        groups = settled(spark, lambda: _first_groups(texts, reps, near))
+        collected(spark)
+        heavy, rest = settled_each(spark, lambda: _shared(near, groups, reps), 2)
         for turn in range(ROUNDS):
-            if turn == 0:
-                held = _held(reps, groups)
-                heavy = stored(held.where(f"n > {LIGHT}").drop("grp", "n"))
-                rest = settled(spark, lambda: _ordered(_light(held).union(_beside(heavy, groups, 0))))
-            else:
+            if turn:
                 rest = settled(spark, lambda: _ordered(_beside(heavy, groups, turn)))
             links = settled(spark, lambda: _verified(rest, texts, reps))
             if not links.isEmpty():
                 groups = settled(spark, lambda: _merged(groups, links))
+            collected(spark)
         last = settled(spark, lambda: _left_over(heavy, groups, texts, reps))
         groups = settled(spark, lambda: _merged(groups, last))
         named = reps.select("node", "id").join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
@@ -183,7 +235,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return settled(spark, found)
 
 
-def _first_groups(texts: DataFrame, reps: DataFrame) -> DataFrame:
+def _first_groups(texts: DataFrame, reps: DataFrame, near: DataFrame) -> DataFrame:
     """(node, grp) of the texts that are linked by what the fingerprints propose, and by the neighbour of each
     text in the prefixes' keys."""
     # The fingerprints: each once in the index, and others of the same one beside it.
@@ -192,10 +244,9 @@ def _first_groups(texts: DataFrame, reps: DataFrame) -> DataFrame:
     close = fingerprint_links(firsts).union(same)
     # The prefixes: texts that stand side by side under a key, in order of size; for each text that
     # which stands beside it most often.
-    rows = reps.select("node", "size", F.posexplode("prefix").alias("pos", "key"))
     along = Window.partitionBy("key").orderBy("size", "node")
     before = {c: F.lag(c).over(along) for c in ("node", "size", "pos")}
-    chain = rows.select("node", "size", "pos", *(f.alias(f"{c}0") for c, f in before.items())).where(f"node0 IS NOT NULL AND {_possible('size', 'pos', 'size0', 'pos0')}")
+    chain = near.select("node", "size", "pos", *(f.alias(f"{c}0") for c, f in before.items())).where(f"node0 IS NOT NULL AND {_possible('size', 'pos', 'size0', 'pos0')}")
     beside = chain.groupBy(F.col("node0").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
     best = beside.groupBy("b").agg(F.max(F.struct("n", "a")).alias("m")).select("b", F.col("m.a").alias("a"))
     found = _verified(stored(_ordered(close.unionByName(best))), texts, reps)
@@ -209,7 +260,11 @@ def _families(heavy: DataFrame, groups: DataFrame) -> DataFrame:
     mixed = stored(rows.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.min("node").alias("first")).where("low < high").select("key", "first"))
     held = stored(rows.join(checked_broadcast(mixed), "key").select("node", "grp", "first"))
     family = connected_components(held.select(F.col("node").alias("a"), F.col("first").alias("b"))).withColumnRenamed("component", "family")
-    nodes = stored(held.select("node", "grp").distinct().join(family, "node", "left").withColumn("family", F.coalesce("family", "node")))
+    return _with_left(stored(held.select("node", "grp").distinct().join(family, "node", "left").withColumn("family", F.coalesce("family", "node"))))
+
+
+def _with_left(nodes: DataFrame) -> DataFrame:
+    """nodes (node, grp, family), stored, with left."""
     largest = nodes.groupBy("family", "grp").agg(F.count("*").alias("n")).groupBy("family").agg(F.max(F.struct("n", "grp")).alias("m")).select("family", F.col("m.grp").alias("main"))
     return nodes.join(checked_broadcast(stored(largest)), "family").select("node", "grp", "family", (F.col("grp") != F.col("main")).alias("left"))
 
@@ -217,22 +272,76 @@ def _families(heavy: DataFrame, groups: DataFrame) -> DataFrame:
 def _left_over(heavy: DataFrame, groups: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
     """(a, b): links that join all groups which any link between texts under larger keys joins."""
     nodes = stored(_families(heavy, groups))
+    keys = heavy.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    sets = stored(nodes.join(keys, "node").join(reps.select("node", "size", "bits"), "node"))
+    may = stored(_meetings(sets, F.size("keys") + F.size("bits"), _may_resemble, "size", "bits", "keys"))
+    # What links lead between is in one family still.
+    family = connected_components(may).withColumnRenamed("component", "family")
+    nodes = stored(_with_left(stored(nodes.select("node", "grp").join(family, "node"))))
     own = _sets_of(nodes.select("node"), texts, reps)
+    sets = stored(own.join(nodes, "node").withColumn("size", F.size("own")))
+    return _meetings(sets, F.col("size"), _asked, "own")
+
+
+def _meetings(sets: DataFrame, weight: F.Column, ask, *columns: str) -> DataFrame:
+    """(a, b) that ask finds between those of sets (node, grp, family, left, size, ...), stored, that are left and all
+    of their family, in blocks of about ASKING and ASKED of weight."""
     # Sizes of texts that resemble enough differ by a quarter at most: by one band.
-    band = F.floor(F.log(F.size("own")) / F.lit(float(np.log(SHARE[1] / SHARE[0])))).cast("int")
-    sets = stored(own.join(nodes, "node").select("node", "grp", "family", "left", "own", band.alias("band")))
-    total = lambda c, most: F.ceil(F.sum(F.size("own")) / most).cast("int").alias(c)
+    sets = sets.withColumn("band", F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(float(np.log(SHARE[1] / SHARE[0])))).cast("int"))
+    total = lambda c, most: F.ceil(F.sum(weight) / most).cast("int").alias(c)
     asked = stored(sets.groupBy("family", "band").agg(total("blocks", ASKED)))
     asking = stored(sets.where("left").groupBy("family").agg(total("parts", ASKING)))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     theirs = sets.join(checked_broadcast(asked), ["family", "band"]).join(checked_broadcast(asking), "family")
-    theirs = theirs.select("node", "grp", "own", "family", "band", place("blocks").alias("block"), each("parts").alias("part"))
-    mine = sets.where("left").join(checked_broadcast(asking), "family").select("node", "grp", "own", "family", place("parts").alias("part"), F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("band"))
-    mine = mine.join(checked_broadcast(asked), ["family", "band"]).select("node", "grp", "own", "family", "band", "part", each("blocks").alias("block"))
+    theirs = theirs.select("node", "grp", *columns, "family", "band", place("blocks").alias("block"), each("parts").alias("part"))
+    mine = sets.where("left").join(checked_broadcast(asking), "family").select("node", "grp", *columns, "family", place("parts").alias("part"), F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("band"))
+    mine = mine.join(checked_broadcast(asked), ["family", "band"]).select("node", "grp", *columns, "family", "band", "part", each("blocks").alias("block"))
     by = ["family", "band", "block", "part"]
     mine = mine.select(*(F.col(c).alias(c) for c in mine.columns))  # columns of its own: both sides come from one table
-    return mine.groupBy(*by).cogroup(theirs.groupBy(*by)).applyInPandas(_asked, "a long, b long")
+    return mine.groupBy(*by).cogroup(theirs.groupBy(*by)).applyInPandas(ask, "a long, b long")
+
+
+def _links(found: list[tuple[int, int]]) -> pd.DataFrame:
+    a, b = zip(*found) if found else ((), ())
+    return pd.DataFrame({"a": np.array(a, "int64"), "b": np.array(b, "int64")})
+
+
+def _may_resemble(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+    """(a, b): links that lead between all texts of different groups which share a key and whose sizes and bits allow
+    the share; texts that others link already get none."""
+    found: list[tuple[int, int]] = []
+    if len(mine) and len(theirs):
+        part, whole = SHARE
+        held = np.array([len(x) for x in theirs["keys"]])
+        key, row = np.concatenate(theirs["keys"].to_list()), np.repeat(np.arange(len(theirs)), held)
+        order = np.argsort(key, kind="stable")
+        key, row = key[order], row[order]
+        nodes, groups, sizes = (theirs[c].to_numpy() for c in ("node", "grp", "size"))
+        words = np.array([len(x) for x in theirs["bits"]])
+        tables = {n: (np.stack(theirs["bits"].to_numpy()[words == n]), np.cumsum(words == n) - 1) for n in np.unique(words).tolist()}
+        label = np.arange(len(theirs))
+        for node, grp, size, bits, keys in zip(mine["node"].tolist(), mine["grp"].tolist(), mine["size"].tolist(), mine["bits"], mine["keys"]):
+            low, high = np.searchsorted(key, keys, "left"), np.searchsorted(key, keys, "right")
+            near = np.unique(row[ragged(low, high - low)])
+            near = near[(groups[near] != grp) & (whole * np.minimum(sizes[near], size) >= part * np.maximum(sizes[near], size))]
+            alike = []
+            for n, (table, at) in tables.items():
+                if len(some := near[words[near] == n]):
+                    both = table[at[some]]
+                    own = np.asarray(bits)
+                    # Sizes allow the share, so one side has twice the other's bits at most.
+                    if len(own) > n:
+                        own = own[:n] ^ own[n:]
+                    elif len(own) < n:
+                        both = both[:, : len(own)] ^ both[:, len(own) :]
+                    apart, total = np.bitwise_count((both ^ own).view("uint64")).sum(axis=1, dtype="int64"), sizes[some] + size
+                    alike.append(some[(total - apart) * (part + whole) >= total * (2 * part)])
+            if alike and len(some := np.concatenate(alike)):
+                known, first = np.unique(label[some], return_index=True)
+                found += [(node, x) for x in nodes[some[first]].tolist()]
+                label[np.isin(label, known)] = known[0]
+    return _links(found)
 
 
 def _asked(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
@@ -261,8 +370,7 @@ def _asked(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
                 if x != y:
                     root[max(x, y)] = min(x, y)
                     found.append((node, int(nodes[i])))
-    a, b = zip(*found) if found else ((), ())
-    return pd.DataFrame({"a": np.array(a, "int64"), "b": np.array(b, "int64")})
+    return _links(found)
 
 
 def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -274,12 +382,23 @@ def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     return known.join(joined.withColumnRenamed("node", "grp"), "grp", "left").select("node", F.coalesce("component", "grp").alias("grp"))
 
 
-def _held(reps: DataFrame, groups: DataFrame) -> DataFrame:
-    """(node, size, fp, grp, pos, key, n), stored: the prefixes' rows under keys that several groups share."""
-    rows = reps.join(checked_broadcast(groups), "node", "left").select("node", "size", "fp", F.coalesce("grp", "node").alias("grp"), F.posexplode("prefix").alias("pos", "key"))
-    mixed = rows.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count("*").alias("n"))
-    mixed = stored(mixed.where("low < high").select("key", "n"))
-    return stored(bloom_pass(rows, "key", bloom_filter(mixed, "key")).join(checked_broadcast(mixed), "key").select("node", "size", "fp", "grp", "pos", "key", "n"))
+def _held(near: DataFrame, groups: DataFrame) -> DataFrame:
+    """(node, size, grp, pos, key, n), stored: the prefixes' rows under keys that several groups share; without keys of
+    two texts that can't resemble enough by what the key tells."""
+    rows = near.join(checked_broadcast(groups), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+    sides = F.min("size").alias("least"), F.max("size").alias("most"), F.min(F.col("size") - F.col("pos")).alias("ahead")
+    mixed = rows.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count("*").alias("n"), *sides)
+    part, whole = SHARE
+    two = f"{whole} * least >= {part} * most AND {part + whole} * ahead >= {part} * (least + most)"  # as _possible has it
+    mixed = stored(mixed.where(f"low < high AND (n > 2 OR {two})").select("key", "n"))
+    return stored(bloom_pass(rows, "key", bloom_filter(mixed, "key")).join(checked_broadcast(mixed), "key").select("node", "size", "grp", "pos", "key", "n"))
+
+
+def _shared(near: DataFrame, groups: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, size, fp, pos, key) under larger keys, and the pairs (a, b) that are tried first."""
+    held = _held(near, groups)
+    heavy = stored(held.where(f"n > {LIGHT}").select("node", "size", "pos", "key").join(reps.select("node", "fp"), "node"))
+    return heavy, _ordered(_light(held).union(_beside(heavy, groups, 0)))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

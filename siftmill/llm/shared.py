@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.sources.scratch import discard, scratch_path, settled, swept  # noqa: F401
+from siftmill.sources.scratch import collected, discard, scratch_path, settled, settled_each, swept  # noqa: F401
 
 #: Rows of three longs at most that a checked broadcast may hold (about 25 MB).
 BROADCAST_ROWS = 300_000

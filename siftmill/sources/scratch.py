@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -66,3 +67,20 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], rows: int = 0) -
         df = make()
         df.write.option("maxRecordsPerFile", rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settled_each(spark: SparkSession, make: Callable[[], tuple[DataFrame, ...]], count: int) -> list[DataFrame]:
+    """settled for a make that returns `count` frames."""
+    paths = [scratch_path(spark) for _ in range(count)]
+    with swept(spark):
+        frames = make()
+        for df, path in zip(frames, paths, strict=True):
+            df.write.parquet(path)
+    return [spark.read.schema(df.schema).parquet(path) for df, path in zip(frames, paths)]
+
+
+def collected(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: shuffle files stay until it finds that no frame refers to them any more,
+    which it may do late. Between steps that shuffle as much as their input."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -324,3 +324,26 @@ def test_no_link_under_larger_keys_is_lost(spark, light, rounds, asked, monkeypa
     assert 20 < len(set(expected.values())) < len(texts) - 40
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in resemblance.near_duplicates(df).collect()} == expected
+
+
+def test_texts_that_share_a_phrase_only_bring_no_whole_sets(spark, monkeypatch):
+    """Such pairs grow faster than the input, so sizes and bits settle them, under small keys and larger ones."""
+    monkeypatch.setattr(resemblance, "SAMPLE", 1 << 40)  # no shingle is known as common: all keys are by hash
+    asked, sets_of = [], resemblance._sets_of
+    monkeypatch.setattr(resemblance, "_sets_of", lambda nodes, *rest: asked.append(nodes.distinct().count()) or sets_of(nodes, *rest))
+    rng = random.Random(5)
+
+    def phrase():  # one that every prefix holds
+        return next(x for x in iter(lambda: words(rng, 5, 5000), None) if resemblance.shingles(x.encode())[0] < 1 << 57)
+
+    shared = phrase()
+    texts = {i: f"{shared} {words(rng, 200, 5000)}" for i in range(80)}
+    for i in range(100, 140, 2):
+        shared = phrase()
+        texts |= {j: f"{shared} {words(rng, 200, 5000)}" for j in (i, i + 1)}
+    texts[200] = f"{texts[0]} more"
+    expected = brute_resemblance(texts)
+    assert len(set(expected.values())) == len(texts) - 1
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in resemblance.near_duplicates(df).collect()} == expected
+    assert asked and max(asked) <= 2
